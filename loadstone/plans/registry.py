@@ -52,7 +52,7 @@ def query(name: str, ctes: str = "", sql: str | None = None, d: str = "", i: str
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            casts = [f"round(CAST({c} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0 AS {c}" for c in d.split()]
+            casts = [f"round(CAST({c} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0 AS {c}" for c in (d.split("|") if "|" in d else d.split())]
             casts += [f"CAST({c} AS BIGINT) AS {c}" for c in i.split()]
             head = f"SELECT * REPLACE ({', '.join(casts)})" if casts else "SELECT *"
             ORACLES[name] = f"{head} FROM (\n{with_ctes(ctes, sql)}\n) q"
