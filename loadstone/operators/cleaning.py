@@ -78,7 +78,7 @@ def artifact_log(df: DataFrame, keys: Sequence[str] = ("region",), ts: str = "ts
     def step(acc, i):
         past = F.filter(F.slice(acc["vals"], F.greatest(i - HISTORY_HOURS, F.lit(0)) + 1, F.least(i, F.lit(HISTORY_HOURS))), real_positive)
         row = F.get(F.col("rows"), i)
-        cur, df_mw, med, prev = row["v"], row["df"], _median_of(past), F.element_at(past, -1)
+        cur, df_mw, med = row["v"], row["df"], _median_of(past)
         prev = F.when(F.size(past) > 0, F.try_element_at(past, F.lit(-1)))
         hit = real_positive(cur) & implausible(cur, med, prev, df_mw)
         reason = (

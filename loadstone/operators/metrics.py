@@ -125,12 +125,14 @@ def interval_coverage(df: DataFrame, keys: Sequence[str], ts: str = "ts", recent
 
 
 def paired_verdict(deltas: DataFrame, keys: Sequence[str], d: str = "delta") -> DataFrame:
-    """Is treatment better than control over paired windows? Positive favours treatment."""
+    """Is treatment better than control over paired windows? Positive favours treatment.
+
+    One row per evaluation window, so a group holds as many rows as windows.
+    """
     x = deltas.filter(F.col(d).isNotNull() & ~F.isnan(d))
-    base = x.groupBy(*keys).agg(
+    out = x.groupBy(*keys).agg(
         F.count(d).alias("n"), F.avg(d).alias("mean"), F.min(d).alias("worst_window"), F.max(d).alias("best_window"),
-        F.stddev_samp(d).alias("_sd"), F.count_if(F.col(d) > 0).alias("_pos"), F.count_if(F.col(d) < 0).alias("_neg"))
-    out = base.join(percentiles(x, keys, {"median": (F.col(d), 0.5)}), list(keys))
+        F.stddev_samp(d).alias("_sd"), F.percentile(d, F.lit(0.5)).alias("median"), F.count_if(F.col(d) > 0).alias("_pos"), F.count_if(F.col(d) < 0).alias("_neg"))
     enough = F.col("n") >= MIN_WINDOWS
     se = F.when(enough, F.col("_sd") / F.sqrt("n"))
     wins = F.when(F.col("mean") > 0, F.col("_pos")).when(F.col("mean") < 0, F.col("_neg")).otherwise(F.col("n") - F.col("_pos") - F.col("_neg"))

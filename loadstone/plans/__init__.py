@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the modules fills the registry."""
 
 from loadstone.plans.registry import ORACLES, QUERIES
-from loadstone.plans import q_features, q_sources  # noqa: F401
+from loadstone.plans import q_cleaning, q_features, q_sources, q_vintage  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

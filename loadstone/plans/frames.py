@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadstone.operators.series import hour_number, hour_spine, windowed
+from loadstone.operators.vintage import vintages
 
 FUEL_OF_EVENT = {"click": "WND", "view": "SUN", "purchase": "NG", "signup": "WAT", "error": "NUC"}
 
@@ -123,43 +124,61 @@ def nation_load(spark: SparkSession, sf: str) -> DataFrame:
         o.join(c, F.col("o_custkey") == F.col("c_custkey"))
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_name").alias("region"), "ts")
-        .agg(F.round(F.sum("o_totalprice") / 20, 2).alias("demand_mw"))
+        .agg((F.round(F.sum("o_totalprice"), 2) / 20).alias("demand_mw"))
     )
 
 
+EPOCH = "2020-01-01 00:00:00"
+
+
+def _order_hour(key: str):
+    """Five regions share the order keys, one order an hour each."""
+    region = F.concat(F.lit("R"), (F.col(key) % 5).cast("string")).alias("region")
+    hour = F.floor(F.col(key) / 5).cast("int")
+    target = F.lit(EPOCH).cast("timestamp") + F.make_dt_interval(F.lit(0), hour)
+    return region, hour, target
+
+
+def _level(key: str):
+    return 1000.0 + (F.col(key) % 977) * 10
+
+
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Bitemporal readings: region, target_ts, captured_at, d, df.
 
-    Five regions share the order keys, one order an hour each; line ``n`` is the
-    value seen ``n`` hours later.
+    Line ``n`` of an order is the value seen ``n`` hours after its hour. Each
+    region revises in its own way; two regions lose the day-ahead feed for a while.
     """
-    epoch = F.lit("2020-01-01 00:00:00").cast("timestamp")
-    target = epoch + F.make_dt_interval(F.lit(0), F.floor(F.col("l_orderkey") / 5).cast("int"))
+    region, hour, target = _order_hour("l_orderkey")
+    r, n, level = F.col("l_orderkey") % 5, F.col("l_linenumber"), _level("l_orderkey")
+    d = (
+        F.when(r == 0, F.col("l_extendedprice")).when(r == 1, level).when(r == 2, level + n * 0.3)
+        .when(r == 3, F.when((n >= 6) & (F.col("l_orderkey") % 3 == 0), level * 1.1).otherwise(level))
+        .otherwise(level + F.least(n, F.lit(3)) * 8)
+    )
+    dark = ((r == 2) & hour.between(500, 700)) | ((r == 1) & hour.between(1000, 1130))
+    df = F.when((F.col("l_returnflag") != "N") & ~dark, F.round(d * (1 - F.col("l_discount")), 4))
     return (
         table(spark, sf, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.max("l_extendedprice").alias("d"),
-            F.max(F.when(F.col("l_returnflag") != "N", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2))).alias("df"),
-        )
-        .select(
-            F.concat(F.lit("R"), (F.col("l_orderkey") % 5).cast("string")).alias("region"),
-            target.alias("target_ts"),
-            (target + F.make_dt_interval(F.lit(0), F.col("l_linenumber"))).alias("captured_at"),
-            "d", "df",
-        )
+        .agg(F.max(d).alias("d"), F.max(df).alias("df"))
+        .select(region, target.alias("target_ts"), (target + F.make_dt_interval(F.lit(0), F.col("l_linenumber"))).alias("captured_at"), "d", "df")
     )
 
 
+def vintage(spark: SparkSession, sf: str) -> DataFrame:
+    return vintages(readings(spark, sf))
+
+
 def our_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Matured predictions of our arm on the vintage hours: region, target_ts, predicted, revised_df."""
-    epoch = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    """Matured predictions of our arm on the vintage hours, one lead an hour."""
+    region, _, target = _order_hour("o_orderkey")
+    level, c = _level("o_orderkey"), F.col("o_custkey")
     return table(spark, sf, "orders").select(
-        F.concat(F.lit("R"), (F.col("o_orderkey") % 5).cast("string")).alias("region"),
-        (epoch + F.make_dt_interval(F.lit(0), F.floor(F.col("o_orderkey") / 5).cast("int"))).alias("target_ts"),
-        F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 5, 2)).alias("predicted"),
-        F.when(F.col("o_custkey") % 4 == 0, F.round(F.col("o_totalprice") / 4, 2)).alias("revised_df"),
-        F.concat((F.lit(24) * (1 + F.col("o_orderkey") % 2)).cast("string"), F.lit("h")).alias("lead"),
+        region, target.alias("target_ts"),
+        F.when(F.col("o_orderstatus") != "P", F.round(level * (90 + c % 21) / 100, 2)).alias("predicted"),
+        F.when(c % 4 == 0, F.round(level * (95 + c % 11) / 100, 2)).alias("revised_df"),
+        F.concat((F.lit(24) * (1 + c % 2)).cast("string"), F.lit("h")).alias("lead"),
     )
 
 
