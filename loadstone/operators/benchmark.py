@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.operators import metrics as mt
 from loadstone.operators import vintage as vt
-from loadstone.operators.quantiles import percentiles
+from loadstone.operators.quantiles import percentiles, ranked
 from loadstone.operators.series import newest
 
 # Fixed values.
@@ -155,38 +155,37 @@ def drop_audit(v: DataFrame, trailing: int = 48, min_hours: int = vt.MIN_PAIRED_
     return counts.join(edge, "region").withColumn("short_by", F.greatest(F.lit(0), min_hours - F.col("would_pair")))
 
 
-def error_attribution(rows: DataFrame) -> DataFrame:
-    """Shares of total absolute error by hour, ramp quartile, temperature quintile,
-    weekend and holiday, long: (cut, bucket, share, mean_ape, n).
+def error_attribution(rows: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
+    """Share of each series' absolute error by hour, ramp quartile, temperature
+    quintile, weekend and holiday: one row per cut and bucket.
 
-    ``rows`` holds ts, actual, predicted, ramp, temperature and is_holiday. The
-    cut points come from exact fleet percentiles, so no global sort is needed.
+    ``rows`` holds keys, ts, actual, predicted, ramp, temperature and is_holiday.
+    Quartiles and quintiles are cut on ranks, earlier hours first on ties.
     """
-    q = percentiles(rows, [], {
-        **{f"r{k}": (F.col("ramp"), k / 4) for k in (1, 2, 3)}, **{f"t{k}": (F.col("temperature"), k / 5) for k in (1, 2, 3, 4)}})
-    x = rows.join(F.broadcast(q))
-
-    def bin_of(c: str, p: str, n: int) -> Column:
-        return F.when(F.col(c).isNotNull(), sum((F.when(F.col(c) > F.col(f"{p}{k}"), 1).otherwise(0) for k in range(1, n)), F.lit(1)))
-
-    cuts = F.array(
-        F.struct(F.lit("hour").alias("cut"), F.hour("ts").cast("string").alias("bucket")),
-        F.struct(F.lit("ramp_quartile"), bin_of("ramp", "r", 4).cast("string")),
-        F.struct(F.lit("temp_quintile"), bin_of("temperature", "t", 5).cast("string")),
-        F.struct(F.lit("weekend"), (F.weekday("ts") >= 5).cast("string")),
-        F.struct(F.lit("holiday"), (F.col("is_holiday") > 0).cast("string")))
+    keys, on = list(keys), [*keys, "ts"]
+    x = rows
+    for col, bins, name in (("ramp", 4, "_r"), ("temperature", 5, "_t")):
+        rank = ranked(rows.select(*on, col), keys, col, ["ts"])
+        edge = sum((F.when(F.col("rank") > 1 + (F.col("rank_of") - 1) * k / bins, 1).otherwise(0) for k in range(1, bins)), F.lit(1))
+        x = x.join(rank.select(*on, edge.alias(name)), on, "left")
     err = F.abs(F.col("actual") - F.col("predicted"))
-    total = x.agg(F.sum(err).alias("total"))
-    g = x.select(err.alias("err"), mt.ape().alias("ape"), F.inline(cuts)).filter("bucket IS NOT NULL").groupBy("cut", "bucket").agg(
-        F.sum("err").alias("abs_error"), F.avg("ape").alias("mean_ape"), F.count("*").alias("n"))
-    return g.join(F.broadcast(total)).select("cut", "bucket", (F.col("abs_error") / F.col("total")).alias("share"), "mean_ape", "n")
+    cuts = F.array(*[F.struct(F.lit(n).alias("cut"), c.cast("string").alias("bucket")) for n, c in (
+        ("hour", F.hour("ts")), ("ramp_quartile", F.col("_r")), ("temp_quintile", F.col("_t")), ("weekend", F.weekday("ts") >= 5), ("holiday", F.col("is_holiday") > 0))])
+    total = rows.groupBy(*keys).agg(F.sum(err).alias("_total"))
+    g = x.select(*keys, err.alias("_err"), F.inline(cuts)).filter("bucket IS NOT NULL").groupBy(*keys, "cut", "bucket").agg(
+        F.sum("_err").alias("abs_error"), F.count("*").alias("n"))
+    return g.join(total, keys).select(*keys, "cut", "bucket", "n", "abs_error", (F.col("abs_error") / F.col("_total") * 100).alias("share_pct"))
 
 
-def miss_matrix(rows: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """Hours both arms missed, only one missed, or neither."""
+def miss_matrix(rows: DataFrame, keys: Sequence[str] = ("region",), threshold: float = 5.0) -> DataFrame:
+    """Hours both arms missed, only one missed, or neither, with our error share."""
+    keys = list(keys)
     a, b = mt.ape("actual", "ours") > threshold, mt.ape("actual", "official") > threshold
     cell = F.when(a & b, "both").when(a, "ours_only").when(b, "theirs_only").otherwise("neither")
-    return rows.groupBy("region", cell.alias("cell")).agg(F.count("*").alias("n"))
+    our, their = F.abs(F.col("actual") - F.col("ours")), F.abs(F.col("actual") - F.col("official"))
+    g = rows.groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(our).alias("_e"), F.avg(our).alias("our_mean_err"), F.avg(their).alias("official_mean_err"))
+    t = g.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("_e").alias("_t"))
+    return g.join(t, keys).select(*keys, "cell", "n", (F.col("n") / F.col("_n") * 100).alias("hours_pct"), (F.col("_e") / F.col("_t") * 100).alias("share_pct"), "our_mean_err", "official_mean_err")
 
 
 # Fixed values.

@@ -58,3 +58,19 @@ def percentiles(
     ).select(*group, (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"))
     picks = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in specs]
     return value.groupBy(*keys).agg(*picks) if keys else value.agg(*picks)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based rank of each non-null value in its group, ties broken by columns.
+
+    Values are numbered inside magnitude buckets and offset by the buckets below,
+    so a large group is not sorted in one task.
+    """
+    keys = list(keys)
+    x = df.filter(F.col(value).isNotNull()).withColumn("_b", _bucket(F.col(value).cast("double")))
+    sizes = x.groupBy(*keys, "_b").count()
+    w = Window.partitionBy(*keys)
+    below = sizes.select(*keys, "_b", (F.sum("count").over(w.orderBy("_b")) - F.col("count")).alias("_off"), F.sum("count").over(w).alias("_total"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value, *ties)
+    return x.withColumn("_rn", F.row_number().over(inside)).join(below, [*keys, "_b"]).withColumn(
+        name, F.col("_off") + F.col("_rn")).withColumnRenamed("_total", "rank_of").drop("_b", "_rn", "_off")
