@@ -15,6 +15,7 @@ from loadstone.operators.series import hour_number, windowed
 from loadstone.plans import frames as fr
 from loadstone.plans.q_features import DERIVED_D, DERIVED_SQL, ROLL_D, _range_sql
 from loadstone.plans.registry import query
+from loadstone.session import reliable_checkpoint
 
 EXOG = ["temperature_2m", "cloud_cover", "hour_sin", "hour_cos"]
 HORIZONS = (1, 6, 24, 72, 168)
@@ -41,7 +42,8 @@ FEATURES = [*AUTOREGRESSIVE, "horizon_h", *EXOG]
 
 
 def _training(spark, sf):
-    return direct(spark, sf).na.drop(subset=["target"])
+    """The training table, written once: fitting reads it many times."""
+    return reliable_checkpoint(direct(spark, sf).na.drop(subset=["target"]))
 
 
 @query("b18_pooled_forecaster")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "loadstone", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -22,20 +23,29 @@ def local_session(app: str = "loadstone", cores: str | int = "*", partitions: in
     )
 
 
-def reliable_checkpoint(df):
-    """Cut lineage through the shared checkpoint folder named by the session.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is what a cluster sets; a fresh local folder is
-    used only where it is absent (tests on one machine).
+    Only a local master without the setting gets a fresh folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    made = tempfile.mkdtemp(prefix="run-loadstone-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder, so a lost executor recomputes nothing before it."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="run-loadstone-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
