@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from loadstone.functions import timeutil as tu
+from loadstone.functions import weather as wx
 from loadstone.operators import metrics as mt
+from loadstone.operators.baseline import skill
 from loadstone.plans import frames as fr
 from loadstone.plans.registry import query
+from loadstone.session import scratch_path
 from loadstone.sources import feeds, files
 
 PERIOD = "yyyy-MM-dd'T'HH"
@@ -215,3 +218,44 @@ def canonical(spark, sf):
 @query("p3_floor_hour", "", "SELECT event_id, date_trunc('hour', ts) AS hour_ts FROM events")
 def floor_hour(spark, sf):
     return fr.events(spark, sf).select("event_id", F.date_trunc("hour", "ts").alias("hour_ts"))
+
+
+def written(spark, sf):
+    """The demand table written by region to the shared folder."""
+    path = scratch_path(spark, "demand")
+    files.write_table(fr.demand(spark, sf).select("region", "ts", "demand_mw", "forecast_mw"), path)
+    return path
+
+
+@query("s1_partitioned_scan", "demand", "SELECT region, ts, demand_mw, forecast_mw FROM demand WHERE region IN ('click', 'view')")
+def partitioned_scan(spark, sf):
+    return files.read_table(spark, written(spark, sf), files.DEMAND, ["click", "view"])
+
+
+@query("s2_partitioned_sink", "demand", "SELECT region, count(*) AS n, count(demand_mw) AS known, sum(demand_mw) AS total_mw FROM demand GROUP BY region", d="total_mw")
+def partitioned_sink(spark, sf):
+    return files.read_table(spark, written(spark, sf), files.DEMAND).groupBy("region").agg(
+        F.count("*").alias("n"), F.count("demand_mw").alias("known"), F.sum("demand_mw").alias("total_mw"))
+
+
+@query("x3_composed_aggregates", "scored weather", """
+WITH e AS (SELECT region, sum(abs(actual - predicted)) / sum(actual) * 100 AS wape, 1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(*)) AS r2, avg(abs(actual - predicted) / actual) * 100 AS mape FROM scored WHERE model = 'lag24' GROUP BY region),
+b AS (SELECT region, avg(abs(actual - predicted) / actual) * 100 AS base FROM scored WHERE model = 'lag168' GROUP BY region),
+w AS (SELECT region, degrees(atan2(avg(sin(radians(wind_direction_10m))), avg(cos(radians(wind_direction_10m))))) AS deg FROM weather GROUP BY region)
+SELECT region, wape, r2, round(1 - mape / base, 4) AS skill, CASE WHEN deg < 0 THEN deg + 360 ELSE deg END AS mean_direction FROM e JOIN b USING (region) JOIN w USING (region)""", d="wape r2 skill mean_direction")
+def composed(spark, sf):
+    s = fr.scored(spark, sf)
+    e = s.filter("model = 'lag24'").groupBy("region").agg(mt.wape().alias("wape"), mt.r2().alias("r2"), mt.positive_mape().alias("m"))
+    b = s.filter("model = 'lag168'").groupBy("region").agg(mt.positive_mape().alias("b"))
+    w = fr.weather(spark, sf).groupBy("region").agg(wx.circular_mean("wind_direction_10m").alias("mean_direction"))
+    return e.join(b, "region").join(w, "region").select("region", "wape", "r2", skill(F.col("m"), F.col("b")).alias("skill"), "mean_direction")
+
+
+@query("x4_spine_table_function", "hourly", """
+SELECT region, unnest(generate_series(min(ts), max(ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS ts FROM hourly GROUP BY region""")
+def spine_function(spark, sf):
+    """The hour spine as a lateral table function in SQL."""
+    fr.hourly(spark, sf).createOrReplaceTempView("loadstone_hourly")
+    return spark.sql("""
+        SELECT region, s.ts FROM (SELECT region, min(ts) AS a, max(ts) AS b FROM loadstone_hourly GROUP BY region),
+        LATERAL explode(sequence(a, b + INTERVAL 24 HOURS, INTERVAL 1 HOUR)) AS s(ts)""")

@@ -9,8 +9,9 @@ from loadstone.plans.q_drift import NOW, SNAPS, forecasts, now
 from loadstone.plans.q_grid import SNAP, snapshots
 from loadstone.plans.q_sources import METADATA_SQL, metadata
 from loadstone.plans.registry import query
+from loadstone.session import scratch_path
 from loadstone.streaming import operators as so
-from loadstone.streaming.sinks import drain, staged, stream_table
+from loadstone.streaming.sinks import drain, guarded_upsert, staged, stream_table
 
 
 def streamed(df, name, files=None):
@@ -103,3 +104,21 @@ SELECT region AS series, ts AS run_at, demand_mw > 150 AS breached, CASE WHEN de
 def stream_streaks(spark, sf):
     r = fr.hourly(spark, sf).select(F.col("region").alias("series"), F.col("ts").alias("run_at"), (F.col("demand_mw") > 150).alias("breached"))
     return drain(so.breach_streaks(streamed(r, "runs")), "streaks", mode="append")
+
+
+@query("d12_guarded_upsert", "hourly", "SELECT region, ts, CASE WHEN day(ts) >= 20 THEN demand_mw + 1 ELSE demand_mw END AS demand_mw FROM hourly", d="demand_mw")
+def guarded(spark, sf):
+    """Two loads merged by key, the later one winning, behind the reseed guard."""
+    h = fr.hourly(spark, sf)
+    later = h.filter(F.dayofmonth("ts") >= 20).withColumn("demand_mw", F.col("demand_mw") + 1)
+    base = scratch_path(spark, "guarded")
+    upsert = guarded_upsert(f"{base}/table", f"{base}/written", merge_newest)
+    for n, part in enumerate((h, later)):
+        q = streamed(part, "load").writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/state{n}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/table")
+
+
+def merge_newest(old, new):
+    """Stored rows without a newer reading, and the new rows."""
+    return old.join(new.select("region", "ts"), ["region", "ts"], "left_anti").unionByName(new)

@@ -28,7 +28,7 @@ def activity_runs(events: DataFrame, keys: Sequence[str], ts: str, late: str = "
     """Contiguous hourly runs as sessions; a missing hour ends a run."""
     hour = F.date_trunc("hour", F.col(ts))
     g = events.withColumn("_h", hour).withWatermark("_h", late).groupBy(*keys, F.session_window("_h", "1 hour 1 second")).agg(F.count("*").alias("n"))
-    return g.select(*keys, F.col("session_window.start").alias("start"), F.date_trunc("hour", F.col("session_window.end") - F.expr("INTERVAL 1 SECOND")).alias("end"), "n")
+    return g.select(*keys, F.col("session_window.start").alias("start"), (F.col("session_window.end") - F.expr("INTERVAL 3601 SECONDS")).alias("end"), "n")
 
 
 def snapshots(forecasts: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:

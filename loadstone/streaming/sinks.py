@@ -58,7 +58,7 @@ def staged(df: DataFrame, name: str) -> str:
     return path
 
 
-def guarded_upsert(path: str, marker: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame]):
+def guarded_upsert(path: str, marker: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
     """``foreachBatch`` function that refuses to seed a table that should exist.
 
     Once the marker is written, an absent table means the history was lost: the
