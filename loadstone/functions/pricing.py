@@ -20,18 +20,18 @@ NEUTRAL_FLOW_MW = 50.0
 
 def price(load, capacity, base: float = BASE_PRICE) -> Column:
     """Merit-order price from utilisation tiers."""
-    u = _c(load) / _c(capacity)
+    u = F.try_divide(_c(load), _c(capacity))
     return (
         F.when(u < TIER_MODERATE, base).when(u < TIER_HIGH, base * (1 + 2 * (u - TIER_MODERATE)))
         .when(u < TIER_EMERGENCY, base * F.exp(15 * (u - TIER_HIGH))).when(u.isNotNull(), base * EMERGENCY_MULTIPLIER))
 
 
 def utilization_pct(load, capacity) -> Column:
-    return _c(load) / _c(capacity) * 100
+    return F.try_divide(_c(load), _c(capacity)) * 100
 
 
 def headroom_pct(load, capacity) -> Column:
-    return (_c(capacity) - _c(load)) / _c(capacity) * 100
+    return F.try_divide(_c(capacity) - _c(load), _c(capacity)) * 100
 
 
 def stress_score(load, capacity, unreliable) -> Column:

@@ -125,7 +125,8 @@ def interval_anchors(residuals: DataFrame, keys: Sequence[str], order: str, low:
     ``residuals`` holds key, horizon, the order column and residual.
     """
     keys = [*keys, "horizon"]
-    tail = newest(residuals, keys, order, F.greatest(F.col("horizon") * 5, F.lit(120)))
+    most = max(120, 5 * max(ANCHOR_HORIZONS))
+    tail = newest(residuals, keys, order, most, "_k").filter(F.col("_k") <= F.greatest(F.col("horizon") * 5, F.lit(120)))
     n = residuals.groupBy(*keys).agg(F.count("residual").alias("n_all"))
     q = percentiles(tail, keys, {"lower_error": (F.col("residual"), low), "upper_error": (F.col("residual"), high)})
     size = tail.groupBy(*keys).agg(F.count("residual").alias("sample_size"))
@@ -184,7 +185,7 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: str,
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     k = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
     x = df.select(*keys, value, row_id, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).withColumn("_k", k)
-    means = x.groupBy(*keys, "_b").agg((F.sum(F.col(value) * F.col("_k")) / F.sum("_k")).alias("m"))
+    means = x.groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col(value) * F.col("_k")), F.sum("_k")).alias("m"))
     base = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(high)).alias("ci_high"))
     return base.join(ci, list(keys))

@@ -136,7 +136,7 @@ def metric_robustness(payload: DataFrame) -> DataFrame:
     arms = ("ours", "official")
     med = rows.agg(
         *[F.percentile(f"{a}_{m}", F.lit(0.5)).alias(f"{a}_{m}") for a in arms for m in names],
-        *[(F.max(f"{a}_mape") / F.min(f"{a}_mape")).alias(f"{a}_spread") for a in arms])
+        *[F.try_divide(F.max(f"{a}_mape"), F.min(f"{a}_mape")).alias(f"{a}_spread") for a in arms])
     lead = F.col("ours_mape") < F.col("official_mape")
     verdicts = F.array(*[F.struct(
         F.lit(m).alias("metric"), F.col(f"ours_{m}").alias("ours"), F.col(f"official_{m}").alias("official"),
@@ -174,7 +174,7 @@ def error_attribution(rows: DataFrame, keys: Sequence[str] = ("region",)) -> Dat
     total = rows.groupBy(*keys).agg(F.sum(err).alias("_total"))
     g = x.select(*keys, err.alias("_err"), F.inline(cuts)).filter("bucket IS NOT NULL").groupBy(*keys, "cut", "bucket").agg(
         F.sum("_err").alias("abs_error"), F.count("*").alias("n"))
-    return g.join(total, keys).select(*keys, "cut", "bucket", "n", "abs_error", (F.col("abs_error") / F.col("_total") * 100).alias("share_pct"))
+    return g.join(total, keys).select(*keys, "cut", "bucket", "n", "abs_error", (F.try_divide(F.col("abs_error"), F.col("_total")) * 100).alias("share_pct"))
 
 
 def miss_matrix(rows: DataFrame, keys: Sequence[str] = ("region",), threshold: float = 5.0) -> DataFrame:
@@ -185,7 +185,7 @@ def miss_matrix(rows: DataFrame, keys: Sequence[str] = ("region",), threshold: f
     our, their = F.abs(F.col("actual") - F.col("ours")), F.abs(F.col("actual") - F.col("official"))
     g = rows.groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(our).alias("_e"), F.avg(our).alias("our_mean_err"), F.avg(their).alias("official_mean_err"))
     t = g.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("_e").alias("_t"))
-    return g.join(t, keys).select(*keys, "cell", "n", (F.col("n") / F.col("_n") * 100).alias("hours_pct"), (F.col("_e") / F.col("_t") * 100).alias("share_pct"), "our_mean_err", "official_mean_err")
+    return g.join(t, keys).select(*keys, "cell", "n", (F.col("n") / F.col("_n") * 100).alias("hours_pct"), (F.try_divide(F.col("_e"), F.col("_t")) * 100).alias("share_pct"), "our_mean_err", "official_mean_err")
 
 
 # Fixed values.
@@ -206,7 +206,7 @@ def anchor_proxy(v: DataFrame, classes: DataFrame) -> DataFrame:
           for n, c in (("prod", "first_seen_d"), ("df", "first_seen_df"))])
     g = x.groupBy("revision_class").agg(
         F.count("prod").alias("n_contested"), F.count_if("tie").alias("placeholder_ties"), F.avg("prod").alias("prod_mean"), F.avg("df").alias("df_mean"),
-        (F.count_if(F.col("df") < F.col("prod")) / F.count("prod")).alias("win_rate"), (F.avg("prod") - F.avg("df")).alias("margin"))
+        F.try_divide(F.count_if(F.col("df") < F.col("prod")), F.count("prod")).alias("win_rate"), (F.avg("prod") - F.avg("df")).alias("margin"))
     med = percentiles(x, ["revision_class"], {"prod_median": (F.col("prod"), 0.5), "df_median": (F.col("df"), 0.5)})
     passes = (F.col("win_rate") > WIN_RATE_GATE) & (F.col("margin") >= MEAN_MARGIN_GATE_PCT)
     verdict = (

@@ -109,7 +109,7 @@ def holdout_score(holdout: DataFrame, keys: Sequence[str] = ("region",), ts: str
     j = x.join(full, [*keys, "model"]).join(oos, [*keys, "model"])
     per = j.groupBy(*keys, ts).agg(
         F.first("actual").alias("actual"), F.min((~F.col("_fit")).cast("int")).alias("_late"), F.first("_n").alias("_n"), F.first("_split").alias("_split"), F.first("_ok").alias("_ok"),
-        F.first("rule").alias("weight_rule"), (F.sum(F.col("w_full") * F.col("predicted")) / F.sum("w_full")).alias("p_full"), (F.sum(F.col("w_fit") * F.col("predicted")) / F.sum("w_fit")).alias("p_fit"))
+        F.first("rule").alias("weight_rule"), F.try_divide(F.sum(F.col("w_full") * F.col("predicted")), F.sum("w_full")).alias("p_full"), F.try_divide(F.sum(F.col("w_fit") * F.col("predicted")), F.sum("w_fit")).alias("p_fit"))
     split_ok = (F.col("_split") >= MIN_SPLIT_HOURS) & (F.col("_n") - F.col("_split") >= MIN_SPLIT_HOURS) & F.col("_ok")
     rows = per.withColumn("_oos", split_ok).filter("NOT _oos OR _late = 1").withColumn("predicted", F.when(F.col("_oos"), F.col("p_fit")).otherwise(F.col("p_full")))
     return rows.groupBy(*keys, "weight_rule", F.when(F.col("_oos"), "out_of_sample").otherwise("in_sample").alias("scored")).agg(

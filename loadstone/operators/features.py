@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadstone.functions import calendar as cal
 from loadstone.functions import weather as wx
-from loadstone.operators.series import CHUNK_ROWS, hour_number, windowed
+from loadstone.operators.series import CHUNK_ROWS, hour_number, running, windowed
 
 LAGS = (1, 3, 24, 168)
 ROLLS = (24, 72, 168)
@@ -45,47 +45,58 @@ DERIVED = ["demand_momentum_short", "demand_momentum_long", "demand_ratio_24h",
 AUTOREGRESSIVE = [*lag_columns(), "ramp_rate", *roll_columns(), *DERIVED]
 
 
+def _ar_windows(v: str) -> dict:
+    return {**lag_columns(v), "ramp_rate": lambda w: F.lag(v, 1).over(w) - F.lag(v, 2).over(w), **roll_columns(v)}
+
+
 def autoregressive(df: DataFrame, keys: Sequence[str] = ("region",), v: str = "demand_mw",
                    order: str = "h", chunk: int = CHUNK_ROWS) -> DataFrame:
     """The 21 demand features; one shuffle, every frame ends at the row before."""
-    exprs = {**lag_columns(v), "ramp_rate": lambda w: F.lag(v, 1).over(w) - F.lag(v, 2).over(w), **roll_columns(v)}
-    out = windowed(df, keys, order, exprs, before=max(LAGS), chunk=chunk)
+    out = windowed(df, keys, order, _ar_windows(v), before=max(LAGS), chunk=chunk)
     return out.select("*", *[c.alias(n) for n, c in derived_columns().items()])
 
 
+TEMPERATURE, HUMIDITY = "temperature_2m", "relative_humidity_2m"
+DEVIATION_ROWS = 720
+
+
+def _weather_scalars() -> dict[str, Column]:
+    return {
+        "cooling_degree_days": wx.cdd(TEMPERATURE), "heating_degree_days": wx.hdd(TEMPERATURE), "heat_index": wx.heat_index(TEMPERATURE, HUMIDITY),
+        "wind_power_estimate": wx.wind_power("wind_speed_80m"), "solar_capacity_factor": wx.solar_factor("shortwave_radiation"),
+    }
+
+
+def _weather_windows() -> dict:
+    return {
+        "temperature_deviation": lambda w: F.col(TEMPERATURE) - F.avg(TEMPERATURE).over(w.rowsBetween(1 - DEVIATION_ROWS, 0)),
+        "cdd_accum_24h": lambda w: F.avg("cooling_degree_days").over(w.rowsBetween(-23, 0)),
+        "cdd_accum_72h": lambda w: F.avg("cooling_degree_days").over(w.rowsBetween(-71, 0)),
+    }
+
+
+def _weather_products() -> dict[str, Column]:
+    return {"cdd_squared": F.pow("cooling_degree_days", F.lit(2.0)), "cdd_x_humidity": F.col("cooling_degree_days") * F.col(HUMIDITY) / 100.0}
+
+
 def weather_features(df: DataFrame, keys: Sequence[str] = ("region",), order: str = "h",
                      chunk: int = CHUNK_ROWS) -> DataFrame:
     """Degree days, cooling response, deviation from the month, wind and solar."""
-    t, r = "temperature_2m", "relative_humidity_2m"
-    base = df.select(
-        "*", wx.cdd(t).alias("cooling_degree_days"), wx.hdd(t).alias("heating_degree_days"),
-        wx.heat_index(t, r).alias("heat_index"),
-        wx.wind_power("wind_speed_80m").alias("wind_power_estimate"),
-        wx.solar_factor("shortwave_radiation").alias("solar_capacity_factor"),
-    )
-    out = windowed(base, keys, order, {
-        "temperature_deviation": lambda w: F.col(t) - F.avg(t).over(w.rowsBetween(-719, 0)),
-        "cdd_accum_24h": lambda w: F.avg("cooling_degree_days").over(w.rowsBetween(-23, 0)),
-        "cdd_accum_72h": lambda w: F.avg("cooling_degree_days").over(w.rowsBetween(-71, 0)),
-    }, before=719, chunk=chunk)
-    return out.select(
-        "*", F.pow("cooling_degree_days", F.lit(2.0)).alias("cdd_squared"),
-        (F.col("cooling_degree_days") * F.col(r) / 100.0).alias("cdd_x_humidity"),
-    )
+    base = df.select("*", *[c.alias(n) for n, c in _weather_scalars().items()])
+    out = windowed(base, keys, order, _weather_windows(), before=DEVIATION_ROWS - 1, chunk=chunk)
+    return out.select("*", *[c.alias(n) for n, c in _weather_products().items()])
 
 
 def impute_exogenous(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("region",),
                      order: str = "h", chunk: int = CHUNK_ROWS) -> DataFrame:
     """Forward fill, then backward fill, then zero."""
-    from loadstone.operators.series import running
-
     specs = {}
     for c in cols:
         specs[f"_p_{c}"] = ("last", F.col(c))
         specs[f"_n_{c}"] = ("next", F.col(c))
     filled = running(df, keys, order, specs, chunk)
     return filled.select(*[
-        F.coalesce(f"_p_{c}", f"_n_{c}", F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns
+        F.coalesce(f"_p_{c}", f"_n_{c}", F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns if c != "_chunk"
     ])
 
 
@@ -95,18 +106,18 @@ WEATHER_DERIVED = ["cooling_degree_days", "heating_degree_days", "temperature_de
                    "wind_power_estimate", "solar_capacity_factor"]
 
 
-def feature_table(merged: DataFrame, keys: Sequence[str] = ("region",), ts: str = "ts") -> DataFrame:
+def feature_table(merged: DataFrame, keys: Sequence[str] = ("region",), ts: str = "ts", chunk: int = CHUNK_ROWS) -> DataFrame:
     """Merged demand and weather to the model table, warm-up rows dropped.
 
-    Both window groups share the chunk layout; exogenous columns are imputed,
-    demand features never are.
+    All frames are evaluated on one chunked shuffle, which the imputation of the
+    exogenous columns reuses; demand features are never imputed.
     """
-    base = merged.withColumn("h", hour_number(ts))
-    out = autoregressive(weather_features(base, keys), keys)
-    out = cal.with_holiday_flag(out.select("*", *[c.alias(n) for n, c in cal.cyclical(ts).items()]), ts)
-    out = out.withColumn("temp_x_hour", F.col("temperature_2m") * F.col("hour_sin"))
+    base = merged.withColumn("h", hour_number(ts)).select("*", *[c.alias(n) for n, c in {**_weather_scalars(), **cal.cyclical(ts)}.items()])
+    out = windowed(base, keys, "h", {**_weather_windows(), **_ar_windows("demand_mw")}, before=DEVIATION_ROWS - 1, chunk=chunk, keep_chunk=True)
+    out = out.select("*", *[c.alias(n) for n, c in {**_weather_products(), **derived_columns()}.items()],
+                     (F.col(TEMPERATURE) * F.col("hour_sin")).alias("temp_x_hour"))
     out = impute_exogenous(out, [*WEATHER_INPUTS, *WEATHER_DERIVED, "temp_x_hour"], keys)
-    return out.na.drop(subset=AUTOREGRESSIVE)
+    return cal.with_holiday_flag(out.na.drop(subset=AUTOREGRESSIVE), ts)
 
 
 def temporal_snapshot(df: DataFrame, keys: Sequence[str] = ("region",), v: str = "demand_mw",

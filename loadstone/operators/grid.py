@@ -32,7 +32,7 @@ def renewable_share(gen: DataFrame) -> DataFrame:
     x = gen.filter("generation_mw IS NOT NULL").groupBy("region", "ts").agg(
         F.sum("generation_mw").alias("total_mw"), F.sum(F.when(fuel.isin(*RENEWABLE), F.col("generation_mw"))).alias("_ren"))
     whole = x.groupBy("region").agg((F.avg("total_mw") > 0).alias("_any"), (F.count("_ren") > 0).alias("_has"))
-    pct = F.when(F.col("_any") & F.col("_has"), F.coalesce("_ren", F.lit(0.0)) / F.col("total_mw") * 100).otherwise(0.0)
+    pct = F.when(F.col("_any") & F.col("_has"), F.try_divide(F.coalesce("_ren", F.lit(0.0)), F.col("total_mw")) * 100).otherwise(0.0)
     return x.join(whole, "region").select("region", "ts", "total_mw", pct.alias("renewable_pct"))
 
 
@@ -47,7 +47,7 @@ def fuel_mix(gen: DataFrame, window_hours: int = 24) -> DataFrame:
     best = f.groupBy("region").agg(F.max(F.struct(F.col("_s").alias("s"), "fuel")).alias("b"), F.sum("_s").alias("_t"))
     return h.join(best, "region").select(
         "region", "avg_total_mw", F.col("b.fuel").alias("largest_fuel"), (F.col("b.s") / F.col("_n")).alias("largest_mw"),
-        (F.col("b.s") / F.col("_t") * 100).alias("largest_share_pct"), "renewable_pct")
+        (F.try_divide(F.col("b.s"), F.col("_t")) * 100).alias("largest_share_pct"), "renewable_pct")
 
 
 def net_load(demand: DataFrame, gen: DataFrame) -> DataFrame:
@@ -172,11 +172,11 @@ def national_summary(demand: DataFrame, capacity: DataFrame, ceiling: float = ST
     state = region_state(demand)
     ok = state.filter("NOT artifact")
     j = ok.join(capacity.select("region", "capacity_mw", "unreliable"), "region", "left")
-    ratio = F.col("current_mw") / F.col("capacity_mw")
+    ratio = F.try_divide(F.col("current_mw"), F.col("capacity_mw"))
     rel = F.coalesce((F.col("capacity_mw") > 0) & ~F.col("unreliable") & (ratio <= ceiling), F.lit(False))
     out = j.agg(
         F.count("*").alias("reporting_regions"), F.sum("current_mw").alias("total_mw"),
-        (F.sum(F.when(rel, F.col("current_mw"))) / F.sum(F.when(rel, F.col("capacity_mw"))) * 100).alias("utilization_pct"),
+        (F.try_divide(F.sum(F.when(rel, F.col("current_mw"))), F.sum(F.when(rel, F.col("capacity_mw")))) * 100).alias("utilization_pct"),
         F.max(F.when(rel, F.struct(ratio.alias("r"), "region"))).alias("_top"))
     peak = simultaneous_peak(demand.join(ok.select("region"), "region", "left_semi"))
     gone = state.agg(F.sort_array(F.collect_set(F.when(F.col("artifact"), F.col("region")))).alias("_gone"))
@@ -190,7 +190,7 @@ def group_rollup(demand: DataFrame, capacity: DataFrame) -> DataFrame:
     j = region_state(demand).join(capacity, "region")
     return j.rollup("grid", "region").agg(
         F.grouping_id().alias("level"), F.sum("current_mw").alias("current_mw"), F.sum("capacity_mw").alias("capacity_mw"),
-        (F.sum("current_mw") / F.sum("capacity_mw") * 100).alias("utilization_pct"))
+        (F.try_divide(F.sum("current_mw"), F.sum("capacity_mw")) * 100).alias("utilization_pct"))
 
 
 def card_order(state: DataFrame, capacity: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def historical_stats(demand: DataFrame, weather: DataFrame, rows: int) -> DataFr
         "region", F.col("nearest_temperature_2m").alias("temp_at_peak"))
     out = g.join(ramp, k, "left").join(above, k).join(corr, k, "left").join(at_peak, k, "left")
     return out.select(
-        "region", "n", "peak_mw", "min_mw", "avg_mw", "std_mw", "peak_time", ((F.col("peak_mw") - F.col("avg_mw")) / F.col("avg_mw") * 100).alias("pct_above_avg"),
+        "region", "n", "peak_mw", "min_mw", "avg_mw", "std_mw", "peak_time", F.when(F.col("avg_mw") > 0, (F.col("peak_mw") - F.col("avg_mw")) / F.col("avg_mw") * 100).alias("pct_above_avg"),
         "weekday_avg", "weekend_avg", F.when(F.col("n") >= 24, F.col("morning_ramp")).alias("morning_ramp"),
         F.when((F.col("n") >= 336) & (F.col("_last") > 0), (F.col("_this") - F.col("_last")) / F.col("_last") * 100).alias("wow_pct"), "hours_above_p90", "temp_corr", "temp_at_peak")
 
@@ -156,7 +156,7 @@ def generation_rules(s: DataFrame, capacity: DataFrame, keys: Sequence[str] = ("
     """Rules over the net-load statistics and the capacity of each region."""
     j = s.join(capacity.select("region", "capacity_mw"), "region", "left").withColumn("capacity_mw", F.coalesce("capacity_mw", F.lit(50000.0)))
     cap = F.col("capacity_mw")
-    low, swing = F.col("min_net") / cap * 100, (F.col("peak_net") - F.col("min_net")) / cap * 100
+    low, swing = F.try_divide(F.col("min_net"), cap) * 100, F.try_divide(F.col("peak_net") - F.col("min_net"), cap) * 100
     info = F.lit("info")
     return _rules(j, keys, [
         ("renewable_pct", F.col("renewable_pct").isNotNull(), F.when(F.col("renewable_pct") > 40, "notable").otherwise("info"), F.col("renewable_pct")),

@@ -38,6 +38,14 @@ def direct_table(hourly: DataFrame, exog: Sequence[str], horizons: Sequence[int]
     return want.join(target, [*keys, "_t"]).drop("_t")
 
 
+MISSING = -9999.0
+
+
+def prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Missing inputs as their own value, which trees split off; rows are kept."""
+    return df.na.fill(MISSING, list(features))
+
+
 def pooled_forecaster(features: Sequence[str], label: str = "target", max_iter: int = 10, max_depth: int = 4, seed: int = 7) -> Pipeline:
     """One distributed model over all regions at once."""
     vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
@@ -58,7 +66,10 @@ def cross_validate(df: DataFrame, features: Sequence[str], order: str, n_splits:
     """Error per fold; every fold trains on rows strictly before its test rows."""
     out = None
     for k, (cut, end) in enumerate(time_folds(df, order, n_splits)):
-        model = pooled_forecaster(features, label, **params).fit(df.filter(F.col(order) < cut))
+        train = df.filter(F.col(order) < cut)
+        if train.isEmpty():
+            continue
+        model = pooled_forecaster(features, label, **params).fit(train)
         part = model.transform(df.filter((F.col(order) >= cut) & (F.col(order) < end))).agg(
             mt.mape(label, "predicted").alias("mape"), mt.mae(label, "predicted").alias("mae"), F.count("*").alias("n")).withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)

@@ -53,7 +53,7 @@ def factors(predicted: DataFrame, keys: Sequence[str] = ("region",), step: str =
     """
     axis = list(AXES)
     base = predicted.filter("temp_f = 0 AND wind_mph = 0 AND solar_wm2 = 0").select(*keys, step, F.col("predicted").alias("base"))
-    x = predicted.join(base, [*keys, step]).withColumn("ratio", F.col("predicted") / F.col("base"))
+    x = predicted.join(base, [*keys, step]).withColumn("ratio", F.try_divide(F.col("predicted"), F.col("base")))
     bad = x.groupBy(*keys, *axis).agg(
         ((F.min("ratio") < MIN_FACTOR) | (F.max("ratio") > MAX_FACTOR) | F.bool_or(F.col("ratio").isNull() | F.isnan("ratio"))).alias("implausible"))
     return x.join(bad, [*keys, *axis]).select(
@@ -66,7 +66,7 @@ def impact(predicted: DataFrame, capacity: DataFrame, keys: Sequence[str] = ("re
     d = F.col("predicted") - F.col("base")
     head = pr.headroom_pct("predicted", "capacity_mw")
     return j.groupBy(*keys, *AXES).agg(
-        F.max("predicted").alias("peak_demand_mw"), F.max(d).alias("peak_delta_mw"), F.avg(d / F.col("base") * 100).alias("mean_delta_pct"),
+        F.max("predicted").alias("peak_demand_mw"), F.max(d).alias("peak_delta_mw"), F.avg(F.try_divide(d, F.col("base")) * 100).alias("mean_delta_pct"),
         F.avg(pr.price("predicted", "capacity_mw") - pr.price("base", "capacity_mw")).alias("mean_price_delta"), F.min(head).alias("min_headroom_pct"))
 
 

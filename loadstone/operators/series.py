@@ -41,22 +41,25 @@ def windowed(
     before: int = 0,
     after: int = 0,
     chunk: int = CHUNK_ROWS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Evaluate fixed-frame window expressions on haloed chunks.
 
     ``exprs`` maps a new column to a function of the window spec; frames may
-    reach ``before`` units of ``order`` back and ``after`` units ahead.
+    reach ``before`` units of ``order`` back and ``after`` units ahead. With
+    ``keep_chunk`` the ``_chunk`` column stays, so ``running`` can go on without
+    another shuffle.
     """
     spread = F.sequence(
         F.floor((F.col(order) - after) / chunk), F.floor((F.col(order) + before) / chunk)
     )
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (
+    out = (
         df.select("*", F.floor(F.col(order) / chunk).alias("_home"), F.explode(spread).alias("_chunk"))
         .select("*", *[fn(w).alias(name) for name, fn in exprs.items()])
         .filter("_chunk = _home")
-        .drop("_home", "_chunk")
     )
+    return out.drop("_home") if keep_chunk else out.drop("_home", "_chunk")
 
 
 def with_position(
@@ -93,8 +96,8 @@ def running(
     newest non-null so far, ``next`` the first non-null from the row onward.
     """
     keys = list(keys)
-    cut = df.select("*", F.floor(F.col(order) / chunk).alias("_chunk"),
-                    *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
+    made = [] if "_chunk" in df.columns else [F.floor(F.col(order) / chunk).alias("_chunk")]
+    cut = df.select("*", *made, *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
     rows = Window.partitionBy(*keys, "_chunk").orderBy(order)
     upto, onward = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(0, Window.unboundedFollowing)
     chunks = Window.partitionBy(*keys).orderBy("_chunk")
@@ -126,7 +129,7 @@ def running(
     return (
         cut.select("*", *inside)
         .join(sums, [*keys, "_chunk"])
-        .select(*df.columns, *result)
+        .select(*[c for c in df.columns if c != "_chunk"], *result)
     )
 
 
@@ -146,5 +149,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], *orders: Column) -> DataFrame:
 def hour_spine(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Every hour between the first and last of each series; absent hours are null."""
     span = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    grid = span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 HOUR"))).alias(ts))
+    # Spans are cut into chunks first, so no row carries a whole series as an array.
+    cuts = span.select(*keys, "_b", F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {CHUNK_ROWS} HOURS"))).alias("_a"))
+    stop = F.least(F.col("_b"), F.col("_a") + hours(CHUNK_ROWS - 1))
+    grid = cuts.select(*keys, F.explode(F.sequence(F.col("_a"), stop, F.expr("INTERVAL 1 HOUR"))).alias(ts))
     return grid.join(df, [*keys, ts], "left")

@@ -103,7 +103,7 @@ def classify(v: DataFrame) -> DataFrame:
     fresh, revised = capture_lag() <= FRESH_LAG_HOURS, F.col("n_updates") > 0
     ev = v.groupBy("region").agg(
         F.count_if(fresh).alias("n_fresh"), F.count_if(~fresh & revised).alias("n_backfilled_revised"),
-        F.round(F.count_if(fresh & revised) / F.count_if(fresh), 4).alias("fresh_revised_fraction"),
+        F.round(F.try_divide(F.count_if(fresh & revised), F.count_if(fresh)), 4).alias("fresh_revised_fraction"),
         F.round(F.avg(F.when(fresh & revised, revision_pct())), 4).alias("mean_fresh_revision_pct"),
     )
     mean, frac = F.coalesce("mean_fresh_revision_pct", F.lit(0.0)), F.coalesce("fresh_revised_fraction", F.lit(0.0))

@@ -51,7 +51,7 @@ def spatial_mean(points: DataFrame, keys: Sequence[str], n_points: int, point: s
 def weighted_spatial_mean(points: DataFrame, keys: Sequence[str], weight: str, means: Sequence[str], circular: Sequence[str] = ()) -> DataFrame:
     """Weighted means over the points that reported."""
     def avg(v: Column) -> Column:
-        return F.sum(v * F.col(weight)) / F.sum(F.when(v.isNotNull(), F.col(weight)))
+        return F.try_divide(F.sum(v * F.col(weight)), F.sum(F.when(v.isNotNull(), F.col(weight))))
 
     def direction(c: str) -> Column:
         rad = F.radians(c)

@@ -304,12 +304,14 @@ HOLD = """hold AS (SELECT * FROM scored QUALIFY count(*) OVER (PARTITION BY regi
 pos AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY ts) - 1 AS pos, CAST(floor((SELECT count(DISTINCT ts) FROM hold x WHERE x.region = hold.region) * 0.5) AS BIGINT) AS split FROM hold),
 sc AS (SELECT region, model, avg(abs((actual - predicted) / actual)) AS full_m, avg(abs((actual - predicted) / actual)) FILTER (pos < split) AS fit_m FROM pos GROUP BY ALL),
 wt AS (SELECT region, model, pow(1 / fit_m, 3) / sum(pow(1 / fit_m, 3)) OVER (PARTITION BY region) AS wf FROM sc),
-ens AS (SELECT region, ts, any_value(actual) AS actual, sum(wf * predicted) AS predicted FROM pos JOIN wt USING (region, model) WHERE pos >= split GROUP BY ALL)"""
+wu AS (SELECT region, model, pow(1 / full_m, 3) / sum(pow(1 / full_m, 3)) OVER (PARTITION BY region) AS wa FROM sc),
+ens AS (SELECT region, ts, any_value(actual) AS actual, bool_or(big) AS big, CASE WHEN bool_or(big) THEN sum(wf * predicted) ELSE sum(wa * predicted) END AS predicted
+  FROM (SELECT *, split >= 24 AND max(pos) OVER (PARTITION BY region) + 1 - split >= 24 AS big FROM pos) JOIN wt USING (region, model) JOIN wu USING (region, model) WHERE NOT big OR pos >= split GROUP BY 1, 2)"""
 
 
 @query("b8_holdout_ensemble_score", "scored", f"""WITH {HOLD}
-SELECT region, 'inverse_mape_cubed' AS weight_rule, 'out_of_sample' AS scored, avg(abs((actual - predicted) / actual)) * 100 AS mape, sqrt(avg(pow(actual - predicted, 2))) AS rmse, avg(abs(actual - predicted)) AS mae,
-  1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(*)) AS r2, count(*) AS n FROM ens GROUP BY region""", d="mape rmse mae r2")
+SELECT region, 'inverse_mape_cubed' AS weight_rule, CASE WHEN big THEN 'out_of_sample' ELSE 'in_sample' END AS scored, avg(abs((actual - predicted) / actual)) * 100 AS mape, sqrt(avg(pow(actual - predicted, 2))) AS rmse, avg(abs(actual - predicted)) AS mae,
+  CASE WHEN var_pop(actual) * count(*) < 1e-10 THEN 0 ELSE 1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(*)) END AS r2, count(*) AS n FROM ens GROUP BY region, big""", d="mape rmse mae r2")
 def holdout_score(spark, sf):
     s = fr.scored(spark, sf)
     whole = s.groupBy("region", "ts").agg(F.count("*").alias("n")).filter("n = 3").select("region", "ts")

@@ -43,7 +43,7 @@ FEATURES = [*AUTOREGRESSIVE, "horizon_h", *EXOG]
 
 def _training(spark, sf):
     """The training table, written once: fitting reads it many times."""
-    return reliable_checkpoint(direct(spark, sf).na.drop(subset=["target"]))
+    return reliable_checkpoint(ln.prepared(direct(spark, sf).na.drop(subset=["target"]), FEATURES))
 
 
 @query("b18_pooled_forecaster")
