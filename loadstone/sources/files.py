@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEMAND = "region STRING, ts TIMESTAMP, demand_mw DOUBLE, forecast_mw DOUBLE"
 METADATA = "region STRING, model STRING, version STRING, trained_at TIMESTAMP, mape DOUBLE, train_rows BIGINT"
@@ -22,7 +23,7 @@ def read_table(spark: SparkSession, path: str, schema: str, regions: Sequence[st
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).parquet(path)
+    df = spark.read.schema(schema).parquet(path).select(*T.StructType.fromDDL(schema).names)
     return df.filter(F.col("region").isin(list(regions))) if regions is not None else df
 
 
