@@ -13,7 +13,7 @@ from loadstone.functions.text import FUELS, fuel_name
 from loadstone.operators.cleaning import implausible
 from loadstone.operators.drift import grade
 from loadstone.operators.quantiles import percentiles
-from loadstone.operators.series import hour_number, keep_one, newest, windowed, with_position
+from loadstone.operators.series import hour_number, keep_one, newest, previous
 
 RENEWABLE = ("wind", "solar", "hydro")
 MIN_TEMPERATURE_HOURS = 24 * 14
@@ -63,8 +63,7 @@ def net_load(demand: DataFrame, gen: DataFrame) -> DataFrame:
 
 def net_load_stats(net: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
     keys = list(keys)
-    pos = with_position(net.withColumn("_h", hour_number("ts")), keys, "_h", "_pos")
-    d = windowed(pos, keys, "_pos", {"ramp": lambda w: F.col("net_mw") - F.lag("net_mw", 1).over(w)}, before=1)
+    d = previous(net.withColumn("_h", hour_number("ts")), keys, "_h", {"_prev": "net_mw"}).withColumn("ramp", F.col("net_mw") - F.col("_prev"))
     evening = F.hour("ts").between(16, 19)
     g = d.groupBy(*keys).agg(
         F.max("ramp").alias("peak_ramp"), F.max(F.when(evening, F.col("ramp"))).alias("evening_ramp"), F.min("net_mw").alias("min_net"), F.max("net_mw").alias("peak_net"),

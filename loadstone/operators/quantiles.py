@@ -20,7 +20,7 @@ def _bucket(v: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, float]], *, only_valid: bool = True
+    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, float]]
 ) -> DataFrame:
     """One row per key with ``name -> percentile(column, q)`` (linear interpolation).
 
@@ -43,8 +43,8 @@ def percentiles(
     )
     rank = quantile[F.col("name")] * (F.col("total") - 1)
     wanted = (
-        hist.select("*", rank.alias("rank"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("r"))
-        .filter("r >= below AND r < below + n").distinct()
+        hist.select("*", rank.alias("rank"), F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("r"))
+        .filter("r >= below AND r < below + n")
     )
     hit = counts.join(wanted, [*group, "b"])
     wb = Window.partitionBy(*group, "b", "r").orderBy("v")
@@ -53,11 +53,13 @@ def percentiles(
         .filter("r < upto AND r >= upto - count")
     )
     frac = F.col("rank") - F.floor("rank")
-    value = at.groupBy(*group).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank")
-    ).select(*group, (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"))
-    picks = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in specs]
-    return value.groupBy(*keys).agg(*picks) if keys else value.agg(*picks)
+
+    def pick(name: str) -> Column:
+        mine = F.col("name") == name
+        low, high = F.min(F.when(mine, F.col("v"))), F.max(F.when(mine, F.col("v")))
+        return (low + (high - low) * F.max(F.when(mine, frac))).alias(name)
+
+    return at.groupBy(*keys).agg(*[pick(n) for n in specs])
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], name: str = "rank") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.functions.text import driver_line, feature_label
-from loadstone.operators.series import windowed, with_position
+from loadstone.operators.series import previous
 
 # Fixed values.
 REFRESH_DAYS = 90
@@ -30,9 +30,8 @@ def stalest_first(regions: DataFrame, built: DataFrame, now: Column, min_age: in
 
 def drop_repeats(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Rows whose value differs from the row before them."""
-    pos = with_position(df, keys, order, "_pos")
-    x = windowed(pos, keys, "_pos", {"_prev": lambda w: F.lag(value, 1).over(w)}, before=1)
-    return x.filter(~F.col(value).eqNullSafe(F.col("_prev"))).drop("_pos", "_prev")
+    x = previous(df, keys, order, {"_prev": value})
+    return x.filter(~F.col(value).eqNullSafe(F.col("_prev"))).drop("_prev")
 
 
 def top_drivers(wide: DataFrame, ids: Sequence[str], features: Sequence[str], top: int = 3) -> DataFrame:

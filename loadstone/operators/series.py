@@ -133,6 +133,19 @@ def running(
     )
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Columns of the row before, on sparse rows: in its chunk, or the last one of
+    the chunk before."""
+    keys = list(keys)
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    row = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    inside = F.lag(row, 1).over(Window.partitionBy(*keys, "_chunk").orderBy(order))
+    last = cut.groupBy(*keys, "_chunk").agg(F.max_by(row, order).alias("_end"))
+    carry = last.select(*keys, "_chunk", F.lag("_end", 1).over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_in"))
+    out = cut.withColumn("_p", inside).join(carry, [*keys, "_chunk"]).withColumn("_p", F.coalesce("_p", "_in"))
+    return out.select(*df.columns, *[F.col(f"_p.{n}").alias(n) for n in cols])
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: str, n: int | Column, rank: str | None = None) -> DataFrame:
     """The newest ``n`` rows of every key (Spark prunes per task before the shuffle)."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))

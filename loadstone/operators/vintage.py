@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.operators.quantiles import percentiles
-from loadstone.operators.series import hour_number, lead_hours, newest, windowed, with_position
+from loadstone.operators.series import hour_number, lead_hours, newest, previous
 
 # Fixed values.
 RETENTION_HOURS = 24 * 30
@@ -46,28 +46,42 @@ def usable_readings(readings: DataFrame) -> DataFrame:
     )
 
 
-def vintages(readings: DataFrame) -> DataFrame:
+COLUMNS = ["first_seen_d", "first_seen_df", "captured_at", "last_d", "n_updates", "df_at"]
+
+
+def vintages(readings: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Fold the readings of each target hour in capture order.
 
     The first value is pinned, the last one moves only by more than half a
     megawatt, the first day-ahead value is filled once and dated by its capture.
+    With ``prior`` vintages the fold goes on from them; hours without a new
+    reading pass through.
     """
     rows = usable_readings(readings).groupBy(*KEYS).agg(
         F.sort_array(F.collect_list(F.struct("captured_at", "d", "df"))).alias("rows"))
+    if prior is None:
+        rows = rows.select("*", F.lit(None).cast(
+            "struct<first_seen_d:double,first_seen_df:double,captured_at:timestamp,last_d:double,n_updates:bigint,df_at:timestamp>").alias("old"))
+    else:
+        rows = rows.join(prior.select(*KEYS, F.struct(*COLUMNS).alias("old")), list(KEYS), "full_outer")
 
     def step(acc, r):
         moved = F.abs(r["d"] - acc["last_d"]) > REVISION_EPSILON_MW
         return F.struct(
             F.when(moved, r["d"]).otherwise(acc["last_d"]).alias("last_d"),
-            (acc["n"] + F.when(moved, 1).otherwise(0)).alias("n"),
+            (acc["n"] + F.when(moved, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n"),
         )
 
-    first = F.col("rows")[0]
-    state = F.aggregate("rows", F.struct(first["d"].alias("last_d"), F.lit(0).alias("n")), step)
-    df = F.try_element_at(F.filter("rows", lambda r: r["df"].isNotNull()), F.lit(1))
+    new = F.coalesce("rows", F.array().cast("array<struct<captured_at:timestamp,d:double,df:double>>"))
+    first, old = F.get(new, F.lit(0)), F.col("old")
+    start = F.struct(F.coalesce(old["last_d"], first["d"]).alias("last_d"), F.coalesce(old["n_updates"], F.lit(0)).cast("long").alias("n"))
+    state = F.aggregate(new, start, step)
+    df = F.get(F.filter(new, lambda r: r["df"].isNotNull()), F.lit(0))
+    held = old["first_seen_df"].isNotNull()
     return rows.select(
-        *KEYS, first["d"].alias("first_seen_d"), df["df"].alias("first_seen_df"), first["captured_at"].alias("captured_at"),
-        state["last_d"].alias("last_d"), state["n"].cast("long").alias("n_updates"), df["captured_at"].alias("df_at"),
+        *KEYS, F.coalesce(old["first_seen_d"], first["d"]).alias("first_seen_d"), F.coalesce(old["first_seen_df"], df["df"]).alias("first_seen_df"),
+        F.coalesce(old["captured_at"], first["captured_at"]).alias("captured_at"), state["last_d"].alias("last_d"), state["n"].alias("n_updates"),
+        F.when(held, old["df_at"]).otherwise(df["captured_at"]).alias("df_at"),
     )
 
 
@@ -121,7 +135,7 @@ def classify(v: DataFrame) -> DataFrame:
 def feed_gaps(v: DataFrame) -> DataFrame:
     """Leading, interior and trailing gaps of the day-ahead feed per region.
 
-    Steps between covered hours come from chunked positions, so no region's whole
+    Steps between covered hours are taken chunk by chunk, so no region's whole
     history is walked in one task.
     """
     has = F.col("first_seen_df").isNotNull()
@@ -143,8 +157,7 @@ def feed_gaps(v: DataFrame) -> DataFrame:
 
 def _steps(cov: DataFrame) -> DataFrame:
     """Hours since the previous covered hour of the region."""
-    pos = with_position(cov, ["region"], "h")
-    return windowed(pos, ["region"], "pos", {"step": lambda w: F.col("h") - F.lag("h", 1).over(w)}, before=1)
+    return previous(cov, ["region"], "h", {"_prev": "h"}).withColumn("step", F.col("h") - F.col("_prev"))
 
 
 def absent_bias(v: DataFrame) -> DataFrame:

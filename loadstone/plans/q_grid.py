@@ -6,7 +6,8 @@ from loadstone.functions import pricing as pr
 from loadstone.functions import text as tx
 from loadstone.operators import grid as gr
 from loadstone.operators import metrics as mt
-from loadstone.operators.series import hour_number, newest
+from loadstone.operators.ranking import drop_repeats, stalest_first
+from loadstone.operators.series import hour_number, newest, previous
 from loadstone.plans import frames as fr
 from loadstone.plans.registry import query
 from loadstone.sources.feeds import severity_of
@@ -84,9 +85,9 @@ def top_counterparties(spark, sf):
 
 @query("a59_net_flow_direction", "interchange", """
 SELECT from_ba, ts, CASE WHEN abs(n) < 50 THEN 'neutral' WHEN n >= 0 THEN 'export' ELSE 'import' END AS direction, CASE WHEN abs(n) < 50 THEN '0' ELSE CASE WHEN n >= 0 THEN '+' ELSE '-' END || format('{:.1f} GW', abs(n) / 1000) END AS text
-FROM (SELECT from_ba, ts, round(sum(interchange_mw) / 100) * 100 + 7 AS n FROM interchange GROUP BY 1, 2)""")
+FROM (SELECT from_ba, ts, floor(round(sum(interchange_mw), 2) / 100) * 100 + 7 AS n FROM interchange GROUP BY 1, 2)""")
 def flow_direction(spark, sf):
-    n = fr.interchange(spark, sf).groupBy("from_ba", "ts").agg((F.round(F.sum("interchange_mw") / 100) * 100 + 7).alias("n"))
+    n = fr.interchange(spark, sf).groupBy("from_ba", "ts").agg((F.floor(F.round(F.sum("interchange_mw"), 2) / 100) * 100.0 + 7).alias("n"))
     return n.select("from_ba", "ts", pr.flow_direction("n").alias("direction"), pr.flow_text("n").alias("text"))
 
 
@@ -344,8 +345,6 @@ def hidden_visible(spark, sf):
 WITH a AS (SELECT region, max(ts) AS built FROM nation_load WHERE region <> 'NATION_3' AND month(ts) < 9 GROUP BY region), r AS (SELECT DISTINCT region FROM nation_load)
 SELECT region, CAST(date_diff('day', built, TIMESTAMP '2001-12-01') AS BIGINT) AS age_days FROM r LEFT JOIN a USING (region) WHERE built IS NULL OR date_diff('day', built, TIMESTAMP '2001-12-01') >= 90 ORDER BY age_days DESC NULLS FIRST, region LIMIT 10""")
 def work_list(spark, sf):
-    from loadstone.operators.ranking import stalest_first
-
     x = fr.nation_load(spark, sf)
     built = x.filter("region <> 'NATION_3' AND month(ts) < 9").groupBy("region").agg(F.max("ts").alias("built_at"))
     return stalest_first(x.select("region").distinct(), built, F.lit("2001-12-01").cast("timestamp"))
@@ -353,10 +352,7 @@ def work_list(spark, sf):
 
 @query("f14_percent_change", "hourly", "SELECT region, ts, (demand_mw - o) / abs(nullif(o, 0)) * 100 AS pct FROM (SELECT *, CASE WHEN hour(ts) = 0 THEN 0 ELSE lag(demand_mw) OVER (PARTITION BY region ORDER BY ts) END AS o FROM hourly)", d="pct")
 def percent_change(spark, sf):
-    from loadstone.operators.series import windowed, with_position
-
-    p = with_position(fr.hourly(spark, sf).withColumn("h", hour_number("ts")), ["region"], "h")
-    x = windowed(p, ["region"], "pos", {"o": lambda w: F.lag("demand_mw", 1).over(w)}, before=1)
+    x = previous(fr.hourly(spark, sf).withColumn("h", hour_number("ts")), ["region"], "h", {"o": "demand_mw"})
     return x.select("region", "ts", tx.pct_change(F.when(F.hour("ts") == 0, 0.0).otherwise(F.col("o")), F.col("demand_mw")).alias("pct"))
 
 
@@ -421,8 +417,6 @@ def snapshot_peak(spark, sf):
 
 @query("t8_consecutive_snapshot_dedup", "hourly", f"WITH {SNAP} SELECT region, day, hash FROM kept")
 def snapshot_dedup(spark, sf):
-    from loadstone.operators.ranking import drop_repeats
-
     s = snapshots(spark, sf).withColumn("hash", tx.predictions_hash(F.col("predictions"))).withColumn("k", F.datediff("day", F.lit("2000-01-01").cast("date")))
     return drop_repeats(s, ["region"], "k", "hash").select("region", "day", "hash")
 

@@ -4,6 +4,7 @@ their batch result."""
 from pyspark.sql import functions as F
 
 from loadstone.functions import text as tx
+from loadstone.operators.series import lead_hours
 from loadstone.plans import frames as fr
 from loadstone.plans.q_drift import NOW, SNAPS, forecasts, now
 from loadstone.plans.q_grid import SNAP, snapshots
@@ -12,6 +13,7 @@ from loadstone.plans.registry import query
 from loadstone.session import scratch_path
 from loadstone.streaming import operators as so
 from loadstone.streaming.sinks import drain, guarded_upsert, staged, stream_table
+from loadstone.streaming.vintage import read_vintages, vintage_stream
 
 
 def streamed(df, name, files=None):
@@ -39,7 +41,14 @@ def activity_runs(spark, sf):
 
 @query("d1_stream_vintage", "vintage", "SELECT * FROM vintage", d="first_seen_d first_seen_df last_d")
 def stream_vintage(spark, sf):
-    return drain(so.vintage_updates(streamed(fr.readings(spark, sf), "readings")), "vintage", ["region", "target_ts"])
+    """Three ticks: readings are appended in capture order, the stream runs after each."""
+    r = fr.readings(spark, sf)
+    path, base, state = (scratch_path(spark, n) for n in ("vintage", "readings", "vintage-state"))
+    lag = lead_hours("captured_at", "target_ts")
+    for low, high in ((0, 2), (2, 4), (4, 99)):
+        r.filter((lag > low) & (lag <= high)).write.mode("append").parquet(base)
+        vintage_stream(stream_table(spark, base, r.schema), path, state).awaitTermination()
+    return read_vintages(spark, path).drop("day", "version")
 
 
 @query("d3_stream_first_snapshots", "scored", f"WITH {SNAPS} SELECT horizon, count(DISTINCT (region, target_ts)) AS kept FROM snaps GROUP BY 1")

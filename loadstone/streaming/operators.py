@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loadstone.operators import metrics as mt
 from loadstone.operators.drift import HORIZONS, PENDING_STALE_HOURS, horizon_snapshots
 from loadstone.operators.ensemble import EWMA_ALPHA
-from loadstone.operators.vintage import RETENTION_HOURS, REVISION_EPSILON_MW
 
 MAX_SNAPSHOTS = 30
 
@@ -69,49 +68,6 @@ def late_counters(snaps: DataFrame, now: Column, late: str = "7 days") -> DataFr
         F.col("window.start").alias("day"), "horizon", "malformed", "expired", "n")
 
 
-VINTAGE = ("region string, target_ts timestamp, first_seen_d double, first_seen_df double, captured_at timestamp, last_d double, n_updates long, df_at timestamp")
-
-
-def _null(x):
-    return None if pd.isna(x) else x
-
-
-def vintage_updates(readings: DataFrame, late: str = "30 days") -> DataFrame:
-    """First-seen and latest value per target hour, as keyed state.
-
-    State of a target hour is removed after the retention window. Readings of one
-    batch are folded in capture order.
-    """
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows[rows["d"] > 0].sort_values("captured_at")
-        if rows.empty:
-            return
-        s = list(state.get) if state.exists else None
-        for cap, d, df in rows[["captured_at", "d", "df"]].itertuples(index=False):
-            has_df = df is not None and np.isfinite(df)
-            if s is None:
-                s = [float(d), float(df) if has_df else None, cap, float(d), 0, cap if has_df else None]
-                continue
-            if abs(d - s[3]) > REVISION_EPSILON_MW:
-                s[3], s[4] = float(d), s[4] + 1
-            if s[1] is None and has_df:
-                s[1], s[5] = float(df), cap
-        s[2] = pd.Timestamp(s[2]).to_pydatetime()
-        s[5] = None if s[5] is None else pd.Timestamp(s[5]).to_pydatetime()
-        state.update(tuple(s))
-        expiry = int(pd.Timestamp(key[1]).timestamp() * 1000) + RETENTION_HOURS * 3_600_000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        yield pd.DataFrame([[key[0], pd.Timestamp(key[1]), *s]], columns=[c.split()[0] for c in VINTAGE.split(", ")])
-
-    state = "first_d double, first_df double, cap timestamp, last_d double, n long, df_at timestamp"
-    return readings.withWatermark("captured_at", late).groupBy("region", "target_ts").applyInPandasWithState(fold, VINTAGE, state, "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def monotone_origins(forecasts: DataFrame) -> DataFrame:
     """Drop a forecast whose origin lies before the newest origin served."""
     def keep(key, batches, state: GroupState):

@@ -10,6 +10,7 @@ from loadstone.operators import vintage as vt
 from loadstone.sources import feeds, files
 from loadstone.streaming import operators as so
 from loadstone.streaming.sinks import drain, guarded_upsert, stream_table
+from loadstone.streaming.vintage import fold_batch, live_window, read_vintages, vintage_stream
 
 
 def test_partitioned_round_trip_prunes_and_missing_table_is_empty(spark, tmp_path):
@@ -87,13 +88,26 @@ def batches(spark, path, *parts, schema):
 def test_vintage_stream_equals_batch_fold(spark, tmp_path):
     parts = [[("A", at(0), at(1), 100.0, None), ("A", at(1), at(1), 50.0, 50.0)], [("A", at(0), at(2), 100.3, 80.0)], [("A", at(0), at(3), 120.0, 85.0), ("A", at(2), at(3), 70.0, None)]]
     stream = batches(spark, str(tmp_path / "in"), *parts, schema=READ)
-    got = drain(so.vintage_updates(stream), "vintage-test", ["region", "target_ts"])
+    out = str(tmp_path / "table")
+    vintage_stream(stream, out, str(tmp_path / "state")).awaitTermination()
+    got = read_vintages(spark, out)
     want = vt.vintages(spark.createDataFrame([r for p in parts for r in p], READ))
     cols = ["region", "target_ts", "first_seen_d", "first_seen_df", "captured_at", "last_d", "n_updates", "df_at"]
     key = lambda df: sorted(str(tuple(r)) for r in df.select(*cols).collect())
     assert key(got) == key(want)
 
 
+def test_replayed_batch_changes_nothing_and_other_days_stay(spark, tmp_path):
+    out = str(tmp_path / "table")
+    rows = [[("A", at(0), at(1), 100.0, None), ("A", at(30), at(31), 5.0, None)], [("A", at(0), at(2), 110.0, 80.0)], [("A", at(0), at(3), 130.0, None)]]
+    run = fold_batch(out)
+    for n, r in ((0, rows[0]), (1, rows[1]), (1, rows[1]), (2, rows[2])):
+        run(spark.createDataFrame(r, READ), n)
+    got = {r["target_ts"]: (r["first_seen_d"], r["last_d"], r["n_updates"], r["first_seen_df"]) for r in read_vintages(spark, out).collect()}
+    assert got == {at(0): (100.0, 130.0, 2, 80.0), at(30): (5.0, 5.0, 0, None)}
+    assert live_window(spark, out, F.lit(at(20 + 720))).count() == 1
+
+
 def test_unmatched_predictions_come_out_expired(spark, tmp_path):
     schema = "region string, target_ts timestamp, predicted double"
     p = batches(spark, str(tmp_path / "p"), [("A", at(0), 10.0), ("A", at(1), 10.0)], [("A", at(1000), 10.0)], [("A", at(1001), 10.0)], schema=schema)
