@@ -47,8 +47,8 @@ def stream_vintage(spark, sf):
     lag = lead_hours("captured_at", "target_ts")
     for low, high in ((0, 2), (2, 4), (4, 99)):
         r.filter((lag > low) & (lag <= high)).write.mode("append").parquet(base)
-        vintage_stream(stream_table(spark, base, r.schema), path, state).awaitTermination()
-    return read_vintages(spark, path).drop("day", "version")
+        vintage_stream(stream_table(spark, base, r.schema), path, state, 60).awaitTermination()
+    return read_vintages(spark, path).drop("period", "version")
 
 
 @query("d3_stream_first_snapshots", "scored", f"WITH {SNAPS} SELECT horizon, count(DISTINCT (region, target_ts)) AS kept FROM snaps GROUP BY 1")

@@ -1,9 +1,9 @@
 """Vintage table kept up to date by a stream of readings.
 
-The state is a table partitioned by target day. A batch folds its readings into
-the days it touches and writes them as a new version of those days only, so the
-work follows the batch and all of it stays in the JVM. A replayed batch overwrites
-its own version.
+The state is a table partitioned by target period (a week unless said otherwise).
+A batch folds its readings into the periods it touches and writes them as a new
+version of those only, so the work follows the batch and all of it stays in the
+JVM. A replayed batch overwrites its own version.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loadstone.operators.vintage import COLUMNS, KEYS, RETENTION_HOURS, vintages
 
 SCHEMA = ("region STRING, target_ts TIMESTAMP, first_seen_d DOUBLE, first_seen_df DOUBLE, captured_at TIMESTAMP, last_d DOUBLE, "
-          "n_updates BIGINT, df_at TIMESTAMP, day DATE, version BIGINT")
+          "n_updates BIGINT, df_at TIMESTAMP, period BIGINT, version BIGINT")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +26,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_vintages(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Newest version of every day (only versions below ``before`` if given).
+    """Newest version of every period (only versions below ``before`` if given).
 
     Which versions are live is read from the partition values alone.
     """
@@ -35,19 +35,24 @@ def read_vintages(spark: SparkSession, path: str, before: int | None = None) ->
     t = spark.read.schema(SCHEMA).parquet(path)
     if before is not None:
         t = t.filter(F.col("version") < before)
-    live = t.groupBy("day").agg(F.max("version").alias("version"))
-    return t.join(live, ["day", "version"])
+    live = t.groupBy("period").agg(F.max("version").alias("version"))
+    return t.join(live, ["period", "version"])
 
 
-def fold_batch(path: str) -> Callable[[DataFrame, int], None]:
+def _period(days: int):
+    return F.floor(F.unix_timestamp("target_ts") / (86400 * days))
+
+
+def fold_batch(path: str, days: int = 7) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that folds a batch into the table."""
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select(F.to_date("target_ts").alias("day")).distinct()
-        prior = read_vintages(spark, path, number).join(touched, "day", "left_semi").select(*KEYS, *COLUMNS)
-        out = vintages(batch, prior).withColumn("day", F.to_date("target_ts")).withColumn("version", F.lit(number).cast("long"))
-        out.repartition("day", F.pmod(F.xxhash64(*KEYS), F.lit(16))).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(path)
+        touched = batch.select(_period(days).alias("period")).distinct()
+        prior = read_vintages(spark, path, number).join(touched, "period", "left_semi").select(*KEYS, *COLUMNS)
+        out = vintages(batch, prior).withColumn("period", _period(days)).withColumn("version", F.lit(number).cast("long"))
+        # Rebalanced by size: a heavy period is split over tasks, light ones share one.
+        out.hint("rebalance", "period").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("period", "version").parquet(path)
 
     return run
 
@@ -57,5 +62,5 @@ def live_window(spark: SparkSession, path: str, now, retention_hours: int = RETE
     return read_vintages(spark, path).filter(F.col("target_ts") >= now - F.make_dt_interval(F.lit(0), F.lit(retention_hours))).select(*KEYS, *COLUMNS)
 
 
-def vintage_stream(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return readings.writeStream.foreachBatch(fold_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def vintage_stream(readings: DataFrame, path: str, checkpoint: str, days: int = 7) -> StreamingQuery:
+    return readings.writeStream.foreachBatch(fold_batch(path, days)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
