@@ -28,39 +28,35 @@ def calendar_columns(ts) -> dict[str, Column]:
     }
 
 
-# Fixed values: (name, month, day) and (name, month, weekday, nth; -1 is last).
-FIXED_HOLIDAYS = [("New Year", 1, 1), ("Juneteenth", 6, 19), ("Independence", 7, 4), ("Veterans", 11, 11), ("Christmas", 12, 25)]
-FLOATING_HOLIDAYS = [("King", 1, "MON", 3), ("Washington", 2, "MON", 3), ("Memorial", 5, "MON", -1),
-                     ("Labor", 9, "MON", 1), ("Columbus", 10, "MON", 2), ("Thanksgiving", 11, "THU", 4)]
+# Month and day; month, weekday (Monday is 0) and the days of the
+# month on which the nth such weekday can fall.
+FIXED_HOLIDAYS = {"New Year": (1, 1), "Juneteenth": (6, 19), "Independence": (7, 4), "Veterans": (11, 11), "Christmas": (12, 25)}
+FLOATING_HOLIDAYS = {
+    "King": (1, 0, 15, 21), "Washington": (2, 0, 15, 21), "Memorial": (5, 0, 25, 31), "Labor": (9, 0, 1, 7), "Columbus": (10, 0, 8, 14), "Thanksgiving": (11, 3, 22, 28),
+}
 JUNETEENTH_SINCE = 2021
 
 
-def holidays(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Distinct holiday dates (with observed days) over the years of ``df``.
+def _fixed(day: Column) -> Column:
+    out = F.lit(False)
+    for name, (m, d) in FIXED_HOLIDAYS.items():
+        on = (F.month(day) == m) & (F.dayofmonth(day) == d)
+        out = out | (on & (F.year(day) >= JUNETEENTH_SINCE) if name == "Juneteenth" else on)
+    return out
 
-    One row per year and holiday: its size is set by the calendar, not the data.
+
+def is_holiday(ts) -> Column:
+    """US federal holiday, or the weekday one on a weekend is observed on.
+
+    A column expression: neither a join nor a pass over the data is needed.
     """
-    years = df.agg(F.min(F.year(ts)).alias("a"), F.max(F.year(ts)).alias("b")).select(
-        F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("y"))
-    days = []
-    for name, m, d in FIXED_HOLIDAYS:
-        day = F.make_date(F.col("y"), F.lit(m), F.lit(d))
-        if name == "Juneteenth":
-            day = F.when(F.col("y") >= JUNETEENTH_SINCE, day)
-        shift = F.when(F.weekday(day) == 5, -1).when(F.weekday(day) == 6, 1).otherwise(0)
-        days += [day, F.date_add(day, shift)]
-    for _, m, wd, n in FLOATING_HOLIDAYS:
-        first = F.make_date(F.col("y"), F.lit(m), F.lit(1))
-        if n > 0:
-            days.append(F.date_add(F.next_day(F.date_sub(first, 1), wd), 7 * (n - 1)))
-        else:
-            days.append(F.next_day(F.date_sub(F.last_day(first), 7), wd))
-    return years.select(F.explode(F.array(*days)).alias("holiday")).filter("holiday IS NOT NULL").distinct()
+    day = F.to_date(ts)
+    w = F.weekday(day)
+    out = _fixed(day) | ((w == 4) & _fixed(F.date_add(day, 1))) | ((w == 0) & _fixed(F.date_sub(day, 1)))
+    for m, wd, low, high in FLOATING_HOLIDAYS.values():
+        out = out | ((F.month(day) == m) & (w == wd) & F.dayofmonth(day).between(low, high))
+    return out
 
 
 def with_holiday_flag(df: DataFrame, ts: str = "ts", name: str = "is_holiday") -> DataFrame:
-    cal = F.broadcast(holidays(df, ts).withColumn("_hit", F.lit(1.0)))
-    return (
-        df.join(cal, F.to_date(ts) == F.col("holiday"), "left")
-        .withColumn(name, F.coalesce("_hit", F.lit(0.0))).drop("holiday", "_hit")
-    )
+    return df.withColumn(name, F.when(is_holiday(ts), 1.0).otherwise(0.0))

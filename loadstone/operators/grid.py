@@ -178,10 +178,10 @@ def national_summary(demand: DataFrame, capacity: DataFrame, ceiling: float = ST
         (F.try_divide(F.sum(F.when(rel, F.col("current_mw"))), F.sum(F.when(rel, F.col("capacity_mw")))) * 100).alias("utilization_pct"),
         F.max(F.when(rel, F.struct(ratio.alias("r"), "region"))).alias("_top"))
     peak = simultaneous_peak(demand.join(ok.select("region"), "region", "left_semi"))
-    gone = state.agg(F.sort_array(F.collect_set(F.when(F.col("artifact"), F.col("region")))).alias("_gone"))
-    return out.join(peak).join(gone).select(
-        "reporting_regions", "total_mw", "simultaneous_peak_mw", "utilization_pct", F.col("_top.region").alias("top_region"),
-        (F.least(F.col("_top.r"), F.lit(1.0)) * 100).alias("top_stress_pct"), F.array_join("_gone", ",").alias("artifact_excluded"))
+    gone = state.agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("artifact"), F.col("region")))), ","))
+    return out.select(
+        "reporting_regions", "total_mw", peak.scalar().alias("simultaneous_peak_mw"), "utilization_pct", F.col("_top.region").alias("top_region"),
+        (F.least(F.col("_top.r"), F.lit(1.0)) * 100).alias("top_stress_pct"), gone.scalar().alias("artifact_excluded"))
 
 
 def group_rollup(demand: DataFrame, capacity: DataFrame) -> DataFrame:

@@ -45,16 +45,17 @@ def evaluate(records: DataFrame, min_days: float = MIN_DAYS) -> DataFrame:
     The control is checked first: if it breaks the bias constraint itself, no
     verdict on the treatment is given. ``per region`` tables hold one row a region.
     """
-    per = arm_stats(records, ["region"])
-    span = records.groupBy("region").agg(((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400).alias("days")).agg(F.percentile("days", F.lit(0.5)).alias("span_days"))
-    pooled = arm_stats(records, [])
-
-    def wide(df, tag):
-        return df.agg(*[F.avg(F.when(F.col("arm") == a, F.col(m))).alias(f"{tag}_{a}_{m}") for a in ARMS for m in ("bias_pct", "mape", "wape")])
-
-    by = per.groupBy("region").pivot("arm", list(ARMS)).agg(F.max("mape"))
-    wins = by.agg(F.count("*").alias("n_regions"), F.count_if(F.col("shadow") < F.col("served")).alias("shadow_wins"))
-    out = wide(per, "macro").join(wide(pooled, "pooled")).join(wins).join(span)
+    metrics = ("bias_pct", "mape", "wape")
+    per, pooled = arm_stats(records, ["region"]), arm_stats(records, [])
+    days = records.groupBy("region").agg(((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400).alias("days"))
+    by = per.groupBy("region").pivot("arm", list(ARMS)).agg(F.max("mape")).join(days, "region").drop("region")
+    tagged = (
+        per.select(F.lit("macro").alias("tag"), "arm", *metrics).unionByName(pooled.select(F.lit("pooled").alias("tag"), "arm", *metrics))
+        .unionByName(by.withColumn("tag", F.lit("region")), allowMissingColumns=True))
+    out = tagged.agg(
+        *[F.avg(F.when((F.col("tag") == t) & (F.col("arm") == a), F.col(m))).alias(f"{t}_{a}_{m}") for t in ("macro", "pooled") for a in ARMS for m in metrics],
+        F.count_if(F.col("tag") == "region").alias("n_regions"), F.count_if(F.col("shadow") < F.col("served")).alias("shadow_wins"),
+        F.percentile("days", F.lit(0.5)).alias("span_days"))
     broken = (F.abs("macro_served_bias_pct") > mt.MAX_ABS_BIAS_PCT) | (F.abs("pooled_served_bias_pct") > mt.MAX_ABS_BIAS_PCT)
     fails = mt.satisficing("macro_shadow_bias_pct", "macro_served_mape", "macro_shadow_mape")
     verdict = F.when(broken, "control_fails_constraint").when(F.col("span_days") < min_days, "too_short").when(F.size(fails) > 0, F.array_join(fails, ",")).otherwise("passes")

@@ -587,8 +587,9 @@ def latest_weather(spark, sf):
 WITH t AS (SELECT date_trunc('hour', ts) AS tick, sum(value) AS elapsed FROM events GROUP BY 1) SELECT tick, elapsed FROM t WHERE elapsed >= 1.5 * (SELECT quantile_cont(elapsed, 0.5) FROM t) AND (SELECT count(*) FROM t) >= 3""", d="elapsed")
 def outlier_ticks(spark, sf):
     t = fr.events(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("tick")).agg(F.sum("value").alias("elapsed"))
-    med = percentiles(t, [], {"med": (F.col("elapsed"), 0.5)}).join(t.agg(F.count("*").alias("n")))
-    return t.join(F.broadcast(med)).filter("n >= 3 AND elapsed >= 1.5 * med").select("tick", "elapsed")
+    med = percentiles(t, [], {"med": (F.col("elapsed"), 0.5)})
+    n = t.agg(F.count("*"))
+    return t.filter((n.scalar() >= 3) & (F.col("elapsed") >= 1.5 * med.scalar()))
 
 
 @query("w23_breach_streak", "hourly", """
