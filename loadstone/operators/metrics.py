@@ -91,10 +91,20 @@ def error_by_hour(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFra
 
 
 def scorecard(df: DataFrame, keys: Sequence[str], a="actual", p="predicted") -> DataFrame:
-    """MAPE, median APE, MAE, WAPE and n per group."""
-    sums = df.groupBy(*keys).agg(
-        F.avg(ape(a, p)).alias("mape"), mae(a, p).alias("mae"), wape(a, p).alias("wape"), F.count("*").alias("n"))
-    return sums.join(percentiles(df, keys, {"median_ape": (ape(a, p), 0.5)}), list(keys), "left")
+    """MAPE, median APE, MAE, WAPE and n per group.
+
+    Rows are first counted per percentage error; the sums and the median are both
+    taken from that one shuffle, so the input is computed once.
+    """
+    a, p = _c(a), _c(p)
+    err = F.abs(a - p)
+    counts = df.select(*keys, ape(a, p).alias("_ape"), err.alias("_err"), F.when(err.isNotNull(), F.abs(a)).alias("_abs")).groupBy(*keys, "_ape").agg(
+        F.sum("_err").alias("_err"), F.sum("_abs").alias("_abs"), F.count("_err").alias("_m"), F.count("*").alias("_n"))
+    weight = F.when(F.col("_ape").isNotNull(), F.col("_n"))
+    sums = counts.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("_ape") * weight), F.sum(weight)).alias("mape"), F.try_divide(F.sum("_err"), F.sum("_m")).alias("mae"),
+        (F.try_divide(F.sum("_err"), F.sum("_abs")) * 100).alias("wape"), F.sum("_n").alias("n"))
+    return sums.join(percentiles(counts, keys, {"median_ape": (F.col("_ape"), 0.5)}, counted="_n"), list(keys), "left")
 
 
 def macro_average(per_region: DataFrame, keys: Sequence[str], metrics: Sequence[str], n: str = "n") -> DataFrame:

@@ -20,20 +20,23 @@ def _bucket(v: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, float]]
+    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, float]], counted: str | None = None
 ) -> DataFrame:
     """One row per key with ``name -> percentile(column, q)`` (linear interpolation).
 
-    Keys whose values are all null are left out; join back with a left join.
+    Keys whose values are all null are left out; join back with a left join. With
+    ``counted`` the rows are already distinct per key and value (of the one
+    column asked for) and that column holds how often each occurs.
     """
     keys = list(keys)
     entries = F.array(*[
         F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, (c, _) in specs.items()
     ])
     quantile = F.create_map(*[x for n, (_, q) in specs.items() for x in (F.lit(n), F.lit(float(q)))])
-    long = df.select(*keys, F.inline(entries)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    extra = [F.col(counted).alias("count")] if counted else []
+    long = df.select(*keys, *extra, F.inline(entries)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     group = [*keys, "name"]
-    counts = long.groupBy(*group, "v").count().withColumn("b", _bucket(F.col("v")))
+    counts = (long if counted else long.groupBy(*group, "v").count()).withColumn("b", _bucket(F.col("v")))
     hist = counts.groupBy(*group, "b").agg(F.sum("count").alias("n"))
     wg = Window.partitionBy(*group)
     hist = hist.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.operators import ensemble as en
@@ -33,29 +33,24 @@ def filtered(records: DataFrame, max_lead: int = 1, keys: Sequence[str] = ("regi
     return drop_low_actuals(records.filter(keep_lead(max_lead)), keys)
 
 
-def arm_stats(records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bias, MAPE, WAPE and n per key and arm, on positive actuals."""
-    long = records.filter("actual > 0").unpivot([*keys, "actual"], list(ARMS), "arm", "predicted").filter("predicted IS NOT NULL")
-    return long.groupBy(*keys, "arm").agg(F.count("*").alias("n"), mt.bias_pct().alias("bias_pct"), F.avg(mt.ape()).alias("mape"), mt.wape().alias("wape"))
-
-
 def evaluate(records: DataFrame, min_days: float = MIN_DAYS) -> DataFrame:
     """One row: macro and pooled statistics of both arms, wins and the verdict.
 
     The control is checked first: if it breaks the bias constraint itself, no
-    verdict on the treatment is given. ``per region`` tables hold one row a region.
+    verdict on the treatment is given. One roll-up gives the regional and pooled rows.
     """
     metrics = ("bias_pct", "mape", "wape")
-    per, pooled = arm_stats(records, ["region"]), arm_stats(records, [])
-    days = records.groupBy("region").agg(((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400).alias("days"))
-    by = per.groupBy("region").pivot("arm", list(ARMS)).agg(F.max("mape")).join(days, "region").drop("region")
-    tagged = (
-        per.select(F.lit("macro").alias("tag"), "arm", *metrics).unionByName(pooled.select(F.lit("pooled").alias("tag"), "arm", *metrics))
-        .unionByName(by.withColumn("tag", F.lit("region")), allowMissingColumns=True))
-    out = tagged.agg(
-        *[F.avg(F.when((F.col("tag") == t) & (F.col("arm") == a), F.col(m))).alias(f"{t}_{a}_{m}") for t in ("macro", "pooled") for a in ARMS for m in metrics],
-        F.count_if(F.col("tag") == "region").alias("n_regions"), F.count_if(F.col("shadow") < F.col("served")).alias("shadow_wins"),
-        F.percentile("days", F.lit(0.5)).alias("span_days"))
+    long = records.filter("actual > 0").unpivot(["region", "ts", "actual"], list(ARMS), "arm", "predicted").filter("predicted IS NOT NULL")
+    days = (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400
+    g = long.rollup("arm", "region").agg(
+        F.grouping_id().alias("level"), mt.bias_pct().alias("bias_pct"), F.avg(mt.ape()).alias("mape"), mt.wape().alias("wape"), days.alias("days"))
+    served = F.max(F.when(F.col("arm") == "served", F.col("mape"))).over(Window.partitionBy("level", "region"))
+    g = g.withColumn("_served", served)
+    region = F.col("level") == 0
+    out = g.agg(
+        *[F.avg(F.when((F.col("level") == n) & (F.col("arm") == a), F.col(m))).alias(f"{t}_{a}_{m}") for n, t in enumerate(("macro", "pooled")) for a in ARMS for m in metrics],
+        F.count_if(region & (F.col("arm") == "served")).alias("n_regions"), F.count_if(region & (F.col("arm") == "shadow") & (F.col("mape") < F.col("_served"))).alias("shadow_wins"),
+        F.percentile(F.when(region & (F.col("arm") == "served"), F.col("days")), F.lit(0.5)).alias("span_days"))
     broken = (F.abs("macro_served_bias_pct") > mt.MAX_ABS_BIAS_PCT) | (F.abs("pooled_served_bias_pct") > mt.MAX_ABS_BIAS_PCT)
     fails = mt.satisficing("macro_shadow_bias_pct", "macro_served_mape", "macro_shadow_mape")
     verdict = F.when(broken, "control_fails_constraint").when(F.col("span_days") < min_days, "too_short").when(F.size(fails) > 0, F.array_join(fails, ",")).otherwise("passes")
