@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +12,32 @@ from pyspark.sql import functions as F
 from loadstone.operators.series import CHUNK_ROWS, with_position
 
 
-def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Convex hull of one chunk's points, ordered by x (monotone chain)."""
-    p = pdf.sort_values("x")
-    xs, ys = p["x"].to_numpy(), p["y"].to_numpy()
+HULL_FANIN = 1024
 
-    def chain(sign):
-        keep: list[int] = []
+
+def _corners(xs: np.ndarray, ys: np.ndarray) -> list[int]:
+    """Positions of the convex hull of points sorted by x (monotone chain)."""
+    keep: set[int] = set()
+    for sign in (1, -1):
+        line: list[int] = []
         for i in range(len(xs)):
-            while len(keep) > 1:
-                a, b = keep[-2], keep[-1]
+            while len(line) > 1:
+                a, b = line[-2], line[-1]
                 turn = (xs[b] - xs[a]) * (ys[i] - ys[a]) - (ys[b] - ys[a]) * (xs[i] - xs[a])
-                if sign * turn < 0:
-                    keep.pop()
-                else:
+                if sign * turn >= 0:
                     break
-            keep.append(i)
-        return keep
+                line.pop()
+            line.append(i)
+        keep.update(line)
+    return sorted(keep)
+
 
-    return p.iloc[sorted({*chain(1), *chain(-1)})]
+def _hulls(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Hull points of every bucket in a chunk of rows."""
+    p = pdf.sort_values("i", ignore_index=True)
+    b, xs, ys = (p[c].to_numpy() for c in ("b", "x", "y"))
+    cuts = [0, *(np.flatnonzero(np.diff(b)) + 1), len(b)]
+    return p.iloc[[lo + k for lo, hi in zip(cuts, cuts[1:]) for k in _corners(xs[lo:hi], ys[lo:hi])]]
 
 
 def lttb(df: DataFrame, keys: Sequence[str], x: str, y: str, threshold: int = 720, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -55,10 +63,10 @@ def lttb(df: DataFrame, keys: Sequence[str], x: str, y: str, threshold: int = 72
     mean = inner.groupBy(*keys, "b").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("c"))
     schema = inner.select(*keys, "b", "i", "x", "y").schema
     rows = inner.select(*keys, "b", "i", "x", "y")
-    # One hull pass per chunk, then one per bucket over the chunk hulls.
-    cut = rows.withColumn("_c", F.floor(F.col("i") / chunk))
-    hull = cut.groupBy(*keys, "b", "_c").applyInPandas(lambda g: _hull(g)[schema.names], schema)
-    hull = hull.groupBy(*keys, "b").applyInPandas(lambda g: _hull(g)[schema.names], schema)
+    # Hulls of chunks, then of chunks of chunk hulls: no group grows with the bucket.
+    hull = rows
+    for span in (chunk, chunk * HULL_FANIN):
+        hull = hull.withColumn("_c", F.floor(F.col("i") / span)).groupBy(*keys, "_c").applyInPandas(lambda g: _hulls(g)[schema.names], schema)
     after = mean.select(*keys, (F.col("b") - 1).alias("b"), "sx", "sy", "c")
     last = ends.filter(F.col("i") == F.col("n") - 1).select(*keys, F.col("x").alias("lx"), F.col("y").alias("ly"))
     first = ends.filter(F.col("i") == 0).select(*keys, F.col("x").alias("fx"), F.col("y").alias("fy"))
@@ -69,14 +77,15 @@ def lttb(df: DataFrame, keys: Sequence[str], x: str, y: str, threshold: int = 72
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         px, py = g["fx"].iloc[0], g["fy"].iloc[0]
-        picked = []
-        for _, h in g.sort_values(["b", "i"]).groupby("b", sort=True):
-            ax, ay = h["ax"].iloc[0], h["ay"].iloc[0]
-            area = ((px - ax) * (h["y"] - py) - (px - h["x"]) * (ay - py)).abs()
-            row = h.loc[area.idxmax()]
-            picked.append(row)
-            px, py = row["x"], row["y"]
-        return pd.DataFrame(picked)[out.names]
+        p = g.sort_values(["b", "i"], ignore_index=True)
+        b, x, y, ax, ay = (p[c].to_numpy() for c in ("b", "x", "y", "ax", "ay"))
+        picked, cuts = [], [0, *(np.flatnonzero(np.diff(b)) + 1), len(b)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            area = np.abs((px - ax[lo]) * (y[lo:hi] - py) - (px - x[lo:hi]) * (ay[lo] - py))
+            at = lo + int(np.argmax(area))
+            picked.append(at)
+            px, py = x[at], y[at]
+        return p.iloc[picked][out.names]
 
     chosen = j.groupBy(*keys).applyInPandas(walk, out)
     return chosen.unionByName(ends.select(*keys, "x", "y")).unionByName(short)
