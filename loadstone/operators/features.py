@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadstone.functions import calendar as cal
 from loadstone.functions import weather as wx
-from loadstone.operators.series import CHUNK_ROWS, hour_number, running, windowed
+from loadstone.operators.series import CHUNK_ROWS, hour_number, rolling_mean, running, windowed
 
 LAGS = (1, 3, 24, 168)
 ROLLS = (24, 72, 168)
@@ -69,7 +69,7 @@ def _weather_scalars() -> dict[str, Column]:
 
 def _weather_windows() -> dict:
     return {
-        "temperature_deviation": lambda w: F.col(TEMPERATURE) - F.avg(TEMPERATURE).over(w.rowsBetween(1 - DEVIATION_ROWS, 0)),
+        "temperature_deviation": lambda w: F.col(TEMPERATURE) - rolling_mean(TEMPERATURE, w, 1 - DEVIATION_ROWS, 0),
         "cdd_accum_24h": lambda w: F.avg("cooling_degree_days").over(w.rowsBetween(-23, 0)),
         "cdd_accum_72h": lambda w: F.avg("cooling_degree_days").over(w.rowsBetween(-71, 0)),
     }

@@ -112,16 +112,18 @@ def summary(v: DataFrame) -> DataFrame:
     )
 
 
-def classify(v: DataFrame) -> DataFrame:
-    """Revision class per region: broken, bulk, churn, clean or unknown."""
+def _class_parts() -> list[Column]:
     fresh, revised = capture_lag() <= FRESH_LAG_HOURS, F.col("n_updates") > 0
-    ev = v.groupBy("region").agg(
+    return [
         F.count_if(fresh).alias("n_fresh"), F.count_if(~fresh & revised).alias("n_backfilled_revised"),
         F.round(F.try_divide(F.count_if(fresh & revised), F.count_if(fresh)), 4).alias("fresh_revised_fraction"),
         F.round(F.avg(F.when(fresh & revised, revision_pct())), 4).alias("mean_fresh_revision_pct"),
-    )
+    ]
+
+
+def _revision_class() -> Column:
     mean, frac = F.coalesce("mean_fresh_revision_pct", F.lit(0.0)), F.coalesce("fresh_revised_fraction", F.lit(0.0))
-    cls = (
+    return (
         F.when(F.col("n_fresh") < MIN_FRESH, "unknown")
         .when(F.col("mean_fresh_revision_pct") >= BROKEN_REVISION_PCT, "broken")
         .when(F.col("n_backfilled_revised") >= BULK_BACKFILLED, "bulk")
@@ -129,7 +131,31 @@ def classify(v: DataFrame) -> DataFrame:
         .when((frac <= CLEAN_FRACTION) & (mean <= CLEAN_REVISION_PCT), "clean")
         .otherwise("unknown")
     )
-    return ev.withColumn("revision_class", cls)
+
+
+def classify(v: DataFrame) -> DataFrame:
+    """Revision class per region: broken, bulk, churn, clean or unknown."""
+    return v.groupBy("region").agg(*_class_parts()).withColumn("revision_class", _revision_class())
+
+
+def _span_parts() -> list[Column]:
+    covered = F.when(F.col("first_seen_df").isNotNull(), F.col("target_ts"))
+    return [F.min("target_ts").alias("_start"), F.max("target_ts").alias("_end"), F.min(covered).alias("_first"), F.max(covered).alias("_last")]
+
+
+def _with_gaps(spans: DataFrame, v: DataFrame) -> DataFrame:
+    """Gap columns beside the span columns of each region."""
+    cov = v.filter("first_seen_df IS NOT NULL").select("region", "target_ts").withColumn("h", hour_number("target_ts"))
+    step = previous(cov, ["region"], "h", {"_prev": "h"}).withColumn("step", F.col("h") - F.col("_prev"))
+    longest = F.max(F.struct(
+        (F.col("step") - 1).cast("double").alias("hours"), (-F.unix_timestamp("target_ts")).alias("earlier"), F.col("target_ts").alias("at")))
+    inner = step.filter("step > 1").groupBy("region").agg(longest.alias("_inner"))
+    lead, trail = lead_hours("_first", "_start"), lead_hours("_end", "_last")
+    best = F.greatest(lead, trail, F.col("_inner.hours"))
+    end = F.when(lead == best, F.col("_first")).when(trail == best, F.col("_end")).otherwise(F.col("_inner.at"))
+    return spans.join(inner, "region", "left").select(
+        *[c for c in spans.columns if c not in ("_start", "_end", "_first", "_last")], trail.alias("stale_hours"),
+        F.col("_last").alias("last_published_at"), best.alias("longest_gap_hours"), F.when(best > 0, end).alias("longest_gap_end"))
 
 
 def feed_gaps(v: DataFrame) -> DataFrame:
@@ -138,51 +164,39 @@ def feed_gaps(v: DataFrame) -> DataFrame:
     Steps between covered hours are taken chunk by chunk, so no region's whole
     history is walked in one task.
     """
-    has = F.col("first_seen_df").isNotNull()
-    span = v.groupBy("region").agg(
-        F.min("target_ts").alias("start"), F.max("target_ts").alias("end"),
-        F.min(F.when(has, F.col("target_ts"))).alias("first_cov"), F.max(F.when(has, F.col("target_ts"))).alias("last_cov"))
-    cov = v.filter(has).select("region", "target_ts").withColumn("h", hour_number("target_ts"))
-    longest = F.max(F.struct(
-        (F.col("step") - 1).cast("double").alias("hours"), (-F.unix_timestamp("target_ts")).alias("earlier"), F.col("target_ts").alias("at")))
-    inner = _steps(cov).filter("step > 1").groupBy("region").agg(longest.alias("inner"))
-    edges = span.join(inner, "region", "left")
-    lead, trail = lead_hours("first_cov", "start"), lead_hours("end", "last_cov")
-    best = F.greatest(lead, trail, F.col("inner.hours"))
-    return edges.select(
-        "region", trail.alias("stale_hours"), F.col("last_cov").alias("last_published_at"), best.alias("longest_gap_hours"),
-        F.when(best > 0, F.when(lead == best, F.col("first_cov")).when(trail == best, F.col("end")).otherwise(F.col("inner.at"))).alias("longest_gap_end"),
-    )
+    return _with_gaps(v.groupBy("region").agg(*_span_parts()), v)
+
+
+def _bias_parts() -> list[Column]:
+    has, real = F.col("first_seen_df").isNotNull(), F.col("last_d") > 0
+    return [F.avg(F.when(has & real, F.col("last_d"))).alias("_covered"), F.avg(F.when(~has & real, F.col("last_d"))).alias("_absent"),
+            F.count_if(~has & real).alias("n_absent")]
 
 
-def _steps(cov: DataFrame) -> DataFrame:
-    """Hours since the previous covered hour of the region."""
-    return previous(cov, ["region"], "h", {"_prev": "h"}).withColumn("step", F.col("h") - F.col("_prev"))
+def _bias() -> Column:
+    return F.when((F.col("n_absent") >= MIN_ABSENT_HOURS) & (F.col("_covered") > 0),
+                  F.round((F.col("_absent") - F.col("_covered")) / F.col("_covered") * 100, 2)).alias("absent_hours_bias_pct")
 
 
 def absent_bias(v: DataFrame) -> DataFrame:
     """Load on hours without a day-ahead value against hours with one, percent."""
-    has, real = F.col("first_seen_df").isNotNull(), F.col("last_d") > 0
-    g = v.groupBy("region").agg(
-        F.avg(F.when(has & real, F.col("last_d"))).alias("covered"), F.avg(F.when(~has & real, F.col("last_d"))).alias("absent"),
-        F.count_if(~has & real).alias("n_absent"))
-    bias = F.when((F.col("n_absent") >= MIN_ABSENT_HOURS) & (F.col("covered") > 0), F.round((F.col("absent") - F.col("covered")) / F.col("covered") * 100, 2))
-    return g.select("region", "n_absent", bias.alias("absent_hours_bias_pct"))
-
-
-def scoreability(v: DataFrame, classes: DataFrame) -> DataFrame:
-    """Can a region be scored, and if not why; with its coverage evidence."""
-    has = F.col("first_seen_df").isNotNull()
-    n = F.count("*")
-    cover = v.groupBy("region").agg(
+    return v.groupBy("region").agg(*_bias_parts()).select("region", "n_absent", _bias())
+
+
+def scoreability(v: DataFrame) -> DataFrame:
+    """Can a region be scored, and if not why; with its coverage evidence.
+
+    Class, coverage, bias and span come from one aggregate over the vintages.
+    """
+    has, n = F.col("first_seen_df").isNotNull(), F.count("*")
+    cover = [
         F.round(F.count_if(has) / n, 4).alias("df_coverage"),
         F.round(F.count_if(has & (df_capture_lag() <= FRESH_LAG_HOURS)) / n, 4).alias("df_asissued_coverage"),
-        F.round(F.count_if(was_placeholder()) / n * 100, 2).alias("placeholder_pct"),
-        n.alias("n_hours"), F.count_if(~has).alias("n_absent_hours"))
-    out = (
-        cover.join(feed_gaps(v), "region").join(absent_bias(v).drop("n_absent"), "region")
-        .join(classes.select("region", "revision_class"), "region", "left")
-    )
+        F.round(F.count_if(was_placeholder()) / n * 100, 2).alias("placeholder_pct"), n.alias("n_hours"), F.count_if(~has).alias("n_absent_hours"),
+    ]
+    spans = v.groupBy("region").agg(*cover, *_class_parts(), *_bias_parts(), *_span_parts())
+    names = ["df_coverage", "df_asissued_coverage", "placeholder_pct", "n_hours", "n_absent_hours"]
+    out = _with_gaps(spans, v).select("region", *names, "stale_hours", "last_published_at", "longest_gap_hours", "longest_gap_end", _bias(), _revision_class().alias("revision_class"))
     gap = F.col("longest_gap_hours")
     reason = F.when(F.col("revision_class").isin(*UNSCOREABLE), "broken-feed").when(gap.isNull() | (gap > MAX_GAP_HOURS), "df-feed-gap")
     return out.withColumn("reason", reason).withColumn("scoreable", reason.isNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadstone.functions import weather as wx
 from loadstone.operators.quantiles import percentiles
-from loadstone.operators.series import hour_number, keep_one, windowed
+from loadstone.operators.series import hour_number, keep_one, rolling_mean, windowed
 
 # Fixed values.
 RECENT_DAYS = 28
@@ -161,7 +161,7 @@ def overlay_forecast(future: DataFrame, feed: DataFrame, history: DataFrame, var
     t = "temperature_2m"
     both = history.select("region", "ts", t, F.lit(False).alias("_future")).unionByName(base.select("region", "ts", t, F.lit(True).alias("_future")))
     dev = windowed(both.withColumn("_h", hour_number("ts")), ["region"], "_h", {
-        "temperature_deviation": lambda w: F.col(t) - F.avg(t).over(w.rowsBetween(-719, 0))}, before=719)
+        "temperature_deviation": lambda w: F.col(t) - rolling_mean(t, w, -719, 0)}, before=719)
     dev = dev.filter("_future").select("region", "ts", "temperature_deviation")
     out = base.drop("temperature_deviation").join(dev, ["region", "ts"])
     angle = F.lit(2 * 3.141592653589793) * F.hour("ts") / 24

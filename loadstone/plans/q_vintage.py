@@ -39,8 +39,7 @@ def feed_gaps(spark, sf):
 
 
 def score(spark, sf):
-    v = fr.vintage(spark, sf)
-    return vt.scoreability(v, vt.classify(v))
+    return vt.scoreability(fr.vintage(spark, sf))
 
 
 @query("a27_scoreability", "score", "SELECT * FROM score",

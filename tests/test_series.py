@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loadstone.operators.ensemble import ewma, latest_before
 from loadstone.operators.features import autoregressive, impute_hours, temporal_snapshot
 from loadstone.operators.quantiles import percentiles, ranked
-from loadstone.operators.series import hour_spine, keep_one, newest, running, windowed, with_position
+from loadstone.operators.series import hour_spine, keep_one, newest, previous, rolling_mean, running, windowed, with_position
 
 
 def noisy(spark, n=400, regions=("A", "B")):
@@ -48,6 +48,22 @@ def test_running_equals_plain_cumulative(spark, chunk):
         close(column(cut, c), column(plain, c))
 
 
+def test_rolling_mean_equals_the_frame_average(spark):
+    df = noisy(spark)
+    got = windowed(df, ["region"], "h", {
+        "a": lambda w: rolling_mean("demand_mw", w, -30, 0), "b": lambda w: F.avg("demand_mw").over(w.rowsBetween(-30, 0)),
+        "c": lambda w: rolling_mean("demand_mw", w, -5, 7), "d": lambda w: F.avg("demand_mw").over(w.rowsBetween(-5, 7))}, before=30, after=7, chunk=50)
+    close(column(got, "a"), column(got, "b"))
+    close(column(got, "c"), column(got, "d"))
+
+
+def test_previous_skips_empty_chunks(spark):
+    df = noisy(spark).filter("demand_mw IS NOT NULL AND (h < 40 OR h > 300)")
+    plain = df.withColumn("p", F.lag("h", 1).over(Window.partitionBy("region").orderBy("h")))
+    for chunk in (6, 4096):
+        assert column(previous(df, ["region"], "h", {"p": "h"}, chunk), "p") == column(plain, "p")
+
+
 def test_positions_count_rows_across_spans(spark):
     df = noisy(spark).filter("demand_mw IS NOT NULL")
     got = with_position(df, ["region"], "h", span=13)
