@@ -82,49 +82,84 @@ def envelope(observed: DataFrame, future: DataFrame, keys: Sequence[str] = ("reg
 
 
 def _bracket(axis: Sequence[float], v: Column) -> Column:
-    """Array of (position value, weight) entries, clamped to the ends, zero weights out."""
+    """Neighbouring axis positions with their weights, clamped to the ends, zero weights out."""
     arr = F.array(*[F.lit(a) for a in axis])
     x = F.least(F.greatest(v, F.lit(axis[0])), F.lit(axis[-1]))
     lo, hi = F.array_max(F.filter(arr, lambda a: a <= x)), F.array_min(F.filter(arr, lambda a: a >= x))
     w = F.when(hi == lo, 0.0).otherwise((x - lo) / (hi - lo))
-    pair = F.array(F.struct(lo.alias("at"), (1 - w).alias("w")), F.struct(hi.alias("at"), w.alias("w")))
+    pair = F.array(*[F.struct((F.array_position(arr, at) - 1).alias("i"), share.alias("w")) for at, share in ((lo, 1 - w), (hi, w))])
     return F.filter(pair, lambda p: p["w"] > 0)
 
 
+def _corners(axes: dict) -> Column:
+    """At most eight (cell number, weight) entries of a request."""
+    t, w, s = (_bracket(axes[a], F.col(c)) for a, c in DELTAS.items())
+    nw, ns = len(axes["wind_mph"]), len(axes["solar_wm2"])
+
+    def cell(a, b, c):
+        return F.struct(((a["i"] * nw + b["i"]) * ns + c["i"]).cast("int").alias("i"), (a["w"] * b["w"] * c["w"]).alias("w"))
+
+    return F.flatten(F.transform(t, lambda a: F.flatten(F.transform(w, lambda b: F.transform(s, lambda c: cell(a, b, c))))))
+
+
+DELTAS = {"temp_f": "temp_delta", "wind_mph": "wind_delta", "solar_wm2": "solar_delta"}
+
+
+def cube(grid: DataFrame, keys: Sequence[str] = ("region",), step: str = "step", axes: dict = AXES) -> DataFrame:
+    """One row per key: the curves of its cells (a fixed number) in cell order.
+
+    Every cell has the same steps, so a curve is a plain array beside ``_steps``.
+    """
+    def at(a):
+        return F.array_position(F.array(*[F.lit(v) for v in axes[a]]), F.col(a)) - 1
+
+    number = (at("temp_f") * len(axes["wind_mph"]) + at("wind_mph")) * len(axes["solar_wm2"]) + at("solar_wm2")
+    cell = grid.groupBy(*keys, number.alias("_i")).agg(F.sort_array(F.collect_list(F.struct(step, "factor"))).alias("_curve"))
+    rows = F.sort_array(F.collect_list(F.struct("_i", F.col(f"_curve.{step}").alias("k"), F.col("_curve.factor").alias("f"))))
+    return cell.groupBy(*keys).agg(rows.alias("_r")).select(*keys, F.col("_r.f").alias("_cube"), F.col("_r")[0]["k"].alias("_steps"))
+
+
+def _at(i: Column) -> Column:
+    """Weighted factor of a request's corners at a step position, null outside.
+
+    The weights of the corners add up to one.
+    """
+    return F.aggregate("_corners", F.lit(0.0), lambda a, c: a + c["w"] * F.get(F.get(F.col("_cube"), c["i"]), i))
+
+
 def interpolate(requests: DataFrame, grid: DataFrame, keys: Sequence[str] = ("region",), step: str = "step", axes: dict = AXES) -> DataFrame:
-    """Trilinear factor of each request: its at most eight corners joined to the grid."""
-    keys = list(keys)
-    x = requests
-    for a, col in (("temp_f", "temp_delta"), ("wind_mph", "wind_delta"), ("solar_wm2", "solar_delta")):
-        x = x.withColumn(f"_{a}", F.explode(_bracket(axes[a], F.col(col))))
-    x = x.select(*requests.columns, *[F.col(f"_{a}.at").alias(a) for a in axes], (F.col("_temp_f.w") * F.col("_wind_mph.w") * F.col("_solar_wm2.w")).alias("_w"))
-    j = x.join(grid.select(*keys, *axes, step, "factor"), [*keys, *axes])
-    return j.groupBy(*requests.columns, step).agg((F.sum(F.col("_w") * F.col("factor")) / F.sum("_w")).alias("factor"))
+    """Trilinear factor of every step of each request.
+
+    The cube of a region is one small row, so requests meet it by one join and are
+    never shuffled for their corners.
+    """
+    x = requests.join(cube(grid, keys, step, axes), list(keys)).withColumn("_corners", _corners(axes))
+    curve = F.transform("_steps", lambda k, i: F.struct(k.alias(step), _at(i).alias("factor")))
+    return x.select(*requests.columns, F.inline(curve))
 
 
-def with_fallback(requests: DataFrame, curves: DataFrame, env: DataFrame, n_hours: int, keys: Sequence[str] = ("region",), step: str = "step", axes: dict = AXES) -> DataFrame:
+def with_fallback(requests: DataFrame, grid: DataFrame, env: DataFrame, n_hours: int, keys: Sequence[str] = ("region",), step: str = "step", axes: dict = AXES) -> DataFrame:
     """Factor of every hour of a request with its source label.
 
     Grid curves are held at their last value past the grid's horizon; requests
     without a grid take the heuristic. A request outside the observed range (at
     its nearest axis value) is labelled as extrapolated.
     """
-    keys, ids = list(keys), requests.columns
-    last = curves.groupBy(*ids).agg(F.max(F.struct(F.col(step).alias("s"), F.col("factor").alias("f"))).alias("_last"))
-    hours = requests.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_hours - 1))).alias(step))
+    keys = list(keys)
+    flags = env.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "axis", F.col("delta").cast("string")), "in_range"))).alias("_env"))
+    x = requests.join(cube(grid, keys, step, axes), keys, "left").join(flags, keys, "left").withColumn("_corners", _corners(axes))
 
     def near(a, col):
-        arr = F.array(*[F.struct(F.abs(F.col(col) - v).alias("d"), F.lit(v).alias("v")) for v in axes[a]])
-        return F.array_min(arr)["v"]
+        return F.array_min(F.array(*[F.struct(F.abs(F.col(col) - v).alias("d"), F.lit(v).alias("v")) for v in axes[a]]))["v"]
 
-    flags = env.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "axis", F.col("delta").cast("string")), "in_range"))).alias("_env"))
-    j = hours.join(curves, [*ids, step], "left").join(last, ids, "left").join(flags, keys, "left")
     inside = F.lit(True)
-    for a, col in (("temp_f", "temp_delta"), ("wind_mph", "wind_delta"), ("solar_wm2", "solar_delta")):
+    for a, col in DELTAS.items():
         inside = inside & F.coalesce(F.col("_env")[F.concat_ws(":", F.lit(a), near(a, col).cast("string"))], F.lit(True))
-    flat = heuristic(F.col("temp_delta"), F.col("wind_delta"), F.col("solar_delta"))
-    return j.select(*ids, step, F.coalesce("factor", "_last.f", flat).alias("factor"),
-                    F.when(F.col("_last").isNull(), "heuristic").when(inside, "grid").otherwise("grid_extrapolated").alias("source"))
+    flat = heuristic(*[F.col(c) for c in DELTAS.values()])
+    has = F.col("_cube").isNotNull()
+    curve = F.transform(F.sequence(F.lit(0), F.lit(n_hours - 1)), lambda k: F.struct(
+        k.alias(step), F.coalesce(_at((F.array_position("_steps", k) - 1).cast("int")), F.col("_held"), flat).alias("factor"), F.when(~has, "heuristic").when(inside, "grid").otherwise("grid_extrapolated").alias("source")))
+    return x.withColumn("_held", _at(F.size("_steps") - 1)).select(*requests.columns, F.inline(curve))
 
 
 def respond(frame: DataFrame, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -181,7 +181,7 @@ def future(spark, sf):
     """One day of weather per region with the hour's step and a deviation column."""
     at = F.lit(START).cast("timestamp")
     w = fr.weather(spark, sf).filter((F.col("ts") >= at) & (F.col("ts") < at + hours(24)))
-    return w.select("region", "ts", (hour_number("ts") % 24).alias("step"), "temperature_2m", "wind_speed_80m", "shortwave_radiation", (F.col("temperature_2m") - 60).alias("temperature_deviation"))
+    return w.select("region", "ts", (hour_number("ts") % 24).cast("int").alias("step"), "temperature_2m", "wind_speed_80m", "shortwave_radiation", (F.col("temperature_2m") - 60).alias("temperature_deviation"))
 
 
 def _ax(vals, name):
@@ -285,7 +285,7 @@ SELECT rq.*, h.step, coalesce(ip.factor, lf, 1 + temp_delta / 5 * 0.025 + solar_
 FROM rq, (SELECT unnest(generate_series(0, 29)) AS step) h LEFT JOIN (SELECT request, step, factor FROM ip) ip ON ip.request = rq.request AND ip.step = h.step LEFT JOIN lst ON lst.request = rq.request LEFT JOIN fl ON fl.request = rq.request""", d="factor")
 def with_fallback(spark, sf):
     r = requests(spark, sf)
-    return sc.with_fallback(r, sc.interpolate(r, grid(spark, sf)), env(spark, sf), 30)
+    return sc.with_fallback(r, grid(spark, sf), env(spark, sf), 30)
 
 
 @query("f22_heuristic_sensitivity", "", f"WITH {REQ.split(',' + chr(10) + 'cl AS')[0]} SELECT request, 1 + temp_delta / 5 * 0.025::DOUBLE + solar_delta * 0.00015::DOUBLE + wind_delta * 0.0005::DOUBLE AS factor FROM rq", d="factor")
