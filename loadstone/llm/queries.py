@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadstone.llm import chat, fm_index, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity
+from loadstone.llm import chat, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity
 from loadstone.llm.common import table
 from loadstone.session import scratch_path
 
@@ -31,6 +31,11 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op2_sentencepiece_lattice")
+def sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.digests(table(spark, sf_dir, "documents"), lattice.default_model())
+
+
 @query("op3_fm_index_dedup")
 def fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fm_index.remove_repeats(table(spark, sf_dir, "documents"))
@@ -96,6 +101,11 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op9_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
 @query("op10_toxicity")
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
