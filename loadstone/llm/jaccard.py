@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams
@@ -218,7 +218,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, node (fingerprint of the set), component_id (least id reachable)."""
+    """One row per row of ``docs``: id, n_shingles, node and key (fingerprints of set and text), component_id (least id reachable)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     least = joined.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     out = joined.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", component.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", "key", component.alias("component_id"))
 
 
 def _own(shingle: int):
@@ -282,3 +282,15 @@ def _between(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     a, b = F.least("node", "l_node"), F.greatest("node", "l_node")
     counted = met.groupBy(a.alias("hub"), b.alias("node")).agg(F.count("*").alias("c"), F.max(F.greatest("n", "l_n")).alias("big"), F.min(F.least("n", "l_n")).alias("small"))
     return counted.filter(F.col("c") >= _least_shared(F.col("big"), F.col("small"), percent)).select("hub", "node")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near duplicates: of every component the row of its least id, of repeated rows one."""
+    row = F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))
+    found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
+    stays = found.filter(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
+    first = stays.groupBy("node", id_col).agg(F.min("key").alias("key")).select(F.col(id_col).alias("_id"), F.col("key").alias("_key"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row.alias("_k"))
+    chosen = stored(first.select(F.xxhash64("_id", "_key").alias("_k")).distinct(), "kept-rows")
+    once = marked.join(chosen, "_k", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).filter("_n = 1")
+    return once.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

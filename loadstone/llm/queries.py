@@ -103,7 +103,7 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "key")
 
 
 @query("op10_toxicity")

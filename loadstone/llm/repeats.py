@@ -34,8 +34,10 @@ def repeated_runs(docs: DataFrame, cut: Callable, extract: Callable, index: Call
     all three are mapInArrow functions.
     """
     cells = docs.mapInArrow(cut, CELL)
-    seen = cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1")
-    shared = stored(cells.join(seen.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "shared-cells")
+    counted = cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1")
+    # Written first: a join straight from its shuffle can be split where an anchor is hot, one from an aggregate cannot.
+    seen = stored(counted.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "shared-anchors")
+    shared = stored(cells.join(seen, "anchor"), "shared-cells")
     same = shared.filter("not mixed").select("rid", "first", "last")
     mixed = shared.filter("mixed").drop("mixed")
     contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "last")).alias("one")), "cell-contents")

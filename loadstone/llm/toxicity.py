@@ -243,4 +243,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     texts = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"))
     fields = "".join(f"_c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
     out = texts.mapInArrow(rows(batch), f"{fields}score double, predicted int, passages array<struct<first:long,last:long,score:double,expected:double>>")
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "score", "predicted", "passages")
+    made = ("score", "predicted", "passages")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c not in made], *made)
+
+
+def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
+    whole = docs.select(F.col(f"`{text_col}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    scored = score(whole, model, text_col="_text", carry=["_row"])
+    return scored.filter("predicted = 0").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
