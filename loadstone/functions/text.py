@@ -20,7 +20,13 @@ def fuel_name(code: str) -> Column:
 
 def feature_label(name: Column, labels: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    return F.coalesce(known[name], F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
+    return F.coalesce(known[name], _title(F.replace(name, F.lit("_"), F.lit(" "))))
+
+
+def _title(text: Column) -> Column:
+    """Letters after anything but a letter in upper case, the others in lower case."""
+    chars = F.split(text, "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(F.coalesce(F.get(chars, i - 1).rlike("\\p{L}"), F.lit(False)), F.lower(c)).otherwise(F.upper(c))), "")
 
 
 def thousands(v: Column, unit: str = "MW") -> Column:
@@ -59,9 +65,12 @@ def row_signature(*cols: str) -> Column:
 
 
 def frame_signature(*cols: str) -> Column:
-    """Order-free aggregate digest: xor and sum of row hashes."""
-    h = F.xxhash64(*cols)
-    return F.concat_ws("-", F.hex(F.bit_xor(h)), F.hex(F.sum(F.shiftrightunsigned(h, 24))), F.count("*").cast("string"))
+    """Order-free aggregate digest: xor and sum of 40-bit row hashes, and the count.
+
+    Columns are joined as text, so numbers should be whole or already formatted.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in cols])), 1, 10), 16, 10).cast("long")
+    return F.concat_ws("-", F.bit_xor(h).cast("string"), F.sum(h).cast("string"), F.count("*").cast("string"))
 
 
 def predictions_hash(predictions: Column) -> Column:

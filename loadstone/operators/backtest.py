@@ -177,10 +177,11 @@ def bottom_up(components: DataFrame, direct: DataFrame, keys: Sequence[str] = ("
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: str, draws: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of the mean from Poisson resamples.
 
-    Each row draws its own count per resample from a hash of its id, so nothing
-    is collected or re-ordered; a draw is one partial sum.
+    Each row draws its own count per resample from a hash of its id and the draw,
+    so nothing is collected or re-ordered; a draw is one partial sum.
     """
-    u = (F.pmod(F.xxhash64(F.col(row_id), F.col("_b")), F.lit(1_000_003)) + 0.5) / 1_000_003
+    seed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id), F.col("_b"))), 1, 8), 16, 10).cast("long")
+    u = (F.pmod(seed, F.lit(1_000_003)) + 0.5) / 1_000_003
     # Poisson(1) distribution function, fixed values.
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     k = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))

@@ -103,12 +103,12 @@ def stale_impact(v: DataFrame, predictions: DataFrame, min_hours: int = vt.MIN_P
         F.col("ours_shift").alias("ours_mape_shift_pts"), F.col("official_shift").alias("official_mape_shift_pts"))
 
 
-def fleet_rollup(payload: DataFrame, isolate: Sequence[str] = ()) -> DataFrame:
-    """Counts, wins, medians and spreads over the scoreable regions, one row a region."""
+def fleet_rollup(payload: DataFrame, isolate: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Counts, wins, medians and spreads over the scoreable regions, one row a region and key."""
     apart = F.col("region").isin(list(isolate)) if isolate else F.lit(False)
     inside = F.col("scoreable") & ~apart
     win = F.col("winner") == "ours"
-    base = payload.agg(
+    base = payload.groupBy(*keys).agg(
         F.count_if("scoreable").alias("n_scoreable"), F.count_if(~F.col("scoreable")).alias("n_excluded"), F.count_if(inside).alias("n"),
         F.count_if(inside & win).alias("wins"), F.count_if(inside & ~win).alias("losses"),
         *[e for a in ("ours", "official") for e in (
@@ -129,12 +129,12 @@ def scoreability_alerts(score: DataFrame, floor: int = MIN_SCOREABLE, warn: floa
     return fleet.unionByName(risk)
 
 
-def metric_robustness(payload: DataFrame) -> DataFrame:
+def metric_robustness(payload: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Does the fleet winner change when scored on another statistic?"""
     names = ["mape", "median_ape", "wape"]
     rows = payload.filter("scoreable")
     arms = ("ours", "official")
-    med = rows.agg(
+    med = rows.groupBy(*keys).agg(
         *[F.percentile(f"{a}_{m}", F.lit(0.5)).alias(f"{a}_{m}") for a in arms for m in names],
         *[F.try_divide(F.max(f"{a}_mape"), F.min(f"{a}_mape")).alias(f"{a}_spread") for a in arms])
     lead = F.col("ours_mape") < F.col("official_mape")
@@ -142,7 +142,7 @@ def metric_robustness(payload: DataFrame) -> DataFrame:
         F.lit(m).alias("metric"), F.col(f"ours_{m}").alias("ours"), F.col(f"official_{m}").alias("official"),
         F.when(F.col(f"ours_{m}") == F.col(f"official_{m}"), "tie")
         .when((F.col(f"ours_{m}") < F.col(f"official_{m}")) == lead, "same").otherwise("flips").alias("verdict")) for m in names])
-    return med.select("ours_spread", "official_spread", F.inline(verdicts))
+    return med.select(*keys, "ours_spread", "official_spread", F.inline(verdicts))
 
 
 def drop_audit(v: DataFrame, trailing: int = 48, min_hours: int = vt.MIN_PAIRED_HOURS) -> DataFrame:

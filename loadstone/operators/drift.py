@@ -15,7 +15,6 @@ from loadstone.operators.series import newest, running, windowed
 # Fixed values.
 WINDOW_7D = 24 * 7
 WINDOW_30D = 24 * 30
-MAX_RECORDS = 720
 HEADLINE_LEAD = 1
 HORIZONS = (24, 48, 72)
 PENDING_STALE_HOURS = 72 + 48
@@ -97,14 +96,14 @@ def regrade_stats(regraded: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rolling_block(records: DataFrame, now: Column, keys: Sequence[str] = ("region", "model"), max_lead: int | None = HEADLINE_LEAD,
-                  max_records: int = MAX_RECORDS, fraction: float = LOW_ACTUAL_FRACTION) -> DataFrame:
+                  max_records: int | None = None, fraction: float = LOW_ACTUAL_FRACTION) -> DataFrame:
     """7- and 30-day error with lead and low-actual filters, and their counts.
 
-    Records are trimmed to the newest first; the low-actual median of a window is
+    With ``max_records`` only the newest records of a key are held; the low-actual median of a window is
     taken over its lead-filtered rows.
     """
     keys = list(keys)
-    kept = newest(records, keys, "ts", max_records)
+    kept = records if max_records is None else newest(records, keys, "ts", max_records)
     n = kept.groupBy(*keys).agg(F.count("*").alias("n_records"))
     spans = F.array(*[F.struct(F.lit(name).alias("span"), F.lit(h).alias("hours")) for name, h in (("7d", WINDOW_7D), ("30d", WINDOW_30D))])
     x = kept.select("*", F.inline(spans)).filter(F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.col("hours")))

@@ -125,8 +125,9 @@ def latest_before(origins: DataFrame, history: DataFrame, keys: Sequence[str], a
     keys = list(keys)
     vals = [c for c in history.columns if c not in (*keys, known)]
     left = origins.withColumn("_t", F.unix_micros(at) * 2).withColumn("_row", F.lit(None).cast(history.select(F.struct(known, *vals).alias("r")).schema["r"].dataType))
-    right = history.groupBy(*keys, known).agg(*[F.max(v).alias(v) for v in vals]).select(
-        *keys, (F.unix_micros(known) * 2 + 1).alias("_t"), F.struct(known, *vals).alias("_row"))
+    # Rows that tie on the time are settled whole: the greatest by its columns in order.
+    right = history.groupBy(*keys, known).agg(F.max(F.struct(*vals)).alias("_v")).select(
+        *keys, (F.unix_micros(known) * 2 + 1).alias("_t"), F.struct(known, *[F.col(f"_v.{v}").alias(v) for v in vals]).alias("_row"))
     both = left.unionByName(right, allowMissingColumns=True)
     span = 30 * 86400 * 1_000_000 * 2
     got = running(both, keys, "_t", {"_last": ("last", F.col("_row"))}, chunk=span)

@@ -72,7 +72,7 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str],
     so a large group is not sorted in one task.
     """
     keys = list(keys)
-    x = df.filter(F.col(value).isNotNull()).withColumn("_b", _bucket(F.col(value).cast("double")))
+    x = df.filter(F.col(value).isNotNull()).withColumn("_b", _bucket(F.col(value).cast("double"))).repartition(*keys, "_b")
     sizes = x.groupBy(*keys, "_b").count()
     w = Window.partitionBy(*keys)
     below = sizes.select(*keys, "_b", (F.sum("count").over(w.orderBy("_b")) - F.col("count")).alias("_off"), F.sum("count").over(w).alias("_total"))

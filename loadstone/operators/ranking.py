@@ -14,10 +14,65 @@ from loadstone.operators.series import previous
 REFRESH_DAYS = 90
 MAX_REBUILD = 10
 LABELS = {
-    "temperature_2m": "Temperature", "wind_speed_80m": "Wind Speed", "shortwave_radiation": "Solar Radiation", "cloud_cover": "Cloud Cover",
-    "cooling_degree_days": "Cooling Demand", "heating_degree_days": "Heating Demand", "temperature_deviation": "Temp Anomaly", "wind_power_estimate": "Wind Power",
-    "solar_capacity_factor": "Solar Factor", "is_holiday": "Holiday", "temp_x_hour": "Temp x Hour", "demand_lag_1h": "Demand (1h ago)", "demand_lag_24h": "Demand (24h ago)",
-    "demand_lag_168h": "Demand (7d ago)", "ramp_rate": "Ramp Rate", "demand_roll_24h_mean": "Avg Demand (24h)",
+    "temperature_2m": "Temperature",
+    "apparent_temperature": "Feels-Like Temp",
+    "relative_humidity_2m": "Humidity",
+    "dew_point_2m": "Dew Point",
+    "wind_speed_10m": "Wind (10m)",
+    "wind_speed_80m": "Wind Speed",
+    "wind_speed_120m": "Wind (120m)",
+    "wind_direction_10m": "Wind Direction",
+    "shortwave_radiation": "Solar Radiation",
+    "direct_normal_irradiance": "Direct Irradiance",
+    "diffuse_radiation": "Diffuse Radiation",
+    "cloud_cover": "Cloud Cover",
+    "precipitation": "Precipitation",
+    "snowfall": "Snowfall",
+    "surface_pressure": "Pressure",
+    "soil_temperature_0cm": "Soil Temp",
+    "weather_code": "Weather Code",
+    "cooling_degree_days": "Cooling Demand",
+    "cdd_accum_24h": "Heat Build-Up (24h)",
+    "cdd_accum_72h": "Heat Build-Up (3-Day)",
+    "cdd_squared": "Cooling Demand (Non-Linear)",
+    "heat_index": "Heat Index (Feels-Like)",
+    "cdd_x_humidity": "Humid-Heat Cooling Load",
+    "heating_degree_days": "Heating Demand",
+    "temperature_deviation": "Temp Anomaly",
+    "wind_power_estimate": "Wind Power",
+    "solar_capacity_factor": "Solar Factor",
+    "hour_sin": "Time of Day (sin)",
+    "hour_cos": "Time of Day (cos)",
+    "dow_sin": "Day of Week (sin)",
+    "dow_cos": "Day of Week (cos)",
+    "is_holiday": "Holiday",
+    "temp_x_hour": "Temp x Hour",
+    "demand_lag_1h": "Demand (1h ago)",
+    "demand_lag_3h": "Demand (3h ago)",
+    "demand_lag_24h": "Demand (24h ago)",
+    "demand_lag_168h": "Demand (7d ago)",
+    "ramp_rate": "Ramp Rate",
+    "demand_momentum_short": "Short Momentum",
+    "demand_momentum_long": "Long Momentum",
+    "demand_ratio_24h": "24h Demand Ratio",
+    "demand_ratio_168h": "7d Demand Ratio",
+    "demand_roll_24h_mean": "Avg Demand (24h)",
+    "demand_roll_24h_std": "Demand Volatility (24h)",
+    "demand_roll_24h_min": "Min Demand (24h)",
+    "demand_roll_24h_max": "Max Demand (24h)",
+    "demand_roll_72h_mean": "Avg Demand (3d)",
+    "demand_roll_72h_std": "Demand Volatility (3d)",
+    "demand_roll_72h_min": "Min Demand (3d)",
+    "demand_roll_72h_max": "Max Demand (3d)",
+    "demand_roll_168h_mean": "Avg Demand (7d)",
+    "demand_roll_168h_std": "Demand Volatility (7d)",
+    "demand_roll_168h_min": "Min Demand (7d)",
+    "demand_roll_168h_max": "Max Demand (7d)",
+    "hour": "Hour of Day",
+    "day_of_week": "Day of Week",
+    "month": "Month",
+    "day_of_year": "Day of Year",
+    "is_weekend": "Weekend",
 }
 
 

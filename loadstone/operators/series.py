@@ -4,7 +4,9 @@ A window partitioned only by series key puts one whole series in one task. The
 helpers below cut a series into chunks of an integer order column (hour number
 or row position) and either copy a halo of neighbouring rows (fixed frames) or
 combine one summary row per chunk (cumulative frames), so a hot series is spread
-over many tasks and the result stays exact.
+over many tasks and the result stays exact. Rows are dealt out by key *and* chunk
+explicitly: a window by both is also satisfied by an earlier dealing by key alone,
+which would leave all chunks of a series in one task.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ def windowed(
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
     out = (
         df.select("*", F.floor(F.col(order) / chunk).alias("_home"), F.explode(spread).alias("_chunk"))
+        .repartition(*keys, "_chunk")
         .select("*", *[fn(w).alias(name) for name, fn in exprs.items()])
         .filter("_chunk = _home")
     )
@@ -79,7 +82,7 @@ def with_position(
 ) -> DataFrame:
     """0-based row position per key: in-chunk row number plus the rows before."""
     keys = list(keys)
-    cut = df.withColumn("_part", F.floor(F.col(order) / span))
+    cut = df.withColumn("_part", F.floor(F.col(order) / span)).repartition(*keys, "_part")
     w = Window.partitionBy(*keys, "_part").orderBy(order)
     local = cut.withColumn("_rn", F.row_number().over(w))
     sizes = cut.groupBy(*keys, "_part").count()
@@ -110,6 +113,8 @@ def running(
     keys = list(keys)
     made = [] if "_chunk" in df.columns else [F.floor(F.col(order) / chunk).alias("_chunk")]
     cut = df.select("*", *made, *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
+    if made:
+        cut = cut.repartition(*keys, "_chunk")
     rows = Window.partitionBy(*keys, "_chunk").orderBy(order)
     upto, onward = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(0, Window.unboundedFollowing)
     chunks = Window.partitionBy(*keys).orderBy("_chunk")
@@ -149,7 +154,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str
     """Columns of the row before, on sparse rows: in its chunk, or the last one of
     the chunk before."""
     keys = list(keys)
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).repartition(*keys, "_chunk")
     row = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
     inside = F.lag(row, 1).over(Window.partitionBy(*keys, "_chunk").orderBy(order))
     last = cut.groupBy(*keys, "_chunk").agg(F.max_by(row, order).alias("_end"))
@@ -174,8 +179,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], *orders: Column) -> DataFrame:
 def hour_spine(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Every hour between the first and last of each series; absent hours are null."""
     span = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    # Spans are cut into chunks first, so no row carries a whole series as an array.
-    cuts = span.select(*keys, "_b", F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {CHUNK_ROWS} HOURS"))).alias("_a"))
+    # Spans are cut into chunks first, so no row carries a whole series as an array and the chunks are made in many tasks.
+    cuts = span.select(*keys, "_b", F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {CHUNK_ROWS} HOURS"))).alias("_a")).repartition(*keys, "_a")
     stop = F.least(F.col("_b"), F.col("_a") + hours(CHUNK_ROWS - 1))
     grid = cuts.select(*keys, F.explode(F.sequence(F.col("_a"), stop, F.expr("INTERVAL 1 HOUR"))).alias(ts))
     return grid.join(df, [*keys, ts], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.operators.quantiles import percentiles
@@ -29,27 +29,33 @@ UNSCOREABLE = ("broken",)
 KEYS = ("region", "target_ts")
 
 
-def usable_readings(readings: DataFrame) -> DataFrame:
-    """One reading per target hour and capture hour, positive, inside the retention.
+def usable_readings(readings: DataFrame, retention_hours: int | None = RETENTION_HOURS) -> DataFrame:
+    """The positive readings that can change a vintage, one per target hour and capture.
 
-    That bounds what any target hour can hold: at most one reading for every hour
-    of the retention window, however often the feed was polled.
+    A reading that repeats the value before it and brings no first day-ahead value
+    changes nothing and is left out, so an hour keeps as many readings as it has
+    changes, however often the feed was polled. Captures later than
+    ``retention_hours`` after the hour are left out too (none if it is null).
     """
-    real = F.col("d") > 0
-    kept = F.col("captured_at") <= F.col("target_ts") + F.make_dt_interval(F.lit(0), F.lit(RETENTION_HOURS))
-    newest_of_hour = F.max(F.struct("captured_at", "d", "df")).alias("r")
-    return (
-        readings.filter(real & kept)
+    kept = F.col("d") > 0
+    if retention_hours is not None:
+        kept &= F.col("captured_at") <= F.col("target_ts") + F.make_dt_interval(F.lit(0), F.lit(retention_hours))
+    one = (
+        readings.filter(kept)
         .withColumn("df", F.when(~F.isnan("df") & (F.abs("df") < float("inf")), F.col("df")))
-        .groupBy(*KEYS, F.date_trunc("hour", "captured_at").alias("_hour")).agg(newest_of_hour)
-        .select(*KEYS, "r.captured_at", "r.d", "r.df")
+        .groupBy(*KEYS, "captured_at").agg(F.max(F.struct("d", "df")).alias("r"))
+        .select(*KEYS, "captured_at", "r.d", "r.df")
     )
+    in_order = Window.partitionBy(*KEYS).orderBy("captured_at")
+    published = F.count("df").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) > 0
+    same = F.coalesce(F.col("d") == F.lag("d").over(in_order), F.lit(False))
+    return one.withColumn("_idle", same & (F.col("df").isNull() | published)).filter("NOT _idle").drop("_idle")
 
 
 COLUMNS = ["first_seen_d", "first_seen_df", "captured_at", "last_d", "n_updates", "df_at"]
 
 
-def vintages(readings: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def vintages(readings: DataFrame, prior: DataFrame | None = None, retention_hours: int | None = RETENTION_HOURS) -> DataFrame:
     """Fold the readings of each target hour in capture order.
 
     The first value is pinned, the last one moves only by more than half a
@@ -57,7 +63,7 @@ def vintages(readings: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     With ``prior`` vintages the fold goes on from them; hours without a new
     reading pass through.
     """
-    rows = usable_readings(readings).groupBy(*KEYS).agg(
+    rows = usable_readings(readings, retention_hours).groupBy(*KEYS).agg(
         F.sort_array(F.collect_list(F.struct("captured_at", "d", "df"))).alias("rows"))
     if prior is None:
         rows = rows.select("*", F.lit(None).cast(

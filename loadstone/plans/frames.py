@@ -212,7 +212,7 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     sev = F.element_at(F.array(*[F.lit(s) for s in ("Extreme", "Severe", "Moderate", "Minor", "Unknown")]),
                        (F.col("event_id") % 5 + 1).cast("int"))
     return events(spark, sf).select(
-        (F.col("event_id") % 3000).alias("id"), F.col("event_id").alias("arrival"),
+        F.expr("event_id div 2").alias("id"), F.col("event_id").alias("arrival"),
         F.col("event_type").alias("event"), sev.alias("noaa_severity"),
         F.col("ts").alias("onset"),
         F.when(F.col("event_id") % 6 != 0,

@@ -116,8 +116,8 @@ def regrade_stats(spark, sf):
 
 
 def _spans(lead):
-    return f"""w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region, model ORDER BY ts DESC) AS rn FROM scored) , (VALUES ('7d', 168), ('30d', 720)) s(span, hrs)
-  WHERE rn <= 720 AND ts >= TIMESTAMP '{NOW}' - to_hours(hrs)),
+    return f"""w AS (SELECT * FROM scored, (VALUES ('7d', 168), ('30d', 720)) s(span, hrs)
+  WHERE ts >= TIMESTAMP '{NOW}' - to_hours(hrs)),
 med AS (SELECT region, model, span, quantile_cont(actual, 0.5) AS m FROM w WHERE lead_hours IS NULL OR lead_hours <= {lead} GROUP BY ALL),
 f AS (SELECT w.*, (lead_hours IS NULL OR lead_hours <= {lead}) AS lk, (lead_hours IS NULL OR lead_hours <= {lead}) AND actual >= 0.1 * m AS ok FROM w LEFT JOIN med USING (region, model, span)),
 blk AS (SELECT region, model, span, avg(abs(actual - predicted) / actual * 100) FILTER (ok) AS mape, avg(200 * abs(actual - predicted) / (actual + predicted)) FILTER (ok) AS smape, count(*) FILTER (ok) AS n,
@@ -130,7 +130,7 @@ BLOCK_D = "rolling_smape_7d rolling_smape_30d rolling_mape_7d rolling_mape_30d"
 @query("w14_rolling_drift", "scored", f"""WITH {_spans(6)}
 SELECT a.region, a.model, r.n_records, a.smape AS rolling_smape_7d, b.smape AS rolling_smape_30d, a.mape AS rolling_mape_7d, b.mape AS rolling_mape_30d, a.n AS n_7d, b.n AS n_30d,
   a.low AS n_low_actual_excluded_7d, a.far AS n_lead_excluded_7d, a.unk AS n_lead_unknown_7d, a.ph AS n_anchor_placeholder_7d, a.phu AS n_anchor_unknown_7d
-FROM blk a JOIN blk b USING (region, model) JOIN (SELECT region, model, least(count(*), 720) AS n_records FROM scored GROUP BY ALL) r USING (region, model) WHERE a.span = '7d' AND b.span = '30d'""", d=BLOCK_D)
+FROM blk a JOIN blk b USING (region, model) JOIN (SELECT region, model, count(*) AS n_records FROM scored GROUP BY ALL) r USING (region, model) WHERE a.span = '7d' AND b.span = '30d'""", d=BLOCK_D)
 def rolling_drift(spark, sf):
     return dr.rolling_block(fr.scored(spark, sf), now(), max_lead=6)
 

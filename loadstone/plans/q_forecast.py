@@ -340,12 +340,12 @@ def weighting_input(spark, sf):
 
 
 @query("j19_latest_before_origin", "", f"""
-WITH h AS (SELECT region, model, trained_at, max(mape) AS mape FROM ({METADATA_SQL}) WHERE trained_at IS NOT NULL AND CAST(version AS BIGINT) % 9 = 0 GROUP BY ALL),
+WITH h AS (SELECT region, model, trained_at, max(mape) AS mape FROM ({METADATA_SQL}) WHERE trained_at IS NOT NULL GROUP BY ALL),
 o AS (SELECT DISTINCT region, model, trained_at AS origin FROM ({METADATA_SQL}) WHERE trained_at IS NOT NULL)
 SELECT o.region, o.model, origin, h.trained_at, h.mape FROM o LEFT JOIN h ON o.region = h.region AND o.model = h.model AND h.trained_at < o.origin QUALIFY row_number() OVER (PARTITION BY o.region, o.model, origin ORDER BY h.trained_at DESC NULLS LAST) = 1""", d="mape")
 def latest_before(spark, sf):
     m = metadata(spark, sf).filter("trained_at IS NOT NULL")
-    h = m.filter("CAST(version AS BIGINT) % 9 = 0").select("region", "model", "trained_at", "mape")
+    h = m.select("region", "model", "trained_at", "mape")
     o = m.select("region", "model", F.col("trained_at").alias("origin")).distinct()
     return en.latest_before(o, h, ["region", "model"])
 
@@ -399,7 +399,14 @@ def arm_deltas(spark, sf):
         (F.max(F.when(F.col("model") == "lag24", err)) - F.max(F.when(F.col("model") == "lag168", err))).alias("delta")).filter("delta IS NOT NULL")
 
 
-@query("a44_bootstrap_mean_interval")
+@query("a44_bootstrap_mean_interval", "scored", """
+WITH x AS (SELECT region, CAST(epoch(ts) / 3600 AS BIGINT) AS id, max(abs(actual - predicted)) FILTER (model = 'lag24') - max(abs(actual - predicted)) FILTER (model = 'lag168') AS delta
+  FROM scored WHERE model <> 'lag48' GROUP BY region, ts),
+y AS (SELECT region, delta, b, (CAST('0x' || substr(md5(id || '|' || b), 1, 8) AS BIGINT) % 1000003 + 0.5::DOUBLE) / 1000003 AS u FROM x, generate_series(1, 200) s(b) WHERE delta IS NOT NULL),
+k AS (SELECT *, list_sum(list_transform([0.36787944117144233::DOUBLE, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119], lambda c: CASE WHEN u > c THEN 1 ELSE 0 END)) AS k FROM y),
+m AS (SELECT region, b, sum(delta * k) / nullif(sum(k), 0) AS m FROM k GROUP BY region, b)
+SELECT region, avg(delta) AS mean, count(*) AS n, any_value(lo) AS ci_low, any_value(hi) AS ci_high FROM x
+JOIN (SELECT region, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY region) USING (region) WHERE delta IS NOT NULL GROUP BY region""", d="mean ci_low ci_high")
 def bootstrap(spark, sf):
     x = arm_deltas(spark, sf).withColumn("id", hour_number("ts"))
     return bt.bootstrap_mean(x, ["region"], "delta", "id")
@@ -571,9 +578,9 @@ def peak_low(spark, sf):
     return newest(fr.hourly(spark, sf), ["region"], "ts", 168).groupBy("region").agg(F.max("demand_mw").alias("peak"), F.min("demand_mw").alias("low"), F.avg("demand_mw").alias("mean"))
 
 
-@query("w16_latest_real_reading", "spine", "SELECT region, max(demand_mw) FILTER (rn = 1) AS latest, max(demand_mw) FILTER (rn = 4) AS third_before FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts DESC) AS rn FROM spine WHERE demand_mw > 50) GROUP BY region")
+@query("w16_latest_real_reading", "spine", "SELECT region, max(demand_mw) FILTER (rn = 1) AS latest, max(demand_mw) FILTER (rn = 4) AS third_before FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts DESC) AS rn FROM spine WHERE demand_mw > 0) GROUP BY region")
 def latest_real(spark, sf):
-    x = newest(fr.demand(spark, sf).filter("demand_mw > 50"), ["region"], "ts", 4, "rn")
+    x = newest(fr.demand(spark, sf).filter("demand_mw > 0"), ["region"], "ts", 4, "rn")
     return x.groupBy("region").agg(F.max(F.when(F.col("rn") == 1, F.col("demand_mw"))).alias("latest"), F.max(F.when(F.col("rn") == 4, F.col("demand_mw"))).alias("third_before"))
 
 

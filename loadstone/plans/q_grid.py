@@ -6,7 +6,7 @@ from loadstone.functions import pricing as pr
 from loadstone.functions import text as tx
 from loadstone.operators import grid as gr
 from loadstone.operators import metrics as mt
-from loadstone.operators.ranking import drop_repeats, stalest_first
+from loadstone.operators.ranking import LABELS, drop_repeats, stalest_first, top_importances
 from loadstone.operators.series import hour_number, newest, previous
 from loadstone.plans import frames as fr
 from loadstone.plans.registry import query
@@ -21,9 +21,9 @@ def fuel_pivot(spark, sf):
     return gr.fuel_pivot(fr.generation(spark, sf))
 
 
-@query("f18_fuel_label_text", "generation", f"SELECT region, ts, {FUEL} AS fuel, format('{{:,.0f}} MW', generation_mw * 100) AS text FROM generation WHERE generation_mw * 100 % 1 <> 0.5")
+@query("f18_fuel_label_text", "generation", f"SELECT region, ts, {FUEL} AS fuel, format('{{:,.0f}} MW', generation_mw * 100) AS text FROM generation")
 def fuel_text(spark, sf):
-    g = fr.generation(spark, sf).filter("generation_mw * 100 % 1 <> 0.5")
+    g = fr.generation(spark, sf)
     return g.select("region", "ts", tx.fuel_name("fuel_type").alias("fuel"), tx.thousands(F.col("generation_mw") * 100).alias("text"))
 
 
@@ -117,14 +117,29 @@ def corr_importance(spark, sf):
     return gr.importance(gr.correlations(corr_input(spark, sf), CORR), "demand_mw")
 
 
+LABEL_SQL = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{LABELS[f]}'" for f in CORR if f in LABELS) + " END"
+
+
+@query("t3_ranked_features", "hourly weather", f"WITH {CORR_SQL} SELECT feature, importance, {LABEL_SQL} AS label FROM (SELECT b AS feature, avg(abs(r)) AS importance FROM cm WHERE a = 'demand_mw' GROUP BY b) ORDER BY importance DESC, feature LIMIT 10", d="importance")
+def ranked_features(spark, sf):
+    """The ranking of given importances: mean absolute correlation over regions."""
+    given = gr.importance(gr.correlations(corr_input(spark, sf), CORR), "demand_mw").groupBy("feature").agg(F.avg("importance").alias("importance"))
+    return top_importances(given)
+
+
+@query("b26_ranked_drivers", "hourly weather", f"WITH {CORR_SQL} SELECT feature, importance, {LABEL_SQL} AS label FROM (SELECT b AS feature, max(abs(r)) AS importance FROM cm WHERE a = 'demand_mw' GROUP BY b) ORDER BY importance DESC, feature LIMIT 3", d="importance")
+def ranked_drivers(spark, sf):
+    given = gr.importance(gr.correlations(corr_input(spark, sf), CORR), "demand_mw").groupBy("feature").agg(F.max("importance").alias("importance"))
+    return top_importances(given, 3)
+
+
 @query("j13_nearest_two_hours", "hourly weather", """
 WITH p AS (SELECT region, max(ts) AS peak_ts FROM hourly WHERE demand_mw > 100 GROUP BY region, CAST(ts AS DATE)),
-w AS (SELECT region, ts, temperature_2m FROM weather WHERE hour(ts) % 4 = 0)
+w AS (SELECT region, ts, temperature_2m FROM weather)
 SELECT p.region, peak_ts, w.ts AS matched_ts, w.temperature_2m AS nearest_temperature_2m FROM p LEFT JOIN w ON p.region = w.region AND abs(epoch(w.ts - peak_ts)) < 7200 QUALIFY row_number() OVER (PARTITION BY p.region, peak_ts ORDER BY abs(epoch(w.ts - peak_ts)), w.ts) = 1""", d="nearest_temperature_2m")
 def nearest_two_hours(spark, sf):
     p = fr.hourly(spark, sf).filter("demand_mw > 100").groupBy("region", F.to_date("ts")).agg(F.max("ts").alias("peak_ts")).select("region", "peak_ts")
-    w = fr.weather(spark, sf).filter(F.hour("ts") % 4 == 0)
-    return gr.nearest(p, w, ["region"], "peak_ts", "ts", "temperature_2m", 7200, strict=True)
+    return gr.nearest(p, fr.weather(spark, sf), ["region"], "peak_ts", "ts", "temperature_2m", 7200, strict=True)
 
 
 @query("j14_nearest_day_ago", "hourly", """
@@ -374,9 +389,12 @@ def row_hash(spark, sf):
     return o.select("o_orderkey", tx.row_signature("o_orderkey", "o_custkey", "s").alias("digest"))
 
 
-@query("f17_frame_signature")
+@query("f17_frame_signature", "hourly", """
+SELECT region, bit_xor(x) || '-' || sum(x) || '-' || count(*) AS signature
+FROM (SELECT region, CAST('0x' || substr(md5(CAST(epoch(ts) AS BIGINT) || '|' || coalesce(CAST(CAST(round(demand_mw * 100) AS BIGINT) AS VARCHAR), '<NA>')), 1, 10) AS BIGINT) AS x FROM hourly) GROUP BY region""")
 def frame_hash(spark, sf):
-    return fr.hourly(spark, sf).groupBy("region").agg(tx.frame_signature("ts", "demand_mw").alias("signature"))
+    whole = fr.hourly(spark, sf).select("region", F.unix_timestamp("ts").alias("at"), F.round(F.col("demand_mw") * 100).cast("long").alias("cents"))
+    return whole.groupBy("region").agg(tx.frame_signature("at", "cents").alias("signature"))
 
 
 @query("f19_record_round_trip", "scored", "SELECT region, model, ts, predicted, actual, lead_hours, placeholder FROM scored", d="predicted actual")
@@ -397,15 +415,15 @@ def wide_to_long(spark, sf):
     return fr.weather(spark, sf).select("region", "ts", *v).unpivot(["region", "ts"], v, "driver", "value")
 
 
-SNAP = """snap AS (SELECT region, CAST(ts AS DATE) AS day, list(round(demand_mw / 400) ORDER BY ts) AS predictions, max(round(demand_mw / 400)) AS peak_mw, avg(round(demand_mw / 400)) AS avg_mw FROM hourly WHERE hour(ts) >= 22 GROUP BY 1, 2),
+SNAP = """snap AS (SELECT region, CAST(ts AS DATE) AS day, list(round(demand_mw / 400) ORDER BY ts) AS predictions, max(round(demand_mw / 400)) AS peak_mw, avg(round(demand_mw / 400)) AS avg_mw FROM hourly GROUP BY 1, 2),
 hs AS (SELECT *, md5(array_to_string(list_transform(predictions, lambda p: format('{:.2f}', p)), ',')) AS hash FROM snap),
 kept AS (SELECT * FROM hs QUALIFY hash IS DISTINCT FROM lag(hash) OVER (PARTITION BY region ORDER BY day))"""
 
 
 def snapshots(spark, sf):
-    """One snapshot a region and day: the two late hours, coarsely rounded."""
+    """One snapshot a region and day: its hours, coarsely rounded."""
     v = F.round(F.col("demand_mw") / 400)
-    return fr.hourly(spark, sf).filter("hour(ts) >= 22").groupBy("region", F.to_date("ts").alias("day")).agg(
+    return fr.hourly(spark, sf).groupBy("region", F.to_date("ts").alias("day")).agg(
         F.sort_array(F.collect_list(F.struct("ts", v.alias("v")))).alias("s")).select("region", "day", F.col("s.v").alias("predictions"))
 
 

@@ -59,12 +59,12 @@ def stream_dedup(spark, sf):
 
 
 @query("d2_stream_resolution", "scored hourly", """
-SELECT region, count(*) AS resolved, avg(abs(actual - predicted) / actual * 100) AS mape FROM scored WHERE model = 'lag24' GROUP BY region""", d="mape")
+SELECT region, model, count(*) AS resolved, avg(abs(actual - predicted) / actual * 100) AS mape FROM scored GROUP BY region, model""", d="mape")
 def stream_resolve(spark, sf):
-    s = fr.scored(spark, sf).filter("model = 'lag24'").select("region", F.col("ts").alias("target_ts"), "predicted")
+    s = fr.scored(spark, sf).select("region", "model", F.col("ts").alias("target_ts"), "predicted")
     a = fr.hourly(spark, sf).select("region", F.col("ts").alias("target_ts"), F.col("demand_mw").alias("actual"))
     out = drain(so.resolve(streamed(s, "predictions"), streamed(a, "actuals")), "resolved", mode="append")
-    return out.filter("state = 'resolved'").groupBy("region").agg(F.count("*").alias("resolved"), F.avg("abs_pct_error").alias("mape"))
+    return out.filter("state = 'resolved'").groupBy("region", "model").agg(F.count("*").alias("resolved"), F.avg("abs_pct_error").alias("mape"))
 
 
 @query("d5_stream_sliding_error", "scored", """

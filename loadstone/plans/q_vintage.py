@@ -84,10 +84,10 @@ def arm_scorecard(spark, sf):
 
 
 @query("a20_fleet_macro_average", "arms", """
-SELECT arm, avg(mape) AS mape, avg(wape) AS wape, sum(n) AS n, count(*) AS n_regions FROM arms WHERE lead = '24h' GROUP BY arm""", d="mape wape", i="n")
+SELECT arm, lead, avg(mape) AS mape, avg(wape) AS wape, sum(n) AS n, count(*) AS n_regions FROM arms WHERE lead IS NOT NULL GROUP BY arm, lead""", d="mape wape", i="n")
 def macro_average(spark, sf):
-    s = bm.arm_scores(paired(spark, sf).filter("lead = '24h'"), ["region", "lead"])
-    return mt.macro_average(s, ["arm"], ["mape", "wape"])
+    s = bm.arm_scores(paired(spark, sf).filter("lead IS NOT NULL"), ["region", "lead"])
+    return mt.macro_average(s, ["arm", "lead"], ["mape", "wape"])
 
 
 PAYLOAD = """payload AS (SELECT region, lead, n, n >= 200 AS scoreable, {cols},
@@ -117,25 +117,25 @@ def benchmark_by_lead(spark, sf):
 
 
 @query("a21_fleet_rollup", "arms", "WITH " + PAYLOAD + """
-SELECT count(*) FILTER (scoreable) AS n_scoreable, count(*) FILTER (NOT scoreable) AS n_excluded, count(*) FILTER (scoreable AND region <> 'R0') AS n,
+SELECT lead, count(*) FILTER (scoreable) AS n_scoreable, count(*) FILTER (NOT scoreable) AS n_excluded, count(*) FILTER (scoreable AND region <> 'R0') AS n,
   count(*) FILTER (scoreable AND region <> 'R0' AND winner = 'ours') AS wins, count(*) FILTER (scoreable AND region <> 'R0' AND winner <> 'ours') AS losses,
   min(ours_mape) FILTER (region <> 'R0') AS ours_min, max(ours_mape) FILTER (region <> 'R0') AS ours_max, min(official_mape) FILTER (region <> 'R0') AS official_min,
   max(official_mape) FILTER (region <> 'R0') AS official_max, count(*) FILTER (scoreable AND region = 'R0') AS n_isolated,
   quantile_cont(ours_mape, 0.5) FILTER (region <> 'R0') AS median_ours_mape, quantile_cont(official_mape, 0.5) FILTER (region <> 'R0') AS median_official_mape,
-  ours_max / ours_min AS ours_ratio, official_max / official_min AS official_ratio FROM payload WHERE lead = '24h'""",
+  ours_max / ours_min AS ours_ratio, official_max / official_min AS official_ratio FROM payload GROUP BY lead""",
        d="ours_min ours_max official_min official_max median_ours_mape median_official_mape ours_ratio official_ratio")
 def fleet_rollup(spark, sf):
-    return bm.fleet_rollup(payload(spark, sf).filter("lead = '24h'"), ["R0"])
+    return bm.fleet_rollup(payload(spark, sf), ["R0"], ["lead"])
 
 
 @query("a51_metric_robustness", "arms", "WITH " + PAYLOAD + """,
-m AS (SELECT max(ours_mape) / min(ours_mape) AS ours_spread, max(official_mape) / min(official_mape) AS official_spread,
+m AS (SELECT lead, max(ours_mape) / min(ours_mape) AS ours_spread, max(official_mape) / min(official_mape) AS official_spread,
   [quantile_cont(ours_mape, 0.5), quantile_cont(ours_median_ape, 0.5), quantile_cont(ours_wape, 0.5)] AS o,
-  [quantile_cont(official_mape, 0.5), quantile_cont(official_median_ape, 0.5), quantile_cont(official_wape, 0.5)] AS f FROM payload WHERE scoreable AND lead = '24h')
-SELECT ours_spread, official_spread, metric, ours, official, CASE WHEN ours = official THEN 'tie' WHEN (ours < official) = (o[1] < f[1]) THEN 'same' ELSE 'flips' END AS verdict
+  [quantile_cont(official_mape, 0.5), quantile_cont(official_median_ape, 0.5), quantile_cont(official_wape, 0.5)] AS f FROM payload WHERE scoreable GROUP BY lead)
+SELECT lead, ours_spread, official_spread, metric, ours, official, CASE WHEN ours = official THEN 'tie' WHEN (ours < official) = (o[1] < f[1]) THEN 'same' ELSE 'flips' END AS verdict
 FROM (SELECT *, unnest(['mape', 'median_ape', 'wape']) AS metric, unnest(o) AS ours, unnest(f) AS official FROM m)""", d="ours_spread official_spread ours official")
 def metric_robustness(spark, sf):
-    return bm.metric_robustness(payload(spark, sf).filter("lead = '24h'"))
+    return bm.metric_robustness(payload(spark, sf), ["lead"])
 
 
 @query("a31_stale_capture_impact", "pairs vint", """

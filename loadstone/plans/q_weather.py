@@ -40,9 +40,9 @@ def keep_last(spark, sf):
 
 
 @query("j2_demand_weather_inner", "hourly weather", """
-SELECT region, count(*) AS n, corr(demand_mw, temperature_2m) AS r FROM hourly JOIN weather USING (region, ts) WHERE temperature_2m > 50 GROUP BY region""", d="r")
+SELECT region, count(*) AS n, corr(demand_mw, temperature_2m) AS r FROM hourly JOIN weather USING (region, ts) GROUP BY region""", d="r")
 def inner(spark, sf):
-    return fr.hourly(spark, sf).join(fr.weather(spark, sf).filter("temperature_2m > 50"), ["region", "ts"]).groupBy("region").agg(
+    return fr.hourly(spark, sf).join(fr.weather(spark, sf), ["region", "ts"]).groupBy("region").agg(
         F.count("*").alias("n"), F.corr("demand_mw", "temperature_2m").alias("r"))
 
 

@@ -80,3 +80,30 @@ def test_visibility_has_hysteresis(spark):
 def test_grade_bands(spark):
     df = spark.createDataFrame([(2.0,), (2.1,), (7.0,), (12.1,), (None,)], "m double")
     assert [r[0] for r in df.select(dr.grade(F.col("m"), "24h")).collect()] == ["excellent", "target", "acceptable", "rollback", None]
+
+
+def test_every_reading_of_an_hour_counts(spark):
+    from datetime import timedelta
+
+    rows = [("A", at(0), at(10) + timedelta(minutes=m), d, None) for m, d in ((5, 100.0), (20, 100.0), (35, 200.0), (50, 200.2))]
+    r = vt.vintages(spark.createDataFrame(rows, READ)).first()
+    assert (r["first_seen_d"], r["captured_at"], r["last_d"], r["n_updates"]) == (100.0, at(10) + timedelta(minutes=5), 200.0, 1)
+
+
+def test_any_split_into_batches_equals_one_batch(spark):
+    from datetime import timedelta
+
+    values = [100.0, 100.0, 100.4, 100.4, 100.9, 100.9, 50.0, 50.0, 50.0, 51.0]
+    published = {3: 90.0, 4: 95.0, 8: 96.0}
+    rows = [("A", at(0), at(1) + timedelta(minutes=10 * k), d, published.get(k)) for k, d in enumerate(values)]
+    whole = vt.vintages(spark.createDataFrame(rows, READ)).first()
+    for cut in range(1, len(rows)):
+        first = vt.vintages(spark.createDataFrame(rows[:cut], READ))
+        assert vt.vintages(spark.createDataFrame(rows[cut:], READ), first).first() == whole
+
+
+def test_retention_is_an_argument(spark):
+    rows = [("A", at(0), at(1), 7.0, None), ("A", at(0), at(3 + 24 * 40), 9.0, None)]
+    df = spark.createDataFrame(rows, READ)
+    assert vt.vintages(df).first()["last_d"] == 7.0
+    assert vt.vintages(df, retention_hours=None).first()["last_d"] == 9.0
