@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadstone.session import scratch_path
 
@@ -49,6 +50,17 @@ def rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Ite
     return run
 
 
+def carried(docs: DataFrame, columns: list[str], made: str) -> tuple[list[Column], T.StructType, list[Column]]:
+    """Columns taken through a mapInArrow function under names that cannot clash: what to select
+    before it, its schema with the columns ``made`` (DDL) after them, and what to select after it.
+    A carried column named like a made one gives way."""
+    made_fields = T.StructType.fromDDL(made).fields
+    names = {f.name for f in made_fields}
+    fields = [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)]
+    after = [F.col(f"_c{i}").alias(c) for i, c in enumerate(columns) if c not in names]
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)], T.StructType(fields + made_fields), after + [F.col(f.name) for f in made_fields]
+
+
 def flat_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (rows + 1) and the concatenated UTF-8 bytes of a string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):

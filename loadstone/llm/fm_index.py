@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams, repeats
-from loadstone.llm.common import flat_bytes, rows, spread_ranges, text_key
+from loadstone.llm.common import carried, flat_bytes, rows, spread_ranges, text_key
 from loadstone.llm.suffix_array import covered, refine
 
 LENGTH = 35
@@ -187,8 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """Every row of ``docs``: ``carry`` (default the id), n_words, n_removed (long), kept (string: words joined by a space)."""
     carry = [id_col] if carry is None else carry
     runs = repeated_windows(docs, length, id_col, text_col)
-    texts = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"), text_key(id_col, text_col).alias("rid"))
-    fields = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = texts.join(runs, "rid", "left").drop("rid").mapInArrow(_remove(length), f"{fields}, n_words long, n_removed long, kept binary")
-    made = ("n_words", "n_removed", "kept")
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c not in made], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    before, schema, after = carried(docs, carry, "n_words long, n_removed long, kept binary")
+    texts = docs.select(*before, F.col(text_col).alias("_text"), text_key(id_col, text_col).alias("rid"))
+    out = texts.join(runs, "rid", "left").drop("rid").mapInArrow(_remove(length), schema).select(*after)
+    return out.withColumn("kept", F.col("kept").cast("string"))

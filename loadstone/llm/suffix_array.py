@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams, repeats
-from loadstone.llm.common import flat_bytes, rows, text_key
+from loadstone.llm.common import carried, flat_bytes, rows, text_key
 
 LENGTH = 200
 GRAM = 64
@@ -151,24 +151,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     carry = [id_col] if carry is None else carry
     runs = repeated_windows(docs, length, id_col, text_col)
-    texts = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"), text_key(id_col, text_col).alias("rid"))
-    fields = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = texts.join(runs, "rid", "left").drop("rid").mapInArrow(_remove(length), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
-    made = ("n_bytes", "n_removed", "n_spans", "kept")
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c not in made], *made)
+    before, schema, after = carried(docs, carry, "n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = docs.select(*before, F.col(text_col).alias("_text"), text_key(id_col, text_col).alias("rid"))
+    return texts.join(runs, "rid", "left").drop("rid").mapInArrow(_remove(length), schema).select(*after)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its texts less repeated bytes; a character that lost a byte goes whole. Other columns stay."""
-    others = [c for c in docs.columns if c != text_col]
-    cut = remove_repeats(docs, length, id_col, text_col, carry=docs.columns)
-    row = cut.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)], "kept")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    cut = remove_repeats(whole, length, "_id", "_text", carry=["_row"]).select("_row", "kept")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = pa.array([x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()], pa.string())
-        return pa.record_batch({c: b[c] for c in b.schema.names if c != "kept"} | {"kept": texts})
+        return pa.record_batch({"_c0": b["_row"], "kept_text": texts})
 
-    fields = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)] + ["kept string"])
-    out = row.mapInArrow(rows(batch), fields)
-    names = {c: F.col(f"_c{i}") for i, c in enumerate(others)} | {text_col: F.col("kept")}
-    return out.select(*[names[c].alias(c) for c in docs.columns])
+    _, schema, _ = carried(cut, ["_row"], "kept_text string")
+    out = cut.mapInArrow(rows(batch), schema)
+    return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"_c0.`{c}`")).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams
-from loadstone.llm.common import flat_bytes, mix, rows, stored
+from loadstone.llm.common import carried, flat_bytes, mix, rows, stored
 
 TRAIN_ROWS = 20_000
 FEATURES = 20_000
@@ -240,11 +240,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         out = {c: b[c] for c in b.schema.names if c != "_text"}
         return pa.record_batch(out | {"score": p, "predicted": (p >= 0.5).astype(np.int32), "passages": pa.array(passages, kind)})
 
-    texts = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"))
-    fields = "".join(f"_c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = texts.mapInArrow(rows(batch), f"{fields}score double, predicted int, passages array<struct<first:long,last:long,score:double,expected:double>>")
-    made = ("score", "predicted", "passages")
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c not in made], *made)
+    before, schema, after = carried(docs, carry, "score double, predicted int, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
+    return docs.select(*before, F.col(text_col).alias("_text")).mapInArrow(rows(batch), schema).select(*after)
 
 
 def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
