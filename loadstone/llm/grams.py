@@ -57,6 +57,7 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 class Cells(NamedTuple):
     anchor: np.ndarray  # fingerprint of the anchor gram
     content: np.ndarray  # fingerprint of the cell's symbols and of the anchor's place in it
+    place: np.ndarray  # of the anchor, counted from the cell's first window start
     doc: np.ndarray  # row number in the batch
     first: np.ndarray  # first and last window start, counted from the document's start
     last: np.ndarray
@@ -113,10 +114,10 @@ def cells(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int, valu
         a = place[first]
         content = mix(range_hash(sums, first, last + length) + (a - first).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         doc = np.searchsorted(offsets[d + 1 : e + 1] - lo, first, "right") + d
-        parts.append(Cells(f[a], content, doc, first + lo - offsets[doc], last + lo - offsets[doc]))
+        parts.append(Cells(f[a], content, a - first, doc, first + lo - offsets[doc], last + lo - offsets[doc]))
     if not parts:
         z = np.zeros(0, np.int64)
-        return Cells(z.astype(np.uint64), z.astype(np.uint64), z, z, z)
+        return Cells(z.astype(np.uint64), z.astype(np.uint64), z, z, z, z)
     return Cells(*[np.concatenate(x) for x in zip(*parts)])
 
 

@@ -5,6 +5,11 @@ content seen twice is a repeat of all its windows. Only what is left, cells that
 anchor but differ somewhere, goes as text to a *shard*, where an operator's own index decides
 window by window. Equal contents are merged before that, so a group of copies costs one piece.
 
+An anchor with very many contents (the edge of a passage that many documents share) would
+make one large group. Its cells are cut into runs of ``HOT_RUN`` windows, keyed by the
+symbols that all windows at those places have in common: equal windows still meet, and a group
+is as small as the variety of a few symbols beside a string of almost a window.
+
 Counts are pre-aggregated in each task. Cells go back to the counts by a sort-merge join,
 which adaptive execution splits where one anchor is hot.
 """
@@ -18,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadstone.llm.common import binary_array, flat_bytes, spread_ranges, stored, text_key
+from loadstone.llm.common import binary_array, flat_bytes, mix, spread_ranges, stored, text_key
+from loadstone.llm.grams import prefix_sums, range_hash
 
-CELL = "anchor long, content long, rid long, first long, last long"
+CELL = "anchor long, content long, rid long, first long, last long, place int"
 RUN = "rid long, first long, last long"
 PIECE = "anchor long, rid long, first long, copies long, symbols binary"
 PIECES_PER_SHARD = 20_000
+HOT_CONTENTS = 2_000
+HOT_RUN = 8
 
 
 def repeated_runs(docs: DataFrame, cut: Callable, extract: Callable, index: Callable) -> DataFrame:
@@ -40,9 +48,11 @@ def repeated_runs(docs: DataFrame, cut: Callable, extract: Callable, index: Call
     shared = stored(cells.join(seen, "anchor"), "shared-cells")
     same = shared.filter("not mixed").select("rid", "first", "last")
     mixed = shared.filter("mixed").drop("mixed")
-    contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "last")).alias("one")), "cell-contents")
+    contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "last", "place")).alias("one")), "cell-contents")
     copied = mixed.join(contents.filter("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("rid", "first", "last")
-    wanted = contents.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "one.first", "one.last", "copies")).alias("wanted"))
+    hot = contents.groupBy("anchor").agg((F.count("*") > HOT_CONTENTS).alias("hot"))
+    each = contents.join(hot, "anchor").select("anchor", "one.*", "copies", "hot")
+    wanted = each.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last", "place", "copies", "hot")).alias("wanted"))
     pieces = docs.join(wanted, "rid").mapInArrow(extract, PIECE)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), contents.count() // PIECES_PER_SHARD + 1)
     found = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(index, RUN)
@@ -63,25 +73,47 @@ def cell_batch(found, rid: pa.Array) -> pa.RecordBatch:
     """Cells of one batch as Arrow columns."""
     return pa.record_batch({
         "anchor": found.anchor.view(np.int64), "content": found.content.view(np.int64), "rid": rid.take(pa.array(found.doc)),
-        "first": found.first, "last": found.last,
+        "first": found.first, "last": found.last, "place": found.place.astype(np.int32),
     })
 
 
-def piece_batch(wanted: pa.ListArray, rid: pa.Array, begins: np.ndarray, symbols: np.ndarray, length: int) -> pa.RecordBatch:
-    """Pieces of one batch: the symbols [first, last + length) of every wanted cell."""
+def piece_batch(wanted: pa.ListArray, rid: pa.Array, begins: np.ndarray, symbols: np.ndarray, length: int, values: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pieces of one batch: the symbols [first, last + length) of every wanted cell, hot ones in runs."""
     counts = np.diff(wanted.offsets.to_numpy())
     flat = wanted.flatten()
-    first, last = flat.field("first").to_numpy(), flat.field("last").to_numpy()
+    anchor, first, last, place, copies = (flat.field(c).to_numpy() for c in ("anchor", "first", "last", "place", "copies"))
+    hot = flat.field("hot").to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(wanted)), counts)
+    base = begins[row]
+    if hot.any():
+        at = first + place  # of the anchor
+        low, high = np.where(hot, (at - last) // HOT_RUN, 0), np.where(hot, (at - first) // HOT_RUN, 0)
+        of = np.repeat(np.arange(len(first)), high - low + 1)
+        run = spread_ranges(low, high - low + 1)
+        begin, end = at[of] - (run + 1) * HOT_RUN + 1, at[of] - run * HOT_RUN  # window starts of a whole run
+        anchor = np.where(hot[of], _core_keys(symbols, base[of] + end, base[of] + begin + length, hot[of], run, anchor[of], values), anchor[of])
+        first, last = np.where(hot[of], np.maximum(begin, first[of]), first[of]), np.where(hot[of], np.minimum(end, last[of]), last[of])
+        copies, row, base = copies[of], row[of], base[of]
     sizes = last + length - first
-    picked = symbols[spread_ranges(begins[row] + first, sizes)]
+    picked = symbols[spread_ranges(base + first, sizes)]
     width = symbols.dtype.itemsize
     return pa.record_batch({
-        "anchor": flat.field("anchor"), "rid": rid.take(pa.array(row)), "first": first, "copies": flat.field("copies"),
+        "anchor": anchor, "rid": rid.take(pa.array(row)), "first": first, "copies": copies,
         "symbols": binary_array(picked.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * width),
     })
 
 
+def _core_keys(symbols, start, end, hot, run, anchor, values) -> np.ndarray:
+    """Fingerprints of symbols [start, end), with the anchor and the run's number; only for the hot ones."""
+    keys = np.zeros(len(start), np.uint64)
+    sizes = end[hot] - start[hot]
+    picked = symbols[spread_ranges(start[hot], sizes)]
+    ends = np.cumsum(sizes)
+    sums = prefix_sums(picked if values is None else values[picked])
+    keys[hot] = mix(range_hash(sums, ends - sizes, ends) + run[hot].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + anchor[hot].view(np.uint64))
+    return keys.view(np.int64)
+
+
 def whole_anchors(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Table]:
     """Consecutive rows of about ``budget`` symbol bytes, never cut inside an anchor."""
     held: list[pa.RecordBatch] = []

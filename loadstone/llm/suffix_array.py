@@ -84,7 +84,7 @@ def _cut(length: int):
 def _extract(length: int):
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         offsets, raw = flat_bytes(b["text"])
-        return repeats.piece_batch(b["wanted"], b["rid"], offsets[:-1], raw, length)
+        return repeats.piece_batch(b["wanted"], b["rid"], offsets[:-1], raw, length, grams.BYTE_VALUES)
 
     return rows(batch)
 

@@ -119,5 +119,16 @@ def test_refinement_sorts_by_longer_prefixes():
 
 
 def test_no_rows_for_unique_texts(spark):
-    docs = documents(spark, [(i, f"{i} " * 5 + "".join(chr(97 + (i * k * k) % 26) for k in range(300))) for i in range(20)])
+    r = random.Random(8)
+    docs = documents(spark, [(i, "".join(r.choice("abcdefgh ") for _ in range(500))) for i in range(20)])
     assert repeats.runs_by_row(repeats.repeated_runs(repeats.keyed(docs, "doc_id", "text"), suffix_array._cut(200), suffix_array._extract(200), suffix_array._index(200))).count() == 0
+
+
+def test_hot_anchors_in_runs_agree(spark, monkeypatch):
+    """Cutting the cells of an anchor with many contents changes no result."""
+    monkeypatch.setattr(repeats, "HOT_CONTENTS", 1)
+    passage = "the very same passage in many documents and then some more of it to be long enough for anything " * 3
+    rows = [(i, f"{i * 7919} {passage[i % 5 : len(passage) - i % 7]} {i * 104729}") for i in range(40)] + random_rows(9)[:20]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    assert bytes_got(suffix_array.remove_repeats(documents(spark, rows), 120)) == bytes_wanted(rows, 120)
+    assert rows_of(fm_index.remove_repeats(documents(spark, rows), 20), "doc_id", "n_words", "n_removed", "kept") == words_wanted(rows, 20)
