@@ -74,6 +74,17 @@ def flat_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw
 
 
+def blocks(batch: pa.RecordBatch, column: str, rows_: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows_`` rows and, but for a single longer text, ``size`` bytes of a string column."""
+    offsets, _ = flat_bytes(batch[column])
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
+        to = min(max(to, at + 1), at + rows_, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def binary_array(raw: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A binary (or string) column over one buffer."""
     kind = kind or pa.binary()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams
-from loadstone.llm.common import flat_bytes, mix, rows, spread_ranges, stored
+from loadstone.llm.common import blocks, flat_bytes, mix, spread_ranges, stored
 from loadstone.llm.components import components
 
 SHINGLE = 5
@@ -104,8 +104,7 @@ def _sketch(shingle: int):
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK_ROWS):
-                part = b.slice(at, BLOCK_ROWS)
+            for part in blocks(b, "text", BLOCK_ROWS):
                 s = Sets(part["text"], shingle)
                 yield pa.record_batch({"kind": pa.array(np.zeros(len(s.sizes), np.int32)), "id": part["id"], "key": part["key"], "n": s.sizes.astype(np.int64), "node": s.ids})
                 _, first = np.unique(s.ids, return_index=True)
@@ -124,8 +123,8 @@ def _post(shingle: int, percent: int, order: int, frequent: np.ndarray):
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK_ROWS):
-                s = Sets(b["text"].slice(at, BLOCK_ROWS), shingle)
+            for part in blocks(b, "text", BLOCK_ROWS):
+                s = Sets(part["text"], shingle)
                 keep = np.zeros(len(s.sizes), bool)
                 keep[np.unique(s.ids, return_index=True)[1]] = True
                 row, token = prefixes(s, keep & (s.sizes > 0), order, frequent, percent)
@@ -188,8 +187,7 @@ def _verify(shingle: int, percent: int):
     def run(batches):
         hub, hub_set = None, np.zeros(0, np.uint64)
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK_ROWS):
-                part = b.slice(at, BLOCK_ROWS)
+            for part in blocks(b, "text", BLOCK_ROWS):
                 s = Sets(part["text"], shingle)
                 hubs, own = part["hub"].to_numpy(), part["node"].to_numpy()
                 found = np.zeros(len(hubs), bool)
@@ -256,14 +254,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def _own(shingle: int):
-    """Texts with the node they belong to, each node once a batch."""
+    """Texts with the node they belong to, each node once a block."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = Sets(b["text"], shingle)
-        _, first = np.unique(s.ids, return_index=True)
-        return pa.record_batch({"node": s.ids[first], "text": b["text"].take(pa.array(first))})
+    def run(batches):
+        for b in batches:
+            for part in blocks(b, "text", BLOCK_ROWS):
+                s = Sets(part["text"], shingle)
+                _, first = np.unique(s.ids, return_index=True)
+                yield pa.record_batch({"node": s.ids[first], "text": part["text"].take(pa.array(first))})
 
-    return rows(batch)
+    return run
 
 
 def _between(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadstone.llm.common import stored, text_key
+from loadstone.llm.common import blocks, stored, text_key
 
 SPACE = "▁"
 FREQUENT = 1 << 18
@@ -164,9 +164,9 @@ def _count(pattern: str):
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK_ROWS):
+            for part in blocks(b, "text", BLOCK_ROWS):
                 seen: Counter = Counter()
-                for t in b["text"].slice(at, BLOCK_ROWS).to_pylist():
+                for t in part["text"].to_pylist():
                     if t:
                         seen.update(find(SPACE + t.replace(" ", SPACE)))
                 often = [(u, c) for u, c in seen.items() if c >= FREQUENT_IN_BLOCK and len(u) <= LONG]
