@@ -56,11 +56,11 @@ def parse_demand(records: DataFrame) -> DataFrame:
 
 
 def join_day_ahead(records: DataFrame) -> DataFrame:
-    """The same table by a left self-join of the two record types."""
+    """The same table by a left self-join of the two record types, each collapsed to one row an hour first."""
     mw = F.nullif(text_number("value"), F.lit(0.0))
     long = records.select("region", period_hour().alias("ts"), "type", mw.alias("mw"))
-    d = long.filter("type = 'D'").select("region", "ts", F.col("mw").alias("demand_mw"))
-    df = long.filter("type = 'DF'").select("region", "ts", F.col("mw").alias("forecast_mw"))
+    d = long.filter("type = 'D'").groupBy("region", "ts").agg(F.max("mw").alias("demand_mw"))
+    df = long.filter("type = 'DF'").groupBy("region", "ts").agg(F.max("mw").alias("forecast_mw"))
     return d.join(df, ["region", "ts"], "left")
 
 

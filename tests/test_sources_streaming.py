@@ -10,7 +10,7 @@ from loadstone.operators import vintage as vt
 from loadstone.sources import feeds, files
 from loadstone.streaming import operators as so
 from loadstone.streaming.sinks import drain, guarded_upsert, stream_table
-from loadstone.streaming.vintage import fold_batch, live_window, read_vintages, vintage_stream
+from loadstone.streaming.vintage import drop_superseded, fold_batch, live_window, read_vintages, vintage_stream
 
 
 def test_partitioned_round_trip_prunes_and_missing_table_is_empty(spark, tmp_path):
@@ -141,3 +141,25 @@ def test_guard_refuses_to_reseed(spark, tmp_path):
     missing = guarded_upsert(str(tmp_path / "gone"), mark, lambda old, new: new)
     with pytest.raises(RuntimeError, match="refusing"):
         missing(spark.range(1), 2)
+
+
+def test_vintage_table_refuses_a_lost_checkpoint_and_drops_old_versions(spark, tmp_path):
+    out = str(tmp_path / "guarded")
+    run = fold_batch(out)
+    batches = [spark.createDataFrame([("A", at(0), at(1 + k), 100.0 + k, None)], READ) for k in range(4)]
+    for k, b in enumerate(batches):
+        run(b, k)
+    run(batches[3], 3)  # a replay is no loss
+    want = read_vintages(spark, out).collect()
+    assert (want[0]["first_seen_d"], want[0]["last_d"]) == (100.0, 103.0)
+    with pytest.raises(RuntimeError):
+        run(batches[0], 0)
+    assert drop_superseded(spark, out) == 2
+    assert read_vintages(spark, out).collect() == want
+    assert drop_superseded(spark, out) == 0
+
+
+def test_day_ahead_join_collapses_repeated_records(spark):
+    rows = [("A", "2024-01-01T00", "D", "5"), ("A", "2024-01-01T00", "D", "7"), ("A", "2024-01-01T00", "DF", "3"), ("A", "2024-01-01T00", "DF", "4")]
+    records = spark.createDataFrame(rows, "region string, period string, type string, value string")
+    assert [tuple(r)[2:] for r in feeds.join_day_ahead(records).collect()] == [tuple(r)[2:] for r in feeds.parse_demand(records).collect()] == [(7.0, 4.0)]
