@@ -75,13 +75,15 @@ def net_load_stats(net: DataFrame, keys: Sequence[str] = ("region",)) -> DataFra
 
 def counterparties(flows: DataFrame, top: int = 3) -> DataFrame:
     """Net flow and the largest counterparties by size at each region's newest hour."""
-    x = flows.filter("interchange_mw IS NOT NULL")
-    last = x.groupBy("from_ba").agg(F.max("ts").alias("latest_hour"))
-    pair = x.join(last, "from_ba").filter("ts = latest_hour").groupBy("from_ba", "latest_hour", "to_ba").agg(F.sum("interchange_mw").alias("mw"))
-    net = pair.groupBy("from_ba").agg(F.round(F.sum("mw"), 2).alias("net_mw"))
-    w = Window.partitionBy("from_ba").orderBy(F.desc(F.abs("mw")), "to_ba")
-    ranked = pair.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    return ranked.join(net, "from_ba").select("from_ba", "latest_hour", "net_mw", "rank", "to_ba", F.round("mw", 2).alias("mw"))
+    # One pass over the flows: the newest hour of every pair, then windows over a region's pairs.
+    x = flows.filter("interchange_mw IS NOT NULL").groupBy("from_ba", "to_ba", "ts").agg(F.sum("interchange_mw").alias("mw"))
+    pair = x.groupBy("from_ba", "to_ba").agg(F.max(F.struct("ts", "mw")).alias("newest")).select("from_ba", "to_ba", "newest.*")
+    region = Window.partitionBy("from_ba")
+    at_newest = pair.withColumn("latest_hour", F.max("ts").over(region)).filter("ts = latest_hour")
+    ranked = at_newest.select(
+        "from_ba", "latest_hour", F.round(F.sum("mw").over(region), 2).alias("net_mw"),
+        F.row_number().over(region.orderBy(F.desc(F.abs("mw")), "to_ba")).alias("rank"), "to_ba", F.round("mw", 2).alias("mw"))
+    return ranked.filter(F.col("rank") <= top)
 
 
 def temperature_percentiles(weather: DataFrame, now: Column, min_hours: int = MIN_TEMPERATURE_HOURS) -> DataFrame:
