@@ -25,7 +25,16 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op1_suffix_array_dedup")
+@query("op1_suffix_array_dedup", r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+u AS (SELECT doc_id, unnest(string_split(regexp_replace(x, '(..)', '\1 ', 'g'), ' ')) AS v, generate_subscripts(string_split(regexp_replace(x, '(..)', '\1 ', 'g'), ' '), 1) AS i, length(x) // 2 AS n FROM b),
+q AS (SELECT doc_id, i, n, v FROM u WHERE i <= n),
+s AS (SELECT *, CASE WHEN i + 199 <= n THEN md5(string_agg(v, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING)) END AS h FROM q),
+f AS (SELECT doc_id, i, v, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS twice FROM s),
+c AS (SELECT doc_id, i, v, max(CAST(twice AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+d AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(v, '' ORDER BY i) FILTER (NOT gone) AS kept FROM d GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,7 +45,14 @@ def sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.digests(table(spark, sf_dir, "documents"), lattice.default_model())
 
 
-@query("op3_fm_index_dedup")
+@query("op3_fm_index_dedup", r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+s AS (SELECT *, CASE WHEN i + 34 <= n THEN md5(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h FROM u),
+f AS (SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS twice FROM s),
+c AS (SELECT *, max(CAST(twice AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""")
 def fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fm_index.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -101,7 +117,17 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op9_ngram_jaccard")
+@query("op9_ngram_jaccard", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+t AS (SELECT doc_id, n, i, w, lead(w, 1) OVER d AS w1, lead(w, 2) OVER d AS w2, lead(w, 3) OVER d AS w3, lead(w, 4) OVER d AS w4 FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, concat_ws(' ', w, w1, w2, w3, w4) AS s FROM t WHERE w4 IS NOT NULL OR (n < 5 AND i = 1)),
+z AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * k >= 75 * (x.c + y.c - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT doc_id, coalesce(any_value(z.c), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN z USING (doc_id) GROUP BY doc_id""")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "key")
 
