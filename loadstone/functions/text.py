@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 FUELS = {"SUN": "solar", "WND": "wind", "NG": "gas", "NUC": "nuclear", "COL": "coal", "WAT": "hydro", "OTH": "other"}
-DRIFT_KEYS = {"ts": "ts", "predicted": "p", "actual": "a", "lead_hours": "lh", "placeholder": "ph"}
+DRIFT_KEYS = {"ts": "ts", "predicted": "p", "actual": "a", "abs_pct_error": "e", "smape": "s", "lead_hours": "l", "anchor_ts": "at", "placeholder": "ap", "conditioned": "ac"}
+DRIFT_DIGITS = {"predicted": 2, "actual": 2, "abs_pct_error": 4, "smape": 4}
+DRIFT_SCHEMA = "ts TIMESTAMP, p DOUBLE, a DOUBLE, e DOUBLE, s DOUBLE, l BIGINT, at TIMESTAMP, ap BOOLEAN, ac BOOLEAN"
+VINTAGE_KEYS = {"target_ts": "ts", "first_seen_d": "d", "captured_at": "at", "last_d": "ld", "n_updates": "n", "first_seen_df": "df", "df_at": "dfat"}
+VINTAGE_DIGITS = {"first_seen_d": 2, "last_d": 2, "first_seen_df": 2}
+VINTAGE_SCHEMA = "ts TIMESTAMP, d DOUBLE, at TIMESTAMP, ld DOUBLE, n BIGINT, df DOUBLE, dfat TIMESTAMP"
 
 
 def fuel_name(code: str) -> Column:
@@ -77,11 +82,21 @@ def predictions_hash(predictions: Column) -> Column:
     return F.md5(F.array_join(F.transform(predictions, lambda p: F.format_string("%.2f", p)), ","))
 
 
-def encode_record(keys: dict[str, str] = DRIFT_KEYS) -> Column:
-    """JSON with short keys; null fields are left out."""
-    return F.to_json(F.struct(*[F.col(c).alias(k) for c, k in keys.items()]))
+def encode_record(keys: dict[str, str] = DRIFT_KEYS, digits: dict[str, int] = DRIFT_DIGITS) -> Column:
+    """JSON with short keys and rounded numbers; null and non-finite fields are left out."""
+    def value(c: str) -> Column:
+        if c not in digits:
+            return F.col(c)
+        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.round(c, digits[c]))
 
+    return F.to_json(F.struct(*[value(c).alias(k) for c, k in keys.items()]))
 
-def decode_record(doc: str, schema: str, keys: dict[str, str] = DRIFT_KEYS) -> list[Column]:
+
+def decode_record(doc: str, schema: str = DRIFT_SCHEMA, keys: dict[str, str] = DRIFT_KEYS) -> list[Column]:
+    """The fields of a record, null where absent; an absent symmetric error follows from the two values."""
     r = F.from_json(doc, schema)
-    return [r[k].alias(c) for c, k in keys.items()]
+    fields = {c: r[k] for c, k in keys.items()}
+    if "smape" in fields:
+        p, a = fields["predicted"], fields["actual"]
+        fields["smape"] = F.coalesce(fields["smape"], F.try_divide(200 * F.abs(a - p), F.abs(a) + F.abs(p)))
+    return [v.alias(c) for c, v in fields.items()]

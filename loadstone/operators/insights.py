@@ -148,6 +148,16 @@ def backtest_rules(s: DataFrame, horizon: str, keys: Sequence[str] = ("region",
     ])
 
 
+def ensemble_weight_insight(weights: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
+    """Members by weight, the dominant one first; as many rows a group as there are models."""
+    order = F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "model")))
+    g = weights.filter("weight IS NOT NULL").groupBy(*keys).agg(order.alias("m"))
+    parts = F.transform("m", lambda x: F.concat(x["model"], F.lit(" "), F.round(-x["w"] * 100).cast("long").cast("string"), F.lit("%")))
+    first = F.get("m", F.lit(0))["model"]
+    text = F.concat(F.lit("Ensemble weights: "), F.array_join(parts, ", "), F.lit(" \u2014 "), first, F.lit(" dominates due to lowest individual MAPE."))
+    return g.select(*keys, F.lit("ensemble_weights").alias("metric"), F.lit("info").alias("severity"), first.alias("dominant"), text.alias("text"))
+
+
 def r2_band(r2: Column) -> Column:
     return F.when(r2 > 0.97, "excellent").when(r2 > 0.95, "good").when(r2 > 0.90, "moderate").otherwise("weak")
 

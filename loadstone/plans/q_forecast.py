@@ -7,6 +7,7 @@ from loadstone.operators import backtest as bt
 from loadstone.operators import baseline as bl
 from loadstone.operators import ensemble as en
 from loadstone.operators import metrics as mt
+from loadstone.operators.insights import ensemble_weight_insight
 from loadstone.operators.quantiles import percentiles
 from loadstone.operators.series import hour_number, hours, newest, windowed, with_position
 from loadstone.plans import frames as fr
@@ -289,6 +290,14 @@ def ensemble_weights(spark, sf):
     return en.weights(member_scores(spark, sf), ["region"])
 
 
+@query("b25c_ensemble_weights", "scored", f"""WITH {WEIGHTS}
+SELECT region, 'ensemble_weights' AS metric, 'info' AS severity, first(model ORDER BY weight DESC, model) AS dominant,
+  'Ensemble weights: ' || string_agg(model || ' ' || CAST(round(weight * 100) AS BIGINT) || '%', ', ' ORDER BY weight DESC, model) || ' \u2014 ' || first(model ORDER BY weight DESC, model) || ' dominates due to lowest individual MAPE.' AS text
+FROM w GROUP BY region""")
+def weight_insight(spark, sf):
+    return ensemble_weight_insight(en.weights(member_scores(spark, sf), ["region"]))
+
+
 @query("b6_usable_member_weights", "scored", f"""WITH {SCORES} SELECT region, model, mape, pow(1 / mape, 3) / sum(pow(1 / mape, 3)) OVER (PARTITION BY region) AS weight FROM scores WHERE region <> 'view' OR model <> 'lag48'""", d="mape weight")
 def usable_weights(spark, sf):
     return en.usable_weights(member_scores(spark, sf), ["region"])

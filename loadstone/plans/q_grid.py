@@ -397,10 +397,25 @@ def frame_hash(spark, sf):
     return whole.groupBy("region").agg(tx.frame_signature("at", "cents").alias("signature"))
 
 
-@query("f19_record_round_trip", "scored", "SELECT region, model, ts, predicted, actual, lead_hours, placeholder FROM scored", d="predicted actual")
+@query("f19_record_round_trip", "scored", """
+SELECT region, model, ts, round(predicted, 2) AS predicted, round(actual, 2) AS actual, round(abs(actual - predicted) / actual * 100, 4) AS abs_pct_error,
+  CASE WHEN hour(ts) % 2 = 0 THEN round(200 * abs(actual - predicted) / (actual + predicted), 4) ELSE 200 * abs(round(actual, 2) - round(predicted, 2)) / (round(actual, 2) + round(predicted, 2)) END AS smape,
+  lead_hours, CASE WHEN lead_hours IS NOT NULL THEN ts - to_hours(lead_hours) END AS anchor_ts, placeholder, CASE WHEN placeholder THEN true END AS conditioned FROM scored""",
+       d="predicted actual abs_pct_error smape")
 def record_round_trip(spark, sf):
-    doc = fr.scored(spark, sf).select("region", "model", tx.encode_record().alias("doc"))
-    return doc.select("region", "model", *tx.decode_record("doc", "ts TIMESTAMP, p DOUBLE, a DOUBLE, lh BIGINT, ph BOOLEAN"))
+    """Drift records; on odd hours the symmetric error is missing, as in old records."""
+    s = fr.scored(spark, sf).select(
+        "*", mt.ape().alias("abs_pct_error"), F.when(F.hour("ts") % 2 == 0, mt.smape_row()).alias("smape"),
+        (F.col("ts") - F.make_dt_interval(F.lit(0), F.col("lead_hours").cast("int"))).alias("anchor_ts"), F.when(F.col("placeholder"), True).alias("conditioned"))
+    return s.select("region", "model", tx.encode_record().alias("doc")).select("region", "model", *tx.decode_record("doc"))
+
+
+@query("f19_vintage_round_trip", "vintage", """
+SELECT region, target_ts, round(CAST(first_seen_d AS DECIMAL(18, 4)), 2) AS first_seen_d, captured_at, round(CAST(last_d AS DECIMAL(18, 4)), 2) AS last_d, n_updates,
+  round(CAST(first_seen_df AS DECIMAL(18, 4)), 2) AS first_seen_df, df_at FROM vintage""", d="first_seen_d last_d first_seen_df")
+def vintage_round_trip(spark, sf):
+    v = fr.vintage(spark, sf).select("region", tx.encode_record(tx.VINTAGE_KEYS, tx.VINTAGE_DIGITS).alias("doc"))
+    return v.select("region", *tx.decode_record("doc", tx.VINTAGE_SCHEMA, tx.VINTAGE_KEYS))
 
 
 @query("f20_map_explode", "scored", "SELECT region, ts, model, predicted FROM scored WHERE predicted > 100")
