@@ -7,10 +7,13 @@ most frequent ones) and are otherwise different hashes, so a chance meeting unde
 repeated under the next; a pair is verified on whole texts only if it passes all of them.
 
 Pairs inside groups of near copies would grow with the square of the group, and most of them
-tell nothing new, so the join has two rounds. First every set is verified against one hub,
-the least set of most of its posting lists; the links give components. Then all pairs that pass the
-filters *between* components are verified. No pair between components is left out, so the components
-are exact; links inside a component need not be listed.
+tell nothing new, so the join has two rounds. First every set is verified against ``HUBS`` hubs:
+of a posting list the hub is the set with the largest share of its prefix in company, which among
+edited copies is the text they come from. The links give components. Then all pairs *between*
+components that share enough prefix tokens are verified. They are found under a second order, in
+which the tokens of long lists of the first come last as well, and must pass the filters of all
+other orders before their sets are compared. No pair between components is left out, so the
+components are exact; links inside a component need not be listed.
 
 Equal sets are one node from the start. Shingles are compared as 64-bit fingerprints.
 
@@ -34,8 +37,13 @@ from loadstone.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 ORDERS = 2
-FREQUENT = 1 << 17
-FREQUENT_IN_BLOCK = 3
+FREQUENT = 1 << 18
+FREQUENT_IN_TASK = 2
+COUNTED = 1 << 21
+LONG_LIST = 8
+HUBS = 2
+JOINED_LIST = 24
+MATRIX_ROWS = 1000
 BLOCK_ROWS = 2000
 HUB_MEMBERS = 1000
 _SALTS = tuple(np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(8))
@@ -100,10 +108,23 @@ def _close_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def _sketch(shingle: int):
-    """Rows (kind 0: id, key, size, set; kind 1: token, count) of a batch."""
+    """Rows (kind 0: id, key, size, set; kind 1: token, count) of a task.
+
+    Token counts are kept for up to ``COUNTED`` distinct tokens at a time; what was met once is not sent.
+    """
+
+    def often(tokens, count):
+        keep = count >= FREQUENT_IN_TASK
+        size = int(keep.sum())
+        return pa.record_batch({"kind": pa.array(np.ones(size, np.int32)), "id": pa.nulls(size, id_type), "key": pa.nulls(size, pa.int64()), "n": count[keep], "node": tokens[keep].view(np.int64)})
+
+    id_type = pa.int64()
 
     def run(batches):
+        nonlocal id_type
+        held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
+            id_type = b["id"].type
             for part in blocks(b, "text", BLOCK_ROWS):
                 s = Sets(part["text"], shingle)
                 yield pa.record_batch({"kind": pa.array(np.zeros(len(s.sizes), np.int32)), "id": part["id"], "key": part["key"], "n": s.sizes.astype(np.int64), "node": s.ids})
@@ -111,9 +132,14 @@ def _sketch(shingle: int):
                 keep = np.zeros(len(s.sizes), bool)
                 keep[first] = True
                 tokens, count = np.unique(s.tokens[keep[s.row]], return_counts=True)
-                often = count >= FREQUENT_IN_BLOCK
-                size = int(often.sum())
-                yield pa.record_batch({"kind": pa.array(np.ones(size, np.int32)), "id": pa.nulls(size, part["id"].type), "key": pa.nulls(size, pa.int64()), "n": count[often].astype(np.int64), "node": tokens[often].view(np.int64)})
+                merged, place = np.unique(np.concatenate([held, tokens]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, count]), minlength=len(merged)).astype(np.int64)
+                held = merged
+                if len(held) > COUNTED:
+                    yield often(held, counts)
+                    held, counts = held[:0], counts[:0]
+        if len(held):
+            yield often(held, counts)
 
     return run
 
@@ -181,7 +207,18 @@ def rows_of(fn):
     return run
 
 
-def _verify(shingle: int, percent: int):
+def _shares_prefixes(one: np.ndarray, two: np.ndarray, percent: int, orders: tuple[int, ...]) -> bool:
+    """Whether two sets share enough prefix tokens under every one of some orders by hash."""
+    a, b = len(one), len(two)
+    need = max(1, -(-percent * (a + b) // (100 + percent)) - (-(-percent * max(a, b) // 100) - 1))
+    for k in orders:
+        cut = [np.partition(h, p - 1)[:p] if p < len(h) else h for h, p in ((mix(x ^ _SALTS[k]), int(prefix_length(np.int64(len(x)), percent))) for x in (one, two))]
+        if len(np.intersect1d(*cut, assume_unique=True)) < need:
+            return False
+    return True
+
+
+def _verify(shingle: int, percent: int, orders: tuple[int, ...] = ()):
     """Rows sorted by hub, the hub's own first: links of the members whose sets are near the hub's."""
 
     def run(batches):
@@ -195,7 +232,7 @@ def _verify(shingle: int, percent: int):
                     mine = s.tokens[s.ends[i] : s.ends[i + 1]]
                     if own[i] == hubs[i]:
                         hub, hub_set = hubs[i], mine
-                    elif hub == hubs[i] and len(mine) and len(hub_set):
+                    elif hub == hubs[i] and len(mine) and len(hub_set) and _shares_prefixes(hub_set, mine, percent, orders):
                         at_hub = np.minimum(np.searchsorted(hub_set, mine), len(hub_set) - 1)
                         shared = int((hub_set[at_hub] == mine).sum())
                         found[i] = 100 * shared >= percent * (len(mine) + len(hub_set) - shared)
@@ -204,7 +241,7 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, orders: tuple[int, ...] = ()) -> DataFrame:
     """Links among ``pairs`` (hub, node), decided on the texts of their nodes (node, text)."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(HUB_MEMBERS)).alias("salts"))
@@ -212,7 +249,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     hubs = salts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     met = salted.unionByName(hubs).join(texts, "node").select("hub", "salt", "node", (F.col("node") != F.col("hub")).alias("member"), "text")
     placed = met.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    return placed.select("hub", "node", "text").mapInArrow(rows_of(_verify(shingle, percent)), "a long, b long")
+    return placed.select("hub", "node", "text").mapInArrow(rows_of(_verify(shingle, percent, orders)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,12 +262,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     frequent = np.sort(marks.select("node").toPandas()["node"].to_numpy(np.int64).view(np.uint64))  # at most FREQUENT of 8 bytes
     nodes = sketch.filter("kind = 0").select("id", "n", "node", "key")
 
-    lists = [stored(_listed(texts, shingle, percent, 0, frequent), "posting-lists")]
-    # One hub a node: the one it meets in most lists and could link with.
-    close = _close_sizes(F.col("n"), F.col("hub_n"), percent)
-    met = lists[0].filter("node <> hub").filter(close).groupBy("node", "hub").agg(F.count("*").alias("c"))
-    first = met.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    alive = lists[0].select("node").distinct()
+    listed = stored(_listed(texts, shingle, percent, 0, frequent), "posting-lists")
+    first = _hubs(listed, percent)
+    alive = listed.select("node").distinct()
     # Rows of one set may differ in text; one of them stands for it.
     heads = nodes.join(alive, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "id")).alias("row")).select("row.*")
     same_row = (texts["key"] == heads["key"]) & texts["id"].eqNullSafe(heads["id"])
@@ -239,12 +273,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = stored(_linked(first, kept, shingle, percent), "links")
     grouped = components(links)
 
-    lists += [stored(_listed(kept.select("text"), shingle, percent, k, frequent), "posting-lists") for k in range(1, orders)]
-    pairs = None
-    for found in lists:
-        between = _between(found, grouped, percent)
-        pairs = between if pairs is None else pairs.join(between, ["hub", "node"], "left_semi")
-    more = _linked(stored(pairs, "pairs"), kept, shingle, percent)
+    longer = listed.groupBy("token").count().filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "token").limit(FREQUENT)
+    late = np.union1d(frequent, longer.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # at most twice FREQUENT
+    second = stored(_listed(kept.select("text"), shingle, percent, 1, late), "posting-lists")
+    pairs = stored(_between(second, grouped, kept, shingle, percent, late), "pairs")
+    more = stored(_linked(pairs, kept, shingle, percent, tuple(k for k in range(orders + 1) if k != 1)), "links")
     root = components(links.unionByName(more))
     joined = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
@@ -253,6 +286,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", "key", component.alias("component_id"))
 
 
+def _hubs(listed: DataFrame, percent: int) -> DataFrame:
+    """(hub, node): for every listed node the hubs it meets in most lists and could link with."""
+    n = F.col("n")
+    prefix = n - F.ceil(F.lit(percent) * n / 100.0) + 1
+    central = listed.groupBy("node", "n").agg(F.count("*").alias("c")).select("node", (F.col("c") / prefix).alias("share"))
+    rows_ = listed.select("token", "node", "n").join(central, "node")
+    hub = F.max_by(F.struct("node", "n"), F.struct("share", "node")).alias("h")
+    met = rows_.join(rows_.groupBy("token").agg(hub), "token").select("node", "n", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    close = met.filter((F.col("node") != F.col("hub")) & _close_sizes(F.col("n"), F.col("hub_n"), percent)).groupBy("node", "hub").agg(F.count("*").alias("c"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "hub"))
+    return close.withColumn("_n", best).filter(F.col("_n") <= HUBS).select("hub", "node")
+
+
 def _own(shingle: int):
     """Texts with the node they belong to, each node once a block."""
 
@@ -266,22 +312,90 @@ def _own(shingle: int):
     return run
 
 
-def _between(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, node) of different components that share enough tokens of one order's prefixes.
+def _between(listed: DataFrame, grouped: DataFrame, texts: DataFrame, shingle: int, percent: int, late: np.ndarray) -> DataFrame:
+    """Pairs (hub, node) of different components that meet in a list of the second order.
 
-    In a list, only nodes outside the component of the list's least node look for partners, so a group of
-    near copies met by a few strangers costs the strangers times the group.
+    Lists of up to ``JOINED_LIST`` nodes are joined. Longer ones, where near copies crowd, are compared
+    inside tasks, in square blocks, and only pairs that share enough prefix tokens come out.
     """
-    root = grouped.withColumnRenamed("root", "comp")
-    rows_ = listed.join(root, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows_ = rows_.join(root.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-    rows_ = rows_.withColumn("out", F.col("comp") != F.col("hub_comp")).select("token", "node", "n", "comp", "out")
-    left = rows_.filter("out").select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "comp")])
-    met = left.join(rows_, "token").filter((F.col("comp") != F.col("l_comp")) & (~F.col("out") | (F.col("l_node") < F.col("node"))))
-    met = met.filter(_close_sizes(F.col("n"), F.col("l_n"), percent))
-    a, b = F.least("node", "l_node"), F.greatest("node", "l_node")
-    counted = met.groupBy(a.alias("hub"), b.alias("node")).agg(F.count("*").alias("c"), F.max(F.greatest("n", "l_n")).alias("big"), F.min(F.least("n", "l_n")).alias("small"))
-    return counted.filter(F.col("c") >= _least_shared(F.col("big"), F.col("small"), percent)).select("hub", "node")
+    placed = listed.select("token", "node", "n").join(grouped.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "size")
+    rows_ = stored(placed.join(sizes, "token"), "mixed-lists")
+    short = rows_.filter(F.col("size") <= JOINED_LIST)
+    other = short.select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "comp")])
+    met = short.join(other, "token").filter((F.col("l_node") < F.col("node")) & (F.col("comp") != F.col("l_comp")) & _close_sizes(F.col("n"), F.col("l_n"), percent))
+    joined = met.select(F.col("l_node").alias("hub"), "node").distinct()
+
+    crowded = rows_.filter(F.col("size") > JOINED_LIST)
+    prefixes_ = texts.join(crowded.select("node").distinct(), "node", "left_semi").select("text").mapInArrow(_prefix_rows(shingle, percent, late), "node long, prefix binary").dropDuplicates(["node"])
+    blocks_ = F.ceil(F.col("size") / F.lit(MATRIX_ROWS))
+    own = F.pmod(F.xxhash64("node"), blocks_)
+    spread = crowded.select("token", "node", "n", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks_ - 1)).alias("other"))
+    keyed = spread.join(prefixes_, "node").select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "comp", "prefix")
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "own", "node")
+    compared = ordered.mapInArrow(_crowds(percent), "hub long, node long")
+    return joined.unionByName(compared).distinct()
+
+
+def _prefix_rows(shingle: int, percent: int, late: np.ndarray):
+    """Each node's prefix under the second order, as sorted 8-byte tokens."""
+
+    def run(batches):
+        for b in batches:
+            for part in blocks(b, "text", BLOCK_ROWS):
+                s = Sets(part["text"], shingle)
+                row, token = prefixes(s, s.sizes > 0, 1, late, percent)
+                ends = np.searchsorted(row, np.arange(len(s.sizes) + 1))
+                out = [np.sort(token[a:z]).tobytes() for a, z in zip(ends[:-1], ends[1:])]
+                yield pa.record_batch({"node": s.ids, "prefix": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _crowds(percent: int):
+    """Rows of one block pair of a list together: the pairs of different components with enough common prefix tokens."""
+
+    def compare(table: pa.Table):
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        own, node, n, comp = (table[c].to_numpy() for c in ("own", "node", "n", "comp"))
+        sets = [np.frombuffer(p, np.uint64) for p in table["prefix"].to_pylist()]
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), [len(p) for p in sets])
+        shared = np.bincount(ids)[ids] > 1
+        used, column = np.unique(ids[shared], return_inverse=True)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(used), 2048):  # a strip of tokens at a time
+            strip = np.zeros((len(sets), min(2048, len(used) - at)), np.float32)
+            inside = (column >= at) & (column < at + 2048)
+            strip[row[shared][inside], column[inside] - at] = 1
+            common += strip[left] @ strip[right].T
+        a, b = n[left][:, None], n[right][None, :]
+        big, small = np.maximum(a, b), np.minimum(a, b)
+        need = np.maximum(1, -(-percent * (a + b) // (100 + percent)) - (-(-percent * big // 100) - 1))
+        hit = (common >= need) & (100 * small >= percent * big) & (comp[left][:, None] != comp[right][None, :]) & (node[left][:, None] != node[right][None, :])
+        i, j = np.nonzero(hit)
+        one, two = node[left[i]], node[right[j]]
+        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+        return pa.record_batch({"hub": pairs[:, 0], "node": pairs[:, 1]})
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            keys = np.stack([b[c].to_numpy() for c in ("token", "x", "y")], axis=1)
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            for a, z in zip(cuts, np.append(cuts[1:], len(keys))):
+                if key is not None and tuple(keys[a]) != key:
+                    yield compare(pa.Table.from_batches(held))
+                    held = []
+                key = tuple(keys[a])
+                held.append(b.slice(a, z - a))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return rows_of(run)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

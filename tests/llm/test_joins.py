@@ -63,6 +63,11 @@ def test_frequent_tokens_and_small_hubs_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 5)
     monkeypatch.setattr(jaccard, "HUB_MEMBERS", 3)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "COUNTED", 50)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    monkeypatch.setattr(jaccard, "JOINED_LIST", 3)
+    monkeypatch.setattr(jaccard, "MATRIX_ROWS", 4)
     rows = [(i, t) for i, t in enumerate(t for k in range(3) for t in family(20 + k, 10))]
     assert got(jaccard.near_duplicates(documents(spark, rows), orders=3)) == components_wanted(rows)
 
