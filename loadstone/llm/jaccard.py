@@ -375,7 +375,12 @@ def _crowds(percent: int):
         big, small = np.maximum(a, b), np.minimum(a, b)
         need = np.maximum(1, -(-percent * (a + b) // (100 + percent)) - (-(-percent * big // 100) - 1))
         hit = (common >= need) & (100 * small >= percent * big) & (comp[left][:, None] != comp[right][None, :]) & (node[left][:, None] != node[right][None, :])
-        i, j = np.nonzero(hit)
+        # A pair that meets in several lists comes out of the one of its least common token.
+        token = np.int64(table["token"][0].as_py()).view(np.uint64)
+        met = [(i, j) for i, j in zip(*np.nonzero(hit)) if np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True)[0] == token]
+        if not met:
+            return pa.record_batch({"hub": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+        i, j = np.array(met).T
         one, two = node[left[i]], node[right[j]]
         pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
         return pa.record_batch({"hub": pairs[:, 0], "node": pairs[:, 1]})
