@@ -6,9 +6,13 @@ anchor but differ somewhere, goes as text to a *shard*, where an operator's own
 window by window. Equal contents are merged before that, so a group of copies costs one piece.
 
 An anchor with very many contents (the edge of a passage that many documents share) would
-make one large group. Its cells are cut into runs of ``HOT_RUN`` windows, keyed by the
-symbols that all windows at those places have in common: equal windows still meet, and a group
-is as small as the variety of a few symbols beside a string of almost a window.
+make one large group. Its cells are cut into runs of windows, keyed by the symbols that all
+windows at those places have in common, so equal windows still meet. The runs are counted by key
+and content like whole cells: equal ones (the inside of the passage) are repeats of all their
+windows, and one of each content goes on. Keys that still have very many contents (surroundings
+that differ beside one core) are cut again, down to single windows, which are their own key. No
+key in a shard has more than ``HOT_CONTENTS`` pieces. A key with one content is done: the
+windows of a cell have their anchor at different places, so no two of them are equal.
 
 Counts are pre-aggregated in each task. Cells go back to the counts by a sort-merge join,
 which adaptive execution splits where one anchor is hot.
@@ -17,6 +21,7 @@ which adaptive execution splits where one anchor is hot.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +33,10 @@ from loadstone.llm.grams import prefix_sums, range_hash
 
 CELL = "anchor long, content long, rid long, first long, last long, place int"
 RUN = "rid long, first long, last long"
-PIECE = "anchor long, rid long, first long, copies long, symbols binary"
+PIECE = "anchor long, content long, rid long, first long, last long, place int, copies long, symbols binary"
 PIECES_PER_SHARD = 20_000
 HOT_CONTENTS = 2_000
-HOT_RUN = 8
+HOT_RUNS = (8, 1)  # windows of a run; the last is a single one
 
 
 def repeated_runs(docs: DataFrame, cut: Callable, extract: Callable, index: Callable) -> DataFrame:
@@ -50,13 +55,31 @@ def repeated_runs(docs: DataFrame, cut: Callable, extract: Callable, index: Call
     mixed = shared.filter("mixed").drop("mixed")
     contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "last", "place")).alias("one")), "cell-contents")
     copied = mixed.join(contents.filter("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("rid", "first", "last")
-    hot = contents.groupBy("anchor").agg((F.count("*") > HOT_CONTENTS).alias("hot"))
-    each = contents.join(hot, "anchor").select("anchor", "one.*", "copies", "hot")
-    wanted = each.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last", "place", "copies", "hot")).alias("wanted"))
-    pieces = docs.join(wanted, "rid").mapInArrow(extract, PIECE)
+    decided, kept = [same, copied], []
+    groups = contents.select("anchor", "content", "copies", "one.*")
+    for step in HOT_RUNS:
+        hot = stored(groups.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CONTENTS).select("anchor"), "hot-anchors")
+        if hot.isEmpty():
+            kept.append(groups)
+            break
+        kept.append(groups.join(hot, "anchor", "left_anti"))
+        runs = stored(_pieces(docs, groups.join(hot, "anchor", "left_semi"), extract, step).drop("symbols"), "hot-runs")
+        merged = stored(runs.groupBy("anchor", "content").agg(
+            F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min(F.struct("rid", "first", "last", "place")).alias("one")), "run-contents")
+        decided.append(runs.join(merged.filter("n > 1").select("anchor", "content"), ["anchor", "content"]).select("rid", "first", "last"))
+        several = merged.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo != hi").select("anchor")
+        groups = merged.select("anchor", "content", "copies", "one.*").join(several, "anchor", "left_semi")
+    each = reduce(DataFrame.unionByName, kept)
+    pieces = _pieces(docs, each, extract).select("anchor", "rid", "first", "copies", "symbols")
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), contents.count() // PIECES_PER_SHARD + 1)
     found = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(index, RUN)
-    return same.unionByName(copied).unionByName(found)
+    return reduce(DataFrame.unionByName, [*decided, found])
+
+
+def _pieces(docs: DataFrame, cells: DataFrame, extract: Callable, step: int = 0) -> DataFrame:
+    """The cells' pieces with their symbols, or (``step``) their runs of ``step`` windows without symbols."""
+    cell = F.struct("anchor", "content", "first", "last", "place", "copies", F.lit(step).alias("step"))
+    return docs.join(cells.groupBy("rid").agg(F.collect_list(cell).alias("wanted")), "rid").mapInArrow(extract, PIECE)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,42 +101,35 @@ def cell_batch(found, rid: pa.Array) -> pa.RecordBatch:
 
 
 def piece_batch(wanted: pa.ListArray, rid: pa.Array, begins: np.ndarray, symbols: np.ndarray, length: int, values: np.ndarray | None = None) -> pa.RecordBatch:
-    """Pieces of one batch: the symbols [first, last + length) of every wanted cell, hot ones in runs."""
+    """Pieces of one batch: the symbols [first, last + length) of every wanted cell, or the runs of cells to be cut."""
     counts = np.diff(wanted.offsets.to_numpy())
     flat = wanted.flatten()
-    anchor, first, last, place, copies = (flat.field(c).to_numpy() for c in ("anchor", "first", "last", "place", "copies"))
-    hot = flat.field("hot").to_numpy(zero_copy_only=False)
+    anchor, content, first, last, place, copies, step = (flat.field(c).to_numpy() for c in ("anchor", "content", "first", "last", "place", "copies", "step"))
     row = np.repeat(np.arange(len(wanted)), counts)
-    base = begins[row]
-    if hot.any():
+    sizes = last + length - first
+    picked = symbols[spread_ranges(begins[row] + first, sizes)]
+    if len(step) and step[0]:  # the same for all cells of a pass
         at = first + place  # of the anchor
-        low, high = np.where(hot, (at - last) // HOT_RUN, 0), np.where(hot, (at - first) // HOT_RUN, 0)
+        low, high = (at - last) // step, (at - first) // step
         of = np.repeat(np.arange(len(first)), high - low + 1)
         run = spread_ranges(low, high - low + 1)
-        begin, end = at[of] - (run + 1) * HOT_RUN + 1, at[of] - run * HOT_RUN  # window starts of a whole run
-        anchor = np.where(hot[of], _core_keys(symbols, base[of] + end, base[of] + begin + length, hot[of], run, anchor[of], values), anchor[of])
-        first, last = np.where(hot[of], np.maximum(begin, first[of]), first[of]), np.where(hot[of], np.minimum(end, last[of]), last[of])
-        copies, row, base = copies[of], row[of], base[of]
-    sizes = last + length - first
-    picked = symbols[spread_ranges(base + first, sizes)]
+        at, step, row, copies = at[of], step[of], row[of], copies[of]
+        begin, end = at - (run + 1) * step + 1, at - run * step  # window starts of a whole run
+        sums = prefix_sums(picked if values is None else values[picked])
+        base = (np.cumsum(sizes) - sizes - first)[of]
+        core = range_hash(sums, base + end, base + begin + length)
+        anchor = mix(core + run.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + anchor[of].view(np.uint64)).view(np.int64)
+        first, last = np.maximum(begin, first[of]), np.minimum(end, last[of])
+        place = (at - first).astype(np.int32)
+        content = mix(range_hash(sums, base + first, base + last + length) + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
+        sizes, picked = np.zeros(len(first), np.int64), picked[:0]
     width = symbols.dtype.itemsize
     return pa.record_batch({
-        "anchor": anchor, "rid": rid.take(pa.array(row)), "first": first, "copies": copies,
+        "anchor": anchor, "content": content, "rid": rid.take(pa.array(row)), "first": first, "last": last, "place": place, "copies": copies,
         "symbols": binary_array(picked.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * width),
     })
 
 
-def _core_keys(symbols, start, end, hot, run, anchor, values) -> np.ndarray:
-    """Fingerprints of symbols [start, end), with the anchor and the run's number; only for the hot ones."""
-    keys = np.zeros(len(start), np.uint64)
-    sizes = end[hot] - start[hot]
-    picked = symbols[spread_ranges(start[hot], sizes)]
-    ends = np.cumsum(sizes)
-    sums = prefix_sums(picked if values is None else values[picked])
-    keys[hot] = mix(range_hash(sums, ends - sizes, ends) + run[hot].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + anchor[hot].view(np.uint64))
-    return keys.view(np.int64)
-
-
 def whole_anchors(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Table]:
     """Consecutive rows of about ``budget`` symbol bytes, never cut inside an anchor."""
     held: list[pa.RecordBatch] = []

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,26 @@ def test_hot_anchors_in_runs_agree(spark, monkeypatch):
     rows = [(k, t) for k, (_, t) in enumerate(rows)]
     assert bytes_got(suffix_array.remove_repeats(documents(spark, rows), 120)) == bytes_wanted(rows, 120)
     assert rows_of(fm_index.remove_repeats(documents(spark, rows), 20), "doc_id", "n_words", "n_removed", "kept") == words_wanted(rows, 20)
+
+
+@pytest.mark.parametrize("operator", [suffix_array, fm_index])
+def test_shared_passage_leaves_no_large_key(spark, monkeypatch, operator):
+    """A passage in many documents with other surroundings: no key of a shard has more pieces than a hot anchor may."""
+    monkeypatch.setattr(repeats, "HOT_CONTENTS", 6)
+    r = random.Random(11)
+    noise = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(30))
+    passage = " ".join(f"p{i * i % 89}q{i}" for i in range(40))
+    rows = [(i, f"{noise()} {passage} {noise()}") for i in range(50)]
+    length = 90 if operator is suffix_array else 24
+
+    def sizes(batches):
+        for b in batches:
+            for v in b["anchor"].value_counts().to_pylist():
+                yield pa.record_batch({"rid": pa.array([-1], pa.int64()), "first": pa.array([v["counts"]], pa.int64()), "last": pa.array([v["values"]], pa.int64())})
+
+    docs = repeats.keyed(documents(spark, rows), "doc_id", "text")
+    runs = repeats.repeated_runs(docs, operator._cut(length), operator._extract(length), sizes).filter("rid = -1")
+    largest = runs.groupBy("last").agg(F.sum("first").alias("n")).agg(F.max("n")).first()[0]
+    assert (largest or 0) <= 6
+    got, want = (bytes_got, bytes_wanted) if operator is suffix_array else (lambda d: rows_of(d, "doc_id", "n_words", "n_removed", "kept"), words_wanted)
+    assert got(operator.remove_repeats(documents(spark, rows), length)) == want(rows, length)
