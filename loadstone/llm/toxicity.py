@@ -2,7 +2,7 @@
 
 Learning: every word and its leading 4, 5 and 6 bytes are features; a feature's weight is its
 log-odds between toxic and clean labelled documents under a Dirichlet prior in proportion to
-its share of all documents (worth ``PRIOR_SHARE`` of them), kept if it is ``WEIGHT_LEAST`` and
+its share of all documents of the corpus (worth ``PRIOR_SHARE`` of the labelled ones), kept if it is ``WEIGHT_LEAST`` and
 ``Z_LEAST`` deviations above zero. Copies of a text count once. The strongest ``FEATURES``
 weights are the model; that and the labelled sample (``TRAIN_ROWS``, the rows of least hash)
 are its only bounds.
@@ -10,7 +10,8 @@ are its only bounds.
 Scoring: a token scores its best weight, or ``-DRIFT`` if it has none. One linear scan per document
 finds all maximal segments, each the best of its surroundings. Their scores follow an
 extreme-value law: a clean text of n tokens has K n exp(-lambda s) segments of s or more, with
-lambda from the token scores of clean documents. The expected count for the best segment
+lambda and K from the counted token scores of the clean labelled documents (half a token more at the
+greatest score keeps lambda finite; K on scores rounded to multiples of ``GRID``). The expected count for the best segment
 and the number of significant segments give the probability, by a logistic curve fitted on
 the labelled sample.
 
@@ -41,6 +42,7 @@ WEIGHT_LEAST = 1.5
 CLIP = 8.0
 DRIFT = 0.5
 SIGNIFICANT = 0.01
+GRID = DRIFT / 8
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -52,6 +54,7 @@ class Model(NamedTuple):
     short: np.ndarray  # sorted fingerprints of the features' first bytes
     rate: float  # lambda of the extreme-value law
     curve: np.ndarray  # logistic coefficients
+    scale: float = 1.0  # K of the extreme-value law
 
 
 def _tokens(col: pa.Array):
@@ -74,6 +77,25 @@ def _head(raw: np.ndarray, w: grams.Words, size: int, pick: np.ndarray | slice =
     return mix(out)
 
 
+def _background(wanted: np.ndarray):
+    """Documents of a batch that have each ``wanted`` (sorted) feature; all documents under a null feature."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, w = _tokens(b["text"])
+        doc = np.repeat(np.arange(b.num_rows), np.diff(w.offsets))
+        keys = [np.zeros(0, np.int64)]
+        for f in [w.hash, *[_head(raw, w, k) for k in PREFIXES]]:
+            at = np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)
+            hit = wanted[at] == f
+            keys.append(at[hit] * b.num_rows + doc[hit])
+        found = np.unique(np.concatenate(keys)) // b.num_rows
+        at, n = np.unique(found, return_counts=True)
+        feature = pa.array([*wanted[at].view(np.int64).tolist(), None], pa.int64())
+        return pa.record_batch({"feature": feature, "n": np.append(n, b.num_rows).astype(np.int64)})
+
+    return rows(batch)
+
+
 def _per_document(b: pa.RecordBatch) -> pa.RecordBatch:
     """Features of the labelled documents of a batch, with their toxic and clean documents."""
     raw, w = _tokens(b["text"])
@@ -117,24 +139,30 @@ def segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> li
     return [(int(a), int(b), after - before) for a, b, before, after in stack]
 
 
+def _scored_tokens(model: Model, col: pa.Array):
+    """Token offsets of the documents, and the tokens with a weight: their places and scores."""
+    raw, w = _tokens(col)
+    if not len(w.start) or not len(model.features):
+        return w.offsets, np.zeros(0, np.int64), np.zeros(0)
+    head = _head(raw, w, PREFIXES[0])
+    live = np.flatnonzero(model.short[np.minimum(np.searchsorted(model.short, head), len(model.short) - 1)] == head)
+    best = np.zeros(len(live))
+    for f in [w.hash[live], *[_head(raw, w, k, live) for k in PREFIXES]]:
+        at = np.minimum(np.searchsorted(model.features, f), len(model.features) - 1)
+        best = np.maximum(best, np.where(model.features[at] == f, model.weights[at], 0))
+    return w.offsets, live[best > 0], best[best > 0]
+
+
 def _findings(model: Model, col: pa.Array):
     """Tokens per document, and the documents' maximal segments."""
-    raw, w = _tokens(col)
-    n = np.diff(w.offsets)
+    offsets, live, best = _scored_tokens(model, col)
+    n = np.diff(offsets)
     found: list[list[tuple[int, int, float]]] = [[] for _ in range(len(n))]
-    if len(w.start) and len(model.features):
-        head = _head(raw, w, PREFIXES[0])
-        live = np.flatnonzero(model.short[np.minimum(np.searchsorted(model.short, head), len(model.short) - 1)] == head)
-        best = np.zeros(len(live))
-        for f in [w.hash[live], *[_head(raw, w, k, live) for k in PREFIXES]]:
-            at = np.minimum(np.searchsorted(model.features, f), len(model.features) - 1)
-            best = np.maximum(best, np.where(model.features[at] == f, model.weights[at], 0))
-        live, best = live[best > 0], best[best > 0]
-        doc = np.searchsorted(w.offsets, live, "right") - 1
-        edges = np.searchsorted(doc, np.arange(len(n) + 1))
-        for d in np.flatnonzero(np.diff(edges)):
-            a, z = edges[d], edges[d + 1]
-            found[d] = segments(live[a:z] - w.offsets[d], best[a:z])
+    doc = np.searchsorted(offsets, live, "right") - 1
+    edges = np.searchsorted(doc, np.arange(len(n) + 1))
+    for d in np.flatnonzero(np.diff(edges)):
+        a, z = edges[d], edges[d + 1]
+        found[d] = segments(live[a:z] - offsets[d], best[a:z])
     return n, found
 
 
@@ -144,7 +172,7 @@ def _evidence(model: Model, n: np.ndarray, found) -> np.ndarray:
     out[:, 0] = 1
     for i, segs in enumerate(found):
         if segs:
-            size = math.log(max(int(n[i]), 1))
+            size = math.log(max(int(n[i]), 1) * model.scale)
             logs = [max(min(model.rate * s - size, 40.0), -10.0) for _, _, s in segs]
             out[i, 1] = max(logs)
             out[i, 2] = math.log1p(sum(x > -math.log(SIGNIFICANT) for x in logs))
@@ -169,6 +197,30 @@ def _rate(scores: np.ndarray, shares: np.ndarray) -> float:
     return lo
 
 
+def _law_scale(scores: np.ndarray, shares: np.ndarray, grid: float = GRID, steps: int = 1000) -> float:
+    """K of the extreme-value law (Karlin and Altschul) for token scores rounded to multiples of ``grid``."""
+    places = np.rint(scores / grid).astype(np.int64)
+    low, high = int(places.min()), int(places.max())
+    step = np.bincount(places - low, weights=shares, minlength=high - low + 1)
+    at = np.arange(low, high + 1)
+    if step @ at >= 0:
+        return 1.0  # no drift downwards, so no law
+    rate = _rate(at.astype(float), step)
+    total, walk = 0.0, np.ones(1)
+    for k in range(1, steps + 1):
+        walk = np.convolve(walk, step)
+        walk = walk[: np.flatnonzero(walk > 1e-18)[-1] + 1]
+        sums = np.arange(len(walk)) + k * low
+        below = sums < 0
+        term = float((walk[below] * np.exp(rate * sums[below])).sum() + walk[~below].sum()) / k
+        total += term
+        if term < 1e-7:
+            break
+    lean = float((step * at * np.exp(rate * at)).sum())
+    unit = np.gcd.reduce(at[step > 0])  # scores on a coarser grid
+    return float(unit * math.exp(-2 * total) / (lean * -math.expm1(-rate * unit)))
+
+
 def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     beta = np.zeros(x.shape[1])
     for _ in range(50):
@@ -198,30 +250,45 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
         return empty
     counts = texts.mapInArrow(rows(_per_document), "feature long, head long, y1 long, y0 long").groupBy("feature").agg(
         F.min("head").alias("head"), F.max("head").alias("other"), F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+    seen = counts.filter("y1 >= 3 and head = other").select("feature", "head", "y1", "y0").toPandas()  # features of at most train_rows texts
+    if not len(seen):
+        return empty
+    seen = seen.iloc[np.argsort(seen["feature"].to_numpy(np.int64).view(np.uint64))]
+    wanted = seen["feature"].to_numpy(np.int64).view(np.uint64)
+    spread = docs.select("text").mapInArrow(_background(wanted), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    known = spread.filter(spread["feature"].is_valid())
+    everywhere = float(spread.filter(spread["feature"].is_null())["n"][0].as_py())
+    held = np.zeros(len(wanted))
+    held[np.searchsorted(wanted, known["feature"].to_numpy().view(np.uint64))] = known["n"].to_numpy()
+    usual = held < everywhere  # a feature of every document tells nothing
+    seen, wanted, share = seen[usual], wanted[usual], held[usual] / everywhere
     prior = PRIOR_SHARE * (n1 + n0)
-    share = PRIOR_SHARE * (F.col("y1") + F.col("y0"))
-    a1, a0 = F.col("y1") + share, F.col("y0") + share
-    weight = F.log(a1 / (n1 + prior - a1)) - F.log(a0 / (n0 + prior - a0))
-    scored = counts.filter("y1 >= 3 and head = other").select("feature", "head", "y0", weight.alias("weight"), (weight / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    top = scored.filter((F.col("z") >= Z_LEAST) & (F.col("weight") >= WEIGHT_LEAST)).orderBy(F.desc("z"), "feature").limit(features).toPandas()
-    if not len(top):
+    a1, a0 = seen["y1"].to_numpy(float) + prior * share, seen["y0"].to_numpy(float) + prior * share
+    weight = np.log(a1 / (n1 + prior - a1)) - np.log(a0 / (n0 + prior - a0))
+    z = weight / np.sqrt(1 / a1 + 1 / a0)
+    good = np.flatnonzero((z >= Z_LEAST) & (weight >= WEIGHT_LEAST))
+    good = np.sort(good[np.lexsort((wanted[good], -z[good]))[:features]])
+    if not len(good):
         return empty
-    f = top["feature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(f)
-    weights = np.clip(top["weight"].to_numpy(float), DRIFT, CLIP)[order]
-    model = Model(f[order], weights, np.unique(top["head"].to_numpy(np.int64).view(np.uint64)), 1.0, np.zeros(3))
-    # Clean tokens with a weight are counted by documents; half a document more keeps the law finite.
-    per_token = (top["y0"].to_numpy(float)[order] + 0.5) / (n0 * 300.0)
-    scores, shares = np.append(weights, -DRIFT), np.append(per_token, max(1 - per_token.sum(), 0.5))
-    model = model._replace(rate=_rate(scores, shares))
+    weights = np.clip(weight[good], DRIFT, CLIP)
+    model = Model(wanted[good], weights, np.unique(seen["head"].to_numpy(np.int64)[good].view(np.uint64)), 1.0, np.zeros(3))
+
+    def token_scores(b: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, _, best = _scored_tokens(model, b["text"])
+        score, n = np.unique(best, return_counts=True)
+        return pa.record_batch({"score": np.append(score, -DRIFT), "n": np.append(n, offsets[-1] - len(best)).astype(np.int64)})
+
+    clean = texts.filter("toxic != 1").mapInArrow(rows(token_scores), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()  # at most a row per weight
+    scores, n = np.append(clean["score"].to_numpy(float), weights.max()), np.append(clean["n"].to_numpy(float), 0.5)
+    model = model._replace(rate=_rate(scores, n / n.sum()), scale=_law_scale(scores, n / n.sum()))
 
     def evidence(b: pa.RecordBatch) -> pa.RecordBatch:
         x = _evidence(model, *_findings(model, b["text"]))
         return pa.record_batch({"x1": x[:, 1], "x2": x[:, 2], "y": b["toxic"].cast(pa.float64())})
 
-    seen = texts.mapInArrow(rows(evidence), "x1 double, x2 double, y double").toPandas()  # at most train_rows rows
-    x = np.stack([np.ones(len(seen)), seen["x1"], seen["x2"]], axis=1)
-    return model._replace(curve=_fit_curve(x, seen["y"].to_numpy(float)))
+    fitted = texts.mapInArrow(rows(evidence), "x1 double, x2 double, y double").toPandas()  # at most train_rows rows
+    x = np.stack([np.ones(len(fitted)), fitted["x1"], fitted["x2"]], axis=1)
+    return model._replace(curve=_fit_curve(x, fitted["y"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -233,7 +300,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         n, found = _findings(model, b["_text"])
         p = _sigmoid(_evidence(model, n, found) @ model.curve)
         passages = [
-            [{"first": a, "last": z, "score": s, "expected": e} for a, z, s in segs if (e := int(k) * math.exp(-min(model.rate * s, 500.0))) < SIGNIFICANT]
+            [{"first": a, "last": z, "score": s, "expected": e} for a, z, s in segs if (e := model.scale * int(k) * math.exp(-min(model.rate * s, 500.0))) < SIGNIFICANT]
             for k, segs in zip(n, found)
         ]
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))

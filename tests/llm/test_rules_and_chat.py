@@ -166,3 +166,25 @@ def test_spans_of_an_unknown_template():
         out = f.add(role, said)
         text += out["piece"]
         assert text[out["text_start"] : out["text_end"]] == said and (out["start"], out["end"]) == (len(text) - len(out["piece"]), len(text))
+
+
+def test_law_of_clean_segments():
+    """lambda and K: the closed form of a simple walk, and the same scores on a finer grid."""
+    p = 0.2
+    scores, shares = np.array([-1.0, 1.0]), np.array([1 - p, p])
+    assert np.isclose(toxicity._rate(scores, shares), np.log((1 - p) / p))
+    for grid in (1.0, 0.25):
+        assert np.isclose(toxicity._law_scale(scores, shares, grid), (1 - 2 * p) ** 2 / (1 - p), rtol=1e-4)
+
+
+def test_calibration_counts_tokens(spark):
+    """The law follows the occurrences in clean texts, whatever their length, and the prior all documents."""
+    def corpus(copies, more=0):
+        texts = [(i, " ".join([f"w{i}x"] * copies + (["vileword"] if i % 5 == 0 or i == 7 else []) + ["plain" if i % 9 else "other"] * copies)) for i in range(200)]
+        return documents(spark, texts + [(1000 + k, f"vileword {k}") for k in range(more)])
+
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    short, long = (toxicity.learn(corpus(n), labels) for n in (20, 2000))
+    assert np.allclose(short.weights, long.weights) and len(short.weights)
+    assert long.rate > short.rate * 1.5
+    assert abs(short.weights.max() - toxicity.learn(corpus(20, 2000), labels).weights.max()) > 0.5
