@@ -4,9 +4,12 @@ A template is any function from a list of (role, text) to a string. Nothing is k
 each turn is found by rendering one turn more and comparing: if the new output begins with the
 old one, the rest is the turn's span; if not, the template rewrites history, which is reported.
 The place of a text inside its span is found by rendering it once more with one marker
-character in its stead. Prefixes are rendered whole up to ``WINDOW`` turns; in longer
-conversations only the newest turn stays as context (a template that looks further back needs
-a larger window), so a conversation of any length costs linear time and bounded memory.
+character in its stead. Prefixes are rendered whole, however long the conversation: what an
+unknown template does with earlier turns cannot be told from a part of them. That is work in the
+square of a conversation's turns, and one conversation in memory. For a template known to be
+*local* (the output of a list of turns is that of its parts, joined, whatever came before) the caller
+may pass ``window``: after that many turns only the newest stays as context, so a
+conversation of any length costs linear time and bounded memory.
 
 Rows of a conversation stream through one task in order, nothing is collected; the output is
 one row a turn, whose ``piece`` strings, joined, are the formatted conversation.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Template = Callable[[list[tuple[str, str]]], str]
-WINDOW = 64
+LOCAL_WINDOW = 64  # turns of context for templates declared local
 MARK = "\ue000"
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
@@ -61,14 +64,14 @@ def read_turns(text: str) -> tuple[list[tuple[str, str, int, int]], int]:
 class Formatter:
     """Renders the turns of one conversation one after another."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
         self.context: list[tuple[str, str]] = []
         self.before = ""
         self.chars = 0
 
     def add(self, role: str, text: str) -> dict:
-        if len(self.context) >= self.window:
+        if self.window is not None and len(self.context) >= self.window:
             self.context = self.context[-1:]
             self.before = self.template(self.context)
         now = self.template([*self.context, (role, text)])
@@ -98,7 +101,7 @@ def _ordered(batches):
         yield from zip(*[b[c].to_pylist() for c in ("conv_id", "turn", "role", "text")])
 
 
-def _format(template: Template, window: int, id_type: pa.DataType):
+def _format(template: Template, window: int | None, id_type: pa.DataType):
     schema = pa.schema([("conv_id", id_type), ("turn", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                         ("text_start", pa.int64()), ("text_end", pa.int64()), ("rewritten", pa.bool_())])
 
@@ -118,11 +121,11 @@ def _format(template: Template, window: int, id_type: pa.DataType):
     return run
 
 
-def format_turns(conversations: DataFrame, template: Template = marked_turns, window: int = WINDOW) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = marked_turns, window: int | None = None) -> DataFrame:
     """One row a turn: conv_id, turn, role, piece, its place (start, end) in the conversation's
     formatted text, the place of the escaped text (null if the template does not show it), rewritten.
 
-    A conversation's rows stay in one partition, in order.
+    A conversation's rows stay in one partition, in order. ``window`` declares the template local.
     """
     import pyspark.sql.pandas.types as at
 

@@ -75,7 +75,8 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(INJECTED).alias("text"))
-    return chat.read_back(chat.format_turns(given.unionByName(extra))).drop("rewritten")
+    pieces = chat.format_turns(given.unionByName(extra), window=chat.LOCAL_WINDOW)  # marked turns are local: each is rendered alone
+    return chat.read_back(pieces).drop("rewritten")
 
 
 @query("op5_permutation_neighbours")

@@ -168,6 +168,23 @@ def test_spans_of_an_unknown_template():
         assert text[out["text_start"] : out["text_end"]] == said and (out["start"], out["end"]) == (len(text) - len(out["piece"]), len(text))
 
 
+def test_rewriting_after_very_many_turns():
+    """Prefixes stay true ones at any length; only a template declared local is restarted."""
+    def folding(messages):  # turns before the 70th from the end are folded
+        return chat.marked_turns(messages[-70:])
+
+    def numbered(messages):
+        return "".join(f"{k} {r}: {t}\n" for k, (r, t) in enumerate(messages))
+
+    turns = [("user", f"t{k}") for k in range(150)]
+    f = chat.Formatter(folding)
+    assert [f.add(*t)["rewritten"] for t in turns] == [k >= 70 for k in range(150)]
+    f = chat.Formatter(numbered)
+    assert "".join(f.add(*t)["piece"] for t in turns) == numbered(turns)
+    f = chat.Formatter(chat.marked_turns, chat.LOCAL_WINDOW)
+    assert "".join(f.add(*t)["piece"] for t in turns) == chat.marked_turns(turns)
+
+
 def test_law_of_clean_segments():
     """lambda and K: the closed form of a simple walk, and the same scores on a finer grid."""
     p = 0.2
