@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadstone.llm import chat, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity
-from loadstone.llm.common import table
+from loadstone.llm.common import stored, table
 from loadstone.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,14 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_sentencepiece_lattice")
 def sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.digests(table(spark, sf_dir, "documents"), lattice.default_model())
+    """Every text encoded whole, and decoded again from its stored ids."""
+    model = lattice.default_model()
+    encoded = lattice.encode(table(spark, sf_dir, "documents"), model)
+    kept = stored(encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"), "encoded")
+    texts = lattice.decode(kept.select("row", "ids"), model, "row").select("row", F.sha2("text", 256).alias("text_sha256"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    digests = kept.select("row", "doc_id", F.size("ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"))
+    return digests.join(texts, "row").drop("row")
 
 
 @query("op3_fm_index_dedup", r"""

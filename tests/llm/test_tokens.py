@@ -7,7 +7,7 @@ import pytest
 
 from loadstone.llm import lattice, packing, token_files, tokens
 from loadstone.session import scratch_path
-from tests.llm.helpers import EDGE, documents
+from tests.llm.helpers import EDGE, documents, rows_of
 
 TOKENIZER = tokens.default_tokenizer()
 
@@ -130,3 +130,18 @@ def test_lattice_without_frequent_units(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_pieces) for r in lattice.digests(docs, model).collect())
     assert got == [(1, len(brute(v, "the other of the"))), (2, len(brute(v, "the"))), (2, len(brute(v, "the"))), (3, 0)]
     assert lattice.encode(docs.filter("false"), model).count() == 0
+
+
+def test_query_encodes_and_decodes_whole_texts(spark, tmp_path):
+    """One row a document: its whole sequence of ids, and the text that they give back."""
+    import hashlib
+
+    from loadstone.llm.queries import QUERIES
+
+    documents(spark).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = rows_of(QUERIES["op2_sentencepiece_lattice"](spark, str(tmp_path)), "doc_id", "n_pieces", "ids_sha256", "text_sha256")
+    ids = lattice.encode(documents(spark), lattice.default_model()).collect()
+    by_id = sorted(((r.doc_id, len(r.ids), sha(" ".join(map(str, r.ids)))) for r in ids), key=repr)
+    assert [g[:3] for g in got] == by_id
+    assert sorted(((g[0], g[3]) for g in got), key=repr) == sorted(((i, sha(t or "")) for i, t in EDGE), key=repr)
