@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from loadstone.operators import metrics as mt
 from loadstone.operators.quantiles import percentiles
-from loadstone.operators.series import newest, running
+from loadstone.operators.series import newest, previous, running
 
 # Fixed values.
 MAX_FOLDS = 5
 MIN_TRAIN_ROWS = 720
 SNAPSHOT_COVERAGE = 0.8
 ANCHOR_HORIZONS = (24, 168, 720)
+REFRESH_DAYS = 7
 
 
 def rolling_splits(sizes: DataFrame, n_windows: int, holdout: int, min_train: int, stride: int | None = None) -> DataFrame:
@@ -200,3 +201,14 @@ def binned_cells(df: DataFrame, col: str, bins: Sequence[tuple], delta: str = "d
     x = df.withColumn("bin", label).filter("bin IS NOT NULL")
     g = x.groupBy("bin").agg(F.count("*").alias("n"), F.avg(delta).alias("mean"), F.avg((F.col(delta) > 0).cast("double")).alias("win_rate"))
     return g.join(percentiles(x, ["bin"], {"median": (F.col(delta), 0.5)}), "bin")
+
+
+def recompute_cadence(runs: DataFrame, refresh_days: int = REFRESH_DAYS) -> DataFrame:
+    """Times at which anything was recomputed, their days since the last one, and whether that was too soon.
+
+    ``runs`` holds run_at and recomputed (number of regions). A day of slack is left for the scheduler.
+    """
+    times = runs.filter("recomputed > 0 AND run_at IS NOT NULL").select("run_at").distinct().withColumn("_s", F.unix_micros("run_at"))
+    gaps = previous(times, [], "_s", {"_before": "_s"}, 4096 * 86_400_000_000)
+    age = (F.col("_s") - F.col("_before")) / 8.64e10
+    return gaps.select("run_at", age.alias("age_days"), F.coalesce(age < refresh_days - 1, F.lit(False)).alias("unexpected"))

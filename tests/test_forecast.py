@@ -192,3 +192,12 @@ def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(rng.normal(3, 1, 400))], "k string, id long, d double")
     r = bt.bootstrap_mean(df, ["k"], "d", "id").first()
     assert r["ci_low"] < r["mean"] < r["ci_high"] and 0.12 < r["ci_high"] - r["ci_low"] < 0.3
+
+
+def test_recompute_too_soon(spark):
+    from loadstone.operators.backtest import recompute_cadence
+
+    hours = [(0, 3), (0, 51), (24, 0), (168, 5), (168 + 143, 5), (168 + 143 + 144, 1), (None, 4)]
+    runs = spark.createDataFrame([(None if h is None else at(h), n) for h, n in hours], "run_at timestamp, recomputed int")
+    got = [(r["age_days"], r["unexpected"]) for r in recompute_cadence(runs).orderBy("run_at").collect()]
+    assert got == [(None, False), (7.0, False), (143 / 24, True), (6.0, False)]
