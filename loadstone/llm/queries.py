@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadstone.llm import chat, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity
+from loadstone.llm import chat, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity, tree_search
 from loadstone.llm.common import stored, table
 from loadstone.session import scratch_path
 
@@ -145,3 +145,18 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+@query("op13_tree_search", r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+f AS (SELECT doc_id, t, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+k AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, k GROUP BY t, docs),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // total AS m FROM d, k),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (t) JOIN f USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
