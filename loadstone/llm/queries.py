@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadstone.llm import chat, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity, tree_search
+from loadstone.llm import chat, collocations, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity, tree_search
 from loadstone.llm.common import stored, table
 from loadstone.session import scratch_path
 
@@ -147,6 +147,28 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+@query("op11_collocations", r"""
+WITH x AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+y AS (SELECT row_number() OVER () AS d, lang, text FROM x),
+p AS (SELECT d, lang, unnest(string_split_regex(text, '[.,;:!?\n-\r]')) AS piece, generate_subscripts(string_split_regex(text, '[.,;:!?\n-\r]'), 1) AS j FROM y),
+w AS (SELECT d, lang, j, list_filter(string_split_regex(piece, '[ \t]+'), lambda z: z <> '') AS ws FROM p),
+u AS (SELECT d, lang, j, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+t AS (SELECT lang, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY d, j ORDER BY i)),
+g AS (SELECT lang, [w] AS s FROM t UNION ALL SELECT lang, [w, w1] FROM t WHERE w1 IS NOT NULL UNION ALL SELECT lang, [w, w1, w2] FROM t WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w, w1, w2, w3] FROM t WHERE w3 IS NOT NULL UNION ALL SELECT lang, [w, w1, w2, w3, w4] FROM t WHERE w4 IS NOT NULL),
+f AS (SELECT lang, s, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM u GROUP BY lang),
+c AS (SELECT lang, s, a, unnest(range(1, len(s))) AS k FROM f WHERE len(s) > 1),
+q AS (SELECT c.lang, c.s, c.a, c.k, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.s = c.s[1:k] JOIN f r ON r.lang = c.lang AND r.s = c.s[k+1:] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+h AS (SELECT lang, s[i:i+z-1] AS s, max(a) AS m FROM (SELECT lang, s, a, unnest(range(1, len(s))) AS i FROM f WHERE len(s) > 2), (SELECT unnest([2, 3, 4]) AS z) WHERE i + z - 1 <= len(s) AND z < len(s) GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.s, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score FROM b LEFT JOIN h ON h.lang = b.lang AND h.s = b.s WHERE m IS NULL OR 100 * m < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @query("op13_tree_search", r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
