@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadstone.llm import chat, collocations, fm_index, jaccard, lattice, neighbours, packing, quality, suffix_array, token_files, tokens, toxicity, tree_search
+from loadstone.llm import chat, collocations, fm_index, jaccard, lattice, neighbours, packing, pitman_yor, quality, suffix_array, token_files, tokens, toxicity, tree_search
 from loadstone.llm.common import stored, table
 from loadstone.session import scratch_path
 
@@ -169,6 +169,12 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+@query("op12_pitman_yor")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, pitman_yor.learn(docs))
+
+
 @query("op13_tree_search", r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
