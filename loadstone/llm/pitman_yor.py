@@ -31,6 +31,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -362,13 +364,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     singles = counts.filter(F.col("mark").isNotNull() & (F.col("mark") != int(START)))
     known = np.sort(v.marks)
     words = singles.select((F.col("mark").bitwiseOR(F.lit(-(1 << 63)).cast("long"))).alias("value"), "n", "mark")
-    least = np.zeros(0) if not v.rare else known
     if v.rare:
         def outside(batches):
             for b in batches:
                 m = b["mark"].to_numpy().view(np.uint64)
-                at = np.minimum(np.searchsorted(least, m), len(least) - 1)
-                yield b.filter(pa.array(least[at] != m)).select(["value", "n"])
+                at = np.minimum(np.searchsorted(known, m), len(known) - 1)
+                yield b.filter(pa.array(known[at] != m)).select(["value", "n"])
+
         words = words.mapInArrow(outside, "value long, n long")
     flat = Parent((v.count + 0.5) / (v.tokens + 0.5 * (v.words + 1)), (v.rare_count + 0.5) / (v.tokens + 0.5 * (v.words + 1)))
     root = _discount(*[r or 0 for r in singles.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()])
@@ -380,7 +382,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     return Model(v, buckets, parents[0], totals[0], states, state_totals, unknown, discount, strengths[1], burn_in, rare)
 
 
-def _dealt(m: Model, kind: pa.DataType | None):
+def _dealt(m: Model):
     """All tokens of all texts, dealt to buckets (row numbers in the block, tokens, tokens before, whether learnt),
     and one row a block with its texts' ids and what the table alone tells of them."""
     v = m.vocabulary
@@ -388,7 +390,7 @@ def _dealt(m: Model, kind: pa.DataType | None):
 
     def run(batches):
         number = 0
-        task = __import__("pyspark").TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for b in blocks(batch, "_text", 4096):
                 word, before, offsets = _tokens(b["_text"])
@@ -491,14 +493,14 @@ def _scored(m: Model):
 
 def _summed(t: pa.Table) -> pa.Table:
     """Rows of a block with their sums over all buckets."""
-    info, total = None, None
+    total = None
     for r in t.select(["size", "sums"]).to_pylist():
         if r["sums"] is not None:
             s = np.array(r["sums"])
             if total is None or len(total) < len(s):
                 total = np.append(total if total is not None else np.zeros(0), np.zeros(len(s) - (0 if total is None else len(total))))
             total[: len(s)] += s
-    home = t.filter(pa.compute.is_valid(t["ids"]))
+    home = t.filter(pc.is_valid(t["ids"]))
     if not home.num_rows:
         raise RuntimeError("a block of texts came without its ids")
     ids = home["ids"].combine_chunks().flatten()
@@ -526,8 +528,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     block_fields = [("ids", T.ArrayType(kind)), ("tokens", T.ArrayType(long)), ("known", T.ArrayType(long)), ("base", T.ArrayType(double))]
     dealt_schema = T.StructType([T.StructField(n, t) for n, t in [("bucket", T.IntegerType()), ("block", long), ("size", long), ("rows", T.BinaryType()), ("before", T.BinaryType()), ("word", T.BinaryType()), *block_fields]])
     scored_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("size", long), *block_fields, ("rare", T.ArrayType(long)), ("row", T.ArrayType(long)), ("alpha", T.ArrayType(double)), ("beta", T.ArrayType(double)), ("sums", T.ArrayType(double))]])
-    dealt = texts.mapInArrow(_dealt(model, None), dealt_schema)
-    held = stored(dealt.groupBy("bucket").applyInArrow(_scored(model), scored_schema), "pair-scores")
+    sent = model._replace(words=None)  # what travels to the tasks
+    dealt = texts.mapInArrow(_dealt(sent), dealt_schema)
+    held = stored(dealt.groupBy("bucket").applyInArrow(_scored(sent), scored_schema), "pair-scores")
     summed_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("row", long), ("_id", kind), ("n_tokens", long), ("known", long), ("base", double), ("score", double)]])
     out = held.select("block", "size", "ids", "tokens", "known", "base", "sums").groupBy("block").applyInArrow(_summed, summed_schema)
     floor = float(v.tokens + 0.5 * (v.words + 1))
