@@ -2,17 +2,17 @@
 
 Candidates come from the Apriori rule with hashed counts (Park, Chen and Yu): a phrase can only be
 frequent if the phrases without its first and without its last word are, and if the
-bucket its fingerprint falls in is. So one pass a length counts the buckets of the phrases whose
-parts lie in frequent buckets; a bucket table is a bit map of fixed size (``BUCKET_BITS``). Buckets that
+bucket its fingerprint falls in is. One pass counts the buckets of the pairs of frequent words, a second those of all longer
+phrases made of frequent pairs; a bucket table is a bit map of fixed size (``BUCKET_BITS``). Buckets that
 share phrases let too many through, never too few. What passes all maps is listed once, as
-text, and cut into tries of at most ``TRIE_PHRASES`` phrases.
+text in order, and cut into tries of at most ``TRIE_PHRASES`` phrases.
 
-A trie is a double array (base, check) over the words of its phrases. It is broadcast; numpy sets every text position to the root
-and moves all their states one word on, level by level; the accepting states are counted with
+A trie is a double array (base, check) over the words of its phrases. Up to ``PASS_TRIES`` of them are broadcast; numpy sets every text
+position to the root and moves all their states one word on, level by level; the accepting states are counted with
 ``bincount`` and the counts of all tasks summed by Spark. Only these counts decide what is frequent.
 
-Memory: bit maps, one trie and a block of text (a longer text in slices of ``STEP`` words). A corpus with more candidates
-takes more passes, one a trie. Word fingerprints are 64 bits, mixed with the language.
+Memory: bit maps, the tries of a pass and a block of text (a longer text in slices of ``STEP`` words). A corpus with more candidates
+takes more passes. Word fingerprints are 64 bits, mixed with the language.
 
 Defined cases: a null text has no words, a null language is ``und``; repeated rows count each time; texts without a
 frequent phrase and empty tables give nothing; other columns are not read.
@@ -37,6 +37,7 @@ LEAST = 100
 TOP = 2000
 BUCKET_BITS = 26
 TRIE_PHRASES = 1 << 18
+PASS_TRIES = 12
 STEP = 1 << 20
 HELD = 1 << 21
 
@@ -111,26 +112,25 @@ def _in_map(bit_map: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (bit_map[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
 
 
-def _live(x: Line, maps: list[np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every length from 2 to one more than the maps know: that length, the places of phrases whose parts lie in frequent
-    buckets, and the fingerprints of these phrases."""
+def _live(x: Line, maps: list[np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every length from 2: that length, the places of phrases whose shorter parts lie in frequent
+    buckets as far as the maps go, and the fingerprints of these phrases."""
     places = np.flatnonzero(_in_map(maps[0], _buckets(x.word, bits)))
     mark = x.word[places]
-    for length in range(2, len(maps) + 2):
+    for length in range(2, longest + 1):
         both = np.flatnonzero(places[1:] == places[:-1] + 1) if len(places) else places  # the next place lives, too
         at = places[both]
-        inside = x.piece[np.minimum(at + length - 1, len(x.piece) - 1)] == x.piece[at]
-        inside &= at + length <= len(x.piece)
-        at, mark = at[inside], mark[both][inside]
-        mark = mix(mark * grams.ODD + x.word[at + length - 1])
-        yield length, at, mark
+        inside = x.piece[at + length - 1] == x.piece[at]  # the last of the next place's words is inside
+        places, mark = at[inside], mark[both][inside]
+        mark = mix(mark * grams.ODD + x.word[places + length - 1])
+        yield length, places, mark
         if length <= len(maps):
             kept = _in_map(maps[length - 1], _buckets(mark, bits))
-            places, mark = at[kept], mark[kept]
+            places, mark = places[kept], mark[kept]
 
 
-def _bucket_counts(maps: list[np.ndarray], bits: int, longest: int, step: int):
-    """Counts of the buckets of phrases one word longer than the maps know."""
+def _bucket_counts(maps: list[np.ndarray], lengths: range, bits: int, longest: int, step: int):
+    """Counts of the buckets of phrases of ``lengths`` words, a table of ``1 << bits`` to a length."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -140,9 +140,9 @@ def _bucket_counts(maps: list[np.ndarray], bits: int, longest: int, step: int):
             return keys, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
         for x in _lines(batches, longest, step):
-            for length, at, mark in _live(x, maps, bits):
-                if length == len(maps) + 1:
-                    held.append(np.unique(_buckets(mark[at < x.begins], bits), return_counts=True))
+            for length, at, mark in _live(x, maps, bits, lengths[-1]):
+                if length in lengths:
+                    held.append(np.unique(_buckets(mark[at < x.begins], bits) + (lengths.index(length) << bits), return_counts=True))
             if sum(len(k) for k, _ in held) > HELD:
                 keys, n = merged()
                 held[:] = [(keys, n)]
@@ -157,43 +157,59 @@ def _bucket_counts(maps: list[np.ndarray], bits: int, longest: int, step: int):
 
 
 def _candidates(maps: list[np.ndarray], bits: int, longest: int, step: int):
-    """The phrases that lie in frequent buckets with all their parts, once a slice of text."""
+    """The phrases that lie in frequent buckets with all their parts: once a task, while ``HELD`` fingerprints are enough to remember."""
 
     def run(batches):
+        known = np.zeros(0, np.uint64)
         for x in _lines(batches, longest, step):
-            for length, at, mark in _live(x, maps, bits):
-                if length > len(maps):
-                    continue
+            for length, at, mark in _live(x, maps, bits, longest):
                 kept = (at < x.begins) & _in_map(maps[length - 1], _buckets(mark, bits))
-                _, first = np.unique(mark[kept], return_index=True)
+                mark, first = np.unique(mark[kept], return_index=True)
+                if len(known):
+                    new = known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] != mark
+                    mark, first = mark[new], first[new]
+                if not len(mark):
+                    continue
+                known = np.sort(np.concatenate([known, mark])) if len(known) <= HELD else np.zeros(0, np.uint64)
                 at = at[kept][first]
-                if len(at):
-                    lang = pa.DictionaryArray.from_arrays(pa.array(x.lang[at], pa.int32()), pa.array(x.langs)).cast(pa.string())
-                    yield pa.record_batch({"lang": lang, "phrase": _phrases(x, at, length)})
+                lang = pa.DictionaryArray.from_arrays(pa.array(x.lang[at], pa.int32()), pa.array(x.langs)).cast(pa.string())
+                yield pa.record_batch({"lang": lang, "phrase": _phrases(x, at, length)})
 
     return run
 
 
 class Trie(NamedTuple):
-    words: np.ndarray  # sorted fingerprints of the alphabet
-    codes: np.ndarray  # their codes, from 1
     base: np.ndarray
     check: np.ndarray
     accepts: np.ndarray  # number of the phrase that ends in a state, -1 without one
 
 
-def double_array(phrases: list[np.ndarray], numbers: np.ndarray) -> Trie:
-    """Double-array trie of phrases, each an array of word fingerprints, accepting ``numbers``."""
-    words, back, n = np.unique(np.concatenate(phrases), return_inverse=True, return_counts=True)
-    codes = np.empty(len(words), np.int64)
-    codes[np.argsort(-n, kind="stable")] = np.arange(1, len(words) + 1)  # frequent words get small codes, so families are dense
-    sizes = np.array([len(p) for p in phrases])
+class Alphabet(NamedTuple):
+    words: np.ndarray  # sorted fingerprints
+    codes: np.ndarray  # from 1; frequent words have small codes, so families of states are dense
+
+
+def alphabet(words: np.ndarray) -> Alphabet:
+    words, n = np.unique(words, return_counts=True)
+    codes = np.empty(len(words), np.int32)
+    codes[np.argsort(-n, kind="stable")] = np.arange(1, len(words) + 1)
+    return Alphabet(words, codes)
+
+
+def coded(letters: Alphabet, word: np.ndarray) -> np.ndarray:
+    """Codes of words, 0 outside the alphabet."""
+    at = np.minimum(np.searchsorted(letters.words, word), len(letters.words) - 1)
+    return np.where(letters.words[at] == word, letters.codes[at], 0).astype(np.int64)
+
+
+def double_array(code: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> Trie:
+    """Double-array trie of phrases, given as the codes of all their words and their lengths, accepting ``numbers``."""
     ends = np.cumsum(sizes)
-    table = np.zeros((len(phrases), int(sizes.max())), np.int64)
-    table[np.repeat(np.arange(len(phrases)), sizes), spread_ranges(np.zeros(len(sizes), np.int64), sizes)] = codes[back]
+    table = np.zeros((len(sizes), int(sizes.max())), np.int64)
+    table[np.repeat(np.arange(len(sizes)), sizes), spread_ranges(np.zeros(len(sizes), np.int64), sizes)] = code
     order = np.lexsort(table.T[::-1])
     table, sizes, numbers = table[order], sizes[order], numbers[order]
-    room = 2 * int(ends[-1]) + len(words) + 1024
+    room = 2 * int(ends[-1]) + int(code.max()) + 1024
     free = np.ones(room, bool)
     base, check, accepts = np.zeros(room, np.int64), np.full(room, -1, np.int64), np.full(room, -1, np.int64)
     free[0] = False
@@ -245,13 +261,11 @@ def double_array(phrases: list[np.ndarray], numbers: np.ndarray) -> Trie:
         done = sizes == level + 1
         accepts[state[done]] = numbers[done]
     used = int(np.flatnonzero(~free)[-1]) + 1
-    return Trie(words, codes.astype(np.int32), base[:used].astype(np.int32), check[:used].astype(np.int32), accepts[:used])
+    return Trie(base[:used].astype(np.int32), check[:used].astype(np.int32), accepts[:used])
 
 
-def advance(trie: Trie, word: np.ndarray, piece: np.ndarray, begins: int) -> np.ndarray:
+def advance(trie: Trie, code: np.ndarray, piece: np.ndarray, begins: int) -> np.ndarray:
     """How often each state is reached from the root by phrases that begin at the first ``begins`` words."""
-    at = np.minimum(np.searchsorted(trie.words, word), len(trie.words) - 1)
-    code = np.where(trie.words[at] == word, trie.codes[at], 0).astype(np.int64)
     counts = np.zeros(len(trie.base), np.int64)
     place = np.flatnonzero(code[:begins])
     state, level = np.zeros(len(place), np.int64), 0
@@ -264,65 +278,72 @@ def advance(trie: Trie, word: np.ndarray, piece: np.ndarray, begins: int) -> np.
         place, state = place[good], to[good]
         counts += np.bincount(state, minlength=len(counts))
         level += 1
-        more = place + level < len(word)
+        more = place + level < len(code)
         place, state = place[more], state[more]
         same = piece[place + level] == piece[place]
         place, state = place[same], state[same]
     return counts
 
 
-def _counted(trie: Trie, longest: int, step: int):
+def _counted(letters: Alphabet, tries: list[Trie], longest: int, step: int):
     def run(batches):
-        total = np.zeros(len(trie.base), np.int64)
+        totals = [np.zeros(len(t.base), np.int64) for t in tries]
         for x in _lines(batches, longest, step):
-            total += advance(trie, x.word, x.piece, x.begins)
-        found = np.flatnonzero((trie.accepts >= 0) & (total > 0))
-        yield pa.record_batch({"id": trie.accepts[found], "a": total[found]})
+            code = coded(letters, x.word)
+            for t, total in zip(tries, totals):
+                total += advance(t, code, x.piece, x.begins)
+        for t, total in zip(tries, totals):
+            found = np.flatnonzero((t.accepts >= 0) & (total > 0))
+            yield pa.record_batch({"id": t.accepts[found], "a": total[found]})
 
     return run
 
 
-def _bit_map(marked: DataFrame, bits: int) -> np.ndarray:
-    """``bucket`` values as one bit map of ``bits`` bits to a power of two: at most 8 MB at 26."""
+def _bit_maps(marked: DataFrame, bits: int, n: int) -> list[np.ndarray]:
+    """``bucket`` values as ``n`` bit maps of ``bits`` bits to a power of two: 8 MB each at 26."""
     bit = F.col("bucket") + 1  # these functions count from 1
     slices = marked.groupBy(F.bitmap_bucket_number(bit).alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(max(1 << bits, 32768) // 8, np.uint8)
+    out = np.zeros((n << bits) // 8, np.uint8)
     for r in slices:
         at = (r["slice"] - 1) * 4096
         out[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return np.split(out, n)
 
 
-def _tries(listed: DataFrame, words: DataFrame, size: int) -> Iterator[Trie]:
-    """One trie after another of the candidates, each of at most ``size`` phrases of one file."""
+def _passes(listed: DataFrame, words: DataFrame, size: int, tries: int) -> Iterator[tuple[Alphabet, list[Trie]]]:
+    """The candidates as tries of at most ``size`` phrases of one file, up to ``tries`` at a time with one alphabet."""
     spans = listed.groupBy(F.shiftright("id", 33).alias("file")).agg(F.max("id").alias("last")).orderBy("file").collect()
-    for s in spans:
-        for lo in range(s["file"] << 33, s["last"] + 1, size):
-            part = listed.filter((F.col("id") >= lo) & (F.col("id") < min(lo + size, s["last"] + 1)))
+    cuts = [(lo, min(lo + size, s["last"] + 1)) for s in spans for lo in range(s["file"] << 33, s["last"] + 1, size)]
+    for k in range(0, len(cuts), tries):
+        parts = []
+        for lo, hi in cuts[k : k + tries]:
+            part = listed.filter((F.col("id") >= lo) & (F.col("id") < hi))
             rows = part.select("id", "lang", F.posexplode(F.split("phrase", " ")).alias("place", "word")).join(words, ["lang", "word"])
             got = rows.select("id", "place", "mark").toArrow()  # at most LONGEST rows a phrase
             ids, place, mark = (got[c].to_numpy() for c in ("id", "place", "mark"))
             order = np.lexsort((place, ids))
-            ids, mark = ids[order], mark[order].view(np.uint64)
-            numbers, first = np.unique(ids, return_index=True)
-            yield double_array(np.split(mark, first[1:]), numbers)
+            numbers, sizes = np.unique(ids, return_counts=True)
+            parts.append((mark[order].view(np.uint64), sizes, numbers))
+        letters = alphabet(np.concatenate([m for m, _, _ in parts]))
+        yield letters, [double_array(coded(letters, m), sizes, numbers) for m, sizes, numbers in parts]
 
 
-def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", bits: int = BUCKET_BITS, trie_phrases: int = TRIE_PHRASES, step: int = STEP) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", bits: int = BUCKET_BITS, trie_phrases: int = TRIE_PHRASES, pass_tries: int = PASS_TRIES, step: int = STEP) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): lang, word, n of all words; lang, phrase, a of all phrases of 2 to ``longest`` words found ``least`` times or more."""
     texts = docs.select(F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("_lang"))
     seen = texts.mapInArrow(_word_counts(longest, step), "lang string, word string, mark long, n long")
     words = stored(seen.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("mark").alias("mark")), "words")
     frequent = words.filter(F.col("n") >= least)
-    maps = [_bit_map(frequent.select(F.shiftrightunsigned("mark", 64 - bits).alias("bucket")), bits)]
-    for _ in range(2, longest + 1):
-        counts = texts.mapInArrow(_bucket_counts(list(maps), bits, longest, step), "bucket long, n long")
-        maps.append(_bit_map(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), bits))
+    maps = _bit_maps(frequent.select(F.shiftrightunsigned("mark", 64 - bits).alias("bucket")), bits, 1)
+    for lengths in [range(2, 3), range(3, longest + 1)]:
+        if len(lengths) and longest > 1:
+            counts = texts.mapInArrow(_bucket_counts(list(maps), lengths, bits, longest, step), "bucket long, n long")
+            maps += _bit_maps(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), bits, len(lengths))
     some = texts.mapInArrow(_candidates(list(maps), bits, longest, step), "lang string, phrase string").distinct()
-    listed = stored(some.withColumn("id", F.monotonically_increasing_id()), "candidates")
+    listed = stored(some.orderBy("lang", "phrase").withColumn("id", F.monotonically_increasing_id()), "candidates")
     counted = None
-    for trie in _tries(listed, frequent.select("lang", "word", "mark"), trie_phrases):
-        part = stored(texts.mapInArrow(_counted(trie, longest, step), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "phrase-counts")
+    for letters, tries in _passes(listed, frequent.select("lang", "word", "mark"), trie_phrases, pass_tries):
+        part = stored(texts.mapInArrow(_counted(letters, tries, longest, step), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "phrase-counts")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = listed.select("id", F.lit(0).cast("long").alias("a")).limit(0)

@@ -50,7 +50,7 @@ def brute_collocations(rows, least, longest=5, top=2000):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bits": 16, "trie_phrases": 7, "step": 50}, {"bits": 15, "step": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"bits": 16, "trie_phrases": 7, "pass_tries": 2, "step": 50}, {"bits": 15, "step": 3}])
 def test_collocations(spark, sizes):
     df = spark.createDataFrame([(t, lang, 1, "x", 2) for t, lang in PHRASED], "text string, lang string, a int, phrase string, n int").repartition(3)
     for least in (6, 25):
@@ -81,10 +81,12 @@ def test_scores_beyond_64_bits(spark):
 def test_double_array():
     rng = random.Random(3)
     phrases = sorted({tuple(rng.choices(range(1, 90), k=rng.randint(2, 5))) for _ in range(900)})
-    trie = collocations.double_array([np.array(p, np.uint64) for p in phrases], np.arange(len(phrases)))
+    flat = np.array([w for p in phrases for w in p], np.uint64)
+    letters = collocations.alphabet(flat)
+    trie = collocations.double_array(collocations.coded(letters, flat), np.array([len(p) for p in phrases]), np.arange(len(phrases)))
     text = [w for _ in range(400) for w in [*rng.choice(phrases), rng.randint(1, 95)]]
     pieces = np.arange(len(text)) // 23
-    counts = collocations.advance(trie, np.array(text, np.uint64), pieces, len(text))
+    counts = collocations.advance(trie, collocations.coded(letters, np.array(text, np.uint64)), pieces, len(text))
     want = collections.Counter(tuple(text[i : i + k]) for k in range(2, 6) for i in range(len(text) - k + 1) if pieces[i] == pieces[i + k - 1])
     got = {int(trie.accepts[s]): int(counts[s]) for s in np.flatnonzero(trie.accepts >= 0)}
     assert got == {i: want[p] for i, p in enumerate(phrases)}
