@@ -40,11 +40,14 @@ from pyspark.sql import types as T
 from loadstone.llm import grams
 from loadstone.llm.common import blocks, flat_bytes, mix, stored
 
-FREQUENT = 1 << 19
-BUCKET_TOKENS = 1 << 21
+FREQUENT = 1 << 18
+BUCKET_TOKENS = 1 << 20
+HELD_TOKENS = 1 << 21
+BLOCK_BYTES = 4 << 20
+SLICE = 1 << 14
 EXACT = 64
-BURN_IN = 3
-SAMPLES = 4
+BURN_IN = 2
+SAMPLES = 3
 STRENGTHS = (1.0, 1.0)  # of the parent and of the contexts
 END, START = np.uint64(2), np.uint64(1)  # fingerprints of the two marks
 RARE = np.uint64(1 << 63)  # set in the value of a word outside the table; words of the table are their place in it
@@ -57,39 +60,72 @@ def learns(id_col: str = "doc_id") -> Column:
 class Vocabulary(NamedTuple):
     marks: np.ndarray  # sorted fingerprints of the frequent words and START
     value: np.ndarray  # their places: 0 is the most frequent
-    count: np.ndarray  # training tokens by place
-    contexts: np.ndarray  # training tokens that follow it, by place
+    count: np.ndarray  # training tokens by place, as words and as contexts alike (START is only, END never a context)
     tokens: int  # N
     words: int  # V
     rare: int  # words outside the table
 
     @property
     def rare_count(self) -> float:
-        return max(self.tokens - int(self.count.sum()), 0) / max(self.rare, 1)
+        return max(self.tokens + int(self.count[self.value[self.marks == START]].sum()) - int(self.count.sum()), 0) / max(self.rare, 1)
 
 
-def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all tokens and of the tokens before them, and the offsets of the texts."""
+def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all tokens, and the offsets of the texts."""
     offsets, raw = flat_bytes(col)
     w = grams.words(raw, offsets, lower=True)
-    word = np.insert(w.hash, w.offsets[1:], END)
-    before = np.insert(w.hash, w.offsets[:-1], START)
-    return word, before, w.offsets + np.arange(len(w.offsets))
+    return np.insert(w.hash, w.offsets[1:], END), w.offsets + np.arange(len(w.offsets))
 
 
-def _values(v: Vocabulary, marks: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(v.marks, marks), len(v.marks) - 1)
-    return np.where(v.marks[at] == marks, v.value[at], marks | RARE)
+class Finder:
+    """Values of fingerprints: the place of a frequent word, else the fingerprint itself, marked. One look into a slot table mostly."""
 
+    BITS = 21
 
-def _pack(a: np.ndarray) -> bytes:
-    """64-bit integers byte plane by byte plane, compressed: small numbers cost little."""
-    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+    def __init__(self, v: Vocabulary):
+        self.marks, self.value = v.marks, v.value
+        self.slot = np.zeros(1 << self.BITS, np.int32)
+        self.slot[self._at(v.marks)] = np.arange(len(v.marks))
+        self.start = np.uint64(self(np.array([START]))[0])
 
+    def _at(self, marks: np.ndarray) -> np.ndarray:
+        return (marks >> np.uint64(64 - self.BITS)).astype(np.int64)
 
-def _unpack(b: bytes, n: int) -> np.ndarray:
+    def __call__(self, marks: np.ndarray) -> np.ndarray:
+        at = self.slot[self._at(marks)]
+        hit = self.marks[at] == marks
+        out = np.where(hit, self.value[at].astype(np.uint64), marks | RARE)
+        rest = np.flatnonzero(~hit)
+        at = np.minimum(np.searchsorted(self.marks, marks[rest]), len(self.marks) - 1)
+        same = self.marks[at] == marks[rest]
+        out[rest[same]] = self.value[at[same]].astype(np.uint64)
+        return out
+
+    def pairs(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of all tokens and of the tokens before them, and the offsets of the texts."""
+        marks, offsets = _tokens(col)
+        word = self(marks)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[offsets[:-1]] = self.start
+        return word, before, offsets
+
+
+def _pack(a: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit integers byte plane by byte plane, compressed: small numbers cost little. ``rising``: as differences, small of either sign."""
+    a = a.astype("<u8")
+    if rising and len(a):
+        step = np.diff(a, prepend=np.uint64(0)).view(np.int64)
+        a = ((step << 1) ^ (step >> 63)).view("<u8")
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def _unpack(b: bytes, n: int, rising: bool = False) -> np.ndarray:
     planes = np.frombuffer(pa.Codec("zstd").decompress(b, 8 * n, asbytes=True), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    a = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    if rising:
+        a = np.cumsum((a >> np.uint64(1)) ^ (np.uint64(0) - (a & np.uint64(1))), dtype=np.uint64)
+    return a
 
 
 def _bucket(v: Vocabulary, before: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
@@ -101,11 +137,11 @@ def _bucket(v: Vocabulary, before: np.ndarray, word: np.ndarray, n: int) -> np.n
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training tokens by fingerprint (null: tokens of all texts; START: training texts)."""
     for batch in batches:
-        for b in blocks(batch, "_text", 8192):
-            word, _, offsets = _tokens(b["_text"])
+        for b in blocks(batch, "_text", 8192, BLOCK_BYTES):
+            word, offsets = _tokens(b["_text"])
             learnt = b["_learns"].to_numpy(zero_copy_only=False)
             mark, n = np.unique(word[np.repeat(learnt, np.diff(offsets))], return_counts=True)
-            marks = pa.array([*mark.view(np.int64).tolist(), int(START), None], pa.int64())
+            marks = pa.concat_arrays([pa.array(mark.view(np.int64)), pa.array([int(START), None], pa.int64())])
             yield pa.record_batch({"mark": marks, "n": np.append(n, [int(learnt.sum()), len(word)]).astype(np.int64)})
 
 
@@ -119,32 +155,41 @@ def _sorted_pairs(before: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[
 
 
 def _cut(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def _packed_pairs(before: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
+    return {"size": pa.array([len(n)], pa.int64()), "before": pa.array([_pack(before, True)], pa.binary()), "word": pa.array([_pack(word, True)], pa.binary()), "n": pa.array([_pack(n)], pa.binary())}
+
+
+def _unpacked_pairs(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unpack(r["before"], r["size"], True), _unpack(r["word"], r["size"], True), _unpack(r["n"], r["size"]).astype(np.int64)
+
+
 def _pairs(v: Vocabulary, n_buckets: int):
-    """Pairs of the training texts of a task, counted a few million tokens at a time: one row a bucket."""
+    """Pairs of the training texts of a task, counted ``HELD_TOKENS`` at a time: one row a bucket."""
 
     def run(batches):
+        find = Finder(v)
         held, size = [], 0
 
         def out():
-            before, word, n = _sorted_pairs(*[np.concatenate(x) for x in zip(*held)])
+            before, word = (np.concatenate(x) for x in zip(*held))
             order, cut = _cut(_bucket(v, before, word, n_buckets), n_buckets)
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 at = order[cut[k] : cut[k + 1]]
-                yield pa.record_batch({"bucket": pa.array([k], pa.int32()), "size": [len(at)], "before": pa.array([_pack(before[at])], pa.binary()), "word": pa.array([_pack(word[at])], pa.binary()), "n": pa.array([_pack(n[at])], pa.binary())})
+                yield pa.record_batch({"bucket": pa.array([k], pa.int32())} | _packed_pairs(*_sorted_pairs(before[at], word[at], np.ones(len(at), np.int64))))
 
         for batch in batches:
-            for b in blocks(batch, "_text", 8192):
-                word, before, _ = _tokens(b["_text"])
-                held.append(_sorted_pairs(_values(v, before), _values(v, word), np.ones(len(word), np.int64)))
-                size += len(held[-1][0])
-                if size > 1 << 21:
+            for b in blocks(batch, "_text", 8192, BLOCK_BYTES):
+                word, before, _ = find.pairs(b["_text"])
+                held.append((before, word))
+                size += len(word)
+                if size > HELD_TOKENS:
                     yield from out()
                     held, size = [], 0
-        if held:
+        if size:
             yield from out()
 
     return run
@@ -152,11 +197,9 @@ def _pairs(v: Vocabulary, n_buckets: int):
 
 def _merge_pairs(t: pa.Table) -> pa.Table:
     """All pairs of a bucket, in order."""
-    parts = [[_unpack(r[c], r["size"]) for c in ("before", "word", "n")] for r in t.to_pylist()]
-    before, word, n = _sorted_pairs(*[np.concatenate(x) for x in zip(*parts)])
-    once, twice = int((n == 1).sum()), int((n == 2).sum())
-    return pa.table({"bucket": t["bucket"][:1], "size": pa.array([len(n)], pa.int64()), "before": pa.array([_pack(before)], pa.binary()), "word": pa.array([_pack(word)], pa.binary()),
-                     "n": pa.array([_pack(n)], pa.binary()), "once": pa.array([once], pa.int64()), "twice": pa.array([twice], pa.int64())})
+    before, word, n = _sorted_pairs(*[np.concatenate(x) for x in zip(*[_unpacked_pairs(r) for r in t.to_pylist()])])
+    seen = {"once": pa.array([int((n == 1).sum())], pa.int64()), "twice": pa.array([int((n == 2).sum())], pa.int64())}
+    return pa.table({"bucket": t["bucket"][:1]} | _packed_pairs(before, word, n) | seen)
 
 
 @functools.cache
@@ -209,21 +252,26 @@ class Restaurants:
         self.wide = self.context < RARE  # spread over buckets
         here = np.add.reduceat(self.n, self.cut) if len(self.cut) else self.n
         self.customers = here.copy()
-        self.customers[self.wide] = v.contexts[self.context[self.wide].astype(np.int64)]
+        self.customers[self.wide] = v.count[self.context[self.wide].astype(np.int64)]
         self.part = here / np.maximum(self.customers, 1)
 
-    def chain(self, parent: np.ndarray, totals: np.ndarray | None, discount: float, strength: float, seed: int, burn_in: int, samples: int) -> Iterator[np.ndarray]:
+    def chain(self, parent: Parent, totals: np.ndarray | None, discount: float, strength: float, seed: int, burn_in: int, samples: int) -> Iterator[np.ndarray]:
         """Tables of every pair in the last ``samples`` sweeps. ``totals``: tables of the wide contexts; None: judged from this bucket."""
         rng = np.random.default_rng(seed)
-        tables = np.ones(len(self.n), np.int64)
+        many = np.flatnonzero(self.n > 1)  # the others have one customer and one table
+        owner, n, share = self.owner[many], self.n[many], _of_words(parent, self.word[many])
+        single = np.bincount(self.owner[self.n == 1], minlength=len(self.cut))
+        drawn = np.ones(len(many), np.int64)
         for sweep in range(burn_in + samples):
-            mine = np.add.reduceat(tables, self.cut) if len(self.cut) else tables
-            whole = mine / np.maximum(self.part, 1e-12) if totals is None else np.where(self.wide, 0, mine)
-            if totals is not None:
-                whole = whole.astype(float)
+            whole = single + np.bincount(owner, drawn, len(self.cut))
+            if totals is None:
+                whole /= np.maximum(self.part, 1e-12)
+            else:
                 whole[self.wide] = totals[self.context[self.wide].astype(np.int64)]
-            tables = seat(self.n, np.maximum(whole[self.owner] - tables, 0), parent, discount, strength, rng)
+            drawn = seat(n, np.maximum(whole[owner] - drawn, 0), share, discount, strength, rng)
             if sweep >= burn_in:
+                tables = np.ones(len(self.n), np.int64)
+                tables[many] = drawn
                 yield tables
 
 
@@ -236,47 +284,71 @@ class Parent(NamedTuple):
 
 def _of_words(p: Parent, word: np.ndarray) -> np.ndarray:
     known = word < RARE
-    return np.where(known, p.table[np.where(known, word, 0).astype(np.int64)], p.rare)
+    return np.where(known, p.table[np.where(known, word, 0).astype(np.int64)].astype(float), p.rare)
 
 
 def _tables(v: Vocabulary, p: Parent, totals: np.ndarray | None, discount: float, strength: float, burn_in: int, samples: int):
-    """Tables by word, and by wide context, of each state: kind (0 word, 1 context), value, t0, t1, ..."""
+    """Tables by word (kind 0) and by wide context (kind 1), state by state: of the vocabulary in slices of ``SLICE`` places,
+    summed over the buckets of a task; of other words one by one."""
 
     def run(batches):
+        size = -(-len(v.count) // SLICE) * SLICE
+        sums = np.zeros((2, samples, size), np.int64)
         for batch in batches:
             for r in batch.to_pylist():
-                x = Restaurants(v, *[_unpack(r[c], r["size"]) for c in ("before", "word", "n")])
-                states = list(x.chain(_of_words(p, x.word), totals, discount, strength, r["bucket"], burn_in, samples))
-                words, back = np.unique(x.word, return_inverse=True)
-                by_word = [np.bincount(back, t, len(words)).astype(np.int64) for t in states]
-                by_context = [np.add.reduceat(t, x.cut)[x.wide] for t in states] if len(x.cut) else []
-                if len(words):
-                    yield pa.record_batch({"kind": np.zeros(len(words), np.int32), "value": words.view(np.int64)} | {f"t{k}": t for k, t in enumerate(by_word)})
-                    yield pa.record_batch({"kind": np.ones(int(x.wide.sum()), np.int32), "value": x.context[x.wide].view(np.int64)} | {f"t{k}": t for k, t in enumerate(by_context)})
+                x = Restaurants(v, *_unpacked_pairs(r))
+                home = x.word < RARE
+                place, context = x.word[home].astype(np.int64), x.context[x.wide].astype(np.int64)
+                away, back = np.unique(x.word[~home], return_inverse=True)
+                by_word = {}
+                for k, t in enumerate(x.chain(p, totals, discount, strength, r["bucket"], burn_in, samples)):
+                    sums[0, k] += np.bincount(place, t[home], size).astype(np.int64)
+                    sums[1, k, context] += np.bincount(x.owner, t, len(x.cut)).astype(np.int64)[x.wide]
+                    by_word[f"t{k}"] = np.bincount(back, t[~home], len(away)).astype(np.int64)
+                if len(away):
+                    yield pa.record_batch({"slice": pa.nulls(len(away), pa.int32()), "packed": pa.nulls(len(away), pa.binary()), "value": away.view(np.int64)} | by_word)
+        for kind in (0, 1):
+            for k in range(size // SLICE):
+                part = sums[kind, :, k * SLICE : (k + 1) * SLICE]
+                if part.any():
+                    yield pa.record_batch({"slice": pa.array([2 * k + kind], pa.int32()), "packed": pa.array([_pack(part.ravel())], pa.binary()), "value": pa.nulls(1, pa.int64())} | {f"t{j}": pa.nulls(1, pa.int64()) for j in range(samples)})
 
     return run
 
 
+def _seated_slice(samples: int, words: int, discount: float, strength: float):
+    """Sums of a slice; for words, the tables of the single-word restaurant, too."""
+
+    def run(t: pa.Table) -> pa.Table:
+        total = sum(_unpack(x, samples * SLICE).astype(np.int64) for x in t["packed"].to_pylist()).reshape(samples, SLICE)
+        at = t["slice"][0].as_py()
+        tables = total.copy()
+        if at % 2 == 0:
+            for k in range(samples):
+                tables[k] = _seat_root(total[k], words, discount, strength, [k, at])
+        return pa.table({"slice": t["slice"][:1], "packed": pa.array([_pack(np.concatenate([total.ravel(), tables.ravel()]))], pa.binary())})
+
+    return run
+
+
+def _seat_root(n: np.ndarray, words: int, discount: float, strength: float, seed: list[int]) -> np.ndarray:
+    return seat(n, np.full(len(n), words - 1), np.full(len(n), 1 / (words + 1)), discount, strength, np.random.default_rng(seed))
+
+
 def _discount(once: int, twice: int) -> float:
     return min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
 
 
 def _seat_words(samples: int, words: int, discount: float, strength: float):
-    """Seats the customers of the single-word restaurant: its tables, state by state."""
+    """Seats the customers of the single-word restaurant that are outside the vocabulary: its tables, state by state."""
 
     def run(batches):
         for b in batches:
-            value = b["value"].to_numpy()
-            out = {"kind": b["kind"], "value": b["value"]}
-            wordy = b["kind"].to_numpy() == 0
-            for k in range(samples):
-                n = b[f"t{k}"].to_numpy()
-                tables = n.copy()
-                if wordy.any():
-                    rng = np.random.default_rng([k, len(value), int(value[0]) & 0xFFFFFFFF])
-                    tables[wordy] = seat(n[wordy], np.full(int(wordy.sum()), words - 1), np.full(int(wordy.sum()), 1 / (words + 1)), discount, strength, rng)
-                out |= {f"t{k}": b[f"t{k}"], f"s{k}": tables}
-            yield pa.record_batch(out)
+            if b.num_rows:
+                out = {"value": b["value"]}
+                for k in range(samples):
+                    out |= {f"t{k}": b[f"t{k}"], f"s{k}": _seat_root(b[f"t{k}"].to_numpy(), words, discount, strength, [k, b.num_rows, b["value"][0].as_py() & 0xFFFFFFFF])}
+                yield pa.record_batch(out)
 
     return run
 
@@ -296,31 +368,33 @@ class Model(NamedTuple):
 
 
 def _gather(seated: DataFrame, v: Vocabulary, samples: int, discount: float, strength: float, words: DataFrame):
-    """Parents, totals and unknown words' probabilities of each state, and the words outside the table."""
+    """Parents, totals and unknown words' probabilities of each state, and the words outside the vocabulary."""
     columns = [f"t{k}" for k in range(samples)]
-    summed = seated.groupBy("kind", "value").agg(*[F.sum(c).alias(c) for c in columns])
-    kept = stored(summed.mapInArrow(_seat_words(samples, v.words, discount, strength), "kind int, value long, " + ", ".join(f"t{k} long, s{k} long" for k in range(samples))), "tables")
-    plain = kept.filter("kind = 0")
-    sums = plain.agg(*[F.sum(c).alias(c) for k in range(samples) for c in (f"t{k}", f"s{k}")]).first()
-    held = kept.filter(F.col("value") >= 0).toArrow()  # at most the table's words, twice
-    kind, value = held["kind"].to_numpy(), held["value"].to_numpy()
-    parents, totals, unknown, rare_columns = [], [], [], []
+    seated = stored(seated, "seated")
+    sliced = seated.filter("slice IS NOT NULL").select("slice", "packed").groupBy("slice").applyInArrow(_seated_slice(samples, v.words, discount, strength), "slice int, packed binary")
+    size = -(-len(v.count) // SLICE) * SLICE
+    t, s = np.zeros((2, samples, size), np.int64), np.zeros((2, samples, size), np.int64)
+    for r in sliced.collect():  # the vocabulary, at most FREQUENT places
+        both = _unpack(r["packed"], 2 * samples * SLICE).astype(np.int64).reshape(2, samples, SLICE)
+        at = r["slice"] // 2 * SLICE
+        t[r["slice"] % 2, :, at : at + SLICE], s[r["slice"] % 2, :, at : at + SLICE] = both
+    t, s = t[:, :, : len(v.count)], s[:, :, : len(v.count)]
+    rare, sums = None, None
+    if v.rare:
+        summed = seated.filter("slice IS NULL").groupBy("value").agg(*[F.sum(c).alias(c) for c in columns])
+        rare = stored(summed.mapInArrow(_seat_words(samples, v.words, discount, strength), "value long, " + ", ".join(f"t{k} long, s{k} long" for k in range(samples))), "tables")
+        sums = rare.agg(*[F.sum(c).alias(c) for k in range(samples) for c in (f"t{k}", f"s{k}")]).first()
+    parents, unknown, rare_columns = [], [], []
     for k in range(samples):
-        customers, tables = sums[f"t{k}"] or 0, sums[f"s{k}"] or 0
+        customers, tables = int(t[0, k].sum()) + ((sums[f"t{k}"] or 0) if sums else 0), int(s[0, k].sum()) + ((sums[f"s{k}"] or 0) if sums else 0)
         base = (strength + discount * tables) / (strength + customers) / (v.words + 1)
-        table, by_context = np.full(len(v.count), base), np.zeros(len(v.count))
-        w = kind == 0
-        table[value[w]] += (held[f"t{k}"].to_numpy()[w] - discount * held[f"s{k}"].to_numpy()[w]) / (strength + customers)
-        by_context[value[~w]] = held[f"t{k}"].to_numpy()[~w]
-        left = max(1 - float(table.sum()) - base, 0.0)
-        parents.append(Parent(table, left / v.rare if v.rare else base))
-        totals.append(by_context)
+        left = (((sums[f"t{k}"] or 0) - discount * (sums[f"s{k}"] or 0)) / (strength + customers) / v.rare if sums else 0.0) + base
+        parents.append(Parent((base + (t[0, k] - discount * s[0, k]) / (strength + customers)).astype(np.float32), left))
         unknown.append(base)
-        rare_columns.append(((F.col(f"t{k}") - discount * F.col(f"s{k}")) / F.lit(strength + customers) + F.lit(base)).alias(f"p{k}"))
-    rare = None
-    if v.rare:
-        rare = words.filter(F.col("value") < 0).join(plain.filter(F.col("value") < 0).select("value", *rare_columns), "value")
-    return parents, totals, unknown, rare
+        rare_columns.append(((F.col(f"t{k}") - discount * F.col(f"s{k}")) / F.lit(float(strength + customers)) + F.lit(base)).alias(f"p{k}"))
+    if rare is not None:
+        rare = words.join(rare.select("value", *rare_columns), "value")
+    return parents, list(t[1].astype(np.float32)), unknown, rare
 
 
 def _vocabulary(counts: DataFrame, frequent: int) -> Vocabulary:
@@ -339,10 +413,7 @@ def _vocabulary(counts: DataFrame, frequent: int) -> Vocabulary:
     mark, n = mark[order], n[order]
     sums = counts.filter(F.col("mark").isNotNull() & (F.col("mark") != int(START))).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     by_mark = np.argsort(mark)
-    count, contexts = n.copy(), n.copy()
-    count[mark == START] = 0
-    contexts[mark == END] = 0
-    return Vocabulary(mark[by_mark], by_mark.astype(np.uint64), count, contexts, sums["n"] or 0, sums["v"], sums["v"] - int((mark != START).sum()))
+    return Vocabulary(mark[by_mark], by_mark.astype(np.int32), n, sums["n"] or 0, sums["v"], sums["v"] - int((mark != START).sum()))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS,
@@ -356,8 +427,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     if not v.tokens:
         flat = Parent(np.full(max(len(v.count), 1), 1.0), 1.0)
         return Model(v, buckets, flat, None, [], [], [], 0.5, strengths[1], burn_in, None)
-    pairs = texts.filter("_learns").mapInArrow(_pairs(v, buckets), "bucket int, size long, before binary, word binary, n binary")
-    kinds = "bucket int, size long, before binary, word binary, n binary, once long, twice long"
+    packed = "bucket int, size long, before binary, word binary, n binary"
+    pairs = texts.filter("_learns").mapInArrow(_pairs(v, buckets), packed)
+    kinds = packed + ", once long, twice long"
     held = stored(pairs.groupBy("bucket").applyInArrow(_merge_pairs, kinds), "pairs")
     seen = held.agg(F.sum("once"), F.sum("twice")).first()
     discount = _discount(*seen)
@@ -372,9 +444,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
                 yield b.filter(pa.array(known[at] != m)).select(["value", "n"])
 
         words = words.mapInArrow(outside, "value long, n long")
-    flat = Parent((v.count + 0.5) / (v.tokens + 0.5 * (v.words + 1)), (v.rare_count + 0.5) / (v.tokens + 0.5 * (v.words + 1)))
+    flat = Parent(((v.count + 0.5) / (v.tokens + 0.5 * (v.words + 1))).astype(np.float32), (v.rare_count + 0.5) / (v.tokens + 0.5 * (v.words + 1)))
     root = _discount(*[r or 0 for r in singles.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()])
-    schema = "kind int, value long, "
+    schema = "slice int, packed binary, value long, "
     first = held.mapInArrow(_tables(v, flat, None, discount, strengths[1], burn_in, 1), schema + "t0 long")
     parents, totals, _, _ = _gather(first, v, 1, root, strengths[0], words)
     second = held.mapInArrow(_tables(v, parents[0], totals[0], discount, strengths[1], burn_in, samples), schema + ", ".join(f"t{k} long" for k in range(samples)))
@@ -382,43 +454,39 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     return Model(v, buckets, parents[0], totals[0], states, state_totals, unknown, discount, strengths[1], burn_in, rare)
 
 
-def _dealt(m: Model):
-    """All tokens of all texts, dealt to buckets (row numbers in the block, tokens, tokens before, whether learnt),
-    and one row a block with its texts' ids and what the table alone tells of them."""
-    v = m.vocabulary
+def _dealt(v: Vocabulary, buckets: int):
+    """All tokens of all texts, dealt to buckets (row numbers in the block, whether learnt, tokens, tokens before),
+    and one row a block with its texts' ids and what the vocabulary alone tells of them."""
     floor = v.tokens + 0.5 * (v.words + 1)
 
     def run(batches):
-        number = 0
+        find, number = Finder(v), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
-            for b in blocks(batch, "_text", 4096):
-                word, before, offsets = _tokens(b["_text"])
+            for b in blocks(batch, "_text", 4096, BLOCK_BYTES):
+                word, before, offsets = find.pairs(b["_text"])
                 row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
                 learnt = b["_learns"].to_numpy(zero_copy_only=False)
-                word, before = _values(v, word), _values(v, before)
                 block = task << 32 | number
                 number += 1
                 at_home = word < RARE
                 count = np.where(at_home, v.count[np.where(at_home, word, 0).astype(np.int64)], 0)
                 known = np.bincount(row, count > 0, b.num_rows).astype(np.int64)
                 base = np.bincount(row, np.where(at_home, np.log10((count + 0.5) / floor), 0.0), b.num_rows)
-                order, cut = _cut(_bucket(v, before, word, m.buckets), m.buckets)
-                size, ids, cells = [], b["_id"], []
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    at = order[cut[k] : cut[k + 1]]
-                    size.append((k, len(at)))
-                    cells.append((_pack(row[at] * 2 + learnt[row[at]]), _pack(before[at]), _pack(word[at])))
-                none = pa.nulls(len(size))
+                order, cut = _cut(_bucket(v, before, word, buckets), buckets)
+                cells = [(k, order[cut[k] : cut[k + 1]]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+                flagged = row * 2 + learnt[row]
+                ids, none = b["_id"], pa.nulls(len(cells))
                 yield pa.record_batch({
-                    "bucket": pa.array([k for k, _ in size], pa.int32()), "block": pa.array([block] * len(size), pa.int64()), "size": pa.array([s for _, s in size], pa.int64()),
-                    "rows": pa.array([c[0] for c in cells], pa.binary()), "before": pa.array([c[1] for c in cells], pa.binary()), "word": pa.array([c[2] for c in cells], pa.binary()),
+                    "bucket": pa.array([k for k, _ in cells], pa.int32()), "block": pa.array([block] * len(cells), pa.int64()), "size": pa.array([len(at) for _, at in cells], pa.int64()),
+                    "rows": pa.array([_pack(flagged[at], True) for _, at in cells], pa.binary()), "before": pa.array([_pack(before[at]) for _, at in cells], pa.binary()),
+                    "word": pa.array([_pack(word[at]) for _, at in cells], pa.binary()),
                     "ids": none.cast(pa.list_(ids.type)), "tokens": none.cast(pa.list_(pa.int64())), "known": none.cast(pa.list_(pa.int64())), "base": none.cast(pa.list_(pa.float64()))})
 
                 def whole(a):
-                    return pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), a)
+                    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
                 yield pa.record_batch({
-                    "bucket": pa.array([-1 - block % m.buckets], pa.int32()), "block": pa.array([block], pa.int64()), "size": pa.array([b.num_rows], pa.int64()),
+                    "bucket": pa.array([-1 - block % buckets], pa.int32()), "block": pa.array([block], pa.int64()), "size": pa.array([b.num_rows], pa.int64()),
                     "rows": pa.nulls(1, pa.binary()), "before": pa.nulls(1, pa.binary()), "word": pa.nulls(1, pa.binary()),
                     "ids": whole(ids), "tokens": whole(pa.array(np.diff(offsets))), "known": whole(pa.array(known)), "base": whole(pa.array(base))})
 
@@ -426,67 +494,60 @@ def _dealt(m: Model):
 
 
 def _scored(m: Model):
-    """Of a bucket: per block the sums of log10 probability by row, and the tokens outside the table with the
+    """Of a bucket: per block the sums of log10 probability by row, and the tokens outside the vocabulary with the
     parts of their probability (``alpha`` and, state by state, the share of the parent)."""
     v, n_states = m.vocabulary, len(m.states)
 
     def run(t: pa.Table) -> pa.Table:
         none = pa.nulls(t.num_rows)
-        empty = {"rare": none.cast(pa.list_(pa.int64())), "row": none.cast(pa.list_(pa.int64())), "alpha": none.cast(pa.list_(pa.float64())), "beta": none.cast(pa.list_(pa.float64())), "sums": none.cast(pa.list_(pa.float64()))}
+        empty = {"rare": none.cast(pa.list_(pa.int64())), "row": none.cast(pa.list_(pa.int32())), "alpha": none.cast(pa.list_(pa.float32())), "beta": none.cast(pa.list_(pa.float32())), "sums": none.cast(pa.list_(pa.float64()))}
         keep = ["block", "size", "ids", "tokens", "known", "base"]
         if t["bucket"][0].as_py() < 0:
             return pa.table({c: t[c] for c in keep} | empty)
-        lines = t.select(["block", "size", "rows", "before", "word"]).to_pylist()
-        held = []
-        for r in lines:  # learnt pairs, counted line by line
-            rows, before, word = (_unpack(r[c], r["size"]) for c in ("rows", "before", "word"))
-            learnt = (rows & np.uint64(1)) == 1
-            held.append(_sorted_pairs(before[learnt], word[learnt], np.ones(int(learnt.sum()), np.int64)))
-        x = Restaurants(v, *_sorted_pairs(*[np.concatenate(c) for c in zip(*held)]))
-        del held
-        seed = t["bucket"][0].as_py()
-        states = list(x.chain(_of_words(m.parent, x.word), m.totals, m.discount, m.strength, seed, m.burn_in, n_states))
-        # A pair's own share and its context's share of the parent, state by state.
-        own = [(x.n - m.discount * s) / (m.strength + x.customers[x.owner]) for s in states]
-        lean = []
-        for s, totals in zip(states, m.state_totals):
-            whole = np.add.reduceat(s, x.cut).astype(float) if len(x.cut) else np.zeros(0)
-            whole[x.wide] = totals[x.context[x.wide].astype(np.int64)]
-            lean.append((m.strength + m.discount * whole) / (m.strength + x.customers))
-        fingers = mix(x.before * grams.ODD ^ mix(x.word))  # distinct pairs of a bucket, looked up by fingerprint
-        by = np.argsort(fingers)
-        sorted_fingers = fingers[by]
-        out = {c: [] for c in ("sums", "rare", "row", "alpha", "beta")}
-        for r in lines:
-            rows, before, word = (_unpack(r[c], r["size"]) for c in ("rows", "before", "word"))
-            rows = (rows >> np.uint64(1)).astype(np.int64)
-            f = mix(before * grams.ODD ^ mix(word))
-            at = np.minimum(np.searchsorted(sorted_fingers, f), max(len(fingers) - 1, 0))
-            hit = sorted_fingers[at] == f if len(fingers) else np.zeros(len(f), bool)
-            pair = by[at] if len(fingers) else at
-            c = np.minimum(np.searchsorted(x.context, before), max(len(x.context) - 1, 0))
-            met = x.context[c] == before if len(x.context) else np.zeros(len(f), bool)
-            wide = before < RARE
-            place = np.where(wide, before, 0).astype(np.int64)
-            at_home = word < RARE
-            p, alpha, beta = np.zeros(len(word)), np.zeros(len(word)), []
-            for k in range(n_states):
-                a = np.where(hit, own[k][pair], 0.0) if len(fingers) else np.zeros(len(word))
-                b = np.where(met, lean[k][c], 1.0) if len(x.context) else np.ones(len(word))
-                spread = (m.strength + m.discount * m.state_totals[k][place]) / (m.strength + v.contexts[place])
-                b = np.where(wide, spread, b)
-                p += a + b * _of_words(m.states[k], word)
-                alpha += a
-                beta.append(b)
-            n_rows = int(rows.max()) + 1 if len(rows) else 0
-            out["sums"].append(np.bincount(rows[at_home], np.log10(p[at_home] / n_states), n_rows))
-            away = np.flatnonzero(~at_home)
-            out["rare"].append(word[away].view(np.int64))
-            out["row"].append(rows[away])
-            out["alpha"].append(alpha[away] / n_states)
-            out["beta"].append(np.stack(beta, 1)[away].ravel() / n_states)
-        lists = {c: pa.array(out[c], empty[c].type) for c in out}
-        return pa.table({c: t[c] for c in keep} | lists)
+        lines = t.select(["size", "rows", "before", "word"]).to_pylist()
+        sizes = np.cumsum([0, *[r["size"] for r in lines]])
+        before, word = (np.concatenate([_unpack(r[c], r["size"]) for r in lines]) for c in ("before", "word"))
+        rows = [_unpack(r["rows"], r["size"], True) for r in lines]
+        # Distinct pairs (by a 64-bit fingerprint), how often they are learnt, and which pair every token is.
+        finger = mix(before * grams.ODD ^ mix(word))
+        order = np.argsort(finger)
+        finger = finger[order]
+        new = np.append(True, finger[1:] != finger[:-1])
+        pair = np.empty(len(order), np.int32)
+        pair[order] = np.cumsum(new) - 1
+        before, word = before[order[new]], word[order[new]]
+        del finger, order, new
+        n = np.bincount(pair, np.concatenate([(r & np.uint64(1)).astype(np.float64) for r in rows]), len(word)).astype(np.int64)
+        # Learnt pairs in the order of the model's rounds, so that the seating comes out the same.
+        at = np.flatnonzero(n)
+        at = at[np.lexsort((word[at], before[at]))]
+        x = Restaurants(v, before[at], word[at], n[at])
+        # Every pair's context: its customers, and its tables state by state.
+        c = np.minimum(np.searchsorted(x.context, before), max(len(x.context) - 1, 0))
+        met = x.context[c] == before if len(x.context) else np.zeros(len(word), bool)
+        wide, home = before < RARE, word < RARE
+        place = np.where(wide, before, 0).astype(np.int64)
+        customers = np.where(wide, v.count[place], np.where(met, x.customers[c], 0) if len(x.context) else 0)
+        p, alpha, beta = np.zeros(len(word)), np.zeros(len(word)), np.zeros((len(word), n_states))
+        for k, s in enumerate(x.chain(m.parent, m.totals, m.discount, m.strength, t["bucket"][0].as_py(), m.burn_in, n_states)):
+            mine = np.bincount(x.owner, s, len(x.cut))
+            tables = np.where(wide, m.state_totals[k][place], np.where(met, mine[c], 0) if len(x.context) else 0)
+            own = np.zeros(len(word))
+            own[at] = (x.n - m.discount * s) / (m.strength + customers[at])
+            beta[:, k] = (m.strength + m.discount * tables) / (m.strength + customers)
+            p += own + beta[:, k] * _of_words(m.states[k], word)
+            alpha += own
+        logs = np.where(home, np.log10(p / n_states), 0.0)
+        out = {c: [] for c in empty}
+        for lo, hi, r in zip(sizes[:-1], sizes[1:], rows):
+            row, mine = (r >> np.uint64(1)).astype(np.int64), pair[lo:hi]
+            out["sums"].append(np.bincount(row, logs[mine]))
+            away = np.flatnonzero(~home[mine])
+            out["rare"].append(word[mine[away]].view(np.int64))
+            out["row"].append(row[away].astype(np.int32))
+            out["alpha"].append((alpha[mine[away]] / n_states).astype(np.float32))
+            out["beta"].append((beta[mine[away]] / n_states).astype(np.float32).ravel())
+        return pa.table({c: t[c] for c in keep} | {c: pa.array(out[c], empty[c].type) for c in out})
 
     return run
 
@@ -520,16 +581,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         def alone(batches):
             for b in batches:
                 for part in blocks(b, "_text", 8192):
-                    yield pa.record_batch({"_id": part["_id"], "n": np.diff(_tokens(part["_text"])[2])})
+                    yield pa.record_batch({"_id": part["_id"], "n": np.diff(_tokens(part["_text"])[1])})
         flat = texts.mapInArrow(alone, T.StructType([T.StructField("_id", kind), T.StructField("n", T.LongType())]))
         zero = F.lit(0).cast("long")
         return flat.select(F.col("_id").alias(id_col), (~learns("_id")).alias("held_out"), F.col("n").alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
     long, double = T.LongType(), T.DoubleType()
     block_fields = [("ids", T.ArrayType(kind)), ("tokens", T.ArrayType(long)), ("known", T.ArrayType(long)), ("base", T.ArrayType(double))]
     dealt_schema = T.StructType([T.StructField(n, t) for n, t in [("bucket", T.IntegerType()), ("block", long), ("size", long), ("rows", T.BinaryType()), ("before", T.BinaryType()), ("word", T.BinaryType()), *block_fields]])
-    scored_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("size", long), *block_fields, ("rare", T.ArrayType(long)), ("row", T.ArrayType(long)), ("alpha", T.ArrayType(double)), ("beta", T.ArrayType(double)), ("sums", T.ArrayType(double))]])
+    scored_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("size", long), *block_fields, ("rare", T.ArrayType(long)), ("row", T.ArrayType(T.IntegerType())), ("alpha", T.ArrayType(T.FloatType())), ("beta", T.ArrayType(T.FloatType())), ("sums", T.ArrayType(double))]])
     sent = model._replace(words=None)  # what travels to the tasks
-    dealt = texts.mapInArrow(_dealt(sent), dealt_schema)
+    dealt = texts.mapInArrow(_dealt(v, model.buckets), dealt_schema)
     held = stored(dealt.groupBy("bucket").applyInArrow(_scored(sent), scored_schema), "pair-scores")
     summed_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("row", long), ("_id", kind), ("n_tokens", long), ("known", long), ("base", double), ("score", double)]])
     out = held.select("block", "size", "ids", "tokens", "known", "base", "sums").groupBy("block").applyInArrow(_summed, summed_schema)
@@ -541,9 +602,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         away = away.join(model.words, "value", "left")
     else:
         away = away.select("*", F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"p{k}") for k in range(n_states)])
-    p = F.col("alpha")
+    p = F.col("alpha").cast("double")
     for k in range(n_states):
-        p = p + F.col(f"b{k}") * F.coalesce(F.col(f"p{k}"), F.lit(float(model.unknown[k])))
+        p = p + F.col(f"b{k}").cast("double") * F.coalesce(F.col(f"p{k}"), F.lit(float(model.unknown[k])))
     away = away.groupBy("block", "row").agg(
         F.sum(F.log10(p)).alias("more"), F.count("n").alias("more_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("more_base"))
     both = out.join(away, ["block", "row"], "left")
