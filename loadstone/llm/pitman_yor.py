@@ -15,7 +15,7 @@ frequencies, its tables give the first parent. Round 2 seats under it; each of i
 per word for a parent of that state, tables per context. Scoring deals all tokens out in the same way, repeats
 round 2 of the bucket (same seed, same counts) and averages the predictive probabilities over the states.
 
-The ``FREQUENT`` words (about, never more) travel to all tasks; other words meet their parent in a join, and in seating count as their mean. Discounts
+The ``FREQUENT`` words (about, never more) travel to all tasks; other words meet their parent, averaged over the states, in a join, and in seating count as their mean. Discounts
 come from the pairs (words) seen once and twice. What is learnt grows with the training texts; nothing is sampled from them.
 
 Defined cases: a null or empty text is one end token; a null id counts as the empty string in the choice of training rows; repeated rows count
@@ -364,7 +364,7 @@ class Model(NamedTuple):
     discount: float
     strength: float
     burn_in: int
-    words: DataFrame | None  # value, n (training tokens), p0, p1, ...: words outside the table
+    words: DataFrame | None  # value, n (training tokens), p (probability, mean of the states): words outside the table
 
 
 def _gather(seated: DataFrame, v: Vocabulary, samples: int, discount: float, strength: float, words: DataFrame):
@@ -391,9 +391,9 @@ def _gather(seated: DataFrame, v: Vocabulary, samples: int, discount: float, str
         left = (((sums[f"t{k}"] or 0) - discount * (sums[f"s{k}"] or 0)) / (strength + customers) / v.rare if sums else 0.0) + base
         parents.append(Parent((base + (t[0, k] - discount * s[0, k]) / (strength + customers)).astype(np.float32), left))
         unknown.append(base)
-        rare_columns.append(((F.col(f"t{k}") - discount * F.col(f"s{k}")) / F.lit(float(strength + customers)) + F.lit(base)).alias(f"p{k}"))
+        rare_columns.append(((F.col(f"t{k}") - discount * F.col(f"s{k}")) / F.lit(float(strength + customers)) + F.lit(base)))
     if rare is not None:
-        rare = words.join(rare.select("value", *rare_columns), "value")
+        rare = words.join(rare.select("value", (sum(rare_columns[1:], rare_columns[0]) / samples).alias("p")), "value")
     return parents, list(t[1].astype(np.float32)), unknown, rare
 
 
@@ -495,12 +495,12 @@ def _dealt(v: Vocabulary, buckets: int):
 
 def _scored(m: Model):
     """Of a bucket: per block the sums of log10 probability by row, and the tokens outside the vocabulary with the
-    parts of their probability (``alpha`` and, state by state, the share of the parent)."""
+    parts of their probability (their own, ``alpha``, and the share ``beta`` of the parent)."""
     v, n_states = m.vocabulary, len(m.states)
 
     def run(t: pa.Table) -> pa.Table:
         none = pa.nulls(t.num_rows)
-        empty = {"rare": none.cast(pa.list_(pa.int64())), "row": none.cast(pa.list_(pa.int32())), "alpha": none.cast(pa.list_(pa.float32())), "beta": none.cast(pa.list_(pa.float32())), "sums": none.cast(pa.list_(pa.float64()))}
+        empty = {"rare": none.cast(pa.list_(pa.int64())), "row": none.cast(pa.list_(pa.int32())), "alpha": none.cast(pa.list_(pa.float32())), "beta": none.cast(pa.list_(pa.float32())), "sums": none.cast(pa.list_(pa.float32()))}
         keep = ["block", "size", "ids", "tokens", "known", "base"]
         if t["bucket"][0].as_py() < 0:
             return pa.table({c: t[c] for c in keep} | empty)
@@ -528,48 +528,49 @@ def _scored(m: Model):
         wide, home = before < RARE, word < RARE
         place = np.where(wide, before, 0).astype(np.int64)
         customers = np.where(wide, v.count[place], np.where(met, x.customers[c], 0) if len(x.context) else 0)
-        p, alpha, beta = np.zeros(len(word)), np.zeros(len(word)), np.zeros((len(word), n_states))
+        p, alpha, beta = np.zeros(len(word)), np.zeros(len(word)), np.zeros(len(word))
         for k, s in enumerate(x.chain(m.parent, m.totals, m.discount, m.strength, t["bucket"][0].as_py(), m.burn_in, n_states)):
             mine = np.bincount(x.owner, s, len(x.cut))
             tables = np.where(wide, m.state_totals[k][place], np.where(met, mine[c], 0) if len(x.context) else 0)
             own = np.zeros(len(word))
             own[at] = (x.n - m.discount * s) / (m.strength + customers[at])
-            beta[:, k] = (m.strength + m.discount * tables) / (m.strength + customers)
-            p += own + beta[:, k] * _of_words(m.states[k], word)
+            lean = (m.strength + m.discount * tables) / (m.strength + customers)
+            p += own + lean * _of_words(m.states[k], word)
             alpha += own
+            beta += lean
         logs = np.where(home, np.log10(p / n_states), 0.0)
         out = {c: [] for c in empty}
         for lo, hi, r in zip(sizes[:-1], sizes[1:], rows):
             row, mine = (r >> np.uint64(1)).astype(np.int64), pair[lo:hi]
-            out["sums"].append(np.bincount(row, logs[mine]))
+            out["sums"].append(np.bincount(row, logs[mine]).astype(np.float32))
             away = np.flatnonzero(~home[mine])
             out["rare"].append(word[mine[away]].view(np.int64))
             out["row"].append(row[away].astype(np.int32))
             out["alpha"].append((alpha[mine[away]] / n_states).astype(np.float32))
-            out["beta"].append((beta[mine[away]] / n_states).astype(np.float32).ravel())
+            out["beta"].append((beta[mine[away]] / n_states).astype(np.float32))
         return pa.table({c: t[c] for c in keep} | {c: pa.array(out[c], empty[c].type) for c in out})
 
     return run
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    """Rows of a block with their sums over all buckets."""
-    total = None
-    for r in t.select(["size", "sums"]).to_pylist():
-        if r["sums"] is not None:
-            s = np.array(r["sums"])
-            if total is None or len(total) < len(s):
-                total = np.append(total if total is not None else np.zeros(0), np.zeros(len(s) - (0 if total is None else len(total))))
-            total[: len(s)] += s
+    """Rows of a block with their sums over all buckets, and their tokens outside the vocabulary."""
     home = t.filter(pc.is_valid(t["ids"]))
     if not home.num_rows:
         raise RuntimeError("a block of texts came without its ids")
     ids = home["ids"].combine_chunks().flatten()
     info = {c: home[c].combine_chunks().flatten() for c in ("tokens", "known", "base")}
-    n = len(ids)
-    total = np.append(total if total is not None else np.zeros(0), np.zeros(n))[:n]
+    total = np.zeros(len(ids))
+    for s in t["sums"].combine_chunks():
+        if s.is_valid:
+            part = s.values.to_numpy()
+            total[: len(part)] += part
+    row, rare, alpha, beta = (t[c].combine_chunks().flatten().to_numpy() for c in ("row", "rare", "alpha", "beta"))
+    order = np.argsort(row, kind="stable")
+    cut = np.searchsorted(row[order], np.arange(len(ids) + 1)).astype(np.int32)
+    away = {c: pa.ListArray.from_arrays(cut, pa.array(a[order])) for c, a in (("rare", rare), ("alpha", alpha), ("beta", beta))}
     block = home["block"][0].as_py()
-    return pa.table({"block": pa.array([block] * n, pa.int64()), "row": pa.array(np.arange(n)), "_id": ids, "n_tokens": info["tokens"], "known": info["known"], "base": info["base"], "score": pa.array(total)})
+    return pa.table({"block": pa.array([block] * len(ids), pa.int64()), "row": pa.array(np.arange(len(ids))), "_id": ids, "n_tokens": info["tokens"], "known": info["known"], "base": info["base"], "score": pa.array(total)} | away)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -586,28 +587,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         zero = F.lit(0).cast("long")
         return flat.select(F.col("_id").alias(id_col), (~learns("_id")).alias("held_out"), F.col("n").alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
     long, double = T.LongType(), T.DoubleType()
-    block_fields = [("ids", T.ArrayType(kind)), ("tokens", T.ArrayType(long)), ("known", T.ArrayType(long)), ("base", T.ArrayType(double))]
-    dealt_schema = T.StructType([T.StructField(n, t) for n, t in [("bucket", T.IntegerType()), ("block", long), ("size", long), ("rows", T.BinaryType()), ("before", T.BinaryType()), ("word", T.BinaryType()), *block_fields]])
-    scored_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("size", long), *block_fields, ("rare", T.ArrayType(long)), ("row", T.ArrayType(T.IntegerType())), ("alpha", T.ArrayType(T.FloatType())), ("beta", T.ArrayType(T.FloatType())), ("sums", T.ArrayType(double))]])
+    longs, doubles, floats = T.ArrayType(long), T.ArrayType(double), T.ArrayType(T.FloatType())
+
+    def schema(**fields: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+    block = {"ids": T.ArrayType(kind), "tokens": longs, "known": longs, "base": doubles}
+    away = {"rare": longs, "alpha": floats, "beta": floats}
+    dealt = texts.mapInArrow(_dealt(v, model.buckets), schema(bucket=T.IntegerType(), block=long, size=long, rows=T.BinaryType(), before=T.BinaryType(), word=T.BinaryType(), **block))
     sent = model._replace(words=None)  # what travels to the tasks
-    dealt = texts.mapInArrow(_dealt(v, model.buckets), dealt_schema)
-    held = stored(dealt.groupBy("bucket").applyInArrow(_scored(sent), scored_schema), "pair-scores")
-    summed_schema = T.StructType([T.StructField(n, t) for n, t in [("block", long), ("row", long), ("_id", kind), ("n_tokens", long), ("known", long), ("base", double), ("score", double)]])
-    out = held.select("block", "size", "ids", "tokens", "known", "base", "sums").groupBy("block").applyInArrow(_summed, summed_schema)
+    scored = dealt.groupBy("bucket").applyInArrow(_scored(sent), schema(block=long, size=long, **block, **away, row=T.ArrayType(T.IntegerType()), sums=floats))
+    summed = scored.groupBy("block").applyInArrow(_summed, schema(block=long, row=long, _id=kind, n_tokens=long, known=long, base=double, score=double, **away))
+    held = stored(summed, "text-scores")
+    # Tokens outside the vocabulary meet their counts and the parent's probability by word.
     floor = float(v.tokens + 0.5 * (v.words + 1))
-    # Tokens outside the table meet their counts and parents' probabilities by word.
-    away = held.filter(F.size("rare") > 0).select("block", F.posexplode("rare").alias("i", "value"), "row", "alpha", "beta")
-    away = away.select("block", F.get("row", F.col("i")).alias("row"), "value", F.get("alpha", F.col("i")).alias("alpha"), *[F.get("beta", F.col("i") * n_states + k).alias(f"b{k}") for k in range(n_states)])
+    met = held.select("block", "row", F.explode(F.arrays_zip("rare", "alpha", "beta")).alias("t")).select("block", "row", F.col("t.rare").alias("value"), "t.alpha", "t.beta")
     if model.words is not None:
-        away = away.join(model.words, "value", "left")
+        met = met.join(model.words, "value", "left")
     else:
-        away = away.select("*", F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"p{k}") for k in range(n_states)])
-    p = F.col("alpha").cast("double")
-    for k in range(n_states):
-        p = p + F.col(f"b{k}").cast("double") * F.coalesce(F.col(f"p{k}"), F.lit(float(model.unknown[k])))
-    away = away.groupBy("block", "row").agg(
+        met = met.select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p"))
+    p = F.col("alpha").cast("double") + F.col("beta").cast("double") * F.coalesce("p", F.lit(float(sum(model.unknown) / n_states)))
+    more = met.groupBy("block", "row").agg(
         F.sum(F.log10(p)).alias("more"), F.count("n").alias("more_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("more_base"))
-    both = out.join(away, ["block", "row"], "left")
+    both = held.drop("rare", "alpha", "beta").join(more, ["block", "row"], "left")
     return both.select(
         F.col("_id").alias(id_col), (~learns("_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
