@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.operators import metrics as mt
+from loadstone.operators.scans import scan, smoothing
 from loadstone.operators.series import running, with_position
 
 # Fixed values.
@@ -54,30 +54,10 @@ def combine(forecasts: DataFrame, w: DataFrame, keys: Sequence[str], target: Seq
     return g.select(*target, "predicted", "members", ((F.col("predicted") >= F.col("_lo") - 1e-6) & (F.col("predicted") <= F.col("_hi") + 1e-6)).alias("within_members"))
 
 
-EWMA_CHUNK = 128
-
-
 def ewma(history: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float = EWMA_ALPHA, name: str = "ewma") -> DataFrame:
-    """Exponential smoothing carried through every row, unusable values skipped.
-
-    Inside a chunk the recursion is a weighted window sum. What enters a chunk
-    comes from as many earlier chunk results as still weigh anything in double
-    precision, a fixed number for a given ``alpha``.
-    """
-    keys, keep = list(keys), 1.0 - alpha
-    pos = with_position(history.filter(usable(value)), keys, order, "_pos")
-    cut = pos.withColumn("_chunk", F.floor(F.col("_pos") / EWMA_CHUNK)).withColumn("_k", F.col("_pos") % EWMA_CHUNK)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.when(F.col("_pos") == 0, 1.0).otherwise(alpha)
-    part = F.sum(share * F.col(value) * F.pow(F.lit(keep), -F.col("_k"))).over(w) * F.pow(F.lit(keep), F.col("_k"))
-    inside = cut.withColumn("_part", part)
-    ends = inside.groupBy(*keys, "_chunk").agg(F.max_by("_part", "_k").alias("_end"))
-    reach = max(1, math.ceil(math.log(1e-18) / (EWMA_CHUNK * math.log(keep)))) if keep > 0 else 1
-    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-reach, -1)
-    through = keep ** EWMA_CHUNK
-    carry = ends.select(*keys, "_chunk", F.aggregate(F.collect_list("_end").over(wc), F.lit(0.0), lambda s, e: e + F.lit(through) * s).alias("_in"))
-    return inside.join(carry, [*keys, "_chunk"]).select(
-        *history.columns, (F.col("_part") + F.pow(F.lit(keep), F.col("_k") + 1) * F.col("_in")).alias(name))
+    """Exponential smoothing carried through every row, unusable values skipped; chunks are combined as affine maps."""
+    pos = with_position(history.filter(usable(value)), list(keys), order, "_pos")
+    return scan(pos, keys, "_pos", smoothing(value, usable(value), alpha, name)).drop("_pos")
 
 
 def weighting_input(meta: DataFrame, smoothed_on: bool = True) -> DataFrame:

@@ -4,23 +4,43 @@ their batch result."""
 from pyspark.sql import functions as F
 
 from loadstone.functions import text as tx
+from loadstone.operators.backtest import recompute_cadence
 from loadstone.operators.series import lead_hours
 from loadstone.plans import frames as fr
-from loadstone.plans.q_drift import NOW, SNAPS, forecasts, now
+from loadstone.plans.q_drift import BLOCK_D, NOW, REVISED, SNAPS, _spans, forecasts, now, revised
 from loadstone.plans.q_grid import SNAP, snapshots
 from loadstone.plans.q_sources import METADATA_SQL, metadata
 from loadstone.plans.registry import query
 from loadstone.session import scratch_path
+from loadstone.streaming import late, ledger
 from loadstone.streaming import operators as so
-from loadstone.streaming.sinks import drain, guarded_upsert, staged, stream_table
+from loadstone.streaming.sinks import drain, guarded_upsert, read_latest, staged, stream_table, update_log
 from loadstone.streaming.vintage import read_vintages, vintage_stream
 
+WEEK = 7 * 86400
+
 
 def streamed(df, name, files=None):
     """Stage a batch table and open it as a file stream."""
     return stream_table(df.sparkSession, staged(df, name), df.schema, files)
 
 
+def ticks(df, on, n=3):
+    """``df`` cut into ``n`` tables by a hash, so that all but the first bring late rows."""
+    part = F.pmod(F.xxhash64(*on), F.lit(n))
+    return [df.filter(part == k) for k in range(n)]
+
+
+def in_ticks(parts, name, run):
+    """Append tables to a folder one after another and run the stream over it after each; the last result."""
+    spark = parts[0].sparkSession
+    base, path = scratch_path(spark, f"{name}-rows"), scratch_path(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(base)
+        out = run(stream_table(spark, base, part.schema), path)
+    return out
+
+
 def event_stream(spark, sf):
     e = fr.events(spark, sf).select(F.col("event_type").alias("region"), "ts", F.col("value").alias("demand_mw"))
     return streamed(e, "events")
@@ -51,11 +71,21 @@ def stream_vintage(spark, sf):
     return read_vintages(spark, path).drop("period", "version")
 
 
-@query("d3_stream_first_snapshots", "scored", f"WITH {SNAPS} SELECT horizon, count(DISTINCT (region, target_ts)) AS kept FROM snaps GROUP BY 1")
+@query("d3_stream_first_snapshots", "scored", f"""WITH {SNAPS}
+SELECT horizon, count(*) AS kept, count(*) FILTER (hour(target_ts) % 3 = 0) AS skipped, count(*) AS first_made FROM snaps GROUP BY 1""")
 def stream_dedup(spark, sf):
+    """Every third hour is forecast again two hours later, and that one comes first; the first made is kept, the other counted."""
     f = forecasts(spark, sf).select("region", "target_ts", "origin", "made_at")
-    kept = drain(so.first_snapshots(so.snapshots(streamed(f, "forecasts"))), "snapshots", mode="append")
-    return kept.groupBy("horizon").agg(F.count("*").alias("kept"))
+    again = f.filter(F.hour("target_ts") % 3 == 0).withColumn("made_at", F.col("made_at") + F.expr("INTERVAL 2 HOURS"))
+    half = F.col("target_ts") < F.lit("2024-01-16").cast("timestamp")
+    base, out, state = (scratch_path(spark, n) for n in ("forecasts", "snapshots", "snapshots-state"))
+    for part in (again.filter(half), f.filter(half), again.filter(~half), f.filter(~half)):
+        part.write.mode("append").parquet(base)
+        stream = so.first_snapshots(so.snapshots(stream_table(spark, base, f.schema)), 31 * 24)  # all ticks lie within the lateness bound
+        update_log(stream, out, state).awaitTermination()
+    kept = read_latest(spark, out, stream.schema, ["region", "target_ts", "horizon"])
+    lead = F.unix_timestamp("target_ts") - F.unix_timestamp("made_at") - 3600
+    return kept.groupBy("horizon").agg(F.count("*").alias("kept"), F.sum("skipped").alias("skipped"), F.count_if(F.concat((lead / 3600).cast("int").cast("string"), F.lit("h")) == F.col("horizon")).alias("first_made"))
 
 
 @query("d2_stream_resolution", "scored hourly", """
@@ -75,6 +105,37 @@ def stream_sliding(spark, sf):
     return drain(so.sliding_error(streamed(s, "records"), step="1 day"), "sliding", ["region", "model", "window_end"])
 
 
+def graded(spark, sf):
+    """Ticks of graded records and revised actuals: revisions before and after their records, and an older capture that comes last."""
+    s = fr.scored(spark, sf).withColumn("captured_at", F.col("ts"))
+    r = revised(spark, sf)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("model", "string"), ("predicted", "double"), ("lead_hours", s.schema["lead_hours"].dataType.simpleString()), ("placeholder", "boolean"))]
+    newer = r.select(*none, "region", "ts", "actual", (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("captured_at"))
+    older = r.filter("hour(ts) % 7 <> 0").select(*none, "region", "ts", (F.col("actual") * 1.5).alias("actual"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("captured_at"))
+    early, mid, last = ticks(s.select("region", "model", "ts", "predicted", "actual", "lead_hours", "placeholder", "captured_at"), ["region", "ts"])
+    first, second, third = ticks(newer, ["ts", "region"])
+    return in_ticks([early.unionByName(first), mid.unionByName(second).unionByName(older.filter("hour(ts) % 2 = 0")), last.unionByName(third), older.filter("hour(ts) % 2 = 1")],
+                    "ledger", lambda rows, path: ledger.regrade_stream(rows, path, 6))
+
+
+REGRADED = REVISED + """, regraded AS (SELECT s.* REPLACE (CASE WHEN now_mw > 0 AND round(now_mw, 2) <> round(actual, 2) THEN now_mw ELSE actual END AS actual) FROM scored s JOIN revised USING (region, ts)), """
+
+
+@query("d5_stream_regraded_drift", "scored hourly", f"""WITH {REGRADED}{_spans(6).replace("FROM scored", "FROM regraded")}
+SELECT a.region, a.model, r.n_records, a.smape AS rolling_smape_7d, b.smape AS rolling_smape_30d, a.mape AS rolling_mape_7d, b.mape AS rolling_mape_30d, a.n AS n_7d, b.n AS n_30d,
+  a.low AS n_low_actual_excluded_7d, a.far AS n_lead_excluded_7d, a.unk AS n_lead_unknown_7d, a.ph AS n_anchor_placeholder_7d, a.phu AS n_anchor_unknown_7d
+FROM blk a JOIN blk b USING (region, model) JOIN (SELECT region, model, count(*) AS n_records FROM scored GROUP BY ALL) r USING (region, model) WHERE a.span = '7d' AND b.span = '30d'""", d=BLOCK_D)
+def stream_regraded_drift(spark, sf):
+    return ledger.rolling_sums(spark, graded(spark, sf), now(), 6)
+
+
+@query("d5_stream_regrade_stats", "scored hourly", f"""WITH {REVISED}
+SELECT region, model, count(*) FILTER (moved) AS n_regraded, avg(abs(now_mw - actual) / now_mw * 100) FILTER (moved) AS mean_abs_shift_pct, max(abs(now_mw - actual) / now_mw * 100) FILTER (moved) AS max_abs_shift_pct
+FROM (SELECT *, now_mw > 0 AND round(now_mw, 2) <> round(actual, 2) AS moved FROM scored JOIN revised USING (region, ts)) GROUP BY 1, 2""", d="mean_abs_shift_pct max_abs_shift_pct")
+def stream_regrade_stats(spark, sf):
+    return ledger.regraded_stats(ledger.read_records(spark, graded(spark, sf)))
+
+
 @query("d6_stream_late_counters", "scored", f"""WITH {SNAPS}
 SELECT date_trunc('day', logged_at) AS day, horizon, count(*) FILTER (t IS NULL) AS malformed, count(*) FILTER (t < TIMESTAMP '{NOW}' - INTERVAL 120 HOUR) AS expired, count(*) AS n
 FROM (SELECT target_ts AS logged_at, horizon, CASE WHEN hour(target_ts) <> 5 THEN target_ts END AS t FROM snaps) GROUP BY 1, 2""")
@@ -88,13 +149,13 @@ SELECT region, ts AS made_at, origin FROM (SELECT *, max(origin) OVER (PARTITION
 def stream_monotone(spark, sf):
     back = F.when(F.hour("ts") % 5 == 0, F.expr("INTERVAL 4 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
     f = fr.hourly(spark, sf).select("region", F.col("ts").alias("made_at"), (F.col("ts") - back).alias("origin"))
-    return drain(so.monotone_origins(streamed(f, "served")), "monotone", mode="append")
+    return in_ticks(ticks(f, ["made_at", "region"]), "monotone", lambda rows, path: late.monotone_origins(rows, WEEK, path))
 
 
 @query("d9_stream_snapshot_fifo", "hourly", f"WITH {SNAP} SELECT region AS series, count(*) AS n, max(day)::TIMESTAMP AS newest, arg_max(hash, day) AS newest_hash FROM (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY region ORDER BY day DESC) <= 10) GROUP BY region")
 def stream_fifo(spark, sf):
     s = snapshots(spark, sf).select(F.col("region").alias("series"), F.col("day").cast("timestamp").alias("scored_at"), tx.predictions_hash(F.col("predictions")).alias("hash"))
-    out = drain(so.snapshot_fifo(streamed(s, "snaps"), 10), "fifo", ["series"])
+    out = in_ticks(ticks(s, ["scored_at", "series"]), "fifo", lambda rows, path: late.snapshot_fifo(rows, 10, WEEK, path))
     return out.select("series", F.size("hashes").alias("n"), F.array_max("scored_at").alias("newest"), F.element_at("hashes", -1).alias("newest_hash"))
 
 
@@ -104,7 +165,7 @@ e AS (SELECT series, trained_at, k, mape, mape AS ewma FROM m WHERE k = 1 UNION
 SELECT series, trained_at, mape, ewma FROM e""", d="mape ewma")
 def stream_ewma(spark, sf):
     h = metadata(spark, sf).filter("trained_at IS NOT NULL").groupBy(F.concat_ws("|", "region", "model").alias("series"), "trained_at").agg(F.max("mape").alias("mape"))
-    return drain(so.carried_ewma(streamed(h, "scores")), "ewma", mode="append")
+    return in_ticks(ticks(h, ["trained_at", "series"]), "ewma", lambda rows, path: late.carried_ewma(rows, chunk_seconds=WEEK, path=path))
 
 
 @query("d11_stream_breach_streaks", "hourly", """
@@ -112,7 +173,17 @@ SELECT region AS series, ts AS run_at, demand_mw > 150 AS breached, CASE WHEN de
   CASE WHEN demand_mw > 150 THEN row_number() OVER (PARTITION BY region, g, demand_mw > 150 ORDER BY ts) ELSE 0 END >= 3 AS alert FROM (SELECT *, sum((demand_mw <= 150)::INT) OVER (PARTITION BY region ORDER BY ts) AS g FROM hourly)""", i="streak")
 def stream_streaks(spark, sf):
     r = fr.hourly(spark, sf).select(F.col("region").alias("series"), F.col("ts").alias("run_at"), (F.col("demand_mw") > 150).alias("breached"))
-    return drain(so.breach_streaks(streamed(r, "runs")), "streaks", mode="append")
+    return in_ticks(ticks(r, ["run_at", "series"]), "streaks", lambda rows, path: late.breach_streaks(rows, chunk_seconds=WEEK, path=path))
+
+
+@query("d11_recompute_cadence", "hourly", """
+SELECT run_at, age_days, coalesce(age_days < 6, false) AS unexpected FROM (SELECT run_at, epoch(run_at - lag(run_at) OVER (ORDER BY run_at)) / 86400 AS age_days
+  FROM (SELECT DISTINCT ts AS run_at FROM hourly WHERE hour(ts) = 3 AND day(ts) IN (2, 5, 11, 12, 19, 28)))""", d="age_days")
+def cadence(spark, sf):
+    """Recomputes at some nights of the month, of all regions seen at that hour."""
+    night = (F.hour("ts") == 3) & F.dayofmonth("ts").isin(2, 5, 11, 12, 19, 28)
+    runs = fr.hourly(spark, sf).groupBy(F.col("ts").alias("run_at")).agg(F.count_if(night).alias("recomputed"))
+    return recompute_cadence(runs, 7)
 
 
 @query("d12_guarded_upsert", "hourly", "SELECT region, ts, CASE WHEN day(ts) >= 20 THEN demand_mw + 1 ELSE demand_mw END AS demand_mw FROM hourly", d="demand_mw")

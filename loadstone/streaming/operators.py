@@ -1,20 +1,14 @@
-"""Streaming twins of the batch operators: windows, joins and keyed state."""
+"""Streaming twins of the batch operators: windows and joins (keyed state is in ``late``, regrading in ``ledger``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loadstone.operators import metrics as mt
 from loadstone.operators.drift import HORIZONS, PENDING_STALE_HOURS, horizon_snapshots
-from loadstone.operators.ensemble import EWMA_ALPHA
-
-MAX_SNAPSHOTS = 30
 
 
 def hourly_totals(events: DataFrame, keys: Sequence[str], ts: str, value: str, late: str = "2 hours") -> DataFrame:
@@ -36,8 +30,17 @@ def snapshots(forecasts: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataF
 
 
 def first_snapshots(snaps: DataFrame, late_hours: int = PENDING_STALE_HOURS) -> DataFrame:
-    """First snapshot per target and horizon within the lateness bound."""
-    return snaps.withWatermark("target_ts", f"{late_hours} hours").dropDuplicatesWithinWatermark(["region", "target_ts", "horizon"])
+    """First made snapshot per region, target and horizon, and how many others were skipped.
+
+    One aggregate with a watermark: it is the first made that stays, whichever came first, and what came for a
+    target within the lateness bound is counted. Update mode gives the newest state of every snapshot.
+    """
+    keys = ["region", "target_ts", "horizon"]
+    rest = [c for c in snaps.columns if c not in keys]
+    order = ["made_at", *[c for c in rest if c != "made_at" and snaps.schema[c].dataType.typeName() != "map"]]  # equal times by the other columns
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    g = snaps.withWatermark("target_ts", f"{late_hours} hours").groupBy(*keys).agg(first.alias("_r"), (F.count("*") - 1).alias("skipped"))
+    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "skipped")
 
 
 def resolve(predictions: DataFrame, actuals: DataFrame, late_hours: int = PENDING_STALE_HOURS) -> DataFrame:
@@ -66,73 +69,3 @@ def late_counters(snaps: DataFrame, now: Column, late: str = "7 days") -> DataFr
     return snaps.withWatermark("logged_at", late).groupBy(F.window("logged_at", "1 day"), F.coalesce("horizon", F.lit("unknown")).alias("horizon")).agg(
         F.count_if(F.col("target_ts").isNull()).alias("malformed"), F.count_if(old).alias("expired"), F.count("*").alias("n")).select(
         F.col("window.start").alias("day"), "horizon", "malformed", "expired", "n")
-
-
-def monotone_origins(forecasts: DataFrame) -> DataFrame:
-    """Drop a forecast whose origin lies before the newest origin served."""
-    def keep(key, batches, state: GroupState):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("made_at")
-        top = rows["origin"].cummax()
-        if state.exists:
-            seen = pd.Timestamp(state.get[0])
-            top = top.where(top > seen, seen)
-        state.update((top.iloc[-1].to_pydatetime(),))
-        yield rows[rows["origin"] >= top]
-
-    return forecasts.select("region", "made_at", "origin").groupBy("region").applyInPandasWithState(
-        keep, "region string, made_at timestamp, origin timestamp", "top timestamp", "append", GroupStateTimeout.NoTimeout)
-
-
-def snapshot_fifo(snaps: DataFrame, cap: int = MAX_SNAPSHOTS) -> DataFrame:
-    """Newest snapshots per series; one equal in content to the last is skipped.
-
-    ``snaps`` holds series, scored_at and hash. The state is a list of at most
-    ``cap`` entries, emitted whole whenever it changes.
-    """
-    def push(key, batches, state: GroupState):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("scored_at")
-        at, hashes = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        for t, h in rows[["scored_at", "hash"]].itertuples(index=False):
-            if not hashes or hashes[-1] != h:
-                at.append(pd.Timestamp(t).to_pydatetime())
-                hashes.append(h)
-        at, hashes = at[-cap:], hashes[-cap:]
-        state.update((at, hashes))
-        yield pd.DataFrame({"series": [key[0]], "scored_at": [at], "hashes": [hashes]})
-
-    return snaps.groupBy("series").applyInPandasWithState(
-        push, "series string, scored_at array<timestamp>, hashes array<string>", "at array<timestamp>, hashes array<string>", "update", GroupStateTimeout.NoTimeout)
-
-
-def carried_ewma(scores: DataFrame, alpha: float = EWMA_ALPHA) -> DataFrame:
-    """One smoothing step per retrain, the last value carried as state."""
-    def step(key, batches, state: GroupState):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("trained_at")
-        s = state.get[0] if state.exists else None
-        out = []
-        for m in rows["mape"]:
-            if m is not None and np.isfinite(m) and m > 0:
-                s = float(m) if s is None else alpha * float(m) + (1 - alpha) * s
-            out.append(s)
-        if s is not None:
-            state.update((s,))
-        yield rows.assign(ewma=out)
-
-    return scores.select("series", "trained_at", "mape").groupBy("series").applyInPandasWithState(
-        step, "series string, trained_at timestamp, mape double, ewma double", "s double", "append", GroupStateTimeout.NoTimeout)
-
-
-def breach_streaks(runs: DataFrame, alert_at: int = 3) -> DataFrame:
-    """Consecutive breaches up to every run, and the alert at the third."""
-    def count(key, batches, state: GroupState):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("run_at")
-        n = state.get[0] if state.exists else 0
-        out = []
-        for b in rows["breached"]:
-            n = n + 1 if b else 0
-            out.append(n)
-        state.update((int(n),))
-        yield rows.assign(streak=out, alert=[k >= alert_at for k in out])
-
-    return runs.select("series", "run_at", "breached").groupBy("series").applyInPandasWithState(
-        count, "series string, run_at timestamp, breached boolean, streak long, alert boolean", "n long", "append", GroupStateTimeout.NoTimeout)

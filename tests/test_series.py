@@ -144,7 +144,7 @@ def test_ewma_equals_recursion_over_chunks(spark):
     xs = [float(x) for x in rng.uniform(1, 9, 700)]
     xs[5] = -1.0
     df = spark.createDataFrame([("m", i, x) for i, x in enumerate(xs)], "k string, t long, v double")
-    for alpha in (0.3, 0.02):
+    for alpha in (0.3, 0.02, 0.999, 1.0, 1e-7):
         s, want = None, []
         for x in xs:
             if x > 0:

@@ -116,20 +116,6 @@ def test_unmatched_predictions_come_out_expired(spark, tmp_path):
     assert (at(0), "resolved") in got and (at(1), "expired") in got
 
 
-def test_streak_is_carried_between_batches(spark, tmp_path):
-    schema = "series string, run_at timestamp, breached boolean"
-    s = batches(spark, str(tmp_path / "in"), [("x", at(0), True), ("x", at(1), True)], [("x", at(2), True)], [("x", at(3), False), ("x", at(4), True)], schema=schema)
-    got = drain(so.breach_streaks(s), "streak-test", mode="append").orderBy("run_at").collect()
-    assert [(r["streak"], r["alert"]) for r in got] == [(1, False), (2, False), (3, True), (0, False), (1, False)]
-
-
-def test_fifo_skips_repeats_and_keeps_the_newest(spark, tmp_path):
-    schema = "series string, scored_at timestamp, hash string"
-    s = batches(spark, str(tmp_path / "in"), [("x", at(0), "a"), ("x", at(1), "a")], [("x", at(2), "b"), ("x", at(3), "a")], [("x", at(4), "c")], schema=schema)
-    r = drain(so.snapshot_fifo(s, 3), "fifo-test", ["series"]).first()
-    assert r["hashes"] == ["b", "a", "c"]
-
-
 def test_guard_refuses_to_reseed(spark, tmp_path):
     from pyspark.sql.utils import StreamingQueryException  # noqa: F401
 
