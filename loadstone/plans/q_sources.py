@@ -7,6 +7,7 @@ from loadstone.functions import weather as wx
 from loadstone.operators import metrics as mt
 from loadstone.operators.baseline import skill
 from loadstone.plans import frames as fr
+from loadstone.functions.sql import register
 from loadstone.plans.registry import query
 from loadstone.session import scratch_path
 from loadstone.sources import feeds, files
@@ -143,6 +144,34 @@ def latest_meta(spark, sf):
     return feeds.latest_metadata(metadata(spark, sf))
 
 
+def broken(df, at, *columns):
+    """Documents (of ``columns``, default all) as lines of text, those chosen by ``at`` cut off."""
+    doc = F.to_json(F.struct(*(columns or df.columns)), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    return df.select(F.when(at, F.substring(doc, 1, 17)).otherwise(doc).alias("value"))
+
+
+def metadata_files(spark, sf):
+    """Metadata documents written as text and scanned back, some of them cut off."""
+    path = scratch_path(spark, "metadata")
+    m = metadata(spark, sf).withColumn("train_rows", F.lit(None).cast("long")).select("region", F.when(F.col("version").cast("long") % 89 != 0, F.col("model")).alias("model"), "version", "trained_at", "mape", "train_rows")
+    broken(m, F.col("version").cast("long") % 97 == 0).write.text(path)
+    return files.scan_metadata(spark, path, "*", True)
+
+
+@query("s11_metadata_files", "", f"""
+SELECT region, model, trained_at, version, mape FROM ({METADATA_SQL}) WHERE trained_at IS NOT NULL AND CAST(version AS BIGINT) % 97 <> 0 AND CAST(version AS BIGINT) % 89 <> 0
+QUALIFY row_number() OVER (PARTITION BY region, model ORDER BY trained_at DESC, version DESC) = 1""", d="mape")
+def latest_of_files(spark, sf):
+    return feeds.latest_metadata(files.accepted(metadata_files(spark, sf)))
+
+
+@query("s11_metadata_rejects", "", f"""
+SELECT CASE WHEN CAST(version AS BIGINT) % 97 = 0 THEN 'unreadable' ELSE 'missing model' END AS reason, count(*) AS n FROM ({METADATA_SQL})
+WHERE CAST(version AS BIGINT) % 97 = 0 OR CAST(version AS BIGINT) % 89 = 0 GROUP BY 1""")
+def rejects_of_files(spark, sf):
+    return files.rejections(metadata_files(spark, sf)).drop("files")
+
+
 @query("s12_metric_export", "scored", """
 UNPIVOT (SELECT region, model, avg(abs(actual - predicted)) AS mae, avg(abs(actual - predicted) / actual) * 100 AS mape, sum(abs(actual - predicted)) / sum(actual) * 100 AS wape
   FROM scored GROUP BY ALL) ON mae, mape, wape INTO NAME metric VALUE value""", d="value")
@@ -152,6 +181,16 @@ def metric_export(spark, sf):
     return files.metrics_long(wide, ["mae", "mape", "wape"])
 
 
+@query("s12_metric_csv", "scored", """
+UNPIVOT (SELECT region, model, avg(abs(actual - predicted)) AS mae, avg(abs(actual - predicted) / actual) * 100 AS mape FROM scored GROUP BY ALL) ON mae, mape INTO NAME metric VALUE value""", d="value")
+def metric_csv(spark, sf):
+    """The long export written as CSV and read back."""
+    path = scratch_path(spark, "metrics")
+    wide = fr.scored(spark, sf).groupBy("region", "model").agg(mt.mae().alias("mae"), mt.mape().alias("mape"))
+    files.write_csv(files.metrics_long(wide, ["mae", "mape"]), path)
+    return files.read_csv(spark, path, "region STRING, model STRING, metric STRING, value DOUBLE")
+
+
 @query("s13_export_document", "scored", """
 SELECT CAST(to_json({'n_regions': CAST(count(*) AS BIGINT), 'regions': list({'region': region, 'n': n} ORDER BY region)}) AS VARCHAR) AS document
 FROM (SELECT region, count(*) AS n FROM scored GROUP BY region)""")
@@ -195,8 +234,9 @@ def tick_phases(spark, sf):
     doc = per.groupBy("tick").agg(
         F.sum("total_s").alias("elapsed_s"),
         F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("total_s", "n")))).alias("phases"))
-    lines = doc.select(F.to_json(F.struct("tick", "elapsed_s", "phases")).alias("line"))
-    ticks = lines.select(F.inline(F.array(F.from_json("line", files.TICKS))))
+    path = scratch_path(spark, "ticks")
+    broken(doc.unionByName(doc.filter("hour(tick) = 7")), F.lit(False)).unionByName(broken(doc, F.lit(True))).write.text(path)
+    ticks = files.read_ticks(spark, path).dropDuplicates(["tick"])
     return feeds.explode_ticks(ticks)
 
 
@@ -259,3 +299,25 @@ def spine_function(spark, sf):
     return spark.sql("""
         SELECT region, s.ts FROM (SELECT region, min(ts) AS a, max(ts) AS b FROM loadstone_hourly GROUP BY region),
         LATERAL explode(sequence(a, b + INTERVAL 24 HOURS, INTERVAL 1 HOUR)) AS s(ts)""")
+
+
+@query("x4_sql_surface", "hourly scored", """
+WITH n AS (SELECT region, count(*) AS n FROM hourly GROUP BY region),
+s AS (SELECT region, fold, n - fold * 48 - 72 AS test_start FROM n, (SELECT unnest(generate_series(0, 11)) AS fold) WHERE n - fold * 48 - 72 >= 300),
+c AS (SELECT region, count(*) FILTER (isodow(ts) >= 6) AS weekend_hours, count(*) AS spine_hours FROM (SELECT region, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM hourly GROUP BY region) GROUP BY region),
+e AS (SELECT region, sum(abs(actual - predicted)) FILTER (model = 'lag24') / sum(actual) FILTER (model = 'lag24') * 100 AS wape, avg(200 * abs(actual - predicted) / (actual + predicted)) AS smape,
+  round(1 - avg(abs(actual - predicted) / actual * 100) FILTER (model = 'lag24') / avg(abs(actual - predicted) / actual * 100) FILTER (model = 'lag168'), 4) AS skill FROM scored GROUP BY region)
+SELECT region, spine_hours, weekend_hours, (SELECT count(*) FROM s WHERE s.region = c.region) AS folds, (SELECT min(test_start) FROM s WHERE s.region = c.region) AS first_test, 81 AS scenarios, wape, smape, skill
+FROM c JOIN e USING (region)""", d="wape smape skill", i="scenarios")
+def sql_surface(spark, sf):
+    """Spine, calendar, splits, axes and error measures from SQL text alone."""
+    register(spark)
+    fr.hourly(spark, sf).createOrReplaceTempView("loadstone_hourly")
+    fr.scored(spark, sf).createOrReplaceTempView("loadstone_scored")
+    return spark.sql("""
+        WITH span AS (SELECT region, min(ts) AS a, max(ts) AS b, count(*) AS n FROM loadstone_hourly GROUP BY region),
+        c AS (SELECT region, count(*) AS spine_hours, count_if(is_weekend) AS weekend_hours FROM span, LATERAL ls_calendar(a, b) GROUP BY region),
+        f AS (SELECT region, count(*) AS folds, min(test_start) AS first_test FROM span, LATERAL ls_splits(n, 12, 72, 300, 48) GROUP BY region),
+        e AS (SELECT region, ls_wape(sum(abs(actual - predicted)) FILTER (WHERE model = 'lag24'), sum(actual) FILTER (WHERE model = 'lag24')) AS wape, avg(ls_smape(actual, predicted)) AS smape,
+            ls_skill(avg(ls_ape(actual, predicted)) FILTER (WHERE model = 'lag24'), avg(ls_ape(actual, predicted)) FILTER (WHERE model = 'lag168')) AS skill FROM loadstone_scored GROUP BY region)
+        SELECT region, spine_hours, weekend_hours, folds, first_test, (SELECT count(*) FROM ls_scenario_axes()) AS scenarios, wape, smape, skill FROM c JOIN f USING (region) JOIN e USING (region)""")

@@ -9,12 +9,13 @@ from loadstone.operators.series import lead_hours
 from loadstone.plans import frames as fr
 from loadstone.plans.q_drift import BLOCK_D, NOW, REVISED, SNAPS, _spans, forecasts, now, revised
 from loadstone.plans.q_grid import SNAP, snapshots
-from loadstone.plans.q_sources import METADATA_SQL, metadata
+from loadstone.plans.q_sources import METADATA_SQL, broken, metadata
 from loadstone.plans.registry import query
 from loadstone.session import scratch_path
+from loadstone.sources import files
 from loadstone.streaming import late, ledger
 from loadstone.streaming import operators as so
-from loadstone.streaming.sinks import drain, guarded_upsert, read_latest, staged, stream_table, update_log
+from loadstone.streaming.sinks import dead_letters, drain, guarded_upsert, read_latest, staged, stream_table, update_log
 from loadstone.streaming.vintage import read_vintages, vintage_stream
 
 WEEK = 7 * 86400
@@ -97,6 +98,25 @@ def stream_resolve(spark, sf):
     return out.filter("state = 'resolved'").groupBy("region", "model").agg(F.count("*").alias("resolved"), F.avg("abs_pct_error").alias("mape"))
 
 
+@query("d2_stream_expiry", "scored", """
+WITH p AS (SELECT region, model, ts, hour(ts) % 12 = 0 AS silent FROM scored)
+SELECT region, model, count(*) FILTER (NOT silent) AS resolved, count(*) FILTER (silent) AS expired FROM p GROUP BY ALL""")
+def stream_expiry(spark, sf):
+    """Actuals never come for every twelfth hour; a last hour far ahead on both sides lets the watermark pass all of them."""
+    s = fr.scored(spark, sf).select("region", "model", F.col("ts").alias("target_ts"), "predicted")
+    a = fr.hourly(spark, sf).filter("hour(ts) % 12 <> 0").select("region", F.col("ts").alias("target_ts"), F.col("demand_mw").alias("actual"))
+    bases, out, state = [scratch_path(spark, n) for n in ("predictions", "actuals")], scratch_path(spark, "expiry"), scratch_path(spark, "expiry-state")
+    for k in range(3):
+        end = F.lit("2024-03-01").cast("timestamp") + F.expr(f"INTERVAL {k} DAYS")
+        for base, rows in zip(bases, (s, a)):
+            tick = rows if k == 0 else rows.limit(1).withColumn("region", F.lit("end")).withColumn("target_ts", end)
+            tick.write.mode("append").parquet(base)
+        stream = so.resolve(stream_table(spark, bases[0], s.schema), stream_table(spark, bases[1], a.schema))
+        update_log(stream, out, state, "append").awaitTermination()
+    rows = spark.read.parquet(out).filter("region <> 'end'")
+    return rows.groupBy("region", "model").agg(F.count_if(F.col("state") == "resolved").alias("resolved"), F.count_if(F.col("state") == "expired").alias("expired"))
+
+
 @query("d5_stream_sliding_error", "scored", """
 SELECT region, model, e AS window_end, avg(abs(actual - predicted) / actual * 100) AS mape, avg(200 * abs(actual - predicted) / (actual + predicted)) AS smape, count(*) AS n
 FROM scored, LATERAL (SELECT unnest(generate_series(date_trunc('day', ts) + INTERVAL 1 DAY, date_trunc('day', ts) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS e) GROUP BY ALL""", d="mape smape")
@@ -144,6 +164,22 @@ def stream_counters(spark, sf):
     return drain(so.late_counters(streamed(s, "snaps"), now()), "counters", ["day", "horizon"])
 
 
+@query("d6_dead_letters", "scored", f"""WITH {SNAPS},
+l AS (SELECT horizon, CASE WHEN hour(target_ts) = 5 THEN 'unreadable' WHEN hour(target_ts) = 6 THEN 'missing target_ts' WHEN target_ts < TIMESTAMP '{NOW}' - INTERVAL 120 HOUR THEN 'expired' END AS reason FROM snaps)
+SELECT coalesce(reason, 'kept') AS reason, CASE WHEN reason = 'unreadable' THEN 'unknown' ELSE horizon END AS horizon, count(*) AS n FROM l GROUP BY ALL""")
+def dead_letter_stream(spark, sf):
+    """Snapshots as lines of real files, streamed to two sinks; what each side got, by reason."""
+    s = so.snapshots(forecasts(spark, sf)).select("horizon", F.when(F.hour("target_ts") != 6, F.col("target_ts")).alias("target_ts"), F.hour("target_ts").alias("_h"))
+    base, path, state = (scratch_path(spark, n) for n in ("snapshot-lines", "dead-letters", "dead-letters-state"))
+    for part in ticks(s, ["target_ts", "horizon", "_h"]):
+        broken(part, F.col("_h") == 5, "horizon", "target_ts").write.mode("append").text(base)
+        rows = files.json_rows(spark.readStream, "horizon STRING, target_ts TIMESTAMP", ["target_ts"], base)
+        dead_letters(so.with_expiry(rows, now()), path, state).awaitTermination()
+    good, bad = (spark.read.parquet(f"{path}/{side}") for side in ("good", "rejected"))
+    both = good.select("horizon", F.lit("kept").alias("reason")).unionByName(bad.select("horizon", F.col("rejected").alias("reason")))
+    return both.groupBy("reason", F.coalesce("horizon", F.lit("unknown")).alias("horizon")).agg(F.count("*").alias("n"))
+
+
 @query("d8_stream_monotone_origin", "hourly", """
 SELECT region, ts AS made_at, origin FROM (SELECT *, max(origin) OVER (PARTITION BY region ORDER BY ts) AS best FROM (SELECT region, ts, ts - to_hours(CASE WHEN hour(ts) % 5 = 0 THEN 4 ELSE 0 END) AS origin FROM hourly)) WHERE origin >= best""")
 def stream_monotone(spark, sf):

@@ -27,16 +27,45 @@ def read_table(spark: SparkSession, path: str, schema: str, regions: Sequence[st
     return df.filter(F.col("region").isin(list(regions))) if regions is not None else df
 
 
+def json_rows(reader, schema: str, required: Sequence[str], path: str) -> DataFrame:
+    """Every JSON document below ``path`` with ``rejected``: null, or why it is no row (``unreadable``, ``missing <column>``).
+
+    ``reader`` is ``spark.read`` or ``spark.readStream`` with its options. The text of an unreadable one is in
+    ``raw``, the file in ``source``; nothing is dropped.
+    """
+    fields = T.StructType.fromDDL(schema)
+    df = reader.schema(T.StructType([*fields, T.StructField("raw", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").json(path)
+    why = F.coalesce(F.when(F.col("raw").isNotNull(), "unreadable"), *[F.when(F.col(c).isNull(), f"missing {c}") for c in required])
+    return df.select(*fields.names, "raw", F.col("_metadata.file_path").alias("source"), why.alias("rejected"))
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    return rows.filter("rejected IS NULL").drop("rejected", "raw", "source")
+
+
+def rejections(rows: DataFrame) -> DataFrame:
+    """Dead letters by reason."""
+    return rows.filter("rejected IS NOT NULL").groupBy(F.col("rejected").alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("files"))
+
+
+def scan_metadata(spark: SparkSession, path: str, names: str = "*.meta.json", lines: bool = False) -> DataFrame:
+    """All metadata documents below ``path``, one a file or (``lines``) one a line; see ``json_rows`` for what is no row."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("multiLine", str(not lines).lower())
+    return json_rows(reader, METADATA, ["region", "model"], path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*.meta.json`` files below ``path``; malformed files give null rows, dropped."""
-    return (
-        spark.read.schema(METADATA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json")
-        .option("multiLine", "true").option("mode", "PERMISSIVE").json(path).filter("region IS NOT NULL")
-    )
+    """The readable metadata files below ``path``."""
+    return accepted(scan_metadata(spark, path))
+
+
+def scan_ticks(spark: SparkSession, path: str) -> DataFrame:
+    """Timing log lines below ``path``; see ``json_rows``."""
+    return json_rows(spark.read, TICKS, ["tick", "phases"], path)
 
 
 def read_ticks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TICKS).option("mode", "PERMISSIVE").json(path).filter("tick IS NOT NULL")
+    return accepted(scan_ticks(spark, path))
 
 
 def metrics_long(wide: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("region", "model")) -> DataFrame:
@@ -46,3 +75,7 @@ def metrics_long(wide: DataFrame, metrics: Sequence[str], keys: Sequence[str] =
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(path)

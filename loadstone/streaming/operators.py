@@ -63,6 +63,12 @@ def sliding_error(records: DataFrame, keys: Sequence[str] = ("region", "model"),
     return g.select(*keys, F.col("window.end").alias("window_end"), "mape", "smape", "n")
 
 
+def with_expiry(rows: DataFrame, now: Column, target: str = "target_ts") -> DataFrame:
+    """Adds ``expired`` to the reasons of ``rejected``: the target lies longer back than an actual may take."""
+    old = F.col(target) < now - F.make_dt_interval(F.lit(0), F.lit(PENDING_STALE_HOURS))
+    return rows.withColumn("rejected", F.coalesce("rejected", F.when(old, "expired")))
+
+
 def late_counters(snaps: DataFrame, now: Column, late: str = "7 days") -> DataFrame:
     """Expired and malformed snapshots per horizon and day of logging."""
     old = F.col("target_ts") < now - F.make_dt_interval(F.lit(0), F.lit(PENDING_STALE_HOURS))

@@ -58,6 +58,20 @@ def staged(df: DataFrame, name: str) -> str:
     return path
 
 
+def dead_letters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Two sinks of one stream: rows whose ``rejected`` is null go to ``path/good``, the others with their reason to ``path/rejected``.
+
+    Each batch overwrites its own folders, so a replay changes nothing and both sides always add up.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        held.filter("rejected IS NULL").drop("rejected").write.mode("overwrite").parquet(f"{path}/good/batch_id={number}")
+        held.filter("rejected IS NOT NULL").write.mode("overwrite").parquet(f"{path}/rejected/batch_id={number}")
+        held.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def guarded_upsert(path: str, marker: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
     """``foreachBatch`` function that refuses to seed a table that should exist.
 

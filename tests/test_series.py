@@ -82,6 +82,20 @@ def test_percentiles_match_numpy(spark, q):
         assert got[k] == pytest.approx(np.quantile(vs, q))
 
 
+def test_narrow_ranges_do_not_end_in_one_cell(spark):
+    """20,000 values between 1000.0 and 1001.5 lie in one magnitude bucket, but few in a cell."""
+    from loadstone.operators.quantiles import _cells
+
+    rng = np.random.default_rng(4)
+    values = np.unique(np.round(rng.uniform(1000.0, 1001.5, 20_000), 9))
+    df = spark.createDataFrame([("a", float(x)) for x in values] + [("b", 5.0)] * 10, "k string, v double")
+    counts = df.groupBy("k", "v").count().withColumn("name", F.lit("p"))
+    hit = _cells(counts, ["k", "name"], F.lit(0.37))
+    assert hit.groupBy("k", "r", "cell").count().agg(F.max("count")).first()[0] <= 5
+    got = {r["k"]: r["p"] for r in percentiles(df, ["k"], {"p": (F.col("v"), 0.37)}).collect()}
+    assert abs(got["a"] - np.quantile(values, 0.37)) < 1e-9 and got["b"] == 5.0
+
+
 def test_percentiles_of_several_columns_and_no_keys(spark):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(11)], "a double, b double")
     r = percentiles(df, [], {"m": (F.col("a"), 0.5), "p": (F.col("b"), 0.9)}).first()

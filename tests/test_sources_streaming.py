@@ -149,3 +149,33 @@ def test_day_ahead_join_collapses_repeated_records(spark):
     rows = [("A", "2024-01-01T00", "D", "5"), ("A", "2024-01-01T00", "D", "7"), ("A", "2024-01-01T00", "DF", "3"), ("A", "2024-01-01T00", "DF", "4")]
     records = spark.createDataFrame(rows, "region string, period string, type string, value string")
     assert [tuple(r)[2:] for r in feeds.join_day_ahead(records).collect()] == [tuple(r)[2:] for r in feeds.parse_demand(records).collect()] == [(7.0, 4.0)]
+
+
+def test_malformed_documents_are_counted(spark, tmp_path):
+    folder = tmp_path / "a" / "b"
+    folder.mkdir(parents=True)
+    good = {"region": "A", "model": "m", "version": "1", "trained_at": "2024-01-01T00:00:00", "mape": 2.0}
+    for k, text in enumerate([json.dumps(good, indent=1), "{broken", json.dumps({**good, "model": None}), ""]):
+        (folder / f"{k}.meta.json").write_text(text)
+    (folder / "notes.json").write_text("{}")
+    rows = files.scan_metadata(spark, str(tmp_path))
+    assert [(r["region"], r["mape"]) for r in files.accepted(rows).collect()] == [("A", 2.0)]
+    assert {(r["reason"], r["n"]) for r in files.rejections(rows).collect()} >= {("unreadable", 1), ("missing model", 1)}
+    (tmp_path / "ticks").mkdir()
+    (tmp_path / "ticks" / "log").write_text('{"tick": "2024-01-01T00:00:00", "elapsed_s": 1.5, "phases": {"x": {"total_s": 1.0, "n": 2}}}\nnot json\n{"tick": null}\n')
+    ticks = files.scan_ticks(spark, str(tmp_path / "ticks"))
+    assert feeds.explode_ticks(files.accepted(ticks)).collect()[0]["total_s"] == 1.0
+    assert sorted(tuple(r)[:2] for r in files.rejections(ticks).collect()) == [("missing tick", 1), ("unreadable", 1)]
+
+
+def test_dead_letters_of_a_replayed_batch(spark, tmp_path):
+    from loadstone.streaming.sinks import dead_letters
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x").write_text('{"horizon": "24h", "target_ts": "2024-01-02T00:00:00"}\n{"horizon": "24h", "target_ts": "2023-01-02T00:00:00"}\n{"horizon"\n{"horizon": "48h"}\n')
+    for _ in range(2):
+        rows = files.json_rows(spark.readStream, "horizon STRING, target_ts TIMESTAMP", ["target_ts"], str(tmp_path / "in"))
+        q = dead_letters(so.with_expiry(rows, F.lit(at(48))), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "good")).count() == 1
+    assert sorted(r["rejected"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()) == ["expired", "missing target_ts", "unreadable"]
