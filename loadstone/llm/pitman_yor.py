@@ -42,7 +42,7 @@ from loadstone.llm.common import blocks, flat_bytes, mix, stored
 
 FREQUENT = 1 << 18
 BUCKET_TOKENS = 1 << 20
-HELD_TOKENS = 1 << 21
+HELD_TOKENS = 3 << 19
 BLOCK_BYTES = 4 << 20
 SLICE = 1 << 14
 EXACT = 64
@@ -287,9 +287,9 @@ def _of_words(p: Parent, word: np.ndarray) -> np.ndarray:
     return np.where(known, p.table[np.where(known, word, 0).astype(np.int64)].astype(float), p.rare)
 
 
-def _tables(v: Vocabulary, p: Parent, totals: np.ndarray | None, discount: float, strength: float, burn_in: int, samples: int):
+def _tables(v: Vocabulary, p: Parent, totals: np.ndarray | None, discount: float, strength: float, burn_in: int, samples: int, apart: bool):
     """Tables by word (kind 0) and by wide context (kind 1), state by state: of the vocabulary in slices of ``SLICE`` places,
-    summed over the buckets of a task; of other words one by one."""
+    summed over the buckets of a task; of other words one by one (``apart``) or all together (value null)."""
 
     def run(batches):
         size = -(-len(v.count) // SLICE) * SLICE
@@ -305,8 +305,10 @@ def _tables(v: Vocabulary, p: Parent, totals: np.ndarray | None, discount: float
                     sums[0, k] += np.bincount(place, t[home], size).astype(np.int64)
                     sums[1, k, context] += np.bincount(x.owner, t, len(x.cut)).astype(np.int64)[x.wide]
                     by_word[f"t{k}"] = np.bincount(back, t[~home], len(away)).astype(np.int64)
+                if len(away) and not apart:
+                    away, by_word = np.zeros(1, np.int64), {c: t.sum(keepdims=True) for c, t in by_word.items()}
                 if len(away):
-                    yield pa.record_batch({"slice": pa.nulls(len(away), pa.int32()), "packed": pa.nulls(len(away), pa.binary()), "value": away.view(np.int64)} | by_word)
+                    yield pa.record_batch({"slice": pa.nulls(len(away), pa.int32()), "packed": pa.nulls(len(away), pa.binary()), "value": pa.array(away.view(np.int64)) if apart else pa.nulls(1, pa.int64())} | by_word)
         for kind in (0, 1):
             for k in range(size // SLICE):
                 part = sums[kind, :, k * SLICE : (k + 1) * SLICE]
@@ -367,8 +369,11 @@ class Model(NamedTuple):
     words: DataFrame | None  # value, n (training tokens), p (probability, mean of the states): words outside the table
 
 
-def _gather(seated: DataFrame, v: Vocabulary, samples: int, discount: float, strength: float, words: DataFrame):
-    """Parents, totals and unknown words' probabilities of each state, and the words outside the vocabulary."""
+def _gather(seated: DataFrame, v: Vocabulary, samples: int, discount: float, strength: float, words: DataFrame, apart: bool):
+    """Parents, totals and unknown words' probabilities of each state, and the words outside the vocabulary.
+
+    Where those were not seated ``apart``, they are taken to have a table each, and none comes back.
+    """
     columns = [f"t{k}" for k in range(samples)]
     seated = stored(seated, "seated")
     sliced = seated.filter("slice IS NOT NULL").select("slice", "packed").groupBy("slice").applyInArrow(_seated_slice(samples, v.words, discount, strength), "slice int, packed binary")
@@ -380,7 +385,10 @@ def _gather(seated: DataFrame, v: Vocabulary, samples: int, discount: float, str
         t[r["slice"] % 2, :, at : at + SLICE], s[r["slice"] % 2, :, at : at + SLICE] = both
     t, s = t[:, :, : len(v.count)], s[:, :, : len(v.count)]
     rare, sums = None, None
-    if v.rare:
+    if v.rare and not apart:
+        sums = {f"t{k}": t_ or 0 for k, t_ in enumerate(seated.filter("slice IS NULL").agg(*[F.sum(c) for c in columns]).first())}
+        sums |= {f"s{k}": min(sums[f"t{k}"], v.rare) for k in range(samples)}
+    elif v.rare:
         summed = seated.filter("slice IS NULL").groupBy("value").agg(*[F.sum(c).alias(c) for c in columns])
         rare = stored(summed.mapInArrow(_seat_words(samples, v.words, discount, strength), "value long, " + ", ".join(f"t{k} long, s{k} long" for k in range(samples))), "tables")
         sums = rare.agg(*[F.sum(c).alias(c) for k in range(samples) for c in (f"t{k}", f"s{k}")]).first()
@@ -447,10 +455,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     flat = Parent(((v.count + 0.5) / (v.tokens + 0.5 * (v.words + 1))).astype(np.float32), (v.rare_count + 0.5) / (v.tokens + 0.5 * (v.words + 1)))
     root = _discount(*[r or 0 for r in singles.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()])
     schema = "slice int, packed binary, value long, "
-    first = held.mapInArrow(_tables(v, flat, None, discount, strengths[1], burn_in, 1), schema + "t0 long")
-    parents, totals, _, _ = _gather(first, v, 1, root, strengths[0], words)
-    second = held.mapInArrow(_tables(v, parents[0], totals[0], discount, strengths[1], burn_in, samples), schema + ", ".join(f"t{k} long" for k in range(samples)))
-    states, state_totals, unknown, rare = _gather(second, v, samples, root, strengths[0], words)
+    first = held.mapInArrow(_tables(v, flat, None, discount, strengths[1], burn_in, 1, False), schema + "t0 long")
+    parents, totals, _, _ = _gather(first, v, 1, root, strengths[0], words, False)
+    second = held.mapInArrow(_tables(v, parents[0], totals[0], discount, strengths[1], burn_in, samples, True), schema + ", ".join(f"t{k} long" for k in range(samples)))
+    states, state_totals, unknown, rare = _gather(second, v, samples, root, strengths[0], words, True)
     return Model(v, buckets, parents[0], totals[0], states, state_totals, unknown, discount, strengths[1], burn_in, rare)
 
 
