@@ -211,9 +211,10 @@ def double_array(code: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> Tr
     table, sizes, numbers = table[order], sizes[order], numbers[order]
     room = 2 * int(ends[-1]) + int(code.max()) + 1024
     free = np.ones(room, bool)
-    base, check, accepts = np.zeros(room, np.int64), np.full(room, -1, np.int64), np.full(room, -1, np.int64)
+    base, check, accepts = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.full(room, -1, np.int64)
     free[0] = False
     state = np.zeros(len(table), np.int64)  # of the phrase's beginning so far
+    top = 0  # last place taken
     for level in range(table.shape[1]):
         live = np.flatnonzero(sizes > level)
         parent, code = state[live], table[live, level]
@@ -229,39 +230,40 @@ def double_array(code: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> Tr
             mine = slice(edges[k], edges[k + 1])
             shape = np.sort(child[mine])
             shape = shape - shape[0]
-            at, spot = lowest, -1
-            for _ in range(16):  # the first free shape among the next places, or behind everything
+            # First fit among the lowest free places, then where the last families' places thin out; behind all at the latest.
+            tail = max(lowest, top + 1 - int(shape[-1]))
+            spot = top + 1
+            for at in [*range(lowest, lowest + 1024, 256), *range(tail, top + 1, 256)]:
                 if at + 256 + shape[-1] >= len(free):
                     break
                 fits = np.flatnonzero(free[at + np.arange(256)[:, None] + shape[None, :]].all(1))
                 if len(fits):
                     spot = at + int(fits[0])
                     break
-                at += 256
-            if spot < 0:
-                spot = int(np.flatnonzero(~free)[-1]) + 1
             while spot + shape[-1] >= len(free):
-                free, base = np.append(free, np.ones(len(free), bool)), np.append(base, np.zeros(len(base), np.int64))
-                check, accepts = (np.append(a, np.full(len(a), -1, np.int64)) for a in (check, accepts))
+                free, base = np.append(free, np.ones(len(free), bool)), np.append(base, np.zeros(len(base), np.int32))
+                check, accepts = (np.append(a, np.full(len(a), -1, a.dtype)) for a in (check, accepts))
             slots[mine] = spot - child[mine].min() + child[mine]
             free[slots[mine]] = False
+            top = max(top, int(spot + shape[-1]))
             while not free[lowest]:
                 lowest += 1
         single = edges[:-1][width == 1]
         open_ = np.flatnonzero(free[1:])[: len(single)] + 1
         while len(open_) < len(single):
-            free, base = np.append(free, np.ones(len(free), bool)), np.append(base, np.zeros(len(base), np.int64))
-            check, accepts = (np.append(a, np.full(len(a), -1, np.int64)) for a in (check, accepts))
+            free, base = np.append(free, np.ones(len(free), bool)), np.append(base, np.zeros(len(base), np.int32))
+            check, accepts = (np.append(a, np.full(len(a), -1, a.dtype)) for a in (check, accepts))
             open_ = np.flatnonzero(free[1:])[: len(single)] + 1
         slots[single] = open_
         free[open_] = False
+        top = max(top, int(open_[-1]) if len(open_) else 0)
         base[family] = slots - child
         check[slots] = family
         state[live] = slots[np.cumsum(new) - 1]
         done = sizes == level + 1
         accepts[state[done]] = numbers[done]
     used = int(np.flatnonzero(~free)[-1]) + 1
-    return Trie(base[:used].astype(np.int32), check[:used].astype(np.int32), accepts[:used])
+    return Trie(base[:used].copy(), check[:used].copy(), accepts[:used].copy())
 
 
 def advance(trie: Trie, code: np.ndarray, piece: np.ndarray, begins: int) -> np.ndarray:
