@@ -39,7 +39,8 @@ BUCKET_BITS = 26
 TRIE_PHRASES = 1 << 18
 PASS_TRIES = 12
 STEP = 1 << 20
-HELD = 1 << 21
+HELD = 1 << 20
+BLOCK_BYTES = 3 << 19
 
 _PIECE_ENDS = np.zeros(256, bool)
 _PIECE_ENDS[[*b".,;:!?", *range(10, 14)]] = True
@@ -62,7 +63,7 @@ class Line(NamedTuple):
 
 def _lines(batches: Iterator[pa.RecordBatch], longest: int, step: int) -> Iterator[Line]:
     for batch in batches:
-        for b in blocks(batch, "_text", 4096, 4 << 20):
+        for b in blocks(batch, "_text", 4096, BLOCK_BYTES):
             offsets, raw = flat_bytes(b["_text"])
             w = grams.words(raw, offsets, lower=True, breaks=_BREAKS)
             if not len(w.start):
