@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from loadstone.session import scratch_path
 
 WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
+BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +39,20 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A batch function as a mapInArrow function; empty batches are passed over."""
+def rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str | None = None, size: int = BLOCK_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function as a mapInArrow function; empty batches are passed over.
+
+    With ``column`` the function sees slices of about ``size`` bytes of that text column, as it holds
+    several numbers for each byte or word; only a single longer text makes a larger slice.
+    """
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                out = fn(b)
-                if out is not None and out.num_rows:
-                    yield out
+            for part in blocks(b, column, BLOCK_ROWS, size) if column else [b]:
+                if part.num_rows:
+                    out = fn(part)
+                    if out is not None and out.num_rows:
+                        yield out
 
     return run
 

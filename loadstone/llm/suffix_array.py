@@ -27,6 +27,7 @@ LENGTH = 200
 GRAM = 64
 Q = 8
 SHARD_BYTES = 1 << 21
+EXTRACT_BYTES = 1 << 18  # of texts whose pieces, which overlap, are cut out at once
 
 
 def refine(pointer: np.ndarray, members: np.ndarray, ahead: int) -> np.ndarray:
@@ -78,7 +79,7 @@ def _cut(length: int):
         offsets, raw = flat_bytes(b["text"])
         return repeats.cell_batch(grams.cells(raw, offsets, length, min(GRAM, length), grams.BYTE_VALUES), b["rid"])
 
-    return rows(batch)
+    return rows(batch, "text")
 
 
 def _extract(length: int):
@@ -86,7 +87,7 @@ def _extract(length: int):
         offsets, raw = flat_bytes(b["text"])
         return repeats.piece_batch(b["wanted"], b["rid"], offsets[:-1], raw, length, grams.BYTE_VALUES)
 
-    return rows(batch)
+    return rows(batch, "text", EXTRACT_BYTES)
 
 
 def _index(length: int):
@@ -140,7 +141,7 @@ def _remove(length: int):
         out["kept"] = pa.array([bytes(view[a:z]) for a, z in zip(kept_to[:-1], kept_to[1:])], pa.binary())
         return pa.record_batch(out)
 
-    return rows(batch)
+    return rows(batch, "_text")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -166,5 +167,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         return pa.record_batch({"_c0": b["_row"], "kept_text": texts})
 
     _, schema, _ = carried(cut, ["_row"], "kept_text string")
-    out = cut.mapInArrow(rows(batch), schema)
+    out = cut.mapInArrow(rows(batch, "kept"), schema)
     return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"_c0.`{c}`")).alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams
-from loadstone.llm.common import carried, flat_bytes, mix, rows, stored
+from loadstone.llm.common import BLOCK_BYTES, BLOCK_ROWS, blocks, carried, flat_bytes, mix, rows, stored
 
 TRAIN_ROWS = 20_000
 FEATURES = 20_000
@@ -78,22 +78,26 @@ def _head(raw: np.ndarray, w: grams.Words, size: int, pick: np.ndarray | slice =
 
 
 def _background(wanted: np.ndarray):
-    """Documents of a batch that have each ``wanted`` (sorted) feature; all documents under a null feature."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        raw, w = _tokens(b["text"])
-        doc = np.repeat(np.arange(b.num_rows), np.diff(w.offsets))
-        keys = [np.zeros(0, np.int64)]
-        for f in [w.hash, *[_head(raw, w, k) for k in PREFIXES]]:
-            at = np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)
-            hit = wanted[at] == f
-            keys.append(at[hit] * b.num_rows + doc[hit])
-        found = np.unique(np.concatenate(keys)) // b.num_rows
-        at, n = np.unique(found, return_counts=True)
-        feature = pa.array([*wanted[at].view(np.int64).tolist(), None], pa.int64())
-        return pa.record_batch({"feature": feature, "n": np.append(n, b.num_rows).astype(np.int64)})
-
-    return rows(batch)
+    """Documents of a task that have each ``wanted`` (sorted) feature; all documents under a null feature."""
+
+    def task(batches):
+        total, held = 0, np.zeros(len(wanted), np.int64)
+        for b in (part for whole in batches if whole.num_rows for part in blocks(whole, "text", BLOCK_ROWS, BLOCK_BYTES)):
+            raw, w = _tokens(b["text"])
+            doc = np.repeat(np.arange(b.num_rows), np.diff(w.offsets))
+            keys = [np.zeros(0, np.int64)]
+            for f in [w.hash, *[_head(raw, w, k) for k in PREFIXES]]:
+                at = np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)
+                hit = wanted[at] == f
+                keys.append(at[hit] * b.num_rows + doc[hit])
+            held += np.bincount(np.unique(np.concatenate(keys)) // b.num_rows, minlength=len(wanted))
+            total += b.num_rows
+        if total:
+            at = np.flatnonzero(held)
+            feature = pa.array([*wanted[at].view(np.int64).tolist(), None], pa.int64())
+            yield pa.record_batch({"feature": feature, "n": np.append(held[at], total)})
+
+    return task
 
 
 def _per_document(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -248,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), 1.0, np.array([math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -5.0, 0.0, 0.0]))
     if not n1 or not n0:
         return empty
-    counts = texts.mapInArrow(rows(_per_document), "feature long, head long, y1 long, y0 long").groupBy("feature").agg(
+    counts = texts.mapInArrow(rows(_per_document, "text"), "feature long, head long, y1 long, y0 long").groupBy("feature").agg(
         F.min("head").alias("head"), F.max("head").alias("other"), F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
     seen = counts.filter("y1 >= 3 and head = other").select("feature", "head", "y1", "y0").toPandas()  # features of at most train_rows texts
     if not len(seen):
@@ -278,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
         score, n = np.unique(best, return_counts=True)
         return pa.record_batch({"score": np.append(score, -DRIFT), "n": np.append(n, offsets[-1] - len(best)).astype(np.int64)})
 
-    clean = texts.filter("toxic != 1").mapInArrow(rows(token_scores), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()  # at most a row per weight
+    clean = texts.filter("toxic != 1").mapInArrow(rows(token_scores, "text"), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()  # at most a row per weight
     scores, n = np.append(clean["score"].to_numpy(float), weights.max()), np.append(clean["n"].to_numpy(float), 0.5)
     model = model._replace(rate=_rate(scores, n / n.sum()), scale=_law_scale(scores, n / n.sum()))
 
@@ -286,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
         x = _evidence(model, *_findings(model, b["text"]))
         return pa.record_batch({"x1": x[:, 1], "x2": x[:, 2], "y": b["toxic"].cast(pa.float64())})
 
-    fitted = texts.mapInArrow(rows(evidence), "x1 double, x2 double, y double").toPandas()  # at most train_rows rows
+    fitted = texts.mapInArrow(rows(evidence, "text"), "x1 double, x2 double, y double").toPandas()  # at most train_rows rows
     x = np.stack([np.ones(len(fitted)), fitted["x1"], fitted["x2"]], axis=1)
     return model._replace(curve=_fit_curve(x, fitted["y"].to_numpy(float)))
 
@@ -308,7 +312,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pa.record_batch(out | {"score": p, "predicted": (p >= 0.5).astype(np.int32), "passages": pa.array(passages, kind)})
 
     before, schema, after = carried(docs, carry, "score double, predicted int, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
-    return docs.select(*before, F.col(text_col).alias("_text")).mapInArrow(rows(batch), schema).select(*after)
+    return docs.select(*before, F.col(text_col).alias("_text")).mapInArrow(rows(batch, "_text"), schema).select(*after)
 
 
 def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
