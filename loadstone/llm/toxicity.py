@@ -123,7 +123,7 @@ def _per_document(b: pa.RecordBatch) -> pa.RecordBatch:
 def segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal segments (first token, last token, score) of a line of tokens that score ``-drift``
     but for those at ``places``; linear in the places."""
-    stack: list[list[float]] = []  # first, last, total before, total after
+    stack: list[list[float]] = []  # first, last, total before, total after, nearest one below that began lower
     total, previous = 0.0, None
     for at, s in zip(places.tolist(), scores.tolist()):
         if previous is not None:
@@ -131,16 +131,18 @@ def segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> li
         previous = at
         new = [at, at, total, total + s]
         total += s
+        k = len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
+                k = stack[k][4]  # all between began no lower
             if k < 0 or stack[k][3] >= new[3]:
-                stack.append(new)
+                stack.append([*new, k])
                 break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
+            below = stack[k]
+            new = [below[0], new[1], below[2], new[3]]
             del stack[k:]
-    return [(int(a), int(b), after - before) for a, b, before, after in stack]
+            k = below[4]
+    return [(int(a), int(b), after - before) for a, b, before, after, _ in stack]
 
 
 def _scored_tokens(model: Model, col: pa.Array):

@@ -91,3 +91,10 @@ def test_findings_of_blocks(batch):
     n, found = toxicity._findings(model, some["text"])
     parts = [toxicity._findings(model, p["text"]) for p in blocks(some, "text", 100, 1 << 16)]
     assert n.tolist() == [int(k) for m, _ in parts for k in m] and found == [f for _, g in parts for f in g]
+
+
+def test_segments_of_a_long_line_take_linear_steps():
+    """Far apart findings each begin lower than all before them; all stay segments of their own."""
+    places = np.arange(200_000) * 10
+    found = toxicity.segments(places, np.ones(len(places)), 0.5)
+    assert found == [(p, p, 1.0) for p in places.tolist()]
