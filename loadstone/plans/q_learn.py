@@ -7,6 +7,7 @@ from loadstone.operators import benchmark as bm
 from loadstone.operators import downsample as ds
 from loadstone.operators import ensemble as en
 from loadstone.operators import learn as ln
+from loadstone.operators import linear as li
 from loadstone.operators import metrics as mt
 from loadstone.operators import ranking as rk
 from loadstone.operators import shadow as sh
@@ -61,6 +62,44 @@ def pooled_cv(spark, sf):
     return ln.cross_validate(_training(spark, sf), FEATURES, "origin_h", 5, max_iter=4, max_depth=3)
 
 
+LINEAR = ["demand_lag_24h", "temperature_2m"]
+LINEAR_SQL = f"""WITH snap AS (SELECT region, h AS origin_h, demand_lag_24h FROM (SELECT region, h, {_range_sql()} FROM spine)),
+o AS (SELECT s.* FROM snap s JOIN (SELECT region, min(h) AS h0 FROM spine GROUP BY region) USING (region) WHERE origin_h - h0 >= 168 AND (origin_h - h0 - 168) % 12 = 0),
+x AS (SELECT o.region, origin_h * 1000 + horizon_h AS o, demand_lag_24h AS a, temperature_2m AS b, demand_mw AS y
+  FROM o, (VALUES (1), (6), (24), (72), (168)) t(horizon_h) JOIN merged m ON m.region = o.region AND m.h = origin_h + horizon_h - 1 WHERE demand_lag_24h IS NOT NULL AND temperature_2m IS NOT NULL AND demand_mw IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY o) - 1 AS pos, count(*) OVER (PARTITION BY region) AS n FROM x),
+s AS (SELECT *, n // 6 AS size, n - 5 * (n // 6) AS start FROM p)"""
+
+
+def linear_rows(spark, sf):
+    t = direct(spark, sf).select("region", (F.col("origin_h") * 1000 + F.col("horizon_h")).alias("o"), *LINEAR, "target")
+    return li.complete(t, LINEAR, "target")
+
+
+@query("b18_linear_fold_spans", "merged spine", f"""{LINEAR_SQL}
+SELECT region, fold, any_value(start) + fold * any_value(size) AS n_train, any_value(start) + fold * any_value(size) AS test_first, any_value(start) + (fold + 1) * any_value(size) - 1 AS test_last,
+  min(o) FILTER (pos = start + fold * size) AS first_order FROM s, (SELECT unnest(generate_series(0, 4)) AS fold) WHERE size > 0 GROUP BY region, fold""", i="fold n_train test_first test_last first_order")
+def linear_fold_spans(spark, sf):
+    """Positions of every fold's test rows, as the blocks dealt to the rows have them."""
+    t = li.with_blocks(linear_rows(spark, sf), ["region"], "o", 5)
+    sizes = t.groupBy("region", "block").agg(F.count("*").alias("c"), F.min("o").alias("first_order"))
+    before = sizes.alias("a").join(sizes.select("region", F.col("block").alias("b"), F.col("c").alias("earlier")), "region").filter("b < block")
+    spans = before.groupBy("region", "block", "c", "first_order").agg(F.sum("earlier").alias("n_train"))
+    return spans.select("region", (F.col("block") - 1).alias("fold"), "n_train", F.col("n_train").alias("test_first"), (F.col("n_train") + F.col("c") - 1).alias("test_last"), "first_order")
+
+
+@query("b18_linear_pooled_cv", "merged spine", f"""{LINEAR_SQL},
+f AS (SELECT s.*, fold, size = 0 OR pos < start + fold * size AS train FROM s, (SELECT unnest(generate_series(0, 4)) AS fold) WHERE size = 0 OR pos < start + (fold + 1) * size),
+c AS (SELECT fold, count(*) AS n_train, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM f WHERE train GROUP BY fold),
+w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM c),
+g AS (SELECT f.fold, y, my - wa * ma - wb * mb + wa * a + wb * b AS e FROM f JOIN w USING (fold) WHERE NOT train),
+r AS (SELECT fold, count(*) AS n_test, avg(abs((y - e) / y)) FILTER (abs(y) > 1e-6) * 100 AS mape, avg(abs(y - e)) AS mae, sqrt(avg((y - e) * (y - e))) AS rmse FROM g GROUP BY fold)
+SELECT fold, n_train, my - wa * ma - wb * mb AS intercept, wa AS w_demand_lag_24h, wb AS w_temperature_2m, n_test, mape, mae, rmse FROM w JOIN r USING (fold)""",
+       d="intercept w_demand_lag_24h w_temperature_2m mape mae rmse", i="fold")
+def linear_pooled_cv(spark, sf):
+    return li.cross_validate(linear_rows(spark, sf), LINEAR, "o")
+
+
 @query("t3_top_feature_importances")
 def top_importances(spark, sf):
     model = ln.pooled_forecaster(FEATURES).fit(_training(spark, sf))
