@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_dirs: dict[str, str] = {}  # by application, for local masters without the setting
+
 
 def local_session(app: str = "loadstone", cores: str | int = "*", partitions: int = 8) -> SparkSession:
     return (
@@ -33,9 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="run-loadstone-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:  # a core setting cannot be set on a running session
+        _local_dirs[app] = tempfile.mkdtemp(prefix="run-loadstone-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
