@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadstone.llm.common import rows
@@ -74,6 +74,11 @@ def _checksums(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": b["doc_id"], "file": b["file"], "row": b["row"], "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64())})
 
 
+def file_order(column: str) -> list[Column]:
+    """Order of written files: by part number, which outgrows its five padded digits, then by name."""
+    return [F.regexp_extract(column, r"^part-(\d+)", 1).cast("long"), F.col(column)]
+
+
 def token_index(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32.
 
@@ -83,6 +88,6 @@ def token_index(spark: SparkSession, path: str, kind: str = "long") -> DataFrame
     read = files.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     light = read.mapInArrow(rows(_checksums), f"doc_id {kind}, file string, row long, n_tokens long, ids_crc32 long")
     totals = files.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    before = totals.select("file", (F.sum("total").over(Window.orderBy(*file_order("file"))) - F.col("total")).alias("before"))
     inside = light.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")))
     return inside.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
