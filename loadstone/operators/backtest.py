@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadstone.operators import metrics as mt
 from loadstone.operators.quantiles import percentiles
-from loadstone.operators.series import newest, previous, running
+from loadstone.operators.series import hour_number, newest_counted, previous, running
 
 # Fixed values.
 MAX_FOLDS = 5
@@ -68,15 +68,25 @@ def train_climatology(rows: DataFrame, folds: DataFrame, cols: Sequence[str], ke
     sums = cell.groupBy(*keys, "_seg", "_dow", "_hour").agg(*parts)
     f = folds.join(marks, keys).withColumn("_upto", F.array_position("_marks", F.col("test_start")))
     train = sums.join(f.select(*keys, "fold", "_upto"), keys).filter(F.col("_seg") < F.col("_upto"))
+    # At most 168 cells a fold: its three levels of means travel as one array of the week's hours.
+    k, names = [*keys, "fold"], [f"_{p}_{c}" for c in cols for p in "sc"]
+    cells = train.groupBy(*k, "_dow", "_hour").agg(*[F.sum(n).alias(n) for n in names]).groupBy(*k).agg(
+        F.collect_list(F.struct((F.col("_dow") * 24 + F.col("_hour")).alias("at"), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])).alias("_cells"))
 
-    def means(by, tag):
-        return train.groupBy(*by).agg(*[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_c_{c}")).alias(f"_{tag}_{c}") for c in cols])
+    def mean(c, keep):
+        def total(part):
+            return F.aggregate(F.filter("_cells", keep), F.lit(0.0), lambda acc, e: acc + e[f"_{part}_{c}"])
 
-    k = [*keys, "fold"]
-    test = fold_rows(rows, folds, keys).select("*", F.weekday(ts).alias("_dow"), F.hour(ts).alias("_hour"))
-    j = test.join(means([*k, "_dow", "_hour"], "x"), [*k, "_dow", "_hour"], "left").join(means([*k, "_hour"], "h"), [*k, "_hour"], "left").join(means(k, "g"), k, "left")
-    return j.select(*[c for c in test.columns if c not in ("_dow", "_hour")],
-                    *[F.coalesce(f"_x_{c}", f"_h_{c}", f"_g_{c}").alias(f"clim_{c}") for c in cols])
+        return F.try_divide(total("s"), total("c"))
+
+    def week(c):
+        return F.transform(F.sequence(F.lit(0), F.lit(167)), lambda i: F.coalesce(
+            mean(c, lambda e: e["at"] == i), mean(c, lambda e: e["at"] % 24 == i % 24), mean(c, lambda e: F.lit(True))))
+
+    means = cells.select(*k, *[week(c).alias(f"_m_{c}") for c in cols])
+    test = fold_rows(rows, folds.join(means, k, "left"), keys)
+    at = F.weekday(ts) * 24 + F.hour(ts)
+    return test.select(*[c for c in test.columns if not c.startswith("_m_")], *[F.get(f"_m_{c}", at).alias(f"clim_{c}") for c in cols])
 
 
 def climatology_arm(rows: DataFrame, folds: DataFrame, keys: Sequence[str] = ("region",), v: str = "demand_mw", ts: str = "ts") -> DataFrame:
@@ -107,7 +117,7 @@ def calibrated(predictions: DataFrame, keys: Sequence[str], horizon: int, ts: st
     """Predictions with the empirical band of their newest residuals."""
     keys = list(keys)
     n = max(horizon * 5, 120)
-    recent = newest(predictions, keys, ts, n)
+    recent = newest_counted(predictions, keys, hour_number(ts), n)
     q = mt.error_quantiles(recent, keys, low, high)
     return predictions.join(q, keys).select(
         *predictions.columns, (F.col("predicted") + F.col("lower_error")).alias("lower"), (F.col("predicted") + F.col("upper_error")).alias("upper"), "sample_size")
@@ -123,11 +133,10 @@ def backtest_summary(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
 def interval_anchors(residuals: DataFrame, keys: Sequence[str], order: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Error quantiles of the newest residuals per horizon, where enough exist.
 
-    ``residuals`` holds key, horizon, the order column and residual.
+    ``residuals`` holds key, horizon, the order column (a time) and residual.
     """
     keys = [*keys, "horizon"]
-    most = max(120, 5 * max(ANCHOR_HORIZONS))
-    tail = newest(residuals, keys, order, most, "_k").filter(F.col("_k") <= F.greatest(F.col("horizon") * 5, F.lit(120)))
+    tail = newest_counted(residuals, keys, hour_number(order), F.greatest(F.col("horizon") * 5, F.lit(120)))
     n = residuals.groupBy(*keys).agg(F.count("residual").alias("n_all"))
     q = percentiles(tail, keys, {"lower_error": (F.col("residual"), low), "upper_error": (F.col("residual"), high)})
     size = tail.groupBy(*keys).agg(F.count("residual").alias("sample_size"))
@@ -178,19 +187,32 @@ def bottom_up(components: DataFrame, direct: DataFrame, keys: Sequence[str] = ("
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: str, draws: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of the mean from Poisson resamples.
 
-    Each row draws its own count per resample from a hash of its id and the draw,
-    so nothing is collected or re-ordered; a draw is one partial sum.
+    Each row draws its own count per resample from a hash of its id and the draw. All
+    draws of a row are one array, and a draw is a pair of sums of one partial aggregate:
+    rows are neither copied per draw nor shuffled, only ``draws`` pairs a key and task are.
+    Rows without a value take no part; a key without any value has a null mean and interval.
     """
-    seed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id), F.col("_b"))), 1, 8), 16, 10).cast("long")
-    u = (F.pmod(seed, F.lit(1_000_003)) + 0.5) / 1_000_003
     # Poisson(1) distribution function, fixed values.
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    k = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
-    x = df.select(*keys, value, row_id, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).withColumn("_k", k)
-    means = x.groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col(value) * F.col("_k")), F.sum("_k")).alias("m"))
-    base = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(high)).alias("ci_high"))
-    return base.join(ci, list(keys))
+
+    def count(b):
+        seed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id), b)), 1, 8), 16, 10).cast("long")
+        u = (F.pmod(seed, F.lit(1_000_003)) + 0.5) / 1_000_003
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: u > c))
+
+    drawn = F.when(F.col(value).isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(draws)), count))
+    x = df.select(*keys, F.col(value).alias("_v"), drawn.alias("_k"))
+    sums = [e for b in range(draws) for e in (F.sum(F.col("_v") * F.get("_k", F.lit(b))).alias(f"_s{b}"), F.sum(F.get("_k", F.lit(b))).alias(f"_c{b}"))]
+    g = x.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"), *sums)
+    means = F.array_sort(F.array_compact(F.array(*[F.try_divide(f"_s{b}", f"_c{b}") for b in range(draws)])))
+    m = g.select(*keys, "mean", "n", means.alias("_m"))
+
+    def quantile(q):
+        at = (F.size("_m") - 1) * F.lit(q)
+        below, above = F.get("_m", F.floor(at).cast("int")), F.get("_m", F.ceil(at).cast("int"))
+        return below + (above - below) * (at - F.floor(at))
+
+    return m.select(*keys, "mean", "n", quantile(low).alias("ci_low"), quantile(high).alias("ci_high"))
 
 
 def binned_cells(df: DataFrame, col: str, bins: Sequence[tuple], delta: str = "delta") -> DataFrame:

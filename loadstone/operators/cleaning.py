@@ -202,18 +202,20 @@ def within_hours(now: Column, window_hours: int, ts: str = "ts") -> Column:
     return F.col(ts) >= now - F.make_dt_interval(F.lit(0), F.lit(window_hours))
 
 
-def as_of(current: DataFrame, captured: DataFrame, ticks: Sequence, window_days: int, absent: bool = False,
+def as_of(current: DataFrame, captured: DataFrame, ticks: DataFrame, window_days: int, absent: bool = False,
           ts: str = "ts", v: str = "demand_mw") -> DataFrame:
     """The frame held at each tick: hours captured later are null (or left out).
 
-    A row is copied only to the ticks whose fetch window holds it.
+    ``ticks`` holds a ``tick`` time a row (repeated and null ones count once and not at all).
+    Ticks are spread over the days of their fetch window and met by day, so a row meets
+    only the ticks whose window holds its day, however many ticks there are.
     """
-    marks = F.array(*[F.lit(t).cast("timestamp") for t in ticks])
+    first = F.date_sub(F.to_date("tick"), window_days)
+    days = ticks.select(F.col("tick").cast("timestamp").alias("tick")).filter("tick IS NOT NULL").distinct().select(
+        "tick", F.explode(F.sequence(first, F.to_date("tick"))).alias("_day"))
     seen = current.join(captured.select("region", ts, F.date_trunc("hour", "captured_at").alias("_cap")), ["region", ts], "left")
-    row_ts = F.col(ts)
-    held = F.filter(marks, lambda t: (row_ts >= F.date_trunc("day", t - F.make_dt_interval(F.lit(window_days))))
-                    & (row_ts <= F.date_trunc("day", t) + F.make_dt_interval(F.lit(0), F.lit(23))))
-    out = seen.select("*", F.explode(held).alias("tick"))
+    out = seen.withColumn("_day", F.to_date(ts)).join(days, "_day").filter(
+        F.col(ts) <= F.date_trunc("day", "tick") + F.make_dt_interval(F.lit(0), F.lit(23))).drop("_day")
     late = F.coalesce(F.col("_cap") > F.col("tick"), F.lit(False))
     if absent:
         return out.filter(~late).drop("_cap")

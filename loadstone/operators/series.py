@@ -170,6 +170,24 @@ def newest(df: DataFrame, keys: Sequence[str], order: str, n: int | Column, rank
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
+def newest_counted(df: DataFrame, keys: Sequence[str], order: Column, n: int | Column, rank: str | None = None, span: int = CHUNK_ROWS) -> DataFrame:
+    """``newest`` for an ``n`` of thousands, or one that differs by key.
+
+    Chunks of the integer ``order`` are counted from the newest backwards; only chunks
+    that hold wanted rows are ranked, each by itself, so no key is sorted in one task.
+    Rows without an order value are left out.
+    """
+    keys = list(keys)
+    cut = df.withColumn("_o", order).withColumn("_part", F.floor(F.col("_o") / span)).repartition(*keys, "_part")
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("_part"))
+    sizes = cut.groupBy(*keys, "_part").count()
+    wanted = sizes.select(*keys, "_part", (F.sum("count").over(backwards) - F.col("count")).alias("_after")).filter(F.col("_after") < n)
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.desc("_o")))
+    name = rank or "_rn"
+    out = cut.join(wanted, [*keys, "_part"]).withColumn(name, F.col("_after") + inside).filter(F.col(name) <= n)
+    return out.select(*df.columns, *([name] if rank else []))
+
+
 def keep_one(df: DataFrame, keys: Sequence[str], *orders: Column) -> DataFrame:
     """First row per key under an explicit order (never an arbitrary duplicate)."""
     w = Window.partitionBy(*keys).orderBy(*orders)

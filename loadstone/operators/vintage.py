@@ -41,7 +41,7 @@ def usable_readings(readings: DataFrame, retention_hours: int | None = RETENTION
     if retention_hours is not None:
         kept &= F.col("captured_at") <= F.col("target_ts") + F.make_dt_interval(F.lit(0), F.lit(retention_hours))
     one = (
-        readings.filter(kept)
+        readings.filter(kept).repartition(*KEYS)  # serves the aggregate, the window and the fold
         .withColumn("df", F.when(~F.isnan("df") & (F.abs("df") < float("inf")), F.col("df")))
         .groupBy(*KEYS, "captured_at").agg(F.max(F.struct("d", "df")).alias("r"))
         .select(*KEYS, "captured_at", "r.d", "r.df")

@@ -157,12 +157,14 @@ def region_exclusion(spark, sf):
 @query("p20_as_of_replay", "readings", """
 SELECT region, tick, count(*) AS n_hours, count(CASE WHEN cap <= tick THEN last_d END) AS n_seen, sum(CASE WHEN cap <= tick THEN last_d END) AS seen_mw
 FROM (SELECT region, target_ts, min(captured_at) AS cap, arg_max(d, captured_at) AS last_d FROM readings GROUP BY 1, 2),
-  (VALUES (TIMESTAMP '2020-01-20 12:00:00'), (TIMESTAMP '2020-02-10 05:00:00'), (TIMESTAMP '2020-03-01 00:00:00')) t(tick)
+  (SELECT DISTINCT date_trunc('week', captured_at) + INTERVAL 60 HOUR AS tick FROM readings) t
 WHERE target_ts >= date_trunc('day', tick - INTERVAL 10 DAY) AND target_ts <= date_trunc('day', tick) + INTERVAL 23 HOUR GROUP BY 1, 2""", d="seen_mw")
 def as_of_replay(spark, sf):
-    r = fr.readings(spark, sf).groupBy("region", F.col("target_ts").alias("ts")).agg(
+    """One tick a week, at noon of its third day, over all weeks with captures."""
+    readings = fr.readings(spark, sf)
+    ticks = readings.select((F.date_trunc("week", "captured_at") + F.expr("INTERVAL 60 HOURS")).alias("tick"))
+    r = readings.groupBy("region", F.col("target_ts").alias("ts")).agg(
         F.min("captured_at").alias("captured_at"), F.max_by("d", "captured_at").alias("demand_mw"))
-    ticks = ["2020-01-20 12:00:00", "2020-02-10 05:00:00", "2020-03-01 00:00:00"]
     return cl.as_of(r.drop("captured_at"), r.drop("demand_mw"), ticks, 10).groupBy("region", "tick").agg(
         F.count("*").alias("n_hours"), F.count("demand_mw").alias("n_seen"), F.sum("demand_mw").alias("seen_mw"))
 

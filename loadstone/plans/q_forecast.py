@@ -13,6 +13,7 @@ from loadstone.operators.series import hour_number, hours, newest, windowed, wit
 from loadstone.plans import frames as fr
 from loadstone.plans.q_sources import METADATA_SQL, metadata
 from loadstone.plans.registry import query
+from loadstone.session import stored
 
 
 @query("a14_mape", "scored", "SELECT region, model, avg(CASE WHEN abs(actual) > 1e-6 THEN abs((actual - predicted) / actual) END) * 100 AS mape, avg(CASE WHEN actual > 50 THEN abs(actual - predicted) / actual END) * 100 AS mape_above_50 FROM scored GROUP BY ALL",
@@ -87,7 +88,7 @@ band AS (SELECT s.*, predicted + lo AS lower, predicted + up AS upper FROM score
 
 
 def band(spark, sf):
-    s = fr.scored(spark, sf)
+    s = stored(fr.scored(spark, sf), "scored")
     return mt.apply_interval(s, mt.error_quantiles(s, ["region", "model"]), ["region", "model"])
 
 
@@ -194,15 +195,16 @@ def forecast_start(spark, sf):
 
 
 @query("g8_anchor_provenance", "hourly", f"""WITH {FEND}, {BRIDGE}, {START}
-SELECT s.region, forecast_start - INTERVAL 1 HOUR AS anchor_ts, round(CASE WHEN hour(h.ts) % 2 = 0 THEN h.demand_mw + 1 ELSE h.demand_mw END, 2) AS anchor_mw,
+SELECT s.region, forecast_start - INTERVAL 1 HOUR AS anchor_ts, round(CASE WHEN h.ts <= last_featured_ts THEN h.demand_mw + 0.25 WHEN hour(h.ts) % 2 = 0 THEN h.demand_mw + 1 ELSE h.demand_mw END, 2) AS anchor_mw,
   CASE WHEN s.region <> 'error' THEN hour(h.ts) % 3 = 0 END AS anchor_was_placeholder, CASE WHEN h.ts IS NOT NULL THEN hour(h.ts) % 2 = 0 END AS anchor_conditioned
 FROM start s LEFT JOIN hourly h ON s.region = h.region AND h.ts = forecast_start - INTERVAL 1 HOUR""", d="anchor_mw")
 def provenance(spark, sf):
     h = fr.hourly(spark, sf)
     cond = h.withColumn("demand_mw", F.col("demand_mw") + F.when(F.hour("ts") % 2 == 0, 1).otherwise(0))
     ph = h.filter("region <> 'error'").select("region", "ts", (F.hour("ts") % 3 == 0).alias("placeholder"))
-    starts = bl.forecast_start(featured_end(spark, sf), h)
-    return bl.anchor_provenance(starts, h.filter("false"), h, cond, ph)
+    end = featured_end(spark, sf)
+    featured = h.join(end, "region").filter("ts <= last_featured_ts").withColumn("demand_mw", F.col("demand_mw") + 0.25)
+    return bl.anchor_provenance(bl.forecast_start(end, h), featured, h, cond, ph)
 
 
 @query("w18_window_contiguity", "hourly", f"""WITH o AS (SELECT region, max(ts) + to_hours(CASE region WHEN 'view' THEN 3 ELSE 1 END) AS origin FROM hourly GROUP BY region),
@@ -251,7 +253,7 @@ v AS (SELECT region, anchor, pmin / p5 AS trough_ratio, pmean / mean AS level_ra
 
 def probe_verdicts(spark, sf):
     """Probe forecasts at three anchors a day apart: the values of two days before."""
-    d = fr.demand(spark, sf).select("region", "ts", "demand_mw")
+    d = stored(fr.demand(spark, sf).select("region", "ts", "demand_mw"), "demand")
     marks = F.explode(F.sequence(F.lit(0), F.lit(bl.PROBE_ANCHORS - 1))).alias("i")
     a = d.groupBy("region").agg(F.max("ts").alias("m")).select("region", "m", marks).select(
         "region", (F.col("m") - F.make_dt_interval(F.lit(0), F.col("i") * bl.PROBE_STEP_HOURS)).alias("anchor"))
@@ -260,7 +262,7 @@ def probe_verdicts(spark, sf):
     p = x.filter((F.col("ts") > F.col("anchor") - hours(48)) & F.col("demand_mw").isNotNull()).select(
         "region", "anchor", (F.col("ts") + hours(48)).alias("ts"), (F.col("demand_mw") + 30).alias("predicted"))
     probes = p.join(d.withColumnRenamed("demand_mw", "actual"), ["region", "ts"], "left")
-    return bl.serve_gate(probes, recent)
+    return stored(bl.serve_gate(stored(probes, "probes"), stored(recent, "recent")), "verdicts")
 
 
 @query("b13_serve_path_gate", "spine", f"WITH {GATE_SQL} SELECT * FROM v", d="trough_ratio level_ratio truth_median_ape")
@@ -322,9 +324,9 @@ ens AS (SELECT region, ts, any_value(actual) AS actual, bool_or(big) AS big, CAS
 SELECT region, 'inverse_mape_cubed' AS weight_rule, CASE WHEN big THEN 'out_of_sample' ELSE 'in_sample' END AS scored, avg(abs((actual - predicted) / actual)) * 100 AS mape, sqrt(avg(pow(actual - predicted, 2))) AS rmse, avg(abs(actual - predicted)) AS mae,
   CASE WHEN var_pop(actual) * count(*) < 1e-10 THEN 0 ELSE 1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(*)) END AS r2, count(*) AS n FROM ens GROUP BY region, big""", d="mape rmse mae r2")
 def holdout_score(spark, sf):
-    s = fr.scored(spark, sf)
+    s = stored(fr.scored(spark, sf).select("region", "model", "ts", "actual", "predicted"), "scored")
     whole = s.groupBy("region", "ts").agg(F.count("*").alias("n")).filter("n = 3").select("region", "ts")
-    return en.holdout_score(s.join(whole, ["region", "ts"], "left_semi"))
+    return en.holdout_score(stored(s.join(whole, ["region", "ts"], "left_semi"), "holdout"))
 
 
 @query("w21_ewma", "", f"""WITH RECURSIVE m AS (SELECT region, model, trained_at, mape, row_number() OVER (PARTITION BY region, model ORDER BY trained_at) AS k
@@ -428,14 +430,14 @@ def rows(spark, sf):
     return with_position(h, ["region"], "o").drop("o")
 
 
-def sizes(spark, sf):
-    return fr.hourly(spark, sf).groupBy("region").agg(F.count("*").alias("n"))
+def sizes(hourly):
+    return hourly.groupBy("region").agg(F.count("*").alias("n"))
 
 
 @query("g4_rolling_origin_splits", "hourly", """
 SELECT region, n, fold, n - fold * 48 - 72 AS test_start, n - fold * 48 AS test_end FROM (SELECT region, count(*) AS n FROM hourly GROUP BY region), (SELECT unnest(generate_series(0, 11)) AS fold) WHERE n - fold * 48 - 72 >= 300""")
 def rolling_splits(spark, sf):
-    return bt.rolling_splits(sizes(spark, sf), 12, 72, 300, 48)
+    return bt.rolling_splits(sizes(fr.hourly(spark, sf)), 12, 72, 300, 48)
 
 
 FOLDS = """sz AS (SELECT region, count(*) AS n FROM hourly GROUP BY region), fo AS (SELECT region, n, fold, nf AS n_folds, n - (nf - fold + 1) * 48 AS test_start, n - (nf - fold) * 48 AS test_end
@@ -443,13 +445,13 @@ FOLDS = """sz AS (SELECT region, count(*) AS n FROM hourly GROUP BY region), fo
 pr AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts) - 1 AS pos FROM hourly)"""
 
 
-def folds(spark, sf):
-    return bt.walk_forward_folds(sizes(spark, sf), 48, 400)
+def folds(hourly):
+    return bt.walk_forward_folds(sizes(hourly), 48, 400)
 
 
 @query("g5_walk_forward_folds", "hourly", f"WITH {FOLDS} SELECT * FROM fo")
 def walk_forward(spark, sf):
-    return folds(spark, sf)
+    return folds(fr.hourly(spark, sf))
 
 
 ARMS = FOLDS + """, te AS (SELECT p.*, f.fold, f.test_start, f.test_end FROM pr p JOIN fo f ON p.region = f.region AND pos >= test_start AND pos < test_end),
@@ -464,10 +466,12 @@ cal AS (SELECT a.*, predicted + lo AS lower, predicted + up AS upper FROM arms a
 
 
 def arms(spark, sf):
-    r, f = rows(spark, sf), folds(spark, sf)
+    """Both arms on the test rows of every fold, from one stored pass over positions."""
+    r = stored(rows(spark, sf), "positions")
+    f = stored(folds(r), "folds")
     cols = ["region", "fold", "ts", F.col("demand_mw").alias("actual"), "predicted"]
     nv = bt.naive_arm(r, f).select(*cols, F.lit("naive").alias("model"))
-    return nv.unionByName(bt.climatology_arm(r, f).select(*cols, F.lit("climatology").alias("model")))
+    return stored(nv.unionByName(bt.climatology_arm(r, f).select(*cols, F.lit("climatology").alias("model"))), "arms")
 
 
 @query("b17_walk_forward_predictions", "hourly", f"WITH {ARMS} SELECT region, model, fold, ts, actual, predicted, lower, upper FROM cal", d="predicted lower upper")
@@ -495,10 +499,10 @@ SELECT region, fold, ts, CASE WHEN cov >= 0.8 THEN 'archived forecast snapshot'
 
 @query("j24_fold_weather_overlay", "hourly weather", "WITH " + EXOG, d="temperature_2m")
 def fold_weather(spark, sf):
-    w = fr.weather(spark, sf)
-    r = rows(spark, sf).join(w.select("region", "ts", "temperature_2m"), ["region", "ts"], "left")
+    w = stored(fr.weather(spark, sf).select("region", "ts", "temperature_2m", "cloud_cover"), "weather")
+    r = stored(rows(spark, sf).join(w.select("region", "ts", "temperature_2m"), ["region", "ts"], "left"), "positions")
     archived = w.filter("cloud_cover > 15").select("region", "ts", (F.col("temperature_2m") + 2).alias("temperature_2m"))
-    return bt.fold_exogenous(r, folds(spark, sf), archived, ["temperature_2m"])
+    return bt.fold_exogenous(r, stored(folds(r), "folds"), archived, ["temperature_2m"])
 
 
 RES = """res AS (SELECT region, horizon, ts, (actual - predicted) * sqrt(horizon / 24.0::DOUBLE) AS residual FROM scored, (VALUES (24), (168), (720)) t(horizon) WHERE model = 'lag24'),
@@ -509,7 +513,8 @@ anc AS (SELECT region, horizon, greatest(1, horizon // 2) AS effective_lead, qua
 def anchors(spark, sf):
     hs = F.explode(F.array(*[F.lit(h) for h in bt.ANCHOR_HORIZONS]))
     r = fr.scored(spark, sf).filter("model = 'lag24'").select("region", "ts", (F.col("actual") - F.col("predicted")).alias("r"), hs.alias("horizon"))
-    return bt.interval_anchors(r.select("region", "ts", "horizon", (F.col("r") * F.sqrt(F.col("horizon") / 24)).alias("residual")), ["region"], "ts")
+    residuals = stored(r.select("region", "ts", "horizon", (F.col("r") * F.sqrt(F.col("horizon") / 24)).alias("residual")), "residuals")
+    return stored(bt.interval_anchors(residuals, ["region"], "ts"), "anchors")
 
 
 @query("w20_calibration_tail", "scored", f"WITH {RES} SELECT * FROM anc", d="lower_error upper_error", i="horizon effective_lead")
@@ -524,7 +529,7 @@ l AS (SELECT n.region, ts, lead_hours, predicted, CASE WHEN lead_hours <= 12 THE
 m AS (SELECT *, min(lo) OVER w AS lo_err, max(up) OVER w AS up_err FROM l WINDOW w AS (PARTITION BY region ORDER BY lead_hours ROWS UNBOUNDED PRECEDING))
 SELECT region, ts, lead_hours, predicted, greatest(predicted + lo_err, 0) AS lower, greatest(predicted + up_err, greatest(predicted + lo_err, 0)) AS upper FROM m""", d="predicted lower upper")
 def widening(spark, sf):
-    return bt.widening_interval(naive(spark, sf), anchors(spark, sf))
+    return bt.widening_interval(stored(naive(spark, sf), "naive"), anchors(spark, sf))
 
 
 @query("f23_indicative_half_width", "spine", f"WITH {NAIVE} SELECT region, ts, predicted * (1 - w) AS lower, predicted * (1 + w) AS upper FROM (SELECT *, CASE WHEN lead_hours <= 24 THEN 0.03::DOUBLE WHEN lead_hours <= 168 THEN 0.06 ELSE 0.10 END AS w FROM naive)", d="lower upper")

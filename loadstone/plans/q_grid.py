@@ -134,12 +134,13 @@ def ranked_drivers(spark, sf):
 
 
 @query("j13_nearest_two_hours", "hourly weather", """
-WITH p AS (SELECT region, max(ts) AS peak_ts FROM hourly WHERE demand_mw > 100 GROUP BY region, CAST(ts AS DATE)),
-w AS (SELECT region, ts, temperature_2m FROM weather)
+WITH p AS (SELECT region, ts AS peak_ts FROM hourly),
+w AS (SELECT region, ts, temperature_2m FROM weather WHERE hour(ts) NOT BETWEEN 8 AND 13)
 SELECT p.region, peak_ts, w.ts AS matched_ts, w.temperature_2m AS nearest_temperature_2m FROM p LEFT JOIN w ON p.region = w.region AND abs(epoch(w.ts - peak_ts)) < 7200 QUALIFY row_number() OVER (PARTITION BY p.region, peak_ts ORDER BY abs(epoch(w.ts - peak_ts)), w.ts) = 1""", d="nearest_temperature_2m")
 def nearest_two_hours(spark, sf):
-    p = fr.hourly(spark, sf).filter("demand_mw > 100").groupBy("region", F.to_date("ts")).agg(F.max("ts").alias("peak_ts")).select("region", "peak_ts")
-    return gr.nearest(p, fr.weather(spark, sf), ["region"], "peak_ts", "ts", "temperature_2m", 7200, strict=True)
+    """Every hour of demand; the weather feed has a hole every morning, so the nearest reading is the hour's own, its neighbour or none."""
+    p = fr.hourly(spark, sf).select("region", F.col("ts").alias("peak_ts"))
+    return gr.nearest(p, fr.weather(spark, sf).filter("hour(ts) NOT BETWEEN 8 AND 13"), ["region"], "peak_ts", "ts", "temperature_2m", 7200, strict=True)
 
 
 @query("j14_nearest_day_ago", "hourly", """

@@ -16,7 +16,7 @@ from loadstone.operators.series import hour_number, windowed
 from loadstone.plans import frames as fr
 from loadstone.plans.q_features import DERIVED_D, DERIVED_SQL, ROLL_D, _range_sql
 from loadstone.plans.registry import query
-from loadstone.session import reliable_checkpoint
+from loadstone.session import reliable_checkpoint, stored
 
 EXOG = ["temperature_2m", "cloud_cover", "hour_sin", "hour_cos"]
 HORIZONS = (1, 6, 24, 72, 168)
@@ -158,8 +158,8 @@ def miss_matrix(spark, sf):
 
 # -- shadow arm --------------------------------------------------------------------
 
-def shadow_meta(spark, sf):
-    m = fr.scored(spark, sf).groupBy("region", "model").agg(mt.mape().alias("mape"))
+def shadow_meta(s):
+    m = s.groupBy("region", "model").agg(mt.mape().alias("mape"))
     ew = F.when((F.col("region") != "view") | (F.col("model") != "lag48"), F.col("mape") * F.when(F.col("model") == "lag24", 0.7).otherwise(1.0))
     return en.weighting_input(m.withColumn("mape_ewma", ew), smoothed_on=False)
 
@@ -169,8 +169,8 @@ led AS (SELECT s.region, ts, any_value(actual) AS actual, any_value(lead_hours)
 
 
 def shadow_ledger(spark, sf):
-    s = fr.scored(spark, sf)
-    led = sh.ledger(s, shadow_meta(spark, sf))
+    s = stored(fr.scored(spark, sf).select("region", "model", "ts", "actual", "predicted", "lead_hours"), "scored")
+    led = sh.ledger(s, shadow_meta(s))
     hours_ = s.groupBy("region", "ts").agg(F.max("actual").alias("actual"), F.max("lead_hours").alias("lead_hours"))
     return led.join(hours_, ["region", "ts"])
 
@@ -193,7 +193,7 @@ sp AS (SELECT quantile_cont(d, 0.5) AS span_days FROM (SELECT epoch(max(ts) - mi
 SELECT *, CASE WHEN abs(macro_served_bias_pct) > 2 OR abs(pooled_served_bias_pct) > 2 THEN 'control_fails_constraint' WHEN span_days < 14 THEN 'too_short' WHEN abs(macro_shadow_bias_pct) > 2 OR macro_shadow_mape - macro_served_mape > 0.5 THEN 'fails' ELSE 'passes' END AS verdict FROM ma, pw, wi, sp""",
        d=" ".join(f"{t}_{r}_{x}" for t in ("macro", "pooled") for r in sh.ARMS for x in ("bias_pct", "mape", "wape")) + " span_days")
 def shadow_evaluation(spark, sf):
-    x = shadow_ledger(spark, sf).select("region", "ts", "lead_hours", *[(F.col(c) + 3000).alias(c) for c in ("actual", "served", "shadow")])
+    x = stored(shadow_ledger(spark, sf), "shadow").select("region", "ts", "lead_hours", *[(F.col(c) + 3000).alias(c) for c in ("actual", "served", "shadow")])
     return sh.evaluate(sh.filtered(x, max_lead=24))
 
 

@@ -15,7 +15,7 @@ from loadstone.session import scratch_path
 from loadstone.sources import files
 from loadstone.streaming import late, ledger
 from loadstone.streaming import operators as so
-from loadstone.streaming.sinks import dead_letters, drain, guarded_upsert, read_latest, staged, stream_table, update_log
+from loadstone.streaming.sinks import dead_letters, drain, read_latest, staged, stream_table, update_log
 from loadstone.streaming.vintage import read_vintages, vintage_stream
 
 WEEK = 7 * 86400
@@ -224,17 +224,12 @@ def cadence(spark, sf):
 
 @query("d12_guarded_upsert", "hourly", "SELECT region, ts, CASE WHEN day(ts) >= 20 THEN demand_mw + 1 ELSE demand_mw END AS demand_mw FROM hourly", d="demand_mw")
 def guarded(spark, sf):
-    """Two loads merged by key, the later one winning, behind the reseed guard."""
-    h = fr.hourly(spark, sf)
-    later = h.filter(F.dayofmonth("ts") >= 20).withColumn("demand_mw", F.col("demand_mw") + 1)
-    base = scratch_path(spark, "guarded")
-    upsert = guarded_upsert(f"{base}/table", f"{base}/written", merge_newest)
-    for n, part in enumerate((h, later)):
-        q = streamed(part, "load").writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/state{n}").trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.read.parquet(f"{base}/table")
-
-
-def merge_newest(old, new):
-    """Stored rows without a newer reading, and the new rows."""
-    return old.join(new.select("region", "ts"), ["region", "ts"], "left_anti").unionByName(new)
+    """Two loads of one stream into the vintage table, the later reading moving the last value, behind the reseed guard."""
+    h = fr.hourly(spark, sf).select("region", F.col("ts").alias("target_ts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("captured_at"),
+                                    F.col("demand_mw").alias("d"), F.lit(None).cast("double").alias("df"))
+    later = h.filter(F.dayofmonth("target_ts") >= 20).withColumn("captured_at", F.col("captured_at") + F.expr("INTERVAL 1 DAY")).withColumn("d", F.col("d") + 1)
+    path, base, state, marker = (scratch_path(spark, n) for n in ("guarded", "loads", "guarded-state", "guarded-written"))
+    for part in (h, later):
+        part.write.mode("append").parquet(base)
+        vintage_stream(stream_table(spark, base, h.schema), path, state, 7, marker).awaitTermination()
+    return read_vintages(spark, path).select("region", F.col("target_ts").alias("ts"), F.col("last_d").alias("demand_mw"))

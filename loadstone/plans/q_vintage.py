@@ -9,6 +9,7 @@ from loadstone.operators.cleaning import real_positive
 from loadstone.operators.series import lead_hours
 from loadstone.plans import frames as fr
 from loadstone.plans.registry import query
+from loadstone.session import stored
 
 
 def paired(spark, sf):
@@ -39,7 +40,8 @@ def feed_gaps(spark, sf):
 
 
 def score(spark, sf):
-    return vt.scoreability(fr.vintage(spark, sf))
+    columns = ["region", "target_ts", "first_seen_d", "first_seen_df", "captured_at", "last_d", "n_updates", "df_at"]
+    return vt.scoreability(stored(fr.vintage(spark, sf).select(*columns), "vintage"))
 
 
 @query("a27_scoreability", "score", "SELECT * FROM score",
@@ -80,7 +82,7 @@ def drop_counts(spark, sf):
 
 @query("a19_arm_scorecard", "arms", "SELECT * FROM arms", d="mape median_ape mae wape")
 def arm_scorecard(spark, sf):
-    return bm.arm_scores(paired(spark, sf), ["region", "lead"])
+    return bm.arm_scores(stored(paired(spark, sf), "pairs"), ["region", "lead"])
 
 
 @query("a20_fleet_macro_average", "arms", """
@@ -105,7 +107,7 @@ PAYLOAD_D = " ".join([f"{a}_{m}" for a, m in COLS] + ["delta_mape", "delta_wape"
 
 
 def payload(spark, sf):
-    p = paired(spark, sf)
+    p = stored(paired(spark, sf), "pairs")
     lead = p.select("region", "lead").filter("lead IS NOT NULL").distinct().withColumn(
         "observed_lead_h", F.when(F.col("region") == "R1", 40.0).otherwise(47.8))
     return bm.lead_payload(p, lead)

@@ -52,3 +52,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """A frame that several branches of a plan read, written once to the shared folder.
+
+    Branches read only their columns of it, and a lost executor reruns none of what led to it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -56,15 +56,25 @@ def _period(days: int):
     return F.floor(F.unix_timestamp("target_ts") / (86400 * days))
 
 
-def fold_batch(path: str, days: int = 7) -> Callable[[DataFrame, int], None]:
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fold_batch(path: str, days: int = 7, marker: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that folds a batch into the table.
 
     A batch numbered below a version already there means that the stream's checkpoint was lost:
-    folding it would pin today's values as first-seen, so it is refused.
+    folding it would pin today's values as first-seen, so it is refused. ``marker`` is a path kept
+    apart from the table, written once the table holds a version; while it is there, a table
+    without versions means the history was lost, and the batch is refused as well. A batch that
+    ends between table and marker is replayed, which writes the same version and then the marker.
     """
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = max((v for vs in _versions(spark, path).values() for v in vs), default=-1)
+        if newest < 0 and marker is not None and _exists(spark, marker):
+            raise RuntimeError(f"{path} has no version although {marker} says it was written; refusing to reseed")
         if newest > number:
             raise RuntimeError(f"batch {number} is older than version {newest} of {path}: the stream has lost its checkpoint")
         touched = batch.select(_period(days).alias("period")).distinct()
@@ -73,6 +83,8 @@ def fold_batch(path: str, days: int = 7) -> Callable[[DataFrame, int], None]:
         # Rebalanced by size: a heavy period is split over tasks, light ones share one.
         out.hint("rebalance", "period").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("period", "version").parquet(path)
+        if marker is not None and not _exists(spark, marker) and _versions(spark, path):
+            spark.range(1).write.mode("overwrite").parquet(marker)
 
     return run
 
@@ -82,5 +94,5 @@ def live_window(spark: SparkSession, path: str, now, retention_hours: int = RETE
     return read_vintages(spark, path).filter(F.col("target_ts") >= now - F.make_dt_interval(F.lit(0), F.lit(retention_hours))).select(*KEYS, *COLUMNS)
 
 
-def vintage_stream(readings: DataFrame, path: str, checkpoint: str, days: int = 7) -> StreamingQuery:
-    return readings.writeStream.foreachBatch(fold_batch(path, days)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def vintage_stream(readings: DataFrame, path: str, checkpoint: str, days: int = 7, marker: str | None = None) -> StreamingQuery:
+    return readings.writeStream.foreachBatch(fold_batch(path, days, marker)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

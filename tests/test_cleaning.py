@@ -93,6 +93,22 @@ def test_unknown_lead_is_kept(spark):
 def test_as_of_models_differ_on_unarrived_hours(spark):
     cur = series(spark, [1, 2, 3]).drop("h")
     cap = spark.createDataFrame([("A", at(0), at(1)), ("A", at(1), at(2)), ("A", at(2), at(9))], "region string, ts timestamp, captured_at timestamp")
-    null_row = cl.as_of(cur, cap, [str(at(2))], 3)
+    tick = spark.createDataFrame([(at(2),), (at(2),), (None,)], "tick timestamp")
+    null_row = cl.as_of(cur, cap, tick, 3)
     assert column(null_row, "demand_mw") == [1.0, 2.0, None]
-    assert cl.as_of(cur, cap, [str(at(2))], 3, absent=True).count() == 2
+    assert cl.as_of(cur, cap, tick, 3, absent=True).count() == 2
+
+
+def test_as_of_holds_whole_days_up_to_the_tick(spark):
+    """A tick holds the days of its window, the whole of its own day, and nothing else."""
+    cur = series(spark, range(1, 24 * 8 + 1)).drop("h")
+    cap = cur.select("region", "ts", F.col("ts").alias("captured_at"))
+    ticks = spark.createDataFrame([(at(24 * 3 + 5),), (at(24 * 6),), (at(24 * 400),)], "tick timestamp")
+    got = cl.as_of(cur, cap, ticks, 2)
+    want = {}
+    for tick in (24 * 3 + 5, 24 * 6):
+        day = tick // 24 * 24
+        held = [h for h in range(24 * 8) if day - 48 <= h <= day + 23]
+        want[at(tick)] = (len(held), sum(h <= tick for h in held))
+    assert {r["tick"]: (r["n"], r["seen"]) for r in got.groupBy("tick").agg(F.count("*").alias("n"), F.count("demand_mw").alias("seen")).collect()} == want
+    assert cl.as_of(cur, cap, ticks.limit(0), 2).count() == 0

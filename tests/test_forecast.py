@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from helpers import at, close, column, series
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadstone.functions import calendar as cal
@@ -16,6 +17,7 @@ from loadstone.operators import grid as gr
 from loadstone.operators import metrics as mt
 from loadstone.operators import scenario as sc
 from loadstone.operators import weather as wt
+from loadstone.operators.series import hour_number, newest_counted
 
 
 def one(spark, col, rows, schema):
@@ -194,6 +196,47 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert r["ci_low"] < r["mean"] < r["ci_high"] and 0.12 < r["ci_high"] - r["ci_low"] < 0.3
 
 
+def test_bootstrap_equals_rows_drawn_one_by_one(spark):
+    """Null values take no part, a key without values has no interval, and no row is copied per draw."""
+    import hashlib
+
+    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+    rows = [("A", i, None if i % 5 == 0 else float(i * i % 17)) for i in range(40)] + [("B", 1, None), ("C", 3, 2.5)]
+    df = spark.createDataFrame(rows, "k string, id long, d double")
+    out = bt.bootstrap_mean(df, ["k"], "d", "id", 50)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r for r in out.collect()}
+    for key in "ABC":
+        means = []
+        for b in range(1, 51):
+            pairs = []
+            for k, i, v in rows:
+                u = (int(hashlib.md5(f"{i}|{b}".encode()).hexdigest()[:8], 16) % 1_000_003 + 0.5) / 1_000_003
+                if k == key and v is not None:
+                    pairs.append((v, sum(u > c for c in cdf)))
+            if sum(c for _, c in pairs):
+                means.append(sum(v * c for v, c in pairs) / sum(c for _, c in pairs))
+        if not means:
+            assert (got[key]["mean"], got[key]["n"], got[key]["ci_low"], got[key]["ci_high"]) == (None, 0, None, None)
+            continue
+        close([got[key]["ci_low"], got[key]["ci_high"]], list(np.quantile(means, [0.025, 0.975])))
+
+
+@pytest.mark.parametrize("keys", [["region"], ["region", "horizon"]])
+def test_newest_counted_equals_the_ranked_window(spark, keys):
+    """Chunks of any size give the rows and ranks of one window, also for a limit that differs by key."""
+    rows = [(r, z, at(h), float(h)) for r, step in (("A", 1), ("B", 7), ("C", 50)) for z in (3, 40) for h in range(0, 120, step)]
+    df = spark.createDataFrame(rows, "region string, horizon int, ts timestamp, v double")
+    df = df if len(keys) == 2 else df.filter("horizon = 3")
+    n = F.col("horizon") * 2 if len(keys) == 2 else 30
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"))
+    want = sorted(map(tuple, df.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).collect()))
+    for span in (1, 9, 24, 1000):
+        got = newest_counted(df, keys, hour_number("ts"), n, "k", span)
+        assert sorted(map(tuple, got.collect())) == want
+    assert newest_counted(df.filter("false"), keys, hour_number("ts"), n).count() == 0
+
+
 def test_recompute_too_soon(spark):
     from loadstone.operators.backtest import recompute_cadence
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loadstone.operators import vintage as vt
 from loadstone.sources import feeds, files
 from loadstone.streaming import operators as so
-from loadstone.streaming.sinks import drain, guarded_upsert, stream_table
+from loadstone.streaming.sinks import drain, stream_table
 from loadstone.streaming.vintage import drop_superseded, fold_batch, live_window, read_vintages, vintage_stream
 
 
@@ -117,16 +117,18 @@ def test_unmatched_predictions_come_out_expired(spark, tmp_path):
 
 
 def test_guard_refuses_to_reseed(spark, tmp_path):
-    from pyspark.sql.utils import StreamingQueryException  # noqa: F401
-
     path, mark = str(tmp_path / "t"), str(tmp_path / "mark")
-    upsert = guarded_upsert(path, mark, lambda old, new: old.unionByName(new))
-    upsert(spark.range(3), 0)
-    upsert(spark.range(2), 1)
-    assert spark.read.parquet(path).count() == 5
-    missing = guarded_upsert(str(tmp_path / "gone"), mark, lambda old, new: new)
-    with pytest.raises(RuntimeError, match="refusing"):
-        missing(spark.range(1), 2)
+    run = fold_batch(path, marker=mark)
+    run(spark.createDataFrame([], READ), 0)  # nothing to fold, so nothing is marked
+    run(spark.createDataFrame([], READ), 0)
+    batches = [spark.createDataFrame([("A", at(0), at(1 + k), 100.0 + k, None)], READ) for k in range(3)]
+    run(batches[0], 1)
+    run(batches[1], 2)
+    run(batches[1], 2)  # a replay
+    assert [(r["first_seen_d"], r["last_d"]) for r in read_vintages(spark, path).collect()] == [(100.0, 101.0)]
+    missing = fold_batch(str(tmp_path / "gone"), marker=mark)
+    with pytest.raises(RuntimeError, match="refusing to reseed"):
+        missing(batches[2], 3)
 
 
 def test_vintage_table_refuses_a_lost_checkpoint_and_drops_old_versions(spark, tmp_path):
