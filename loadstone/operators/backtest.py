@@ -195,12 +195,13 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: str,
     # Poisson(1) distribution function, fixed values.
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 
-    def count(b):
+    def uniform(b):
         seed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id), b)), 1, 8), 16, 10).cast("long")
-        u = (F.pmod(seed, F.lit(1_000_003)) + 0.5) / 1_000_003
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: u > c))
+        return (F.pmod(seed, F.lit(1_000_003)) + 0.5) / 1_000_003
 
-    drawn = F.when(F.col(value).isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(draws)), count))
+    # Two steps, so that a draw is hashed once and not once a comparison.
+    uniforms = F.transform(F.sequence(F.lit(1), F.lit(draws)), uniform)
+    drawn = F.when(F.col(value).isNotNull(), F.transform(uniforms, lambda u: sum(((u > c).cast("int") for c in cdf), F.lit(0))))
     x = df.select(*keys, F.col(value).alias("_v"), drawn.alias("_k"))
     sums = [e for b in range(draws) for e in (F.sum(F.col("_v") * F.get("_k", F.lit(b))).alias(f"_s{b}"), F.sum(F.get("_k", F.lit(b))).alias(f"_c{b}"))]
     g = x.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"), *sums)
