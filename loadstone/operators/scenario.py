@@ -17,6 +17,7 @@ WIND_MPH = (-10.0, 0.0, 10.0)
 SOLAR_WM2 = (-200.0, 0.0, 200.0)
 MIN_FACTOR, MAX_FACTOR = 0.6, 1.7
 AXES = {"temp_f": TEMP_F, "wind_mph": WIND_MPH, "solar_wm2": SOLAR_WM2}
+PART_ROWS = 1 << 14  # requests of one key that meet one copy of its curves
 AXIS_COLUMN = {"temp_f": "temperature_2m", "wind_mph": "wind_speed_80m", "solar_wm2": "shortwave_radiation"}
 
 
@@ -127,13 +128,30 @@ def _at(i: Column) -> Column:
     return F.aggregate("_corners", F.lit(0.0), lambda a, c: a + c["w"] * F.get(F.get(F.col("_cube"), c["i"]), i))
 
 
+def _beside(requests: DataFrame, curves: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Requests beside the one wide row of their key, by a single join.
+
+    The requests of a key are dealt out in parts of about ``PART_ROWS``, each with its copy of the
+    wide row, so a key is spread over tasks. What is shuffled and sorted is narrow: a request
+    meets the curves last, and no later join carries them.
+    """
+    keys = list(keys)
+    parts = requests.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("_parts"))
+    number = F.coalesce("_parts", F.lit(1).cast("long"))
+    part = F.pmod(F.xxhash64(*requests.columns), number).alias("_part")
+    dealt = requests.join(parts, keys, "left").select(*requests.columns, part)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("_part")
+    wide = curves.join(parts, keys, "left").select(*curves.columns, copies)
+    return dealt.join(wide, [*keys, "_part"], how)
+
+
 def interpolate(requests: DataFrame, grid: DataFrame, keys: Sequence[str] = ("region",), step: str = "step", axes: dict = AXES) -> DataFrame:
     """Trilinear factor of every step of each request.
 
     The cube of a region is one small row, so requests meet it by one join and are
     never shuffled for their corners.
     """
-    x = requests.join(cube(grid, keys, step, axes), list(keys)).withColumn("_corners", _corners(axes))
+    x = _beside(requests, cube(grid, keys, step, axes), keys, "inner").withColumn("_corners", _corners(axes))
     curve = F.transform("_steps", lambda k, i: F.struct(k.alias(step), _at(i).alias("factor")))
     return x.select(*requests.columns, F.inline(curve))
 
@@ -147,7 +165,7 @@ def with_fallback(requests: DataFrame, grid: DataFrame, env: DataFrame, n_hours:
     """
     keys = list(keys)
     flags = env.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "axis", F.col("delta").cast("string")), "in_range"))).alias("_env"))
-    x = requests.join(cube(grid, keys, step, axes), keys, "left").join(flags, keys, "left").withColumn("_corners", _corners(axes))
+    x = _beside(requests, cube(grid, keys, step, axes).join(flags, keys, "full"), keys, "left").withColumn("_corners", _corners(axes))
 
     def near(a, col):
         return F.array_min(F.array(*[F.struct(F.abs(F.col(col) - v).alias("d"), F.lit(v).alias("v")) for v in axes[a]]))["v"]

@@ -244,3 +244,33 @@ def test_recompute_too_soon(spark):
     runs = spark.createDataFrame([(None if h is None else at(h), n) for h, n in hours], "run_at timestamp, recomputed int")
     got = [(r["age_days"], r["unexpected"]) for r in recompute_cadence(runs).orderBy("run_at").collect()]
     assert got == [(None, False), (7.0, False), (143 / 24, True), (6.0, False)]
+
+
+def _below(node, found):
+    kids = node.children()
+    for i in range(kids.size()):
+        _below(kids.apply(i), found)
+    found.append(node)
+    return found
+
+
+def test_requests_meet_their_curves_in_one_last_join(spark, monkeypatch):
+    monkeypatch.setattr(sc, "PART_ROWS", 2, raising=False)
+    cells = [(r, t, w, s, k, 1.0 + t / 100 + k / 1000) for r in ("A", "B") for t in sc.TEMP_F for w in sc.WIND_MPH for s in sc.SOLAR_WM2 for k in (0, 1)]
+    grid = spark.createDataFrame(cells, "region string, temp_f double, wind_mph double, solar_wm2 double, step long, factor double")
+    env = spark.createDataFrame([("A", "temp_f", 5.0, False), ("C", "temp_f", 5.0, False)], "region string, axis string, delta double, in_range boolean")
+    asked = [(i, r, 5.0, 0.0, 0.0) for i, r in enumerate(["A"] * 9 + ["B", "C", None, "A"])]
+    req = spark.createDataFrame(asked, "request long, region string, temp_delta double, wind_delta double, solar_delta double")
+    out = sc.with_fallback(req, grid, env, 3)
+    got = {(r["request"], r["step"]): (round(r["factor"], 6), r["source"]) for r in out.collect()}
+    assert out.count() == len(got) == 3 * len(asked)
+    for i, region, *_ in asked:
+        source = {"A": "grid_extrapolated", "B": "grid"}.get(region, "heuristic")
+        curve = [1.05, 1.051, 1.051] if region in ("A", "B") else [1.025] * 3
+        assert [got[i, k] for k in range(3)] == [(f, source) for f in curve]
+    for made in (out, sc.interpolate(req, grid)):
+        for node in _below(made._jdf.queryExecution().optimizedPlan(), []):
+            if node.nodeName() == "Join":
+                for side in (node.left(), node.right()):
+                    names = side.output().mkString(" ")
+                    assert not ("_cube" in names and "request" in names)  # else the next join sorts whole curves a request
