@@ -320,4 +320,4 @@ def sql_surface(spark, sf):
         f AS (SELECT region, count(*) AS folds, min(test_start) AS first_test FROM span, LATERAL ls_splits(n, 12, 72, 300, 48) GROUP BY region),
         e AS (SELECT region, ls_wape(sum(abs(actual - predicted)) FILTER (WHERE model = 'lag24'), sum(actual) FILTER (WHERE model = 'lag24')) AS wape, avg(ls_smape(actual, predicted)) AS smape,
             ls_skill(avg(ls_ape(actual, predicted)) FILTER (WHERE model = 'lag24'), avg(ls_ape(actual, predicted)) FILTER (WHERE model = 'lag168')) AS skill FROM loadstone_scored GROUP BY region)
-        SELECT region, spine_hours, weekend_hours, folds, first_test, (SELECT count(*) FROM ls_scenario_axes()) AS scenarios, wape, smape, skill FROM c JOIN f USING (region) JOIN e USING (region)""")
+        SELECT region, spine_hours, weekend_hours, coalesce(folds, 0) AS folds, first_test, (SELECT count(*) FROM ls_scenario_axes()) AS scenarios, wape, smape, skill FROM c LEFT JOIN f USING (region) JOIN e USING (region)""")
