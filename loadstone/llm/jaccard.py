@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams
-from loadstone.llm.common import blocks, flat_bytes, mix, spread_ranges, stored
+from loadstone.llm.common import BLOCK_BYTES, blocks, flat_bytes, mix, spread_ranges, stored
 from loadstone.llm.components import components
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ ORDERS = 2
 FREQUENT = 1 << 18
 FREQUENT_IN_TASK = 2
 COUNTED = 1 << 21
+MERGED = 1 << 19
+POSTED = 1 << 17
 LONG_LIST = 8
 HUBS = 2
 JOINED_LIST = 24
@@ -107,6 +109,16 @@ def _close_sizes(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _summed(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens in order, with the sums of their counts."""
+    token, count = np.concatenate(tokens), np.concatenate(counts)
+    order = np.argsort(token, kind="stable")  # a few sorted runs
+    token, count = token[order], count[order]
+    first = np.ones(len(token), bool)
+    np.not_equal(token[1:], token[:-1], out=first[1:])
+    return token[first], np.add.reduceat(count, np.flatnonzero(first)) if len(token) else count
+
+
 def _sketch(shingle: int):
     """Rows (kind 0: id, key, size, set; kind 1: token, count) of a task.
 
@@ -122,22 +134,27 @@ def _sketch(shingle: int):
 
     def run(batches):
         nonlocal id_type
-        held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, counts, fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        tokens_, counts_ = [held], [counts]
         for b in batches:
             id_type = b["id"].type
-            for part in blocks(b, "text", BLOCK_ROWS):
+            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
                 s = Sets(part["text"], shingle)
                 yield pa.record_batch({"kind": pa.array(np.zeros(len(s.sizes), np.int32)), "id": part["id"], "key": part["key"], "n": s.sizes.astype(np.int64), "node": s.ids})
                 _, first = np.unique(s.ids, return_index=True)
                 keep = np.zeros(len(s.sizes), bool)
                 keep[first] = True
                 tokens, count = np.unique(s.tokens[keep[s.row]], return_counts=True)
-                merged, place = np.unique(np.concatenate([held, tokens]), return_inverse=True)
-                counts = np.bincount(place, weights=np.concatenate([counts, count]), minlength=len(merged)).astype(np.int64)
-                held = merged
-                if len(held) > COUNTED:
-                    yield often(held, counts)
-                    held, counts = held[:0], counts[:0]
+                tokens_.append(tokens)
+                counts_.append(count)
+                fresh += len(tokens)
+                if fresh > MERGED:
+                    held, counts = _summed(tokens_, counts_)
+                    if len(held) > COUNTED:
+                        yield often(held, counts)
+                        held, counts = held[:0], counts[:0]
+                    tokens_, counts_, fresh = [held], [counts], 0
+        held, counts = _summed(tokens_, counts_)
         if len(held):
             yield often(held, counts)
 
@@ -145,14 +162,20 @@ def _sketch(shingle: int):
 
 
 def _post(shingle: int, percent: int, order: int, frequent: np.ndarray):
-    """Prefix postings of the distinct sets of each batch."""
+    """Prefix postings of the distinct sets of a task; of many sets, those met lately are told from new ones."""
 
     def run(batches):
+        posted: set[int] = set()
         for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS):
+            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
                 s = Sets(part["text"], shingle)
+                ids, first = np.unique(s.ids, return_index=True)
+                ids = ids.tolist()
                 keep = np.zeros(len(s.sizes), bool)
-                keep[np.unique(s.ids, return_index=True)[1]] = True
+                keep[first[[i not in posted for i in ids]]] = True
+                if len(posted) > POSTED:
+                    posted.clear()
+                posted.update(ids)
                 row, token = prefixes(s, keep & (s.sizes > 0), order, frequent, percent)
                 yield pa.record_batch({"token": token.view(np.int64), "node": s.ids[row], "n": s.sizes[row].astype(np.int64)})
 
@@ -160,11 +183,11 @@ def _post(shingle: int, percent: int, order: int, frequent: np.ndarray):
 
 
 def _lists(batches):
-    """From postings sorted by token and node: the rows of lists with two nodes or more, with the list's least node.
+    """From postings sorted by token and node: the rows of lists with two nodes or more.
 
     Only the last row is carried from batch to batch, whatever a list's length.
     """
-    held = None  # token, node, n, hub, whether it was sent
+    held = None  # token, node, n, whether it was sent
     for b in batches:
         token, node, n = (b[c].to_numpy() for c in ("token", "node", "n"))
         if held is not None:
@@ -173,23 +196,18 @@ def _lists(batches):
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         sent = np.zeros(len(token), bool)
         if held is not None:
-            sent[0] = held[4]
+            sent[0] = held[3]
         token, node, n, sent = token[new], node[new], n[new], sent[new]
         first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-        hub, hub_n = node[start].copy(), n[start].copy()
-        if held is not None:
-            same = start == 0
-            hub[same], hub_n[same] = held[3]
         in_company = ~first
         in_company[:-1] |= ~first[1:]
         out = in_company & ~sent
-        yield pa.record_batch({"token": token[out], "node": node[out], "n": n[out], "hub": hub[out], "hub_n": hub_n[out]})
-        held = (token[-1], node[-1], n[-1], (hub[-1], hub_n[-1]), bool(sent[-1] or in_company[-1]))
+        yield pa.record_batch({"token": token[out], "node": node[out], "n": n[out]})
+        held = (token[-1], node[-1], n[-1], bool(sent[-1] or in_company[-1]))
 
 
-LISTED = "token long, node long, n long, hub long, hub_n long"
+LISTED = "token long, node long, n long"
 
 
 def _listed(texts: DataFrame, shingle: int, percent: int, order: int, frequent: np.ndarray) -> DataFrame:
@@ -224,7 +242,7 @@ def _verify(shingle: int, percent: int, orders: tuple[int, ...] = ()):
     def run(batches):
         hub, hub_set = None, np.zeros(0, np.uint64)
         for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS):
+            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
                 s = Sets(part["text"], shingle)
                 hubs, own = part["hub"].to_numpy(), part["node"].to_numpy()
                 found = np.zeros(len(hubs), bool)
@@ -304,7 +322,7 @@ def _own(shingle: int):
 
     def run(batches):
         for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS):
+            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
                 s = Sets(part["text"], shingle)
                 _, first = np.unique(s.ids, return_index=True)
                 yield pa.record_batch({"node": s.ids[first], "text": part["text"].take(pa.array(first))})
@@ -343,7 +361,7 @@ def _prefix_rows(shingle: int, percent: int, late: np.ndarray):
 
     def run(batches):
         for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS):
+            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
                 s = Sets(part["text"], shingle)
                 row, token = prefixes(s, s.sizes > 0, 1, late, percent)
                 ends = np.searchsorted(row, np.arange(len(s.sizes) + 1))

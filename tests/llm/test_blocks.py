@@ -1,10 +1,13 @@
 """Batch functions that work in blocks give what they give row by row."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
-from loadstone.llm import suffix_array, toxicity
+from loadstone.llm import jaccard, suffix_array, toxicity
 from loadstone.llm.common import BLOCK_BYTES, blocks, mix, rows
 
 
@@ -98,3 +101,24 @@ def test_segments_of_a_long_line_take_linear_steps():
     places = np.arange(200_000) * 10
     found = toxicity.segments(places, np.ones(len(places)), 0.5)
     assert found == [(p, p, 1.0) for p in places.tolist()]
+
+
+def test_token_counts_hold_little_beside_the_table():
+    """Sets of a task: block by block, and merged into the table of counts without a second copy of it per column."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 60, 600))) for _ in range(800)]
+    one = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "key": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    tracemalloc.start()
+    counted = pa.Table.from_batches(list(jaccard._sketch(5)(iter([one, one]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    marks = counted.filter(pa.compute.equal(counted["kind"], 1))
+    assert marks.num_rows == 800 * 596 and set(marks["n"].to_pylist()) == {2}
+    assert peak < 72 << 20
+
+
+def test_a_set_is_posted_once_a_task():
+    one = pa.record_batch({"text": pa.array(["a b c d e f g h", "a b c d e f g h", "i j k l m n"])})
+    found = pa.Table.from_batches(list(jaccard._post(5, 75, 0, np.zeros(0, np.uint64))(iter([one, one]))))
+    assert found.num_rows == 2 + 1
+    assert found.schema.names == ["token", "node", "n"]
