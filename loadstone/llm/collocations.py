@@ -4,8 +4,10 @@ Candidates come from the Apriori rule with hashed counts (Park, Chen and Yu): a
 frequent if the phrases without its first and without its last word are, and if the
 bucket its fingerprint falls in is. One pass counts the buckets of the pairs of frequent words, a second those of all longer
 phrases made of frequent pairs; a bucket table is a bit map of fixed size (``BUCKET_BITS``). Buckets that
-share phrases let too many through, never too few. What passes all maps is listed once, as
-text in order, and cut into tries of at most ``TRIE_PHRASES`` phrases.
+share phrases let too many through, never too few. What passes all maps is listed, as
+text in order, and cut into tries of at most ``TRIE_PHRASES`` phrases. It is listed from a small share of the texts first, then
+from larger ones and from all, each time without what is known by then (``SHARES``): a phrase comes from about as many tasks
+as its first share has places of it, so the rows grow with the text and not with tasks times phrases.
 
 A trie is a double array (base, check) over the words of its phrases. Up to ``PASS_TRIES`` of them are broadcast; numpy sets every text
 position to the root and moves all their states one word on, level by level; the accepting states are counted with
@@ -21,11 +23,13 @@ frequent phrase and empty tables give nothing; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,8 @@ TRIE_PHRASES = 1 << 18
 PASS_TRIES = 12
 STEP = 1 << 20
 HELD = 1 << 20
+KNOWN = 1 << 22
+SHARES = (64, 8, 1)
 BLOCK_BYTES = 3 << 19
 
 _PIECE_ENDS = np.zeros(256, bool)
@@ -157,28 +163,51 @@ def _bucket_counts(maps: list[np.ndarray], lengths: range, bits: int, longest: i
     return run
 
 
-def _candidates(maps: list[np.ndarray], bits: int, longest: int, step: int):
-    """The phrases that lie in frequent buckets with all their parts: once a task, while ``HELD`` fingerprints are enough to remember."""
+def _without(known: np.ndarray, mark: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What of the fingerprints ``mark`` and their places is not in ``known`` (sorted)."""
+    if not len(known):
+        return mark, first
+    new = known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] != mark
+    return mark[new], first[new]
+
+
+def _candidates(sent: Broadcast, bits: int, longest: int, step: int, given: np.ndarray):
+    """The phrases that lie in frequent buckets with all their parts, but for those of the fingerprints ``given``: once a task, while ``HELD`` fingerprints are enough to remember."""
 
     def run(batches):
+        maps = sent.value
         known = np.zeros(0, np.uint64)
         for x in _lines(batches, longest, step):
             for length, at, mark in _live(x, maps, bits, longest):
                 kept = (at < x.begins) & _in_map(maps[length - 1], _buckets(mark, bits))
                 mark, first = np.unique(mark[kept], return_index=True)
-                if len(known):
-                    new = known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] != mark
-                    mark, first = mark[new], first[new]
+                mark, first = _without(given, mark, first)
+                mark, first = _without(known, mark, first)
                 if not len(mark):
                     continue
                 known = np.sort(np.concatenate([known, mark])) if len(known) <= HELD else np.zeros(0, np.uint64)
                 at = at[kept][first]
                 lang = pa.DictionaryArray.from_arrays(pa.array(x.lang[at], pa.int32()), pa.array(x.langs)).cast(pa.string())
-                yield pa.record_batch({"lang": lang, "phrase": _phrases(x, at, length)})
+                yield pa.record_batch({"lang": lang, "phrase": _phrases(x, at, length), "mark": mark.view(np.int64)})
 
     return run
 
 
+def _listed(texts: DataFrame, maps: list[np.ndarray], bits: int, longest: int, step: int) -> DataFrame:
+    """(lang, phrase) of all candidates. Up to ``KNOWN`` fingerprints of what earlier shares gave are told to the tasks; the rest comes again and is merged."""
+    given, found = np.zeros(0, np.uint64), []
+    sent = texts.sparkSession.sparkContext.broadcast(maps)  # once for all shares
+    for share in SHARES:
+        some = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0) if share > 1 else texts
+        rows = some.mapInArrow(_candidates(sent, bits, longest, step, given), "lang string, phrase string, mark long").distinct()
+        if share > 1:
+            rows = stored(rows, "listed")
+            fresh = rows.select("mark").limit(KNOWN - len(given)).toArrow()["mark"].to_numpy().view(np.uint64)
+            given = np.union1d(given, fresh)
+        found.append(rows.select("lang", "phrase"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 class Trie(NamedTuple):
     base: np.ndarray
     check: np.ndarray
@@ -313,10 +342,25 @@ def _bit_maps(marked: DataFrame, bits: int, n: int) -> list[np.ndarray]:
     return np.split(out, n)
 
 
+def _ranges(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Ranges [low, high) that hold ``size`` ids of ascending ``spans`` each, the last one fewer; a range may go over many spans."""
+    cuts, low, high, room = [], 0, 0, 0
+    for at, end in spans:
+        while at < end:
+            if not room:
+                low, room = at, size
+            high = min(at + room, end)
+            room -= high - at
+            at = high
+            if not room:
+                cuts.append((low, high))
+    return cuts + [(low, high)] if room else cuts
+
+
 def _passes(listed: DataFrame, words: DataFrame, size: int, tries: int) -> Iterator[tuple[Alphabet, list[Trie]]]:
-    """The candidates as tries of at most ``size`` phrases of one file, up to ``tries`` at a time with one alphabet."""
+    """The candidates as tries of ``size`` phrases, the last one fewer, up to ``tries`` at a time with one alphabet."""
     spans = listed.groupBy(F.shiftright("id", 33).alias("file")).agg(F.max("id").alias("last")).orderBy("file").collect()
-    cuts = [(lo, min(lo + size, s["last"] + 1)) for s in spans for lo in range(s["file"] << 33, s["last"] + 1, size)]
+    cuts = _ranges([(s["file"] << 33, s["last"] + 1) for s in spans], size)
     for k in range(0, len(cuts), tries):
         parts = []
         for lo, hi in cuts[k : k + tries]:
@@ -342,8 +386,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
         if len(lengths) and longest > 1:
             counts = texts.mapInArrow(_bucket_counts(list(maps), lengths, bits, longest, step), "bucket long, n long")
             maps += _bit_maps(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), bits, len(lengths))
-    some = texts.mapInArrow(_candidates(list(maps), bits, longest, step), "lang string, phrase string").distinct()
-    listed = stored(some.orderBy("lang", "phrase").withColumn("id", F.monotonically_increasing_id()), "candidates")
+    listed = stored(_listed(texts, list(maps), bits, longest, step).orderBy("lang", "phrase").withColumn("id", F.monotonically_increasing_id()), "candidates")
     counted = None
     for letters, tries in _passes(listed, frequent.select("lang", "word", "mark"), trie_phrases, pass_tries):
         part = stored(texts.mapInArrow(_counted(letters, tries, longest, step), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "phrase-counts")

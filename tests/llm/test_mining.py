@@ -290,3 +290,25 @@ def test_bounds_leave_documents_out(spark):
         tree_search._gain = gain
     blocks = sum(1 for c in s.tree.children if not len(c))
     assert sum(k == 1 for k in looked) < blocks / 5
+
+
+def test_candidates_of_many_small_files_share_tries():
+    spans = [(f << 33, (f << 33) + 3) for f in range(5)]
+    cuts = collocations._ranges(spans, 7)
+    ids = [i for a, z in spans for i in range(a, z)]
+    assert [sum(lo <= i < hi for i in ids) for lo, hi in cuts] == [7, 7, 1]
+    assert collocations._ranges(spans, 3) == spans
+    assert collocations._ranges([], 3) == []
+
+
+def test_a_candidate_known_from_a_share_is_not_listed_again(spark, monkeypatch):
+    made = []
+    original = collocations._candidates
+    monkeypatch.setattr(collocations, "_candidates", lambda *a: made.append(a[-1]) or original(*a))
+    texts = spark.createDataFrame([(f"red fox {k}",) for k in range(200)] + [("blue fox",)] * 3, "text string").selectExpr("text as _text", "'en' as _lang")
+    full = [np.full(1 << 10, 255, np.uint8)] * 3
+    got = {r["phrase"] for r in collocations._listed(texts, full, 13, 3, 100).collect()}
+    assert {"red fox", "blue fox", "fox 199", "red fox 7"} <= got and len(got) == 402
+    assert len(made[0]) == 0 and 0 < len(made[1]) <= len(made[2]) < 402
+    again = texts.mapInArrow(original(spark.sparkContext.broadcast(full), 13, 3, 100, made[2]), "lang string, phrase string, mark long").collect()
+    assert not {r["mark"] for r in again} & set(made[2].view(np.int64).tolist())
