@@ -36,6 +36,7 @@ RUN = "rid long, first long, last long"
 PIECE = "anchor long, content long, rid long, first long, last long, place int, copies long, symbols binary"
 PIECES_PER_SHARD = 20_000
 HOT_CONTENTS = 2_000
+ROW_MARKS = 1 << 20  # rows of documents fall into as many classes; those that hold a wanted one are a bounded broadcast
 HOT_RUNS = (8, 1)  # windows of a run; the last is a single one
 
 
@@ -79,7 +80,10 @@ def repeated_runs(docs: DataFrame, cut: Callable, extract: Callable, index: Call
 def _pieces(docs: DataFrame, cells: DataFrame, extract: Callable, step: int = 0) -> DataFrame:
     """The cells' pieces with their symbols, or (``step``) their runs of ``step`` windows without symbols."""
     cell = F.struct("anchor", "content", "first", "last", "place", "copies", F.lit(step).alias("step"))
-    return docs.join(cells.groupBy("rid").agg(F.collect_list(cell).alias("wanted")), "rid").mapInArrow(extract, PIECE)
+    mark = F.pmod("rid", F.lit(ROW_MARKS)).alias("mark")
+    marks = cells.select(mark).distinct()
+    near = docs.select("*", mark).join(F.broadcast(marks), "mark", "left_semi").drop("mark")  # few texts are shuffled where few are wanted
+    return near.join(cells.groupBy("rid").agg(F.collect_list(cell).alias("wanted")), "rid").mapInArrow(extract, PIECE)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

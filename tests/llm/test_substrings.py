@@ -156,3 +156,16 @@ def test_shared_passage_leaves_no_large_key(spark, monkeypatch, operator):
     assert (largest or 0) <= 6
     got, want = (bytes_got, bytes_wanted) if operator is suffix_array else (lambda d: rows_of(d, "doc_id", "n_words", "n_removed", "kept"), words_wanted)
     assert got(operator.remove_repeats(documents(spark, rows), length)) == want(rows, length)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_pieces_shuffle_only_the_texts_they_need(spark):
+    docs = repeats.keyed(spark.createDataFrame([(k, f"text number {k}") for k in range(20)], "doc_id long, text string"), "doc_id", "text")
+    rid = docs.limit(1).collect()[0].rid
+    cells = spark.createDataFrame([(7, 8, rid, 0, 0, 0, 1)], "anchor long, content long, rid long, first long, last long, place int, copies long")
+    found = repeats._pieces(docs, cells, suffix_array._extract(4))
+    assert "Join LeftSemi" in plan(found)
+    assert {r.rid for r in found.collect()} == {rid}
