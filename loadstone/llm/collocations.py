@@ -42,6 +42,7 @@ TOP = 2000
 BUCKET_BITS = 26
 TRIE_PHRASES = 1 << 18
 PASS_TRIES = 12
+COUNT_TASKS = 8
 STEP = 1 << 20
 HELD = 1 << 20
 KNOWN = 1 << 22
@@ -387,9 +388,11 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
             counts = texts.mapInArrow(_bucket_counts(list(maps), lengths, bits, longest, step), "bucket long, n long")
             maps += _bit_maps(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), bits, len(lengths))
     listed = stored(_listed(texts, list(maps), bits, longest, step).orderBy("lang", "phrase").withColumn("id", F.monotonically_increasing_id()), "candidates")
+    # Every task sends a row for each phrase it met, so there are as many tasks as run at once, however many files there are.
+    few = texts.coalesce(max(COUNT_TASKS, texts.sparkSession.sparkContext.defaultParallelism))
     counted = None
     for letters, tries in _passes(listed, frequent.select("lang", "word", "mark"), trie_phrases, pass_tries):
-        part = stored(texts.mapInArrow(_counted(letters, tries, longest, step), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "phrase-counts")
+        part = stored(few.mapInArrow(_counted(letters, tries, longest, step), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "phrase-counts")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = listed.select("id", F.lit(0).cast("long").alias("a")).limit(0)

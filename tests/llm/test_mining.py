@@ -312,3 +312,13 @@ def test_a_candidate_known_from_a_share_is_not_listed_again(spark, monkeypatch):
     assert len(made[0]) == 0 and 0 < len(made[1]) <= len(made[2]) < 402
     again = texts.mapInArrow(original(spark.sparkContext.broadcast(full), 13, 3, 100, made[2]), "lang string, phrase string, mark long").collect()
     assert not {r["mark"] for r in again} & set(made[2].view(np.int64).tolist())
+
+
+def test_counting_has_no_more_tasks_for_more_files(spark, monkeypatch):
+    plans = {}
+    original = collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or original(df, name))
+    df = spark.createDataFrame([(t, lang) for t, lang in PHRASED], "text string, lang string").repartition(40)
+    collocations.count_phrases(df, least=6)
+    tasks = max(collocations.COUNT_TASKS, spark.sparkContext.defaultParallelism)
+    assert f"Coalesce {tasks}" in plans["phrase-counts"]
