@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from loadstone.session import scratch_path
 
 WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 4096
 
 

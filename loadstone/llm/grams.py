@@ -18,7 +18,7 @@ from loadstone.llm.common import WORD_BREAKS, mix, spread_ranges
 
 ODD = np.uint64(0x5851F42D4C957F2D)
 ODD_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PLACE_BITS = 24
 LONGEST_BLOCK = 1 << 22
 _POWERS: dict[str, np.ndarray] = {}

@@ -26,7 +26,7 @@ from loadstone.llm.common import carried, flat_bytes, rows, text_key
 LENGTH = 200
 GRAM = 64
 Q = 8
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 EXTRACT_BYTES = 1 << 18  # of texts whose pieces, which overlap, are cut out at once
 
 

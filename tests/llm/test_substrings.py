@@ -1,6 +1,7 @@
 """Repeated bytes and words against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -169,3 +170,16 @@ def test_pieces_shuffle_only_the_texts_they_need(spark):
     found = repeats._pieces(docs, cells, suffix_array._extract(4))
     assert "Join LeftSemi" in plan(found)
     assert {r.rid for r in found.collect()} == {rid}
+
+
+def test_cells_are_cut_in_little_memory():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 2000).astype(np.uint8).tobytes().decode() for _ in range(1500)]
+    batch = pa.record_batch({"rid": pa.array(range(1500), pa.int64()), "text": texts})
+    grams._powers(grams.BLOCK)
+    tracemalloc.start()
+    try:
+        made = sum(b.num_rows for b in suffix_array._cut(200)([batch]))
+        assert made > 1500 and tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
