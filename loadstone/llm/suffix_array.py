@@ -124,7 +124,7 @@ def covered(runs: pa.ListArray, begins: np.ndarray, length: int, total: int) ->
     return np.cumsum(depth[:-1]) > 0
 
 
-def _remove(length: int):
+def _remove(length: int, decoded: bool = False):
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         offsets, raw = flat_bytes(b["_text"])
         gone = covered(b["runs"].fill_null([]), offsets[:-1], length, len(raw))
@@ -138,7 +138,8 @@ def _remove(length: int):
         out["n_bytes"] = np.diff(offsets)
         out["n_removed"] = np.diff(offsets) - np.diff(kept_to)
         out["n_spans"] = np.diff(spans_to)
-        out["kept"] = pa.array([bytes(view[a:z]) for a, z in zip(kept_to[:-1], kept_to[1:])], pa.binary())
+        left = [bytes(view[a:z]) for a, z in zip(kept_to[:-1], kept_to[1:])]
+        out |= {"kept_text": pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())} if decoded else {"kept": pa.array(left, pa.binary())}
         return pa.record_batch(out)
 
     return rows(batch, "_text")
@@ -150,22 +151,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Returns ``carry`` (default the id) and n_bytes, n_removed, n_spans (long) and kept (binary:
     what is left may cut a character).
     """
-    carry = [id_col] if carry is None else carry
+    return _removed(docs, length, id_col, text_col, [id_col] if carry is None else carry, False)
+
+
+def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, carry: list[str], decoded: bool) -> DataFrame:
+    """As ``remove_repeats``; ``decoded``: with kept_text (string), what is left of whole characters, in place of kept."""
     runs = repeated_windows(docs, length, id_col, text_col)
-    before, schema, after = carried(docs, carry, "n_bytes long, n_removed long, n_spans long, kept binary")
+    before, schema, after = carried(docs, carry, f"n_bytes long, n_removed long, n_spans long, {'kept_text string' if decoded else 'kept binary'}")
     texts = docs.select(*before, F.col(text_col).alias("_text"), text_key(id_col, text_col).alias("rid"))
-    return texts.join(runs, "rid", "left").drop("rid").mapInArrow(_remove(length), schema).select(*after)
+    return texts.join(runs, "rid", "left").drop("rid").mapInArrow(_remove(length, decoded), schema).select(*after)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its texts less repeated bytes; a character that lost a byte goes whole. Other columns stay."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    cut = remove_repeats(whole, length, "_id", "_text", carry=["_row"]).select("_row", "kept")
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()], pa.string())
-        return pa.record_batch({"_c0": b["_row"], "kept_text": texts})
-
-    _, schema, _ = carried(cut, ["_row"], "kept_text string")
-    out = cut.mapInArrow(rows(batch, "kept"), schema)
-    return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"_c0.`{c}`")).alias(c) for c in docs.columns])
+    out = _removed(whole, length, "_id", "_text", ["_row"], True)
+    return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -183,3 +183,10 @@ def test_cells_are_cut_in_little_memory():
         assert made > 1500 and tracemalloc.get_traced_memory()[1] < 32 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_texts_are_cut_and_decoded_in_one_python_pass(spark):
+    out = suffix_array.without_repeats(documents(spark), 4)
+    optimized = plan(out).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "MapInArrow" in optimized
+    assert optimized.index("Join LeftOuter") < optimized.index("MapInArrow", optimized.index("Join LeftOuter")) and optimized.split("Join LeftOuter")[0].count("MapInArrow") == 1
