@@ -2,10 +2,15 @@
 
 Tokens are the distinct word shingles of a text. Under any one order of all tokens, two sets
 that link must share tokens among the first ``|S| - ceil(t |S|) + 1`` of each, and as many
-as ``_least_shared`` says. The orders here put tokens of many documents last (a bounded table of the
+as ``_shares_prefixes`` says. The orders here put tokens of many documents last (a bounded table of the
 most frequent ones) and are otherwise different hashes, so a chance meeting under one is seldom
 repeated under the next; a pair is verified on whole texts only if it passes all of them.
 
+Before any text moves, candidate pairs meet the *signatures* of their sets: for each of as many classes
+of tokens as the set has (in a power of two), whether their number is odd. Two signatures differ in no more
+places than the sets have tokens not in common, so a pair whose signatures differ in more than linked sets may is no link.
+Only texts of the pairs that are left are shuffled.
+
 Pairs inside groups of near copies would grow with the square of the group, and most of them
 tell nothing new, so the join has two rounds. First every set is verified against ``HUBS`` hubs:
 of a posting list the hub is the set with the largest share of its prefix in company, which among
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadstone.llm import grams
-from loadstone.llm.common import BLOCK_BYTES, blocks, flat_bytes, mix, spread_ranges, stored
+from loadstone.llm.common import BLOCK_BYTES, binary_array, blocks, flat_bytes, mix, spread_ranges, stored
 from loadstone.llm.components import components
 
 SHINGLE = 5
@@ -48,6 +53,9 @@ JOINED_LIST = 24
 MATRIX_ROWS = 1000
 BLOCK_ROWS = 2000
 HUB_MEMBERS = 1000
+LEAST_BITS = 64
+MOST_BITS = 1 << 15
+TEXT_MARKS = 1 << 20  # rows fall into as many classes; those that hold a wanted text are a bounded broadcast
 _SALTS = tuple(np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(8))
 
 
@@ -98,11 +106,48 @@ def prefixes(sets: Sets, keep: np.ndarray, order: int, frequent: np.ndarray, per
     return row[inside], tokens[inside]
 
 
-def _least_shared(a: Column, b: Column, percent: int) -> Column:
-    """Tokens that the prefixes of linked sets of sizes a and b have in common at least."""
-    both = F.ceil(F.lit(percent) * (a + b) / F.lit(100.0 + percent) - F.lit(1e-9))
-    outside = F.ceil(F.lit(percent) * F.greatest(a, b) / 100.0) - 1
-    return F.greatest(F.lit(1).cast("long"), both - outside)
+def signatures(sets: Sets) -> pa.Array:
+    """Each set's parities of token counts by class, a bit a class; an empty set has no odd class."""
+    bits = np.full(len(sets.sizes), LEAST_BITS, np.int64)
+    while (more := (bits < sets.sizes) & (bits < MOST_BITS)).any():
+        bits[more] *= 2
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    at = (mix(sets.tokens ^ _SALTS[6]) & (bits[sets.row] - 1).astype(np.uint64)).astype(np.int64) + ends[sets.row]
+    odd = (np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8)
+    return binary_array(np.packbits(odd, bitorder="little"), ends // 8)
+
+
+def _unlike_places(one: bytes, two: bytes) -> int:
+    """Classes in which two signatures differ; the longer is folded to the classes of the shorter."""
+    if len(one) < len(two):
+        one, two = two, one
+    a, b, bits = int.from_bytes(one, "little"), int.from_bytes(two, "little"), 8 * len(one)
+    while bits > 8 * len(two):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
+def _alike(percent: int):
+    """The pairs whose sets may link by their sizes and signatures."""
+
+    def run(batches):
+        for b in batches:
+            total = b["hub_n"].to_numpy() + b["node_n"].to_numpy()
+            unshared = total - 2 * -(-percent * total // (100 + percent))  # of linked sets, at most
+            differ = np.array([_unlike_places(x, y) for x, y in zip(b["hub_sign"].to_pylist(), b["node_sign"].to_pylist())], np.int64)
+            found = pa.array(differ <= unshared)
+            yield pa.record_batch({"hub": b["hub"].filter(found), "node": b["node"].filter(found)})
+
+    return run
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (hub, node) that may link by the signatures of their nodes (node, n, sign)."""
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
+    signs = nodes.select("node", "n", "sign").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    one, two = (signs.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sign").alias(f"{c}_sign")) for c in ("hub", "node"))
+    return pairs.join(one, "hub").join(two, "node").mapInArrow(rows_of(_alike(percent)), "hub long, node long")
 
 
 def _close_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -120,7 +165,7 @@ def _summed(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 
 def _sketch(shingle: int):
-    """Rows (kind 0: id, key, size, set; kind 1: token, count) of a task.
+    """Rows (kind 0: id, key, size, set, signature; kind 1: token, count) of a task.
 
     Token counts are kept for up to ``COUNTED`` distinct tokens at a time; what was met once is not sent.
     """
@@ -128,7 +173,7 @@ def _sketch(shingle: int):
     def often(tokens, count):
         keep = count >= FREQUENT_IN_TASK
         size = int(keep.sum())
-        return pa.record_batch({"kind": pa.array(np.ones(size, np.int32)), "id": pa.nulls(size, id_type), "key": pa.nulls(size, pa.int64()), "n": count[keep], "node": tokens[keep].view(np.int64)})
+        return pa.record_batch({"kind": pa.array(np.ones(size, np.int32)), "id": pa.nulls(size, id_type), "key": pa.nulls(size, pa.int64()), "n": count[keep], "node": tokens[keep].view(np.int64), "sign": pa.nulls(size, pa.binary())})
 
     id_type = pa.int64()
 
@@ -140,7 +185,7 @@ def _sketch(shingle: int):
             id_type = b["id"].type
             for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
                 s = Sets(part["text"], shingle)
-                yield pa.record_batch({"kind": pa.array(np.zeros(len(s.sizes), np.int32)), "id": part["id"], "key": part["key"], "n": s.sizes.astype(np.int64), "node": s.ids})
+                yield pa.record_batch({"kind": pa.array(np.zeros(len(s.sizes), np.int32)), "id": part["id"], "key": part["key"], "n": s.sizes.astype(np.int64), "node": s.ids, "sign": signatures(s)})
                 _, first = np.unique(s.ids, return_index=True)
                 keep = np.zeros(len(s.sizes), bool)
                 keep[first] = True
@@ -259,15 +304,22 @@ def _verify(shingle: int, percent: int, orders: tuple[int, ...] = ()):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, orders: tuple[int, ...] = ()) -> DataFrame:
-    """Links among ``pairs`` (hub, node), decided on the texts of their nodes (node, text)."""
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, orders: tuple[int, ...] = ()) -> DataFrame:
+    """Links among ``pairs`` (hub, node), decided on one text (id, key, text) of each of their nodes (id, key, node)."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(HUB_MEMBERS)).alias("salts"))
     salted = pairs.join(salts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
     hubs = salts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    met = salted.unionByName(hubs).join(texts, "node").select("hub", "salt", "node", (F.col("node") != F.col("hub")).alias("member"), "text")
-    placed = met.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    return placed.select("hub", "node", "text").mapInArrow(rows_of(_verify(shingle, percent, orders)), "a long, b long")
+    members = salted.unionByName(hubs)
+    # Rows of one set may differ in text; one of them stands for it.
+    heads = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "id")).alias("row"))
+    rid = F.xxhash64("id", "key").alias("rid")
+    placed = stored(members.join(heads.select("node", "row.*").select("node", rid), "node").select("hub", "salt", "node", (F.col("node") != F.col("hub")).alias("member"), "rid"), "met-rows")
+    mark = F.pmod("rid", F.lit(TEXT_MARKS)).alias("mark")
+    marks = placed.select(mark).distinct()
+    near = texts.select(rid, "text").select("*", mark).join(F.broadcast(marks), "mark", "left_semi").drop("mark").dropDuplicates(["rid"])
+    met = placed.join(near, "rid").repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    return met.select("hub", "node", "text").mapInArrow(rows_of(_verify(shingle, percent, orders)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,29 +327,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    sketch = stored(texts.mapInArrow(_sketch(shingle), f"kind int, id {kind}, key long, n long, node long"), "sketch")
+    sketch = stored(texts.mapInArrow(_sketch(shingle), f"kind int, id {kind}, key long, n long, node long, sign binary"), "sketch")
     marks = sketch.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT)
     frequent = np.sort(marks.select("node").toPandas()["node"].to_numpy(np.int64).view(np.uint64))  # at most FREQUENT of 8 bytes
-    nodes = sketch.filter("kind = 0").select("id", "n", "node", "key")
+    nodes = sketch.filter("kind = 0").select("id", "n", "node", "key", "sign")
 
     listed = stored(_listed(texts, shingle, percent, 0, frequent), "posting-lists")
-    first = _hubs(listed, percent)
-    alive = listed.select("node").distinct()
-    # Rows of one set may differ in text; one of them stands for it.
-    heads = nodes.join(alive, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "id")).alias("row")).select("row.*")
-    same_row = (texts["key"] == heads["key"]) & texts["id"].eqNullSafe(heads["id"])
-    chosen = texts.join(heads, same_row, "left_semi").select("text").mapInArrow(_own(shingle), "node long, text string")
-    kept = stored(chosen, "near-texts")
-    links = stored(_linked(first, kept, shingle, percent), "links")
+    first = stored(_possible(stored(_hubs(listed, percent), "hub-pairs"), nodes, percent), "pairs")
+    links = stored(_linked(first, nodes, texts, shingle, percent), "links")
     grouped = components(links)
 
     longer = listed.groupBy("token").count().filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "token").limit(FREQUENT)
     late = np.union1d(frequent, longer.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # at most twice FREQUENT
-    second = stored(_listed(kept.select("text"), shingle, percent, 1, late), "posting-lists")
-    pairs = stored(_between(second, grouped, kept, shingle, percent, late), "pairs")
-    more = stored(_linked(pairs, kept, shingle, percent, tuple(k for k in range(orders + 1) if k != 1)), "links")
+    second = stored(_listed(texts, shingle, percent, 1, late), "posting-lists")
+    pairs = stored(_possible(stored(_between(second, grouped, percent), "met-pairs"), nodes, percent), "pairs")
+    more = stored(_linked(pairs, nodes, texts, shingle, percent, tuple(k for k in range(orders + 1) if k != 1)), "links")
     root = components(links.unionByName(more))
-    joined = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = nodes.select("id", "n", "node", "key").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     out = joined.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
@@ -317,20 +363,7 @@ def _hubs(listed: DataFrame, percent: int) -> DataFrame:
     return close.withColumn("_n", best).filter(F.col("_n") <= HUBS).select("hub", "node")
 
 
-def _own(shingle: int):
-    """Texts with the node they belong to, each node once a block."""
-
-    def run(batches):
-        for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
-                s = Sets(part["text"], shingle)
-                _, first = np.unique(s.ids, return_index=True)
-                yield pa.record_batch({"node": s.ids[first], "text": part["text"].take(pa.array(first))})
-
-    return run
-
-
-def _between(listed: DataFrame, grouped: DataFrame, texts: DataFrame, shingle: int, percent: int, late: np.ndarray) -> DataFrame:
+def _between(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, node) of different components that meet in a list of the second order.
 
     Lists of up to ``JOINED_LIST`` nodes are joined. Longer ones, where near copies crowd, are compared
@@ -345,7 +378,8 @@ def _between(listed: DataFrame, grouped: DataFrame, texts: DataFrame, shingle: i
     joined = met.select(F.col("l_node").alias("hub"), "node").distinct()
 
     crowded = rows_.filter(F.col("size") > JOINED_LIST)
-    prefixes_ = texts.join(crowded.select("node").distinct(), "node", "left_semi").select("text").mapInArrow(_prefix_rows(shingle, percent, late), "node long, prefix binary").dropDuplicates(["node"])
+    # Prefix tokens in no company are shared by no pair.
+    prefixes_ = listed.join(crowded.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("prefix"))
     blocks_ = F.ceil(F.col("size") / F.lit(MATRIX_ROWS))
     own = F.pmod(F.xxhash64("node"), blocks_)
     spread = crowded.select("token", "node", "n", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks_ - 1)).alias("other"))
@@ -356,28 +390,15 @@ def _between(listed: DataFrame, grouped: DataFrame, texts: DataFrame, shingle: i
     return joined.unionByName(compared).distinct()
 
 
-def _prefix_rows(shingle: int, percent: int, late: np.ndarray):
-    """Each node's prefix under the second order, as sorted 8-byte tokens."""
-
-    def run(batches):
-        for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS, BLOCK_BYTES):
-                s = Sets(part["text"], shingle)
-                row, token = prefixes(s, s.sizes > 0, 1, late, percent)
-                ends = np.searchsorted(row, np.arange(len(s.sizes) + 1))
-                out = [np.sort(token[a:z]).tobytes() for a, z in zip(ends[:-1], ends[1:])]
-                yield pa.record_batch({"node": s.ids, "prefix": pa.array(out, pa.binary())})
-
-    return run
-
-
 def _crowds(percent: int):
     """Rows of one block pair of a list together: the pairs of different components with enough common prefix tokens."""
 
     def compare(table: pa.Table):
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         own, node, n, comp = (table[c].to_numpy() for c in ("own", "node", "n", "comp"))
-        sets = [np.frombuffer(p, np.uint64) for p in table["prefix"].to_pylist()]
+        prefix = table["prefix"].combine_chunks()
+        offsets, tokens = prefix.offsets.to_numpy(), prefix.values.to_numpy().view(np.uint64)
+        sets = [np.sort(tokens[a:z]) for a, z in zip(offsets[:-1], offsets[1:])]
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), [len(p) for p in sets])
         shared = np.bincount(ids)[ids] > 1

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loadstone.llm import components, jaccard, neighbours
@@ -135,3 +136,34 @@ def test_recall_and_few_vectors(spark, sf, monkeypatch):
     assert hits >= 0.9 * total
     assert neighbours.search(df.limit(3), df.limit(3)).groupBy("query_id").count().agg(F.max("count")).first()[0] == 2
     assert neighbours.search(df.filter("false"), df).count() == 0
+
+
+def test_texts_move_only_for_pairs_that_may_link(spark, monkeypatch):
+    """Texts that share a passage and little else meet in posting lists, but none of them is compared."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    seen, linked = [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda pairs, *a, **k: seen.append(pairs.count()) or linked(pairs, *a, **k))
+    common = " ".join(f"licence{i}" for i in range(25))
+    rows = [(i, f"{common} {' '.join(f'own{i}q{j}' for j in range(30))}") for i in range(40)]
+    assert got(jaccard.near_duplicates(documents(spark, rows))) == components_wanted(rows)
+    assert seen == [0, 0]
+
+
+def test_signatures_never_part_linked_sets():
+    r = random.Random(9)
+    for _ in range(150):
+        n = r.choice([1, 4, 30, 63, 64, 65, 128, 130, 700])
+        one = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+        two = list(one)
+        for _ in range(r.randrange(0, 2 + n // 40)):
+            two[r.randrange(len(two))] = f"y{r.randrange(10**6)}"
+        two = two[: max(5, len(two) - r.randrange(0, 1 + n // 6))]
+        sets = jaccard.Sets(pa.array([" ".join(one), " ".join(two)]), 5)
+        a, b = (sets.tokens[x:z] for x, z in zip(sets.ends[:-1], sets.ends[1:]))
+        signs = jaccard.signatures(sets).to_pylist()
+        unshared = len(np.setxor1d(a, b))
+        assert jaccard._unlike_places(*signs) <= unshared
+        batch = pa.record_batch({"hub": [1], "node": [2], "hub_n": [len(a)], "node_n": [len(b)], "hub_sign": pa.array(signs[:1], pa.binary()), "node_sign": pa.array(signs[1:], pa.binary())})
+        passed = sum(x.num_rows for x in jaccard._alike(75)(iter([batch])))
+        shared = len(np.intersect1d(a, b))
+        assert passed or 100 * shared < 75 * (len(a) + len(b) - shared)
