@@ -36,6 +36,23 @@ def test_memo_may_be_dropped_any_time(library, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in e.encode([t])] == [library(x) for x in texts]
 
 
+def test_runs_of_line_feeds_are_one_part(library):
+    texts = ["a\n\n\nb", "\n\n\n1.", "x\n\n\n\n y", "a\n b", "a\n  b", "a\n\n", "a \nb", "a\u180e b", "\x1c a\u200b\n\nb", "漢 字\n\n\n漢"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(TOKENIZER).encode(texts)] == [library(x) for x in texts]
+
+
+def test_a_group_of_texts_takes_one_call_of_the_model(library, monkeypatch):
+    """Parts met for the first time are merged together, and each only once."""
+    calls = []
+    e = tokens.Encoder(TOKENIZER)
+    merged = e._merged
+    monkeypatch.setattr(e, "_merged", lambda parts: calls.append(sorted(parts)) or merged(parts))
+    texts = ["alpha beta. alpha", " beta gamma\nalpha", "漢 alpha"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [library(x) for x in texts]
+    assert calls == [[" alpha", " beta", " gamma", ".", "alpha"], []]
+
+
 def test_token_files(spark, library):
     docs = documents(spark)
     path = scratch_path(spark, "tokens")
