@@ -27,6 +27,7 @@ from loadstone.llm.suffix_array import covered, refine
 LENGTH = 35
 GRAM = 12
 SHARD_BYTES = 1 << 21
+EXTRACT_BYTES = 1 << 18  # of text at once; overlapping cells make several times as many bytes of symbols
 
 
 class Bits:
@@ -120,7 +121,7 @@ def _cut(length: int):
         w = grams.words(raw, offsets)
         return repeats.cell_batch(grams.cells(w.hash, w.offsets, length, min(GRAM, length)), b["rid"])
 
-    return rows(batch)
+    return rows(batch, "text")
 
 
 def _extract(length: int):
@@ -129,7 +130,7 @@ def _extract(length: int):
         w = grams.words(raw, offsets)
         return repeats.piece_batch(b["wanted"], b["rid"], w.offsets[:-1], w.hash, length)
 
-    return rows(batch)
+    return rows(batch, "text", EXTRACT_BYTES)
 
 
 def _index(length: int):
@@ -180,7 +181,7 @@ def _remove(length: int):
         out["kept"] = pa.array([bytes(view[i:j]) for i, j in zip(a, z)], pa.binary())
         return pa.record_batch(out)
 
-    return rows(batch)
+    return rows(batch, "_text")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

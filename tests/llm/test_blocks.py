@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
 
-from loadstone.llm import jaccard, suffix_array, toxicity
+from loadstone.llm import fm_index, jaccard, suffix_array, toxicity
 from loadstone.llm.common import BLOCK_BYTES, blocks, mix, rows
 
 
@@ -64,6 +64,37 @@ def test_removal_of_blocks(batch):
     assert all(w is None or w == g for w, g in zip(want, got))
 
 
+def _word_batches(batch):
+    """Inputs of the three functions on words: texts, texts with wanted cells, texts with runs"""
+    texts = batch["text"].to_pylist()
+    long = [len((t or "").split()) >= 20 for t in texts]
+    cell = {"anchor": 1, "content": 2, "first": 0, "last": 5, "place": 1, "copies": 1, "step": 0}
+    wanted = pa.array([[cell] if y else [] for y in long], pa.list_(pa.struct([(k, pa.int32() if k in ("place", "step") else pa.int64()) for k in cell])))
+    runs = pa.array([[{"first": 0, "last": 2}, {"first": 5, "last": 5}] if y and not i % 3 else None for i, y in enumerate(long)],
+                    pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+    return [(fm_index._cut(10), batch), (fm_index._extract(10), pa.record_batch({"rid": batch["rid"], "text": batch["text"], "wanted": wanted})),
+            (fm_index._remove(10), pa.record_batch({"_c0": batch["rid"], "_text": batch["text"], "runs": runs}))]
+
+
+def test_word_functions_of_blocks(batch):
+    for run, b in _word_batches(batch):
+        got = pa.Table.from_batches(list(run(iter([b])))).combine_chunks()
+        assert got.equals(pa.Table.from_batches([x for x in run(iter(_singly(b))) if x.num_rows]).combine_chunks())
+
+
+def test_word_functions_hold_a_block_at_a_time():
+    """A batch of many blocks takes the memory of one: results are passed on, nothing grows with the rows of a batch."""
+    text = " ".join(f"w{i * i % 9973}" for i in range(400))
+    many = [(f"{i} {text}") for i in range(4_000)]
+    batch = pa.record_batch({"rid": pa.array(range(len(many)), pa.int64()), "text": pa.array(many, pa.string())})
+    for run, b in _word_batches(batch):
+        tracemalloc.start()
+        n = sum(x.num_rows for x in run(iter([b])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n >= len(many) and peak < 40 << 20
+
+
 def test_background_counts_documents_once(batch):
     _, w = toxicity._tokens(batch["text"])
     wanted = np.unique(np.append(w.hash[:500], mix(np.array([99], np.uint64))))
