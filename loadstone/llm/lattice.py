@@ -1,19 +1,20 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding as a lattice over units of text.
 
 A text is normalised as the model says (a dummy space before it, spaces as U+2581) and cut into
 *units* where no piece of the vocabulary reaches across: before a run of U+2581, at line feeds,
-and after letters (with their marks). The best segmentation of a text is the best of its units, joined.
+and after letters (with their marks). The best segmentation of a text is the best of its units,
+joined. Normalising and cutting are column expressions.
 
-For units, the lattice is relations: substrings of bounded length are exploded, joined by
-equality to the piece table, and grouped by unit; a character without a piece is an edge of its
-own (the unknown penalty below the least score) and becomes byte pieces. A fold with
-``aggregate`` over the edges in order of their ends keeps the best score and last edge for every
-place; another walks back. Ties go to the longer last piece.
+A unit's lattice has a node before and after every character and an edge for every piece that
+lies there; a character without a piece is an edge of its own (the unknown penalty below the
+least score) and becomes byte pieces. One pass over the nodes keeps the best score and last edge
+of each, then the path is walked back. Ties go to the longer last piece. Units of all lengths
+take this one pass, whose time grows with their length.
 
-Units are shared by very many texts. The ``FREQUENT`` most common ones (a bounded table) are encoded
-first and broadcast; the occurrences of all others meet their encodings in a shuffle by unit.
-Units longer than ``LONG`` characters take the same Viterbi in a task's Python, as finding
-substrings by place costs their square.
+Texts share very many units and are never shuffled for them: a task finds the path once for each
+distinct unit of an Arrow batch, remembers those of ``FREQUENT`` units from batch to batch, and
+puts the ids of whole texts together by array lookups, block by block. Decoding looks up every
+id of a row in the vocabulary in the same way, so neither moves a row.
 
 Defined cases: a null or empty text has no units and no pieces; U+2581 in a text decodes as a
 space, as in the model itself; copied rows are encoded alike; an empty table gives an empty result.
@@ -21,21 +22,23 @@ space, as in the model itself; copied rows are encoded alike; an empty table giv
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadstone.llm.common import blocks, stored, text_key
+from loadstone.llm.common import binary_array, carried, flat_bytes, spread_ranges, text_key
 
 SPACE = "▁"
-FREQUENT = 1 << 18
-FREQUENT_IN_BLOCK = 3
-BLOCK_ROWS = 2000
-LONG = 256
+FREQUENT = 1 << 16  # units of at most LONGEST_KEPT characters whose ids a task remembers
+LONGEST_KEPT = 64
+BLOCK_ITEMS = 1 << 18  # units or ids worked on at once; only a single longer text has more
+PATHS = 1 << 15  # distinct units whose paths are Python lists at once
 UNKNOWN_PENALTY = 10.0
 _L = "\\p{L}\\p{M}"
 UNIT = f"\\n|{SPACE}*[{_L}]+|{SPACE}*[^{_L}{SPACE}\\n]+[{_L}]*|{SPACE}+"
@@ -67,10 +70,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(v.pieces, "piece string, id int, score double")
-
-
 def normalised(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).otherwise(F.lit(""))
 
@@ -79,136 +78,182 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(normalised(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
 
 
-def _fold(edges: Column) -> Column:
-    """Best last edge (start, id) for every place of a unit, from edges in order of (end, start)."""
-    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("id"))).alias("back"))
-
-    def step(acc, e):
-        score = F.get(acc["best"], e["start"]) + e["score"]
-        last = F.size(acc["best"]) - 1
-        edge = F.array(F.struct(e["start"].alias("start"), e["id"].alias("id")))
-        longer = F.struct(F.concat(acc["best"], F.array(score)).alias("best"), F.concat(acc["back"], edge).alias("back"))
-        better = F.struct(F.concat(F.slice(acc["best"], 1, last), F.array(score)).alias("best"), F.concat(F.slice(acc["back"], 1, last), edge).alias("back"))
-        return F.when(e["end"] > last, longer).when(score > F.get(acc["best"], last), better).otherwise(acc)
-
-    return F.aggregate(edges, zero, step, lambda acc: acc["back"])
-
-
-def _walk(back: Column) -> Column:
-    """The chosen edges (start, end, id) of a unit, in order."""
-    end = F.size(back) - 1
-    none = F.array().cast("array<struct<start:int,end:int,id:int>>")
-
-    def step(acc, _):
-        edge = F.get(back, acc["at"])
-        one = F.array(F.struct(edge["start"].alias("start"), acc["at"].alias("end"), edge["id"].alias("id")))
-        return F.when(acc["at"] > 0, F.struct(edge["start"].alias("at"), F.concat(one, acc["path"]).alias("path"))).otherwise(acc)
-
-    return F.aggregate(back, F.struct(end.alias("at"), none.alias("path")), step, lambda acc: acc["path"])
-
-
-def _byte_ids(character: Column, first_byte: int) -> Column:
-    code = F.hex(F.encode(character, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda k: (F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte))
-
-
-def _long_units(v: Vocabulary):
-    table = {p: (i, s) for p, i, s in v.pieces}
+def _best_path(v: Vocabulary) -> Callable[[str], list[int]]:
+    """The ids of a unit's best path."""
+    none, longest, unknown = float("-inf"), v.longest, v.unknown_score
+    root: dict = {}  # nodes by character: children, score and id of the edge that ends there
+    for p, i, score in sorted(v.pieces, key=lambda x: len(x[0])):
+        children = root
+        for k, c in enumerate(p[:-1]):  # what only begins a piece is no edge, but for a single character
+            children = children.setdefault(c, ({}, none if k else unknown, -1))[0]
+        children[p[-1]] = ({}, score, i)
 
     def ids(unit: str) -> list[int]:
-        best, back = [0.0], [(0, -1)]
-        for end in range(1, len(unit) + 1):
-            options = []
-            for start in range(max(0, end - v.longest), end):
-                found = table.get(unit[start:end])
-                if found:
-                    options.append((best[start] + found[1], -start, found[0]))
-                elif end - start == 1:
-                    options.append((best[start] + v.unknown_score, -start, -1))
-            score, start, i = max(options, key=lambda o: o[:2])
-            best.append(score)
-            back.append((-start, i))
-        out, at = [], len(unit)
-        while at:
-            start, i = back[at]
-            out.append([i] if i >= 0 else [v.first_byte + x for x in unit[start:at].encode()])
-            at = start
-        return [x for part in reversed(out) for x in part]
-
+        n = len(unit)
+        best, back, last = [none] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            so_far, end, children = best[start], start, root
+            for c in unit[start : start + longest]:
+                node = children.get(c)
+                if node is None:
+                    break
+                children, score, i = node
+                score += so_far
+                end += 1
+                if score > best[end]:  # starts come in order, so the longer last piece stays
+                    best[end] = score
+                    back[end] = start
+                    last[end] = i
+            if end == start and so_far + unknown > best[end + 1]:
+                best[end + 1] = so_far + unknown
+                back[end + 1] = start
+                last[end + 1] = -1
+        out = []
+        while n:
+            start, i = back[n], last[n]
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(v.first_byte + x for x in reversed(unit[start:n].encode()))
+            n = start
+        out.reverse()
+        return out
+
+    return ids
+
+
+def _remembered(ids: Callable[[str], list[int]], most: int) -> Callable[[list[str]], list[list[int]]]:
+    """The ids of units; at most ``most`` short ones are kept for the next call."""
+    kept: dict[str, list[int]] = {}
+
+    def of(distinct: list[str]) -> list[list[int]]:
+        out = []
+        for u in distinct:
+            found = kept.get(u)
+            if found is None:
+                found = ids(u)
+                if len(u) <= LONGEST_KEPT and len(kept) < most:
+                    kept[u] = found
+            out.append(found)
+        return out
+
+    return of
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Slices of about ``BLOCK_ITEMS`` items of a list column (no nulls): slice, offsets and items."""
+    for b in batches:
+        offsets = b[column].offsets.to_numpy().astype(np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_ITEMS, "right")) - 1)
+            part = b.slice(at, to - at)
+            yield part, offsets[at : to + 1] - offsets[at], part[column].flatten()
+            at = to
+
+
+def _by_number(batch: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, pa.Array]:
+    """The batch with units replaced by their numbers, and its distinct units."""
+    offsets = batch[column].offsets.to_numpy()
+    coded = batch[column].flatten().dictionary_encode()
+    lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), coded.indices)
+    return batch.set_column(batch.schema.get_field_index(column), column, lists), coded.dictionary
+
+
+class Paths(NamedTuple):
+    """The ids of distinct units, one after another."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    pool: np.ndarray
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of every unit's ids (units + 1), and the ids of all units."""
+        counts = self.sizes[numbers]
+        return np.concatenate([[0], np.cumsum(counts)]), self.pool[spread_ranges(self.starts[numbers], counts)]
+
+
+def _paths(distinct: pa.Array, of: Callable[[list[str]], list[list[int]]]) -> Paths:
+    sizes, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(distinct), PATHS):
+        found = of(distinct.slice(at, PATHS).to_pylist())
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        pool.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+    all_sizes = np.concatenate(sizes)
+    return Paths(np.cumsum(all_sizes) - all_sizes, all_sizes, np.concatenate(pool))
+
+
+def _lists(ends: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def _encode(v: Vocabulary, most: int):
     def run(batches):
+        of = _remembered(_best_path(v), most)
         for b in batches:
-            if b.num_rows:
-                yield pa.record_batch({"unit": b["unit"], "ids": pa.array([ids(u) for u in b["unit"].to_pylist()], pa.list_(pa.int32()))})
+            numbered, distinct = _by_number(b, "_units")
+            paths = _paths(distinct, of)
+            for part, offsets, items in _parts(iter([numbered]), "_units"):
+                ends, ids = paths.of(items.to_numpy())
+                yield pa.record_batch({**{c: part[c] for c in part.schema.names if c != "_units"}, "ids": _lists(ends[offsets], ids)})
 
     return run
 
 
-def encode_units(found: DataFrame, v: Vocabulary) -> DataFrame:
-    """(unit, ids) for the distinct ``unit`` values of ``found``."""
-    pieces = F.broadcast(piece_table(found.sparkSession, v))  # the vocabulary's size
-    n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i + 1, F.least(i + v.longest, n)), lambda e: F.struct(i.alias("start"), e.alias("end")))))
-    short = found.filter((n > 0) & (n <= LONG)).select("unit", F.explode(spans).alias("s")).select("unit", "s.*")
-    cut = short.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
-    known = cut.join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    edge = F.struct("end", "start", F.coalesce("score", F.lit(v.unknown_score)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    back = known.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("unit", _fold(F.col("edges")).alias("back"))
-    path = back.select("unit", _walk(F.col("back")).alias("path"))
-    ids = F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_byte_ids(F.substring(F.col("unit"), e["start"] + 1, F.lit(1)), v.first_byte))))
-    by_fold = path.select("unit", ids.alias("ids"))
-    return by_fold.unionByName(found.filter(n > LONG).select("unit").mapInArrow(_long_units(v), "unit string, ids array<int>"))
-
-
-def _count(pattern: str):
-    find = regex.compile(pattern).findall
-
+def _occurrences(v: Vocabulary, most: int):
     def run(batches):
+        of = _remembered(_best_path(v), most)
         for b in batches:
-            for part in blocks(b, "text", BLOCK_ROWS):
-                seen: Counter = Counter()
-                for t in part["text"].to_pylist():
-                    if t:
-                        seen.update(find(SPACE + t.replace(" ", SPACE)))
-                often = [(u, c) for u, c in seen.items() if c >= FREQUENT_IN_BLOCK and len(u) <= LONG]
-                if often:
-                    u, c = zip(*often)
-                    yield pa.record_batch({"unit": pa.array(u, pa.string()), "n": pa.array(c, pa.int64())})
+            numbered, distinct = _by_number(b, "units")
+            paths = _paths(distinct, of)
+            for part, offsets, items in _parts(iter([numbered]), "units"):
+                if len(items):
+                    ends, ids = paths.of(items.to_numpy())
+                    n = np.diff(offsets)
+                    at = spread_ranges(np.zeros(len(n), np.int64), n).astype(np.int32)
+                    yield pa.record_batch({"rid": part["rid"].take(pa.array(np.repeat(np.arange(len(n)), n))), "at": at, "unit": distinct.take(items), "ids": _lists(ends, ids)})
 
     return run
 
 
 def occurrences(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit of every text: rid (row key), at (place of the unit), unit, ids (array of int)."""
-    texts = docs.select(text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    common = texts.select("text").mapInArrow(_count(UNIT), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(FREQUENT)
-    frequent = stored(encode_units(common.select("unit"), v), "frequent-units")
-    placed = texts.select("rid", F.posexplode(units(F.col("text"))).alias("at", "unit"))
-    tried = placed.join(F.broadcast(frequent), "unit", "left")  # at most FREQUENT rows
-    rare = tried.filter(F.col("ids").isNull()).select("unit", "rid", "at").repartition("unit")
-    encoded = encode_units(rare.select("unit").distinct(), v)
-    return tried.filter(F.col("ids").isNotNull()).select("rid", "at", "unit", "ids").unionByName(rare.join(encoded, "unit").select("rid", "at", "unit", "ids"))
+    texts = docs.select(text_key(id_col, text_col).alias("rid"), units(F.col(text_col)).alias("units"))
+    return texts.mapInArrow(_occurrences(v, FREQUENT), "rid long, at int, unit string, ids array<int>")
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id and its whole ``ids`` sequence."""
-    parts = occurrences(docs, vocabulary(model), id_col, text_col).dropDuplicates(["rid", "at"])
-    whole = parts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts")).select("rid", F.flatten(F.col("parts.ids")).alias("ids"))
-    rows = docs.select(F.col(id_col), text_key(id_col, text_col).alias("rid")).join(whole, "rid", "left")
-    return rows.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    before, schema, after = carried(docs, [id_col], "ids array<int>")
+    return docs.select(*before, units(F.col(text_col)).alias("_units")).mapInArrow(_encode(vocabulary(model), FREQUENT), schema).select(*after)
+
+
+def _shown(v: Vocabulary):
+    """Bytes of every row's ids; an id that is no piece and no byte gives none."""
+    codes = {i: p.encode() for p, i, _ in v.pieces} | {v.first_byte + i: bytes([i]) for i in range(256)}
+    none = max(codes) + 1
+    starts, table = flat_bytes(pa.array([codes.get(i, b"") for i in range(none + 1)], pa.binary()))
+    sizes = np.diff(starts)
+
+    def run(batches):
+        for part, offsets, items in _parts(batches, "_ids"):
+            ids = items.fill_null(none).to_numpy()
+            ids = np.where((ids >= 0) & (ids < none), ids, none)
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])[offsets]
+            shown = binary_array(table[spread_ranges(starts[ids], sizes[ids])], ends)
+            yield pa.record_batch({**{c: part[c] for c in part.schema.names if c != "_ids"}, "shown": shown})
+
+    return run
 
 
 def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
-    """The text of every row's ``ids``: pieces joined by id, put in order; byte pieces give bytes."""
-    v = vocabulary(model)
-    byte = [(i + v.first_byte, f"{i:02X}") for i in range(256)]
-    spark = encoded.sparkSession
-    codes = piece_table(spark, v).select("id", F.hex(F.encode("piece", "UTF-8")).alias("code")).unionByName(spark.createDataFrame(byte, "id int, code string"))
-    numbered = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "ids")
-    placed = numbered.select("row", "key", F.posexplode_outer("ids").alias("at", "id"))
-    joined = placed.join(F.broadcast(codes), "id", "left").groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("parts"))
-    shown = F.decode(F.unhex(F.array_join(F.col("parts.code"), "")), "UTF-8")
-    text = F.substring(F.replace(shown, F.lit(SPACE), F.lit(" ")), F.lit(2), F.length(shown))  # without the dummy space
-    return joined.select(F.col("key").alias(key), F.coalesce(text, F.lit("")).alias("text"))
+    """The text of every row's ``ids``: the bytes of pieces and byte pieces, in order."""
+    before, schema, after = carried(encoded, [key], "shown binary")
+    ids = F.coalesce("ids", F.array().cast("array<int>")).alias("_ids")
+    shown = encoded.select(*before, ids).mapInArrow(_shown(vocabulary(model)), schema).select(*after).withColumn("shown", F.decode("shown", "UTF-8"))
+    text = F.substring(F.replace("shown", F.lit(SPACE), F.lit(" ")), F.lit(2), F.length("shown"))  # without the dummy space
+    return shown.select(key, text.alias("text"))
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

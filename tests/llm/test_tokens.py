@@ -162,3 +162,44 @@ def test_query_encodes_and_decodes_whole_texts(spark, tmp_path):
     by_id = sorted(((r.doc_id, len(r.ids), sha(" ".join(map(str, r.ids)))) for r in ids), key=repr)
     assert [g[:3] for g in got] == by_id
     assert sorted(((g[0], g[3]) for g in got), key=repr) == sorted(((i, sha(t or "")) for i, t in EDGE), key=repr)
+
+
+def test_encoding_and_decoding_move_no_row(spark):
+    """Texts are encoded, and ids decoded, where they lie: nothing is shuffled, stored or grouped for a unit or an id."""
+    docs = documents(spark)
+    model = lattice.default_model()
+    encoded = lattice.encode(docs, model)
+    for df in (encoded, lattice.decode(encoded, model)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Generate", "Aggregate"))
+
+
+def test_lattice_in_small_blocks():
+    """Cuts into blocks, and units remembered from batch to batch, change no id; unknown and missing ids decode to nothing."""
+    import pyarrow as pa
+    import regex
+
+    v = lattice.vocabulary(lattice.default_model())
+    texts = ["the other of the", "", "漢字 ok ² x²y 😀 a", "x" * 700 + " " + "▁" * 20, "the the\n\n12ab", " "]
+    cut = [regex.findall(lattice.UNIT, lattice.SPACE + t.replace(" ", lattice.SPACE)) if t else [] for t in texts]
+    whole = pa.record_batch({"_c0": pa.array(range(len(texts)), pa.int64()), "_units": pa.array(cut, pa.list_(pa.string()))})
+    want = [brute(v, t) for t in texts]
+    old = lattice.BLOCK_ITEMS, lattice.PATHS
+    try:
+        for lattice.BLOCK_ITEMS, lattice.PATHS, most in ((1, 1, 0), (4, 2, 3), (1 << 18, 1 << 15, 1 << 16)):
+            got = pa.Table.from_batches(list(lattice._encode(v, most)(iter([whole.slice(0, 3), whole.slice(3), whole.slice(0, 0), whole]))))
+            assert got["ids"].to_pylist() == want + want
+            shown = pa.Table.from_batches(list(lattice._shown(v)(iter([pa.record_batch({"_c0": whole["_c0"], "_ids": pa.array(want, pa.list_(pa.int32()))})]))))
+            assert [s.decode().replace(lattice.SPACE, " ")[1:] for s in shown["shown"].to_pylist()] == [t.replace(lattice.SPACE, " ") for t in texts]
+    finally:
+        lattice.BLOCK_ITEMS, lattice.PATHS = old
+    odd = pa.record_batch({"_c0": [1], "_ids": pa.array([[want[0][0], None, -5, 10**9, 0, *want[0][1:]]], pa.list_(pa.int32()))})
+    assert next(lattice._shown(v)(iter([odd])))["shown"][0].as_py().decode() == lattice.SPACE + texts[0].replace(" ", lattice.SPACE)
+
+
+def test_a_long_unit_takes_linear_time():
+    import time
+
+    path = lattice._best_path(lattice.vocabulary(lattice.default_model()))
+    began = time.process_time()
+    assert len(path("z" * 100_000)) > 10_000 and time.process_time() - began < 20
